@@ -40,3 +40,52 @@ def keyed(docs, text="text"):
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batch, column, limit=4 << 20):
+    """Cut an Arrow batch into runs of rows of about ``limit`` text bytes, so that memory in a task stays bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if not n:
+        return
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 16
+    piece = (np.cumsum(size) - size) // limit
+    cuts = np.flatnonzero(np.diff(piece)) + 1
+    for a, b in zip([0, *cuts], [*cuts, n]):
+        yield batch.slice(int(a), int(b - a))
+
+
+def ascii_words(texts):
+    """Words [^\\x20\\x09-\\x0D]+ of a string array (null: none): codes into the distinct words, offsets by row, distinct words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = lists.flatten()
+    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    keep = np.asarray(pc.binary_length(flat)) > 0
+    if not keep.all():
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        flat = flat.filter(pa.array(keep))
+    coded = flat.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), offsets.astype(np.int64), coded.dictionary
+
+
+def mix64(x):
+    """A bijection of uint64 arrays (a murmur-type finaliser)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hashed(strings, seed=0):
+    """64-bit hashes of an Arrow array of strings."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in strings.to_pylist()), np.uint64, len(strings))

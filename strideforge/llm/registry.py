@@ -3,18 +3,7 @@
 import importlib
 
 #: Modules of this subpackage that hold a query.
-MODULES = [
-    "line_dedup",
-    "html_text",
-    "byte_bpe",
-    "secret_crf",
-    "minhash",
-    "bm25_leaks",
-    "warc",
-    "quality_ftrl",
-    "ivfpq",
-    "license_align",
-]
+MODULES = ["minhash"]
 
 
 def _modules():
