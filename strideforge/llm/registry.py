@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this subpackage that hold a query.
-MODULES = ["minhash"]
+MODULES = ["line_dedup", "byte_bpe", "minhash"]
 
 
 def _modules():
