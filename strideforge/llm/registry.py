@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this subpackage that hold a query.
-MODULES = ["line_dedup", "byte_bpe", "minhash"]
+MODULES = ["line_dedup", "byte_bpe", "minhash", "quality_ftrl", "bm25_leaks", "secret_crf"]
 
 
 def _modules():
