@@ -43,14 +43,17 @@ def table(spark, sf_dir, name):
 
 
 def slices(batch, column, limit=4 << 20):
-    """Cut an Arrow batch into runs of rows of about ``limit`` text bytes, so that memory in a task stays bounded."""
+    """Cut an Arrow batch into runs of rows of about ``limit`` bytes by a column of texts or of sizes: bounds a task's memory."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     n = batch.num_rows
     if not n:
         return
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 16
+    size = batch.column(column)
+    size = size if pa.types.is_integer(size.type) else pc.binary_length(size)
+    size = np.asarray(pc.fill_null(size, 0)).astype(np.int64) + 16
     piece = (np.cumsum(size) - size) // limit
     cuts = np.flatnonzero(np.diff(piece)) + 1
     for a, b in zip([0, *cuts], [*cuts, n]):
@@ -74,6 +77,19 @@ def ascii_words(texts):
     return np.asarray(coded.indices).astype(np.int64), offsets.astype(np.int64), coded.dictionary
 
 
+def lower_ascii(texts):
+    """The string array (null: empty) with A-Z in lower case and all other bytes as they are."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+
+
 def mix64(x):
     """A bijection of uint64 arrays (a murmur-type finaliser)."""
     import numpy as np

@@ -24,7 +24,7 @@ long as its component holds an id. Repeated rows are copies of each other. Extra
 
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import ascii_words, hashed, materialize, mix64, slices, table
+from strideforge.llm.common import ascii_words, hashed, lower_ascii, materialize, mix64, slices, table
 from strideforge.llm.components import connected
 
 ROWS, BANDS = 5, 28
@@ -36,10 +36,7 @@ LAST = 2**63 - 1
 def shingle_sets(texts, width=5):
     """For an Arrow string array: flat sorted distinct shingle hashes (uint64) and their offsets by row."""
     import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    codes, offsets, vocabulary = ascii_words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    codes, offsets, vocabulary = ascii_words(lower_ascii(texts))
     word = hashed(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
     count = np.diff(offsets)
     sets, sizes = [], np.zeros(len(count), np.int64)

@@ -3,7 +3,18 @@
 import importlib
 
 #: Modules of this subpackage that hold a query.
-MODULES = ["line_dedup", "byte_bpe", "minhash", "quality_ftrl", "bm25_leaks", "secret_crf"]
+MODULES = [
+    "line_dedup",
+    "html_text",
+    "byte_bpe",
+    "secret_crf",
+    "minhash",
+    "bm25_leaks",
+    "warc",
+    "quality_ftrl",
+    "ivfpq",
+    "license_align",
+]
 
 
 def _modules():
