@@ -1,13 +1,20 @@
 """All queries of the sensor jobs, by name."""
 
+from strideforge.plans import frame_queries
+
+MODULES = [frame_queries]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return frame_queries.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    found = {"flagship": flagship}
+    for m in MODULES:
+        found.update(m.Q)
+    return found
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
