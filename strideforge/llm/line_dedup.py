@@ -20,6 +20,7 @@ SPLIT = r"(?<=\n)|(?<=[.!?] )"
 #: Factor and modulus of the rolling hash over two 32-bit line hashes (fixed values).
 FACTOR, MODULUS = 1000003, 2147483647
 MIN_LINES, MIN_CHARS = 2, 64
+MARK = "\x01"
 
 
 def _shift(values, first):
@@ -27,83 +28,55 @@ def _shift(values, first):
     return F.concat(F.array(first), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))))
 
 
-def _chunks(docs):
-    """docs(_id, _th, text) with lines and chunks: array of (start, len)."""
-    lines = docs.withColumn("lines", F.split("text", SPLIT, -1)).withColumn("n", F.size("lines"))
-    hashed = lines.withColumn(
-        "h", F.transform("lines", lambda u: F.conv(F.substring(F.md5(u), 1, 8), 16, 10).cast("long"))
-    )
+def _chunked(docs, keep):
+    """docs(text) with chunks (texts, escaped) and lens (lines of each); keep: columns to carry along.
+
+    The boundaries become a mark inside the joined lines, at which the text is split again, so all steps are linear in the
+    text. A mark in the text itself is escaped. ``inline`` keeps the arrays from being computed again inside lambdas.
+    """
+    lines = docs.withColumn("lines", F.split(F.replace("text", F.lit(MARK), F.lit(MARK + "e")), SPLIT, -1))
+    hashed = lines.withColumn("h", F.transform("lines", lambda u: F.conv(F.substring(F.md5(u), 1, 8), 16, 10).cast("long")))
     rolled = hashed.withColumn(
         "r", F.zip_with(_shift(F.col("h"), F.lit(0).cast("long")), "h", lambda a, b: F.pmod(a * FACTOR + b, F.lit(MODULUS)))
     )
     after = F.concat(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), F.array(F.lit(-1).cast("long")))
     least = F.zip_with(
-        F.zip_with("r", _shift(F.col("r"), F.lit(-1).cast("long")), lambda a, b: F.struct(a.alias("a"), (a < b).alias("ok"))),
+        F.zip_with("r", _shift(F.col("r"), F.lit(-1).cast("long")), lambda a, b: F.when(a < b, a)),
         after,
-        lambda s, c: s["ok"] & (s["a"] < c),
-    )
-    ended = rolled.withColumn(
-        "ends", F.filter(F.transform(least, lambda f, i: F.when(f, i)), lambda e: e.isNotNull())
-    ).select("_id", "_th", "lines", "n", "ends")
-    starts = F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1))
-    ends = F.concat("ends", F.array(F.col("n") - 1))
-    return ended.select(
-        "_id", "_th", "lines", "n",
-        F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("len"))).alias("chunks"),
+        lambda a, c: F.coalesce(a < c, F.lit(False)),
     )
-
-
-def _text(start, length):
-    return F.array_join(F.slice("lines", start + 1, length), "")
+    ended = rolled.withColumn("ends", least)
+    marked = F.array_join(F.zip_with("lines", "ends", lambda u, e: F.when(e, F.concat(u, F.lit(MARK + "s"))).otherwise(u)), "")
+    ends = F.concat(F.filter(F.transform("ends", lambda e, i: F.when(e, i)), lambda e: e.isNotNull()), F.array(F.size("lines") - 1))
+    both = ended.select(*keep, F.split(marked, MARK + "s", -1).alias("chunks"), ends.alias("ends"))
+    lens = F.zip_with("ends", _shift(F.col("ends"), F.lit(-1)), lambda b, a: b - a)
+    return both.select(*keep, F.inline(F.array(F.struct("chunks", lens.alias("lens")))))
 
 
 def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
-    """Chunks of docs(_id, _th, text) to remove: _id, _th, start, len, one row each, their first places left out."""
-    # "lines" is used twice in each projection, so it is computed once and not inside the lambdas
+    """Chunks of docs(_id, _th, text) to remove: _id, _th, chunk (its number in the document), first places left out."""
+    cells = F.zip_with("chunks", "lens", lambda c, n: F.struct(n.alias("len"), F.length(c).alias("chars"), F.xxhash64(c).alias("hash")))
     places = (
-        _chunks(docs)
-        .select(
-            "_id", "_th", F.size("lines").alias("n"),
-            F.transform(
-                F.filter("chunks", lambda c: c["len"] >= min_lines),
-                lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), _text(c["start"], c["len"]).alias("t")),
-            ).alias("c"),
-        )
-        .select(
-            "_id", "_th", "n",
-            F.transform(
-                "c",
-                lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.length(c["t"]).alias("chars"), F.xxhash64(c["t"]).alias("hash")),
-            ).alias("c"),
-        )
-        .select("_id", "_th", F.explode("c").alias("c"))
-        .select("_id", "_th", "c.*")
-        .filter(F.col("chars") >= min_chars)
+        _chunked(docs, ["_id", "_th"])
+        .select("_id", "_th", F.posexplode(cells).alias("chunk", "c"))
+        .select("_id", "_th", "chunk", "c.*")
+        .filter((F.col("chars") >= min_chars) & (F.col("len") >= min_lines))
+        .select("_id", "_th", "chunk", "hash")
     )
     places = materialize(places, "chunk-places")
     twice = places.groupBy("hash").count().filter("count > 1").select("hash")
-    wanted = places.join(twice, "hash").groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("c"))
-    found = (
-        docs.join(wanted, ["_id", "_th"])
-        .withColumn("lines", F.split("text", SPLIT, -1))
-        .select(
-            "_id", "_th", F.size("lines").alias("n"),
-            F.explode(
-                F.transform(
-                    "c", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), _text(c["start"], c["len"]).alias("bytes"))
-                )
-            ).alias("c"),
-        )
-        .select("_id", "_th", "c.*")
+    wanted = places.join(twice, "hash").groupBy("_id", "_th").agg(F.collect_set("chunk").alias("wanted"))
+    found = _chunked(docs.join(wanted, ["_id", "_th"]), ["_id", "_th", "wanted"]).select(
+        "_id", "_th", F.inline(F.transform("wanted", lambda i: F.struct(i.alias("chunk"), F.get("chunks", i).alias("bytes"))))
     )
     found = materialize(found, "chunk-bytes")
-    place = F.struct("_id", "_th", "start")
+    place = F.struct("_id", "_th", "chunk")
     first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    return found.join(first, "bytes").filter(place != F.col("first")).select("_id", "_th", "start", "len").distinct()
+    return found.join(first, "bytes").filter(place != F.col("first")).select("_id", "_th", "chunk").distinct()
 
 
 def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
-    """docs with repeated chunks removed from text, and columns n_lines, n_removed (lines)."""
+    """docs with repeated chunks removed from text, and a column n_removed (lines)."""
     clash = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -111,22 +84,20 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
         *[F.col(f"`{c}`").alias(a) for c, a in clash.items()],
     )
     gone = repeated_chunks(rows.select("_id", "_th", "text"), min_lines, min_chars)
-    per_doc = gone.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("gone"))
-    none = F.array().cast("array<struct<start:int,len:int>>")
-    joined = rows.join(per_doc, ["_id", "_th"], "left").withColumn("gone", F.coalesce("gone", none))
-    joined = joined.withColumn("lines", F.split("text", SPLIT, -1)).withColumn("n_lines", F.size("lines"))
-    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["start"] + g["len"]))
-    ends = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.col("n_lines")))
-    pieces = F.zip_with(starts, ends, lambda s, e: _text(s, e - s))
-    out = joined.withColumns(
-        {
-            "doc_id": F.when(F.col("_id") != NULL_ID, F.col("_id")),
-            "text": F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(pieces, "")),
-            "n_removed": F.aggregate("gone", F.lit(0), lambda s, g: s + g["len"]),
-        }
+    per_doc = gone.groupBy("_id", "_th").agg(F.collect_set("chunk").alias("gone"))
+    joined = rows.join(per_doc, ["_id", "_th"], "left").withColumn("whole", F.when(F.col("gone").isNull(), F.col("text")))
+    joined = joined.withColumn("text", F.when(F.col("gone").isNotNull(), F.col("text")).otherwise(F.lit("")))
+    parts = _chunked(joined, ["_id", "whole", "gone", *clash.values()])
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone"))
+    text = F.replace(F.array_join(F.transform(stay, lambda i: F.get("chunks", i)), ""), F.lit(MARK + "e"), F.lit(MARK))
+    out = parts.select(
+        F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"),
+        F.coalesce("whole", text).alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate(F.transform("gone", lambda i: F.get("lens", i)), F.lit(0), lambda s, x: s + x)).alias("n_removed"),
+        *clash.values(),
     )
-    back = {c: F.col(a).alias(c) for c, a in clash.items() if c not in ("n_lines", "n_removed")}
-    return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    back = {c: F.col(a).alias(c) for c, a in clash.items() if c != "n_removed"}
+    return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -157,7 +128,7 @@ WITH lines AS (
   WHERE len >= {MIN_LINES} AND length(bytes) >= {MIN_CHARS}
 ), gone AS (SELECT doc_id, c FROM ranked WHERE place > 1)
 SELECT n.doc_id, coalesce(string_agg(u, '' ORDER BY i) FILTER (WHERE g.c IS NULL), '') AS text,
-  CAST(count(*) AS INT) AS n_lines, CAST(count(g.c) AS INT) AS n_removed
+  CAST(count(g.c) AS INT) AS n_removed
 FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.c = g.c GROUP BY n.doc_id
 """
 }
