@@ -105,3 +105,13 @@ def hashed(strings, seed=0):
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in strings.to_pylist()), np.uint64, len(strings))
+
+
+#: Ids up to this number (8 bytes each) are broadcast to pick rows; beyond it the rows are joined by a shuffle.
+MAX_BROADCAST = 200_000
+
+
+def without(docs, ids):
+    """docs less the rows whose doc_id is among ids (distinct, written already)."""
+    few = ids.count() <= MAX_BROADCAST
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
