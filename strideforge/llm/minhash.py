@@ -22,14 +22,17 @@ Null text counts as empty. A null doc_id is reported back as null and never beco
 long as its component holds an id. Repeated rows are copies of each other. Extra columns are ignored by ``near_duplicates``.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import ascii_words, hashed, lower_ascii, materialize, mix64, slices, table
+from strideforge.llm.common import MAX_BROADCAST, ascii_words, hashed, lower_ascii, materialize, mix64, slices, table, without
 from strideforge.llm.components import connected
 
 ROWS, BANDS = 5, 28
 #: Buckets up to this size give all pairs at once; larger ones go by their least member first. No pair is left out.
 SMALL_BUCKET = 12
+#: Rows of a block in which a large bucket's members are compared.
+BLOCK = 256
 LAST = 2**63 - 1
 
 
@@ -154,7 +157,7 @@ def compressed(docs):
             blobs = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(blobs, pa.binary())], ["_id", "blob"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text").mapInArrow(run, "_id long, blob binary")
+    return docs.mapInArrow(run, "_id long, blob binary")
 
 
 def confirm(pairs, docs, percent):
@@ -195,6 +198,10 @@ def confirm(pairs, docs, percent):
                     keep.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
+    if nodes.count() <= MAX_BROADCAST:
+        docs = docs.join(F.broadcast(nodes), "_id", "left_semi")
     texts = compressed(docs)
     left = texts.select(F.col("_id").alias("a"), F.col("blob").alias("blob_a"))
     right = texts.select(F.col("_id").alias("b"), F.col("blob").alias("blob_b"))
@@ -223,6 +230,52 @@ def close_enough(pairs, nodes, percent):
     return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def apart_pairs(large, nodes, labels, rows, bands, percent):
+    """Pairs (a, b) of large buckets that lie in different components and may be close, each from the first band they share.
+
+    Members outside a bucket's main component (that of most members) meet all members of the bucket, both in blocks of
+    about BLOCK rows; a pair of blocks is compared at once and gives only pairs that sizes and signatures allow.
+    """
+    known = nodes.select("node", "n_shingles", "signature").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = large.distinct().join(known, "node")
+    sizes = marked.groupBy("key", "label").count()
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"))
+    marked = marked.join(main, "key").filter("n_main < size")
+    deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    row = F.struct("node", "n_shingles", "label", "signature")
+    block = lambda df: df.groupBy("key", "band", deal.alias("deal")).agg(F.collect_list(row).alias("rows"))
+    every = block(marked).select("key", "band", F.col("rows").alias("y"))
+    rest = block(marked.filter("label <> main")).select("key", F.col("rows").alias("x"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        j, k = percent / 100, rows * bands
+        least = k * (j - 5 * (j * (1 - j) / k) ** 0.5)
+
+        def side(cells):
+            v = cells.values
+            sig = np.frombuffer(b"".join(v.field("signature").to_pylist()), "<u4").reshape(len(v), -1)
+            return [np.asarray(v.field(c)) for c in ("node", "n_shingles", "label")], sig
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, na, la), sa = side(batch.column("x")[i])
+                (b, nb, lb), sb = side(batch.column("y")[i])
+                same = np.zeros((len(a), len(b)), np.int16)
+                for c in range(k):
+                    same += sa[:, c][:, None] == sb[:, c][None]
+                fits = np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * percent
+                x, y = np.nonzero((same >= least) & fits & (la[:, None] != lb[None]))
+                shared = (sa[x] == sb[y])[:, : rows * bands].reshape(len(x), bands, rows).all(2).argmax(1)
+                keep = shared == batch.column("band")[i].as_py()
+                x, y = a[x[keep]], b[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return rest.join(every, "key").select("band", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     """Rows of docs(doc_id, text) with n_shingles, component_id (smallest doc_id reachable) and kept.
 
@@ -238,21 +291,12 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     # an id with several texts has a row for each of them, and all of them are one node of the graph
     hashes = banded(nodes, rows, bands)
     # rows: one per class and band; a bucket's least member is its pivot
-    spread = hashes.select("node", "n_shingles", "bands", F.posexplode("bands").alias("band", "key"))
-    counts = (
-        spread.groupBy("band", "key")
-        .agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
-        .filter("size > 1")
-    )
-    members = materialize(
-        spread.join(counts, ["band", "key"]).select(
-            "node", "n_shingles", "band", "key", "size", "pivot", F.when(F.col("size") > SMALL_BUCKET, F.col("bands")).alias("bands")
-        ),
-        "buckets",
-    )
+    spread = hashes.select("node", F.posexplode("bands").alias("band", "key"))
+    counts = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
+    members = materialize(spread.join(counts, "key"), "buckets")
     small = (
         members.filter(F.col("size") <= SMALL_BUCKET)
-        .groupBy("band", "key")
+        .groupBy("key")
         .agg(F.sort_array(F.collect_list("node")).alias("m"))  # at most SMALL_BUCKET nodes
         .select(
             F.explode(
@@ -264,38 +308,17 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
             ).alias("p")
         )
         .select("p.a", "p.b")
+        .filter("a <> b")
     )
     star = members.filter((F.col("size") > SMALL_BUCKET) & (F.col("node") != F.col("pivot")))
     first = small.union(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
-    links = materialize(confirm(close_enough(first, nodes, percent), docs, percent), "links")
-    large = members.filter(F.col("size") > SMALL_BUCKET)
+    near = materialize(close_enough(first, nodes, percent).distinct(), "pairs")
+    links = materialize(confirm(near, docs, percent).distinct(), "links")
+    large = members.filter(F.col("size") > SMALL_BUCKET).select("node", "band", "key", "size")
     if large.limit(1).count():
-        labels = connected(links)
-        marked = large.distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        main = (
-            marked.groupBy("band", "key", "label").count().groupBy("band", "key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        )
-        marked = materialize(marked.join(main, ["band", "key"]), "marked")
-        rest = marked.filter("label <> main")
-        shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
-        size_fits = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
-        once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-        more = (
-            rest.alias("x")
-            .join(
-                marked.alias("y"),
-                (F.col("x.band") == F.col("y.band"))
-                & (F.col("x.key") == F.col("y.key"))
-                & (F.col("x.label") != F.col("y.label"))
-                & once
-                & size_fits
-                & (shared == F.col("x.band") + 1),
-            )
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            .distinct()
-            .join(first, ["a", "b"], "left_anti")
-        )
-        links = links.union(materialize(confirm(close_enough(more, nodes, percent), docs, percent), "links"))
+        apart = apart_pairs(large, nodes, connected(links), rows, bands, percent)
+        near = materialize(apart.distinct(), "pairs")
+        links = links.union(materialize(confirm(near, docs, percent).distinct(), "links"))
     labels = connected(links)
     member = sets.filter("digest is not null").select("_id", "digest").join(nodes.select("digest", "node"), "digest")
     member = member.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
@@ -309,6 +332,24 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     )
 
 
+def one_of_each(docs, percent=80):
+    """docs less all but the least doc_id of each group of near duplicates, and one row for each doc_id (the least text hash).
+
+    Rows with null ids are compared like others and stay only if no id is in their group.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), percent)
+    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    kept = without(docs, materialize(gone, "duplicates"))
+    if found.filter("doc_id is null").limit(1).count():
+        lone = found.filter("doc_id is null and component_id is null").limit(1).count()
+        kept = kept if lone else kept.filter("doc_id is not null")
+    twice = kept.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if twice.limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        kept = kept.withColumn("_place", F.row_number().over(order)).filter("_place = 1 or doc_id is null").drop("_place")
+    return kept
+
+
 def op5_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
