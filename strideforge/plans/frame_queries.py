@@ -1,7 +1,5 @@
 """Queries over lines and frames of the adapter, with their DuckDB twins."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from strideforge.functions import frames as fx
@@ -55,7 +53,7 @@ merged AS (
 
 def cop_sql(channels, axis, prefix=""):
     total = " + ".join(f"{prefix}{c}" for c in channels)
-    weighted = " + ".join(f"{prefix}{c} * {CENTRES_MM[i][axis] / LENGTH_MM!r}" for i, c in enumerate(channels))
+    weighted = " + ".join(f"{prefix}{c} * CAST({CENTRES_MM[i][axis] / LENGTH_MM!r} AS DOUBLE)" for i, c in enumerate(channels))
     return f"CASE WHEN ({total}) <> 0 THEN ({weighted}) / CAST(({total}) AS DOUBLE) END"
 
 
@@ -114,7 +112,7 @@ ACCOUNTED = f"""{PARSED}, credited AS (
   SELECT *, row_number() OVER w - 1 AS frame_idx, lag(seq) OVER w AS pseq, lag(ts_us) OVER w AS pts, bad - lag(bad) OVER w AS credit FROM credited WHERE status = 'valid' WINDOW w AS (PARTITION BY session_id ORDER BY line_no)
 ), deltas AS (
   SELECT *, coalesce(ts_us < pts, false) AS reset, CASE WHEN NOT coalesce(ts_us < pts, false) THEN ((seq - pseq) % 65536 + 65536) % 65536 END AS delta FROM lagged
-), gaps AS (SELECT *, coalesce(greatest(delta - 1, 0), 0) AS last_gap, CASE WHEN delta IS NULL THEN 0 ELSE greatest(greatest(delta - 1, 0) - credit, 0) END AS lost FROM deltas),
+), gaps AS (SELECT *, coalesce(greatest(delta - 1, 0), 0) AS last_gap, CASE WHEN delta IS NULL THEN 0 ELSE CAST(greatest(greatest(delta - 1, 0) - credit, 0) AS BIGINT) END AS lost FROM deltas),
 accounted AS (
   SELECT *, coalesce(delta <> 1 AND (lost > 0 OR delta = 0), false) AS seq_break, coalesce(delta > 0 AND abs(ts_us - pts - 10000 * delta) > 3000, false) AS timing_break,
     sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no) AS epoch FROM gaps
@@ -379,10 +377,3 @@ add("o7_frame_budget", f"WITH {F_} SELECT session_id, count(*) AS n, CAST(sum(to
 )
 add("a13_calibration_ceiling", f"WITH {F_} SELECT CAST(max(greatest(s0, s1, s2, s3, s4, s5)) AS BIGINT) AS ceiling FROM frames")(lambda s, d: __import__("strideforge.operators.calibration", fromlist=["x"]).calibration_ceiling(ad.frames(s, d)))
 
-
-def flag_sql():
-    """The flagship in SQL: stances of each epoch, features, QDA."""
-    return None
-
-
-del json
