@@ -22,10 +22,12 @@ from strideforge.llm.common import materialize, table
 #: A table of token bytes larger than this is refused, as it is broadcast.
 MAX_TABLE_BYTES = 64 << 20
 #: Text bytes of a block, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 #: Distinct words that a task remembers at most; beyond it forgets and encodes again.
 MEMO = 1_000_000
-BLOCKS = "block long, bucket int, words binary, codes binary, n_words array<int>, rows binary"
+#: Least numbers that take two bytes and five bytes in a packed array.
+TWO, FIVE = 192, 192 + 63 * 256
+BLOCKS = "block long, bucket int, words binary, codes binary, counts binary, n_words array<int>, rows binary"
 
 
 def load_ranks(path):
@@ -67,6 +69,44 @@ def merge_pairs(word, ranks):
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def pack(numbers):
+    """Non-negative integers, small ones mostly, as compressed byte planes: first bytes, then the further bytes of larger ones."""
+    import numpy as np
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    two, five = (numbers >= TWO) & (numbers < FIVE), numbers >= FIVE
+    lead = np.where(numbers < TWO, numbers, 255).astype(np.uint8)
+    x = numbers[two] - TWO
+    lead[two] = TWO + (x >> 8)
+    rest = (numbers[five] - FIVE).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    parts = [z.compress(b) for b in (lead.tobytes(), (x & 255).astype(np.uint8).tobytes(), np.ascontiguousarray(rest).tobytes())]
+    return b"".join(len(b).to_bytes(4, "little") + b for b in parts)
+
+
+def unpack(packed):
+    import numpy as np
+    import zstandard
+
+    d, at, parts = zstandard.ZstdDecompressor(), 0, []
+    while at < len(packed):
+        n = int.from_bytes(packed[at : at + 4], "little")
+        parts.append(np.frombuffer(d.decompress(packed[at + 4 : at + 4 + n]), np.uint8))
+        at += 4 + n
+    out = parts[0].astype(np.int64)
+    two, five = (parts[0] >= TWO) & (parts[0] < 255), parts[0] == 255
+    out[two] = TWO + ((out[two] - TWO) << 8) + parts[1]
+    out[five] = FIVE + np.ascontiguousarray(parts[2].reshape(4, -1).T).view("<u4").reshape(-1)
+    return out
+
+
+def by_frequency(counts):
+    """Places of distinct words from the most frequent on, ties in order of place."""
+    import numpy as np
+
+    return np.argsort(-counts, kind="stable")
+
+
 def _blocks(words, names, n_buckets):
     """Rows (words, rest...) to block rows: one with codes, row sizes and the other columns, and one per bucket of words."""
 
@@ -78,7 +118,7 @@ def _blocks(words, names, n_buckets):
         import zstandard
         from pyspark import TaskContext
 
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         block = TaskContext.get().partitionId() << 32
 
         def packed(part):
@@ -86,19 +126,24 @@ def _blocks(words, names, n_buckets):
             flat = lists.flatten().cast(pa.large_binary())
             coded = flat.dictionary_encode()
             vocabulary = coded.dictionary
+            vocabulary = vocabulary.take(order := pc.sort_indices(vocabulary))
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in vocabulary.to_pylist()), np.int32, len(vocabulary))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            codes = place[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int32)
-            planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+            dealt = np.argsort(bucket, kind="stable")
+            place = np.empty(len(dealt), np.int64)
+            place[np.asarray(order)[dealt]] = np.arange(len(dealt))
+            codes = place[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int64)
+            # the most frequent words get the smallest numbers; their counts tell the order again
+            counts = np.bincount(codes, minlength=len(dealt))
+            rank = np.empty(len(dealt), np.int64)
+            rank[by_frequency(counts)] = np.arange(len(dealt))
+            codes, counts = pack(rank[codes]), pack(counts)
             rest = part.select(names)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as writer:
                 writer.write_batch(rest)
             n_words = np.asarray(pc.list_value_length(lists)).astype(np.int32)
-            rows = [(block, -1, None, z.compress(planes.tobytes()), n_words.tolist(), z.compress(sink.getvalue()))]
-            vocabulary = vocabulary.take(pa.array(order))
+            rows = [(block, -1, None, codes, counts, n_words.tolist(), z.compress(sink.getvalue()))]
+            vocabulary = vocabulary.take(pa.array(dealt))
             lengths = np.asarray(pc.binary_length(vocabulary)).astype("<u4")
             starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
             data = b"".join(vocabulary.to_pylist())
@@ -107,11 +152,11 @@ def _blocks(words, names, n_buckets):
             for k, b in enumerate(ends):
                 if b > a:
                     blob = np.uint32(b - a).tobytes() + lengths[a:b].tobytes() + data[starts[a] : starts[b]]
-                    rows.append((block, k, z.compress(blob), None, None, None))
+                    rows.append((block, k, z.compress(blob), None, None, None, None))
                 a = b
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()))],
-                ["block", "bucket", "words", "codes", "n_words", "rows"],
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()))],
+                ["block", "bucket", "words", "codes", "counts", "n_words", "rows"],
             )
 
         for batch in batches:
@@ -122,6 +167,7 @@ def _blocks(words, names, n_buckets):
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 yield packed(batch.slice(int(a), int(b - a)))
+                pa.default_memory_pool().release_unused()
                 block += 1
 
     return words.mapInArrow(run, BLOCKS)
@@ -136,7 +182,7 @@ def _encode_words(rows, tokens):
         import zstandard
 
         ranks = {t: i for i, t in enumerate(tokens.value)}
-        z, d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor()
         memo, at = {}, None
         for batch in batches:
             out = []
@@ -155,7 +201,7 @@ def _encode_words(rows, tokens):
                         got = memo[w] = merge_pairs(w, ranks)
                     ids += got
                     counts.append(len(got))
-                out.append(z.compress(np.array([n, *counts, *ids], "<u4").tobytes()))
+                out.append(n.to_bytes(4, "little") + pack(np.array(counts + ids, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
     return rows.mapInArrow(run, "block long, bucket int, ids binary")
@@ -185,7 +231,7 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
     blocks = materialize(_blocks(words, names, n_buckets), "bpe-blocks")
     sent = blocks.filter("bucket >= 0").select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
     ids = _encode_words(sent, tokens).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("ids"))
-    whole = blocks.filter("bucket = -1").select("block", "codes", "n_words", "rows").join(ids, "block", "left")
+    whole = blocks.filter("bucket = -1").select("block", "codes", "counts", "n_words", "rows").join(ids, "block", "left")
 
     def run(batches):
         import numpy as np
@@ -198,13 +244,13 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
                 parts = batch.column("ids")[r].as_py() or []
                 counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                 for p in parts:
-                    x = np.frombuffer(d.decompress(p["ids"]), "<u4")
-                    counts.append(x[1 : 1 + x[0]].astype(np.int64))
-                    flat.append(x[1 + x[0] :].astype(np.int32))
+                    n, x = int.from_bytes(p["ids"][:4], "little"), unpack(p["ids"][4:])
+                    counts.append(x[:n])
+                    flat.append(x[n:].astype(np.int32))
                 counts, flat = np.concatenate(counts), np.concatenate(flat)
                 starts = np.cumsum(counts) - counts
-                planes = np.frombuffer(d.decompress(batch.column("codes")[r].as_py()), np.uint8).reshape(4, -1)
-                codes = np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+                order = by_frequency(unpack(batch.column("counts")[r].as_py()))
+                codes = order[unpack(batch.column("codes")[r].as_py())]
                 n_words = np.asarray(batch.column("n_words")[r].values)
                 rest = pa.ipc.open_stream(d.decompress(batch.column("rows")[r].as_py())).read_all().combine_chunks()
                 word_ends = np.cumsum(n_words, dtype=np.int64)
@@ -220,7 +266,7 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
                     yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), lists], [*rest.schema.names, "ids"])
                     a, row = b, end
 
-    return whole.select("codes", "n_words", "rows", "ids").mapInArrow(run, out_schema)
+    return whole.select("codes", "counts", "n_words", "rows", "ids").mapInArrow(run, out_schema)
 
 
 def token_table(tokens):
@@ -231,13 +277,13 @@ def token_table(tokens):
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def decode(rows, path, digests=False):
+def decode(rows, path, digests=False, keep_ids=False):
     """rows(..., ids) with the decoded bytes for ids, or with n_tokens, ids_sha256 and decoded_sha256 where digests are asked for.
 
-    An unknown id is an error; null ids count as none.
+    An unknown id is an error; null ids count as none. keep_ids: ids stay as a column.
     """
     tokens = rows.sparkSession.sparkContext.broadcast(load_ranks(path))
-    names = [c for c in rows.columns if c != "ids"]
+    names = [c for c in rows.columns if keep_ids or c != "ids"]
     schema = rows.select(names).schema
     for c in ("n_tokens long", "ids_sha256 string", "decoded_sha256 string") if digests else ("decoded binary",):
         schema = schema.add(*c.split())
@@ -271,13 +317,13 @@ def decode(rows, path, digests=False):
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs, path=None, pattern=None):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs(doc_id, text)."""
+def round_trip(docs, path=None, pattern=None, keep_ids=False):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, where asked for) of docs(doc_id, text)."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern, keep=["doc_id"]), path, digests=True)
+    return decode(encode(docs, path, pattern, keep=["doc_id"]), path, digests=True, keep_ids=keep_ids)
 
 
 def op3_byte_bpe(spark, sf_dir):
