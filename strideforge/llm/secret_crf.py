@@ -150,57 +150,73 @@ def decode(e, offsets, t):
     return labels
 
 
-def likelihood_step(e, gold, t):
-    """Gradients of the log likelihood of one chain: for emissions and transitions."""
+def gradients(e, gold, real, t):
+    """Gradients of the log likelihood of chains of one length (n, length, 3): for emissions and transitions.
+
+    real marks the tokens that are there; the padding behind them counts for nothing.
+    """
     import numpy as np
 
     def lse(x, axis):
         m = x.max(axis)
         return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
 
-    n = len(e)
-    f, b = np.empty((n, 3)), np.zeros((n, 3))
-    f[0] = e[0]
-    for i in range(1, n):
-        f[i] = lse(f[i - 1][:, None] + t, 0) + e[i]
-    for i in range(n - 2, -1, -1):
-        b[i] = lse(t + (e[i + 1] + b[i + 1])[None], 1)
-    z = lse(f[-1], 0)
-    ge = -np.exp(f + b - z)
-    ge[np.arange(n), gold] += 1
+    n, length, _ = e.shape
+    f, b = np.empty_like(e), np.zeros_like(e)
+    f[:, 0] = e[:, 0]
+    for i in range(1, length):
+        step = lse(f[:, i - 1, :, None] + t, 1) + e[:, i]
+        f[:, i] = np.where(real[:, i, None], step, f[:, i - 1])
+    for i in range(length - 2, -1, -1):
+        step = lse(t[None] + (e[:, i + 1] + b[:, i + 1])[:, None], 2)
+        b[:, i] = np.where(real[:, i + 1, None], step, 0)
+    z = lse(f[:, -1], 1)[:, None]
+    ge = -np.exp(f + b - z[:, None]) * real[:, :, None]
+    np.put_along_axis(ge, gold[:, :, None], np.take_along_axis(ge, gold[:, :, None], 2) + real[:, :, None], 2)
     gt = np.zeros((3, 3))
-    for i in range(1, n):
-        gt -= np.exp(f[i - 1][:, None] + t + (e[i] + b[i])[None] - z)
-        gt[gold[i - 1], gold[i]] += 1
+    for i in range(1, length):
+        both = np.exp(f[:, i - 1, :, None] + t[None] + (e[:, i] + b[:, i])[:, None] - z[:, None]) * real[:, i, None, None]
+        gt -= both.sum(0)
+        np.add.at(gt, (gold[real[:, i], i - 1], gold[real[:, i], i]), 1)
     return ge, gt
 
 
-def fit(windows, epochs=EPOCHS, rate=0.5):
-    """Weights (w, w_file, t) from windows (words, labels, file features)."""
+def fit(windows, epochs=EPOCHS, rate=0.5, batch=32):
+    """Weights (w, w_file, t) from windows (words, labels, file features) by adaptive gradient steps."""
     import numpy as np
 
     w, w_file, t = np.zeros((SIZE, 3)), np.zeros((4, 3)), np.zeros((3, 3))
     sw, sf, st = np.full_like(w, 1e-2), np.full_like(w_file, 1e-2), np.full_like(t, 1e-2)
-    data = []
-    for words, gold, file in windows:
-        f = token_features(words)
-        data.append((f[:, :3], f[:, 3:5], np.array(gold), np.asarray(file, np.float64)))
+    n, length, memo = len(windows), max(len(x[0]) for x in windows), {}
+    feats, gold, real = np.zeros((n, length, 5), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+    for i, (words, labels, _) in enumerate(windows):
+        feats[i, : len(words)] = token_features(words, memo)[:, :5]
+        gold[i, : len(words)] = labels
+        real[i, : len(words)] = True
+    files = np.array([x[2] for x in windows], np.float64)
+    # columns: own shape; shape and word of the token before; shape and word of the token after
+    views = ((0, 0), (-1, 2), (-1, 3), (1, 1), (1, 4))
     for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(data)):
-            shapes, own, gold, file = data[i]
-            e = w[shapes[:, 0]] + file @ w_file
-            e[1:] += w[shapes[:-1, 2]] + w[own[:-1, 0]]
-            e[:-1] += w[shapes[1:, 1]] + w[own[1:, 1]]
-            ge, gt = likelihood_step(e, gold, t)
-            gw = {}
-            for rows, g in ((shapes[:, 0], ge), (shapes[:-1, 2], ge[1:]), (own[:-1, 0], ge[1:]), (shapes[1:, 1], ge[:-1]), (own[1:, 1], ge[:-1])):
-                for r, x in zip(rows.tolist(), g):
-                    gw[r] = gw[r] + x if r in gw else x
-            rows = np.fromiter(gw, np.int64, len(gw))
-            g = np.array([gw[r] for r in rows.tolist()]) - 1e-4 * w[rows]
-            sw[rows] += g * g
-            w[rows] += rate * g / np.sqrt(sw[rows])
-            gf = file[:, None] * ge.sum(0)[None]
+        order = np.random.default_rng(epoch).permutation(n)
+        for at in range(0, n, batch):
+            some = order[at : at + batch]
+            x, m, file = feats[some], real[some], files[some]
+            e = np.repeat((file @ w_file)[:, None], length, 1)
+            rows, spots = [], []
+            for shift, column in views:
+                here = m & np.roll(m, -shift, 1)
+                here[:, -1 if shift > 0 else 0] &= shift == 0
+                value = np.roll(x[:, :, column], -shift, 1)
+                e += np.where(here[:, :, None], w[value], 0)
+                rows.append(value[here])
+                spots.append(np.flatnonzero(here.reshape(-1)))
+            ge, gt = gradients(e, gold[some], m, t)
+            rows, flat = np.concatenate(rows), ge.reshape(-1, 3)[np.concatenate(spots)]
+            used, back = np.unique(rows, return_inverse=True)
+            g = np.stack([np.bincount(back, flat[:, c], len(used)) for c in range(3)], 1) - 1e-3 * w[used]
+            sw[used] += g * g
+            w[used] += rate * g / np.sqrt(sw[used])
+            gf = file.T @ ge.sum(1)
             sf += gf * gf
             w_file += 0.1 * rate * gf / np.sqrt(sf)
             st += gt * gt
