@@ -8,7 +8,8 @@ from strideforge.schemas import FLAT_RANGE, FORCE_RANGE, FULL_SCALE, MIN_POINTS,
 
 def with_rest_min(manifest, by="sensor", at="timestamp_iso"):
     """Minutes since the same sensor's previous trial; null for its first."""
-    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(Window.partitionBy(by).orderBy(at)))
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = t - F.lag(t).over(Window.partitionBy(by).orderBy(at))
     return manifest.withColumn("rest_min", gap / 6e7)
 
 

@@ -52,12 +52,13 @@ def evaluate_folds(rows, assignment, features, kind="qda"):
     by_fold = {}
     for r in stats:
         by_fold.setdefault(r["fold"], []).append(r)
-    test, parts, failed = whole.filter("side = 'test'"), [], {}
+    test, failed, fitted = whole.filter("side = 'test'"), {}, {}
     pred = F.lit(None).cast("string")
     for fold, some in sorted(by_fold.items()):
         try:
             model = models.from_stats(kind, some, len(features))
             scores = models.class_scores(model, features)
+            fitted[fold] = model
         except ValueError as e:
             failed[fold] = str(e)
             continue
@@ -66,6 +67,9 @@ def evaluate_folds(rows, assignment, features, kind="qda"):
         for c, s in reversed(list(zip(model["classes"], scores))):
             p = F.when(s == best, c).otherwise(p)
         pred = F.when(F.col("fold") == fold, p).otherwise(pred)
+    if len(features) > models.MAX_TERMS:
+        out = models.predict_batches(test.select("fold", "row_id", "label", "session", *features), fitted, features, "fold")
+        return out.select("fold", "row_id", "label", "session", "pred"), failed
     return test.withColumn("pred", pred).select("fold", "row_id", "label", "session", "pred"), failed
 
 

@@ -79,5 +79,5 @@ def stalls(arrivals, limit_s=3.0, key="session_id", at="arrival_ts"):
 
 def capture_window(arrivals, duration_s, slack_s=5.0, key="session_id", at="arrival_ts"):
     """Rows up to duration_s + slack_s seconds after the session's first."""
-    first = F.min(at).over(Window.partitionBy(key))
-    return arrivals.filter(F.unix_micros(at) - F.unix_micros(first) <= int((duration_s + slack_s) * 1e6))
+    since = F.unix_micros(at) - F.unix_micros(F.min(at).over(Window.partitionBy(key)))
+    return arrivals.withColumn("_since", since).filter(F.col("_since") <= int((duration_s + slack_s) * 1e6)).drop("_since")

@@ -81,8 +81,37 @@ def class_scores(model, features):
     return out
 
 
+#: Beyond so many features a score is computed by NumPy in batches instead of p * p column terms.
+MAX_TERMS = 3
+
+
+def predict_batches(rows, by_key, features, key=None):
+    """rows with pred, by NumPy: by_key gives the model for the value of the column key (or for None)."""
+    names = rows.columns
+    fitted = {}
+    for k, m in by_key.items():
+        covs = [m["cov"]] * len(m["classes"]) if m["kind"] == "lda" else m["covs"]
+        fitted[k] = m["classes"], [(np.array(u), np.linalg.inv(c), np.linalg.slogdet(c)[1], math.log(q)) for u, c, q in zip(m["means"], covs, m["priors"])]
+
+    def run(batches):
+        for pdf in batches:
+            pred = np.full(len(pdf), None, object)
+            x = pdf[features].to_numpy(float)
+            known = np.isfinite(x).all(1)
+            for k, (classes, parts) in fitted.items():
+                at = np.flatnonzero(known & (pdf[key] == k).to_numpy()) if key else np.flatnonzero(known)
+                d = [x[at] - u for u, *_ in parts]
+                s = [-0.5 * np.einsum("ij,jk,ik->i", v, inv, v) - 0.5 * logdet + prior for v, (_, inv, logdet, prior) in zip(d, parts)]
+                pred[at] = np.array(classes, object)[np.argmax(np.array(s), 0)]
+            yield pdf.assign(pred=pred)[[*names, "pred"]]
+
+    return rows.mapInPandas(run, rows.select("*", F.lit(None).cast("string").alias("pred")).schema)
+
+
 def predict(rows, model, features):
     """rows with pred: the class of the highest score, ties to the first; null where a feature is missing."""
+    if len(features) > MAX_TERMS:
+        return predict_batches(rows, {None: model}, features)
     scores = class_scores(model, features)
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     pred = F.lit(None).cast("string")
