@@ -9,11 +9,10 @@ words: the whole sequence; no words: the empty set, linked with nothing). Docume
    2**32), so one pair of permutations yields every coordinate.
 2. Documents with equal sets form a class (partial minimum per digest), so copies never meet in pairs.
 3. Class representatives meet in bands of ``rows`` coordinates. Small buckets give their pairs, large ones only pairs with
-   their least member; after the components are known, members of a large bucket that are still apart from its main
-   component give the missing pairs, each once. So no link is lost to a bucket's size and copies of one text cost no
-   square.
-4. Pairs whose sizes or signatures rule the threshold out go; the others are confirmed on the full sets, rebuilt from the
-   compressed texts. Links between classes give the components.
+   their least member. Pairs whose sizes or signatures rule the threshold out go; the others are confirmed on the full
+   sets, rebuilt from the compressed texts.
+4. After the components are known, members of a large bucket that are still apart from its main component are held
+   against all its members, block by block. So no link is lost to a bucket's size and copies of one text cost no square.
 
 A pair at the threshold is missed by all bands with probability (1 - 0.85**5)**28 < 1e-7; the signature test leaves at
 least five standard deviations. Shingles are compared by 64-bit hashes.
@@ -160,13 +159,26 @@ def compressed(docs):
     return docs.mapInArrow(run, "_id long, blob binary")
 
 
+def texts_of(docs, ids):
+    """_id and compressed text of the rows with the given ids, and of all rows where the ids are too many to broadcast."""
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
+    if ids.count() <= MAX_BROADCAST:
+        docs = docs.join(F.broadcast(ids), "_id", "left_semi")
+    return compressed(docs)
+
+
+def similar(s, t, percent):
+    """Whether two sorted sets of hashes reach the similarity."""
+    import numpy as np
+
+    common = len(np.intersect1d(s, t, assume_unique=True)) if len(s) and len(t) else 0
+    return common > 0 and 100 * common >= percent * (len(s) + len(t) - common)
+
+
 def confirm(pairs, docs, percent):
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; of ids with several texts, any of them."""
 
     def run(batches):
-        import hashlib
-
-        import numpy as np
         import pyarrow as pa
         import zstandard
 
@@ -191,18 +203,10 @@ def confirm(pairs, docs, percent):
                 a = [(i, hash(x)) for i, x in zip(batch.column("a").to_pylist(), blobs_a)]
                 b = [(i, hash(x)) for i, x in zip(batch.column("b").to_pylist(), blobs_b)]
                 sets(a + b, blobs_a + blobs_b)
-                keep = []
-                for x, y in zip(a, b):
-                    s, t = memo[x], memo[y]
-                    common = len(np.intersect1d(s, t, assume_unique=True)) if len(s) and len(t) else 0
-                    keep.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
+                keep = [similar(memo[x], memo[y], percent) for x, y in zip(a, b)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
-    if nodes.count() <= MAX_BROADCAST:
-        docs = docs.join(F.broadcast(nodes), "_id", "left_semi")
-    texts = compressed(docs)
+    texts = texts_of(docs, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
     left = texts.select(F.col("_id").alias("a"), F.col("blob").alias("blob_a"))
     right = texts.select(F.col("_id").alias("b"), F.col("blob").alias("blob_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
@@ -230,19 +234,23 @@ def close_enough(pairs, nodes, percent):
     return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def apart_pairs(large, nodes, labels, rows, bands, percent):
-    """Pairs (a, b) of large buckets that lie in different components and may be close, each from the first band they share.
+def apart_links(large, nodes, labels, docs, rows, bands, percent):
+    """Links (a, b) between different components that meet in large buckets only.
 
-    Members outside a bucket's main component (that of most members) meet all members of the bucket, both in blocks of
-    about BLOCK rows; a pair of blocks is compared at once and gives only pairs that sizes and signatures allow.
+    Members outside a bucket's main component (that of most members) meet all members of the bucket, in blocks of about
+    BLOCK rows. Two blocks are compared at once: pairs of different components whose sizes and signatures allow it, each in
+    the first band it shares, are confirmed on their full sets there and then, one link for two components is enough. So
+    neither pairs nor their sets leave the block.
     """
     known = nodes.select("node", "n_shingles", "signature").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = large.distinct().join(known, "node")
     sizes = marked.groupBy("key", "label").count()
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"))
-    marked = marked.join(main, "key").filter("n_main < size")
+    marked = materialize(marked.join(main, "key").filter("n_main < size"), "marked")
+    texts = texts_of(docs, marked.select(F.col("node").alias("_id")).distinct()).withColumnRenamed("_id", "node")
     deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    row = F.struct("node", "n_shingles", "label", "signature")
+    row = F.struct("node", "n_shingles", "label", "signature", "blob")
+    marked = marked.join(texts, "node")
     block = lambda df: df.groupBy("key", "band", deal.alias("deal")).agg(F.collect_list(row).alias("rows"))
     every = block(marked).select("key", "band", F.col("rows").alias("y"))
     rest = block(marked.filter("label <> main")).select("key", F.col("rows").alias("x"))
@@ -250,28 +258,41 @@ def apart_pairs(large, nodes, labels, rows, bands, percent):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        j, k = percent / 100, rows * bands
+        z, j, k = zstandard.ZstdDecompressor(), percent / 100, rows * bands
         least = k * (j - 5 * (j * (1 - j) / k) ** 0.5)
 
         def side(cells):
             v = cells.values
             sig = np.frombuffer(b"".join(v.field("signature").to_pylist()), "<u4").reshape(len(v), -1)
-            return [np.asarray(v.field(c)) for c in ("node", "n_shingles", "label")], sig
+            return [np.asarray(v.field(c)) for c in ("node", "n_shingles", "label")], sig, v.field("blob")
+
+        def sets(blobs, at):
+            at = np.unique(at)
+            flat, offsets = shingle_sets(pa.array([z.decompress(blobs[int(i)].as_py()).decode() for i in at], pa.string()))
+            return {int(i): flat[offsets[n] : offsets[n + 1]] for n, i in enumerate(at)}
 
         for batch in batches:
             for i in range(batch.num_rows):
-                (a, na, la), sa = side(batch.column("x")[i])
-                (b, nb, lb), sb = side(batch.column("y")[i])
+                (a, na, la), sa, ta = side(batch.column("x")[i])
+                (b, nb, lb), sb, tb = side(batch.column("y")[i])
                 same = np.zeros((len(a), len(b)), np.int16)
                 for c in range(k):
                     same += sa[:, c][:, None] == sb[:, c][None]
                 fits = np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * percent
                 x, y = np.nonzero((same >= least) & fits & (la[:, None] != lb[None]))
-                shared = (sa[x] == sb[y])[:, : rows * bands].reshape(len(x), bands, rows).all(2).argmax(1)
+                shared = (sa[x] == sb[y])[:, :k].reshape(len(x), bands, rows).all(2).argmax(1)
                 keep = shared == batch.column("band")[i].as_py()
-                x, y = a[x[keep]], b[y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                sx, sy, found = sets(ta, x), sets(tb, y), {}
+                for p, q in zip(x.tolist(), y.tolist()):
+                    two = (la[p], lb[q])
+                    if two not in found and similar(sx[p], sy[q], percent):
+                        found[two] = (a[p], b[q])
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["a", "b"])
 
     return rest.join(every, "key").select("band", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -316,9 +337,7 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     links = materialize(confirm(near, docs, percent).distinct(), "links")
     large = members.filter(F.col("size") > SMALL_BUCKET).select("node", "band", "key", "size")
     if large.limit(1).count():
-        apart = apart_pairs(large, nodes, connected(links), rows, bands, percent)
-        near = materialize(apart.distinct(), "pairs")
-        links = links.union(materialize(confirm(near, docs, percent).distinct(), "links"))
+        links = links.union(materialize(apart_links(large, nodes, connected(links), docs, rows, bands, percent), "links"))
     labels = connected(links)
     member = sets.filter("digest is not null").select("_id", "digest").join(nodes.select("digest", "node"), "digest")
     member = member.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
