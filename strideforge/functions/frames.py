@@ -8,7 +8,7 @@ INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 def _int(c):
-    return F.when(c.rlike(INTEGER), F.expr("try_cast(null as bigint)") if c is None else F.trim(c).try_cast("bigint"))
+    return F.when(c.rlike(INTEGER), F.trim(c).try_cast("bigint"))
 
 
 def checksum(*cols):
@@ -26,9 +26,12 @@ def parse_frames(lines):
     (a channel outside 0..4095), valid. Integers are plain decimals that fit 64 bits, blanks around them allowed.
     """
     v = F.regexp_replace(F.coalesce("value", F.lit("")), r"^\s+|\s+$", "")
-    rows = lines.withColumn("_v", v).withColumn("_f", F.split("_v", ","))
     names = ["seq", "ts_us", *CHANNELS, "_check"]
-    rows = rows.withColumns({n: _int(F.get("_f", F.lit(i + 1))) for i, n in enumerate(names)})
+    cells = [_int(F.get("_f", F.lit(i + 1))).alias(n) for i, n in enumerate(names)]
+    framed = ((F.size("_f") == 10) & (F.get("_f", F.lit(0)) == "INS")).alias("_framed")
+    rows = lines.withColumn("_v", v).withColumn("_f", F.split("_v", ","))
+    # the numbers leave a generator, so that a filter on status cannot pull the splitting and matching into itself
+    rows = rows.select(*lines.columns, F.substring("_v", 1, 1).alias("_v"), F.inline(F.array(F.struct(*cells, framed))))
     absent = F.greatest(*[F.col(n).isNull().cast("int") for n in names]) == 1
     outside = F.greatest(*[(~F.col(c).between(0, FULL_SCALE)).cast("int") for c in CHANNELS]) == 1
     total = F.try_add("seq", "ts_us")
@@ -36,8 +39,8 @@ def parse_frames(lines):
         total = F.try_add(total, F.col(c))
     status = (
         F.when(F.col("_v") == "", "empty")
-        .when(F.col("_v").startswith("#"), "status")
-        .when((F.size("_f") != 10) | (F.get("_f", F.lit(0)) != "INS") | absent, "malformed")
+        .when(F.col("_v") == "#", "status")
+        .when(~F.col("_framed") | absent, "malformed")
         .when(F.coalesce(F.pmod(total, F.lit(256)), F.lit(-1)) != F.col("_check"), "bad_checksum")
         .when(outside, "malformed")
         .otherwise("valid")
@@ -45,7 +48,7 @@ def parse_frames(lines):
     rows = rows.withColumn("status", status)
     good = F.col("status") == "valid"
     types = {"seq": "int", "ts_us": "bigint"} | dict.fromkeys(CHANNELS, "int")
-    return rows.withColumns({n: F.when(good, F.col(n)).try_cast(t) for n, t in types.items()}).drop("_v", "_f", "_check")
+    return rows.withColumns({n: F.when(good, F.col(n)).try_cast(t) for n, t in types.items()}).drop("_v", "_framed", "_check")
 
 
 def encode_frames(frames):

@@ -101,19 +101,23 @@ def stance_events(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MI
         .otherwise("stance")
     )
     runs = runs.withColumn("kind", kind).withColumn("live_end", F.least("end", F.col("start") + max_duration - 1))
-    merged = merge_close(runs.filter("kind = 'stance'").select(*by, "start", "end"), gap, by)
-    lasts = runs.groupBy(*by).agg(F.first("last").alias("last"))
-    ask = merged.join(lasts, by).withColumn("pos", F.greatest(F.col("end") + gap, F.col("end") + 1))
-    # the latest run that starts at or before pos, found in one ordered pass
-    points = ask.select(*by, "pos", F.lit(1).alias("ask"), "start", "end", "last", F.lit(None).cast("bigint").alias("live")).unionByName(
-        runs.select(*by, F.col("start").alias("pos"), F.lit(0).alias("ask"), "start", "end", "last", F.col("live_end").alias("live"))
-    )
-    found = points.withColumn("live", F.last("live", ignorenulls=True).over(upto(window(by, "pos", "ask")))).filter("ask = 1")
-    emit = F.when(F.col("live") >= F.col("pos"), F.col("live") + 1).otherwise(F.col("pos"))
-    stances = found.select(*by, F.lit("stance").alias("kind"), "start", "end", F.least(emit, "last").alias("emit_idx"))
-    end = F.when(F.col("kind") == "discarded_max", F.col("start") + max_duration).otherwise(F.col("end"))
-    others = runs.filter("kind <> 'stance'").select(*by, "kind", "start", end.alias("end"), F.lit(None).cast("bigint").alias("emit_idx"))
-    return stances.unionByName(others)
+    # merging, and for each merged stance the latest run that starts at or before the frame it waits for: ordered passes only
+    w = window(by, "start")
+    is_stance = F.coalesce(F.col("kind") == "stance", F.lit(False))
+    since = F.col("start") - F.last(F.when(is_stance, F.col("end")), ignorenulls=True).over(before(w)) - 1
+    runs = runs.withColumn("opens", is_stance & F.coalesce(since >= gap, F.lit(True)))
+    runs = runs.withColumn("island", F.sum(F.col("opens").cast("int")).over(upto(w)))
+    island = Window.partitionBy(*by, "island")
+    runs = runs.withColumns({"i_start": F.min(F.when(is_stance, F.col("start"))).over(island), "i_end": F.max(F.when(is_stance, F.col("end"))).over(island)})
+    shown = F.when(F.col("kind") == "discarded_max", F.col("start") + max_duration).otherwise(F.col("end"))
+    point = lambda pos, ask, kind, start, end, live: F.struct(pos.alias("pos"), F.lit(ask).alias("ask"), kind.alias("kind"), start.alias("start"), end.alias("end"), live.alias("live"))
+    run = point(F.col("start"), 0, F.col("kind"), F.col("start"), shown, F.col("live_end"))
+    ask = point(F.greatest(F.col("i_end") + gap, F.col("i_end") + 1), 1, F.lit("stance"), F.col("i_start"), F.col("i_end"), F.lit(None).cast("bigint"))
+    points = runs.select(*by, "last", F.explode(F.when(F.col("opens"), F.array(run, ask)).otherwise(F.array(run))).alias("p")).select(*by, "last", "p.*")
+    points = points.withColumn("live", F.last("live", ignorenulls=True).over(upto(window(by, "pos", "ask"))))
+    emit = F.least(F.when(F.col("live") >= F.col("pos"), F.col("live") + 1).otherwise(F.col("pos")), "last")
+    found = points.filter("ask = 1 or kind <> 'stance'")
+    return found.select(*by, "kind", "start", "end", F.when(F.col("ask") == 1, emit).alias("emit_idx"))
 
 
 def frames_in_stances(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MIN_DURATION, max_duration=MAX_DURATION, gap=GAP_MERGE, by=("session_id",)):
