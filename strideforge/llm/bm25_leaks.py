@@ -22,7 +22,7 @@ from strideforge.llm.common import slices, table
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be looked at, and shares of shingles to be a leak.
 RETRIEVE, OVERLAP, PART = 0.6, 0.8, 0.5
-WIDTH, BLOCK, GROUP_ITEMS = 5, 16, 20_000
+WIDTH, BLOCK, GROUP_ITEMS = 5, 8, 20_000
 
 
 def words_of(text):
@@ -56,21 +56,39 @@ class Index:
             impact = {w: idf[w] * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
             total = sum(impact.values())
             rows += [(self.vocabulary.setdefault(w, len(self.vocabulary)), k, x / total) for w, x in impact.items()]
-        n = len(self.items)
-        self.postings = [[] for _ in self.vocabulary]
-        self.blocks = np.zeros((len(self.vocabulary), max(1, -(-n // BLOCK))), np.float32)
-        for w, k, x in rows:
-            self.postings[w].append((k, x))
-            self.blocks[w, k // BLOCK] = max(self.blocks[w, k // BLOCK], x)
-
-    def retrieve(self, words, blocks, threshold=RETRIEVE):
-        """Items of the given blocks that score at least the threshold for the distinct words of a passage."""
-        score = {}
-        for w in words:
-            for k, x in self.postings[w]:
-                if k // BLOCK in blocks:
-                    score[k] = score.get(k, 0.0) + x
-        return [(k, s) for k, s in score.items() if s >= threshold]
+        n_blocks = max(1, -(-len(self.items) // BLOCK))
+        self.blocks = np.zeros((len(self.vocabulary), n_blocks), np.float32)
+        rows.sort()
+        words, owners, impacts = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, int),) * 3
+        np.maximum.at(self.blocks, (words, owners // BLOCK), impacts)
+        # postings of a block: its words in order, and their impacts on its items
+        self.postings = []
+        for b in range(n_blocks):
+            here = owners // BLOCK == b
+            own, place = np.unique(words[here], return_inverse=True)
+            table = np.zeros((len(own), BLOCK))
+            table[place, owners[here] % BLOCK] = impacts[here]
+            self.postings.append((own, table))
+
+    def retrieve(self, word, starts, ends, bound, threshold=RETRIEVE):
+        """(passage, item, score) of all items at or above the threshold, for passages word[start:end] of distinct words.
+
+        bound: for each passage and block the sum of the block's maxima; only where it reaches the threshold are the
+        block's postings read.
+        """
+        import numpy as np
+
+        found = []
+        for b in np.flatnonzero((bound >= threshold).any(0)):
+            own, table = self.postings[b]
+            alive = np.flatnonzero(bound[:, b] >= threshold - 1e-6)
+            n = ends[alive] - starts[alive]
+            first = np.cumsum(n) - n
+            w = word[np.repeat(starts[alive] - first, n) + np.arange(n.sum())]
+            at = np.minimum(np.searchsorted(own, w), len(own) - 1)
+            score = np.add.reduceat(np.where((own[at] == w)[:, None], table[at], 0), first, axis=0)
+            found += [(int(alive[i]), int(b) * BLOCK + int(k), float(score[i, k])) for i, k in zip(*np.nonzero(score >= threshold))]
+        return sorted(found)
 
 
 def _pass(index, overlap):
@@ -100,32 +118,31 @@ def _pass(index, overlap):
                 steps = np.diff(offsets) // half + 1
                 base = np.concatenate([[0], np.cumsum(steps + 1)])
                 at = base[row[where]] + step + 1
-                pairs = np.concatenate([at * len(ix.postings) + v[where], (at - 1) * len(ix.postings) + v[where]])
-                pairs = np.unique(pairs)
-                passage, word = np.divmod(pairs, len(ix.postings))
+                pairs = np.concatenate([at * len(ix.vocabulary) + v[where], (at - 1) * len(ix.vocabulary) + v[where]])
+                pairs.sort()
+                pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+                passage, word = np.divmod(pairs, len(ix.vocabulary))
                 starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
                 ends = np.append(starts[1:], len(passage))
                 for lo in range(0, len(starts), 20_000):
                     some = starts[lo : lo + 20_000]
                     last = ends[min(lo + 20_000, len(starts)) - 1]
                     bound = np.add.reduceat(ix.blocks[word[some[0] : last]], some - some[0], axis=0)
-                    for i in np.flatnonzero((bound >= RETRIEVE).any(1)):
-                        hit = ix.retrieve(word[some[i] : ends[lo + i]].tolist(), set(np.flatnonzero(bound[i] >= RETRIEVE - 1e-6).tolist()))
-                        if not hit:
-                            continue
-                        p = passage[some[i]]
-                        r = int(np.searchsorted(base, p, "right")) - 1
-                        a = offsets[r] + max(0, p - base[r] - 1) * half
-                        b = min(offsets[r + 1], offsets[r] + (p - base[r] + 1) * half)
-                        have = shingles([names[c] for c in codes[a:b]])
-                        for k, s in hit:
-                            # the exact form for items shorter than a shingle
-                            shares = []
-                            for t in ix.parts[k]:
-                                found = sum(g in have if len(g) == WIDTH else _within(g, [names[c] for c in codes[a:b]]) for g in t)
-                                shares.append(found / len(t) if t else 1.0)
-                            if shares[0] >= overlap and min(shares[1:]) >= PART:
-                                out.append((part.column("doc_id")[r].as_py(), ix.items[k][0], s, *shares))
+                    seen = None
+                    for i, k, score in ix.retrieve(word, some, ends[lo : lo + 20_000], bound):
+                        if i != seen:
+                            seen, p = i, passage[some[i]]
+                            r = int(np.searchsorted(base, p, "right")) - 1
+                            a = offsets[r] + max(0, p - base[r] - 1) * half
+                            b = min(offsets[r + 1], offsets[r] + (p - base[r] + 1) * half)
+                            text = [names[c] for c in codes[a:b]]
+                            have = shingles(text)
+                        shares = []
+                        for t in ix.parts[k]:  # an item shorter than a shingle is sought as it is
+                            hits = sum(g in have if len(g) == WIDTH else _within(g, text) for g in t)
+                            shares.append(hits / len(t) if t else 1.0)
+                        if shares[0] >= overlap and min(shares[1:]) >= PART:
+                            out.append((part.column("doc_id")[r].as_py(), ix.items[k][0], score, *shares))
                 if out:
                     types = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], NAMES)
