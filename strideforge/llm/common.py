@@ -107,6 +107,17 @@ def hashed(strings, seed=0):
     return np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in strings.to_pylist()), np.uint64, len(strings))
 
 
+def least_hashes(rows, h, n):
+    """Rows with the n smallest values of the 64-bit hash column h (about n of them or all, if there are fewer).
+
+    A first cut by the share of the hash range leaves about 2 n rows, so the sort gathers a bounded number from any input.
+    """
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.filter(F.col(h) < int((2 * n / total - 0.5) * 2**64))
+    return rows.orderBy(h, *[c for c in rows.columns if c != h]).limit(n)
+
+
 #: Ids up to this number (8 bytes each) are broadcast to pick rows; beyond it the rows are joined by a shuffle.
 MAX_BROADCAST = 200_000
 

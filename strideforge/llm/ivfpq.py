@@ -18,7 +18,7 @@ of others each by itself. Null ids take no part. Fewer candidates than k give fe
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import materialize, table
+from strideforge.llm.common import least_hashes, materialize, table
 
 MAX_TRAIN, PARTS, LISTS, PROBE, BLOCK_ROWS, KEEP, RERANK = 16_384, 16, 128, 0.75, 4096, 128, 256
 
@@ -71,7 +71,8 @@ def fit(vectors, lists=LISTS, parts=PARTS, max_train=MAX_TRAIN):
     """Coarse centroids and codebooks from a bounded sample, or None without vectors."""
     import numpy as np
 
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_train).select("embedding").toArrow().column("embedding")
+    sample = least_hashes(vectors.withColumn("_h", F.xxhash64("vec_id")), "_h", max_train)
+    rows = sample.select("embedding").toArrow().column("embedding")
     if not len(rows):
         return None
     x = np.concatenate([np.asarray(c.flatten()) for c in rows.chunks]).reshape(len(rows), -1)

@@ -14,7 +14,7 @@ scores; other columns pass through ``score``.
 
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import ascii_words, mix64, slices, table
+from strideforge.llm.common import ascii_words, least_hashes, mix64, slices, table
 
 BITS, MAX_ROWS, EPOCHS = 18, 8000, 3
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 0.02, 0.5
@@ -118,9 +118,9 @@ def train(docs, labels, label="quality", bits=BITS, max_rows=MAX_ROWS, epochs=EP
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max(label).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
+        .withColumn("_h", F.xxhash64("doc_id"))
     )
+    chosen = least_hashes(chosen, "_h", max_rows).drop("_h")
     # at most max_rows rows of two numbers: safe to broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))

@@ -17,9 +17,10 @@ into short stretches that are decoded on their own with the same result as the w
 Null and empty texts have no spans. Repeated rows are scanned alike; null ids stay null; other columns are ignored.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import ascii_words, slices, table
+from strideforge.llm.common import ascii_words, least_hashes, materialize, slices, table
 
 # Fixed patterns of the base kinds, in order.
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,6 +28,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 MAX_DOCS, EPOCHS, SIZE = 4000, 8, 1 << 14
+#: Training documents are picked from this many times their number, those with the smallest hashes of their text.
+LOOKED_AT = 8
 OUT, BEGIN, IN = 0, 1, 2
 
 
@@ -240,8 +243,11 @@ def train(docs, max_docs=MAX_DOCS, epochs=EPOCHS, side=12):
     import numpy as np
 
     text = F.coalesce("text", F.lit(""))
-    hit = text.rlike(ASSIGN.replace("(?ai)", "(?i)")) | text.rlike(ACCESS) | text.rlike(HEX)
-    rows = docs.select(text.alias("text"), hit.alias("hit"), F.xxhash64(text).alias("h")).filter("text <> ''")
+    ids = docs.select(F.xxhash64(text).alias("h")).filter(F.col("h") != F.xxhash64(F.lit("")))
+    looked = least_hashes(ids, "h", LOOKED_AT * max_docs).distinct()  # a bounded number of 8-byte hashes
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(looked), "h").dropDuplicates(["h"])
+    rows = rows.select("text", rows["text"].rlike(ASSIGN.replace("(?ai)", "(?i)")).alias("assign"), "h")
+    rows = rows.withColumn("hit", F.col("assign") | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX))
 
     def run(batches):
         import pyarrow as pa
@@ -273,8 +279,10 @@ def train(docs, max_docs=MAX_DOCS, epochs=EPOCHS, side=12):
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.list_(pa.string())), pa.array(gs, pa.list_(pa.int32())), pa.array(fs, pa.list_(pa.float32()))], ["w", "g", "f"])
 
     half = max_docs // 2
-    chosen = rows.filter("hit").orderBy("h", "text").limit(half).unionAll(rows.filter("not hit").orderBy("h", "text").limit(half))
-    got = chosen.select("text", "h").mapInArrow(run, "w array<string>, g array<int>, f array<float>").toArrow().to_pylist()
+    place = F.row_number().over(Window.partitionBy("hit").orderBy("h"))
+    rows = materialize(rows.select("text", "h", "hit"), "training-texts")
+    best = rows.select("h", "hit").withColumn("place", place).filter(F.col("place") <= half).select("h")  # bounded as well
+    got = rows.join(F.broadcast(best), "h").select("text", "h").mapInArrow(run, "w array<string>, g array<int>, f array<float>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["w"], r["g"]))
     return fit([(r["w"], r["g"], r["f"]) for r in got], epochs) if got else None
 
