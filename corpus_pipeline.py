@@ -10,8 +10,14 @@ from strideforge.llm import bm25_leaks, byte_bpe, line_dedup, minhash, quality_f
 from strideforge.llm.common import materialize, table, without
 
 
+def batches_of(spark, rows):
+    """Rows of an Arrow batch from here on: the stages share their executors' memory, and texts pass through Python whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def quality(spark, docs, sf_dir):
     """Documents that the quality classifier does not reject (score of 0.3 or more)."""
+    batches_of(spark, 1000)
     weights = quality_ftrl.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return quality_ftrl.score(docs, weights).filter(F.col("score") >= quality_ftrl.THRESHOLD).drop("score")
 
@@ -24,6 +30,7 @@ def lines(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8), that of the least doc_id."""
+    batches_of(spark, 2000)
     return minhash.one_of_each(docs)
 
 
@@ -35,6 +42,7 @@ def decontaminate(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """doc_id, ids, n_tokens and the digests of the ids and of the bytes they decode to."""
+    batches_of(spark, 10_000)  # larger blocks send fewer distinct words
     return byte_bpe.round_trip(docs, keep_ids=True)
 
 

@@ -84,6 +84,9 @@ def fit(rows, bits=BITS, epochs=EPOCHS):
     return w.astype(np.float32)
 
 
+#: Text bytes that a task turns into features at a time; a worker that waits for its next task keeps little memory then.
+SLICE = 1 << 20
+
 #: The value of a feature is its share of the words times this scale.
 SCALE = 4.0
 
@@ -96,7 +99,7 @@ def _counted(bits):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 f, offsets = features(part.column("text"), bits)
                 fs, vs = [], []
                 for a, b in zip(offsets[:-1], offsets[1:]):
@@ -150,7 +153,7 @@ def score(docs, weights, bits=BITS):
 
         w = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 f, offsets = features(part.column("text"), bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 n = np.diff(offsets)
