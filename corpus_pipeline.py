@@ -54,7 +54,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The trained classifier, the shingle graph and the BPE merges are not SQL; the tests hold run() against brute force.
+#: The trained classifier, the shingle graph and the BPE merges are not SQL; the tests hold the operators against brute force
+#: and the stages and run() against planted cases.
 ORACLE_SQL = None
 
 
