@@ -23,8 +23,8 @@ def quality(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Documents without the multi-line chunks that stand in an earlier place; n_chars follows the text."""
-    cleaned = line_dedup.remove_repeats(docs).drop("n_removed")
+    """Documents without the passages of lines that stand in an earlier place; n_chars follows the text."""
+    cleaned = line_dedup.remove_passages(docs).drop("n_removed")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

@@ -10,8 +10,15 @@ Counting is by partial aggregates, so a chunk that a third of all documents shar
 again only for documents with repeated hashes. Null text counts as empty; an empty text stays. A null doc_id is an id of
 its own, before all others. Rows with equal doc_id and text are one document: all of them get the same text. Other columns
 pass through.
+
+A chunk has to lie whole inside a shared passage, so passages of a few lines mostly give none. ``remove_passages``
+(``op1_passages``, and the pipeline) takes every pair of neighbouring lines that are not blank instead: a pair that stands in
+an earlier place too (the same bytes but for white space at the lines' ends, told by 128 bits of SHA-256) is repeated,
+overlapping repeated pairs form a run, and a run of at least ``min_chars`` characters is removed, so a passage goes from its
+first whole line to its last. Each line that goes stays in an earlier place.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.llm.common import NULL_ID, materialize, table
@@ -100,11 +107,70 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
+def repeated_runs(docs, min_chars=MIN_CHARS):
+    """Runs of lines of docs(_id, _th, text) to remove: _id, _th, start, end (line numbers, both removed)."""
+    lines = F.transform(F.split("text", SPLIT, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
+    lines = docs.select("_id", "_th", F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
+    rest = F.greatest(F.size("n") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("n", F.lit(1), rest), F.slice("n", F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    places = lines.select("_id", "_th", F.inline(pairs)).select(
+        "_id", "_th", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.length("a.u").alias("chars"), F.length("b.u").alias("last"),
+        F.xxhash64("a.u", "b.u").alias("hash"), F.substring(F.unhex(F.sha2(F.concat_ws("\n", "a.u", "b.u"), 256)), 1, 16).alias("bytes"),
+    )
+    places = materialize(places, "line-pairs")
+    twice = places.groupBy("hash").count().filter("count > 1").select("hash")
+    found = materialize(places.join(twice, "hash").drop("hash"), "line-pairs-found")
+    place = F.struct("_id", "_th", "i")
+    first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last_place")).filter("first <> last_place")
+    gone = found.join(first.select("bytes", "first"), "bytes").filter(place != F.col("first"))
+    gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
+    order = Window.partitionBy("_id", "_th").orderBy("i")
+    gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
+    gone = gone.withColumn("run", F.sum("new").over(order))
+    runs = gone.groupBy("_id", "_th", "run").agg(
+        F.min("i").alias("start"), F.max("j").alias("end"), (F.sum("chars") + F.max_by("last", "j")).alias("chars")
+    )
+    return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
+
+
+def remove_passages(docs, min_chars=MIN_CHARS):
+    """docs with every run of two or more lines that stand in an earlier place removed from text, and n_removed (lines)."""
+    other = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
+        *[F.col(f"`{c}`").alias(a) for c, a in other.items()],
+    )
+    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars)
+    per_doc = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    joined = rows.join(per_doc, ["_id", "_th"], "left")
+    lines = F.when(F.col("gone").isNotNull(), F.split("text", SPLIT, -1))
+    parts = joined.select("_id", "text", "gone", *other.values(), F.inline(F.array(F.struct(lines.alias("lines")))))
+    # what lies before, between and after the runs
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g.end + 1))
+    ends = F.concat(F.transform("gone", lambda g: g.start), F.array(F.size("lines")))
+    stay = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s.a < s.b)
+    stay = F.flatten(F.transform(stay, lambda s: F.sequence(s.a, s.b - 1)))
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "")
+    out = parts.select(
+        F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate("gone", F.lit(0), lambda s, g: s + g.end - g.start + 1)).alias("n_removed"),
+        *other.values(),
+    )
+    back = {c: F.col(a).alias(c) for c, a in other.items() if c != "n_removed"}
+    return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
+
+
 def op1_line_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op1_passages(spark, sf_dir):
+    return remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op1_passages": op1_passages}
 ORACLE_SQL = {
     "op1_line_dedup": f"""
 WITH lines AS (
