@@ -4,8 +4,9 @@ A page is read once as tags and texts. Each text belongs to a path of block elem
 out of the path). Per path the page's texts are aggregated: characters, punctuation marks, texts, characters inside links.
 Two ratios, characters per text and punctuation per text, are smoothed over the texts in page order with a Gaussian window,
 fused by their product and lowered by the share of link characters; paths whose fused mean reaches a share of the page's
-spread are content paths. The content node is the deepest element that holds most of the characters on content paths, or an
-article or main element around it; its blocks are the text, without parts that their element, role or class names as
+spread are content paths. The content node is the article or main element around the deepest
+element that holds most of the characters on content paths, or else the lowest element, no paragraph or part of one, that
+holds all of them; its blocks are the text, without parts that their element, role or class names as
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
@@ -34,6 +35,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SCOPE = frozenset("table td th article section div body html ul ol main aside nav header footer form blockquote".split())
+#: Elements that are one block of a text, or a part of a list or table: never the content node.
+PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup header li ul ol dl dt dd figure figcaption address summary table thead tbody tfoot tr".split())
 #: Words in class, id or role that name what is not the article.
 NOT_CONTENT = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside related recommended recommendations share sharing social widget comment comments comment-list disqus reply replies respond footer foot header masthead topbar toolbar login search skip legal copyright complementary contentinfo".split()
@@ -119,7 +122,7 @@ def smooth(x, width=2):
 
 
 def main_text(html, share=0.3, most=0.6):
-    """The article's text. share: of the mean fused ratio that a content path needs; most: of the content in the node."""
+    """The article's text. share: of the mean fused ratio that a content path needs; most: of the content in an article or main element's part."""
     import html as entities
     import re
 
@@ -147,7 +150,7 @@ def main_text(html, share=0.3, most=0.6):
     ratio = per(fused)
     weight = np.bincount(path, chars)
     content = ratio >= share * (ratio @ weight) / weight.sum()
-    # the deepest element with most of the content characters, then an article or main element around it
+    # an article or main element around the deepest element with most of the content characters, or what holds all of them
     inside, labels = {}, {}
     total = 0.0
     for n, p, c in zip(usable, path, chars):
@@ -161,7 +164,8 @@ def main_text(html, share=0.3, most=0.6):
     node = max(e for e, c in inside.items() if c >= most * total)
     chain = next(n[2] for n, p in zip(usable, path) if content[p] and node in n[2])
     around = [e for e in chain if e <= node and labels.get(e, "").split(".")[0] in ("article", "main")]
-    node = around[-1] if around else node
+    whole = (e for e, c in inside.items() if c >= total and labels[e].split(".")[0] not in PARAGRAPHS)
+    node = around[-1] if around else max(whole)
     out, at = [], None
     for n in nodes:
         if n[0] is None:
