@@ -10,11 +10,17 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark):
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a new local folder if the master is local.
+
+    On a cluster a folder of the driver's own machine would lose what the executors write, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -38,6 +44,13 @@ def keyed(docs, text="text"):
     )
 
 
+def fresh(df, name):
+    """The name, with marks behind it where df has a column of that name already."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,7 +136,9 @@ def least_hashes(rows, h, n):
 MAX_BROADCAST = 200_000
 
 
-def without(docs, ids):
-    """docs less the rows whose doc_id is among ids (distinct, written already)."""
-    few = ids.count() <= MAX_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def without(docs, found):
+    """docs less the rows whose doc_id (null included) and text are those of a row of found(_id, _th), distinct and written."""
+    few = found.count() <= MAX_BROADCAST
+    t = F.coalesce("text", F.lit(""))
+    here = (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_id")) & (F.xxhash64(t) == F.col("_th"))
+    return docs.join(F.broadcast(found) if few else found, here, "left_anti")

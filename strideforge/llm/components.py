@@ -10,7 +10,8 @@ def connected(links):
 
     Alternates the two star contractions until the edges stay the same, which takes a number of rounds that grows with
     the logarithm of the longest path. Every round is written to the shared folder; the driver sees two sums a round.
-    Loops and repeated edges are allowed; an empty table gives an empty one.
+    Loops and repeated edges are allowed; an empty table gives an empty one. Edges that form stars already, such as the labels of
+    an earlier call, take no further rounds.
     """
 
     def sums(e):

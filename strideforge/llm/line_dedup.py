@@ -71,7 +71,7 @@ def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
         .select("_id", "_th", "chunk", "hash")
     )
     places = materialize(places, "chunk-places")
-    twice = places.groupBy("hash").count().filter("count > 1").select("hash")
+    twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "chunks-twice")
     wanted = places.join(twice, "hash").groupBy("_id", "_th").agg(F.collect_set("chunk").alias("wanted"))
     found = _chunked(docs.join(wanted, ["_id", "_th"]), ["_id", "_th", "wanted"]).select(
         "_id", "_th", F.inline(F.transform("wanted", lambda i: F.struct(i.alias("chunk"), F.get("chunks", i).alias("bytes"))))
@@ -79,6 +79,8 @@ def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     found = materialize(found, "chunk-bytes")
     place = F.struct("_id", "_th", "chunk")
     first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    # written first: both sides of the join are then plain exchanges, of which Spark splits the tasks of a frequent chunk
+    first = materialize(first.select("bytes", "first"), "chunk-firsts")
     return found.join(first, "bytes").filter(place != F.col("first")).select("_id", "_th", "chunk").distinct()
 
 
@@ -118,11 +120,12 @@ def repeated_runs(docs, min_chars=MIN_CHARS):
         F.xxhash64("a.u", "b.u").alias("hash"), F.substring(F.unhex(F.sha2(F.concat_ws("\n", "a.u", "b.u"), 256)), 1, 16).alias("bytes"),
     )
     places = materialize(places, "line-pairs")
-    twice = places.groupBy("hash").count().filter("count > 1").select("hash")
+    twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "line-pairs-twice")
     found = materialize(places.join(twice, "hash").drop("hash"), "line-pairs-found")
     place = F.struct("_id", "_th", "i")
     first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last_place")).filter("first <> last_place")
-    gone = found.join(first.select("bytes", "first"), "bytes").filter(place != F.col("first"))
+    first = materialize(first.select("bytes", "first"), "line-pair-firsts")
+    gone = found.join(first, "bytes").filter(place != F.col("first"))
     gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
     order = Window.partitionBy("_id", "_th").orderBy("i")
     gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
@@ -133,8 +136,8 @@ def repeated_runs(docs, min_chars=MIN_CHARS):
     return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
 
 
-def remove_passages(docs, min_chars=MIN_CHARS):
-    """docs with every run of two or more lines that stand in an earlier place removed from text, and n_removed (lines)."""
+def remove_passages(docs, min_chars=MIN_CHARS, count="n_removed"):
+    """docs with every run of two or more lines that stand in an earlier place removed from text, and a column ``count`` (lines)."""
     other = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -155,11 +158,11 @@ def remove_passages(docs, min_chars=MIN_CHARS):
     out = parts.select(
         F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate("gone", F.lit(0), lambda s, g: s + g.end - g.start + 1)).alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate("gone", F.lit(0), lambda s, g: s + g.end - g.start + 1)).alias(count),
         *other.values(),
     )
-    back = {c: F.col(a).alias(c) for c, a in other.items() if c != "n_removed"}
-    return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
+    back = {c: F.col(a).alias(c) for c, a in other.items() if c != count}
+    return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != count], count)
 
 
 def op1_line_dedup(spark, sf_dir):

@@ -17,14 +17,14 @@ words: the whole sequence; no words: the empty set, linked with nothing). Docume
 A pair at the threshold is missed by all bands with probability (1 - 0.85**5)**28 < 1e-7; the signature test leaves at
 least five standard deviations. Shingles are compared by 64-bit hashes.
 
-Null text counts as empty. A null doc_id is reported back as null and never becomes another document's component id as
+Null text counts as empty; an empty table gives no rows; of ties in a bucket the least id is the pivot. A null doc_id is reported back as null and never becomes another document's component id as
 long as its component holds an id. Repeated rows are copies of each other. Extra columns are ignored by ``near_duplicates``.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import MAX_BROADCAST, ascii_words, hashed, lower_ascii, materialize, mix64, slices, table, without
+from strideforge.llm.common import MAX_BROADCAST, NULL_ID, ascii_words, hashed, keyed, lower_ascii, materialize, mix64, slices, table
 from strideforge.llm.components import connected
 
 ROWS, BANDS = 5, 28
@@ -251,9 +251,11 @@ def apart_links(large, nodes, labels, docs, rows, bands, percent):
     deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
     row = F.struct("node", "n_shingles", "label", "signature", "blob")
     marked = marked.join(texts, "node")
-    block = lambda df: df.groupBy("key", "band", deal.alias("deal")).agg(F.collect_list(row).alias("rows"))
-    every = block(marked).select("key", "band", F.col("rows").alias("y"))
-    rest = block(marked.filter("label <> main")).select("key", F.col("rows").alias("x"))
+    block = lambda df, *more: df.groupBy("key", "band", deal.alias("deal"), *more).agg(F.collect_list(row).alias("rows"))
+    every = block(marked).select("key", "deal", "band", F.col("rows").alias("y"))
+    # a block of members apart goes to every block of its bucket by the block's number, so no task holds a whole bucket
+    rest = block(marked.filter("label <> main").withColumn("n", F.ceil(F.col("size") / BLOCK)), "n")
+    rest = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("deal"), F.col("rows").alias("x"))
 
     def run(batches):
         import numpy as np
@@ -294,7 +296,7 @@ def apart_links(large, nodes, labels, docs, rows, bands, percent):
                         found[two] = (a[p], b[q])
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["a", "b"])
 
-    return rest.join(every, "key").select("band", "x", "y").mapInArrow(run, "a long, b long")
+    return rest.join(every, ["key", "deal"]).select("band", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
@@ -314,7 +316,8 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     # rows: one per class and band; a bucket's least member is its pivot
     spread = hashes.select("node", F.posexplode("bands").alias("band", "key"))
     counts = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-    members = materialize(spread.join(counts, "key"), "buckets")
+    # written first: both sides of the join are then plain exchanges, of which Spark splits the tasks of a large bucket
+    members = materialize(spread.join(materialize(counts, "bucket-sizes"), "key"), "buckets")
     small = (
         members.filter(F.col("size") <= SMALL_BUCKET)
         .groupBy("key")
@@ -334,14 +337,16 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
     star = members.filter((F.col("size") > SMALL_BUCKET) & (F.col("node") != F.col("pivot")))
     first = small.union(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
     near = materialize(close_enough(first, nodes, percent).distinct(), "pairs")
-    links = materialize(confirm(near, docs, percent).distinct(), "links")
+    labels = connected(confirm(near, docs, percent))
     large = members.filter(F.col("size") > SMALL_BUCKET).select("node", "band", "key", "size")
     if large.limit(1).count():
-        links = links.union(materialize(apart_links(large, nodes, connected(links), docs, rows, bands, percent), "links"))
-    labels = connected(links)
-    member = sets.filter("digest is not null").select("_id", "digest").join(nodes.select("digest", "node"), "digest")
-    member = member.join(labels, "node", "left").select("_id", "digest", F.coalesce("label", "node").alias("label"))
-    found = sets.join(member.distinct(), ["_id", "digest"], "left").withColumn("c", F.coalesce("label", "_id"))
+        late = materialize(apart_links(large, nodes, labels, docs, rows, bands, percent), "links")
+        if late.limit(1).count():  # the components so far are stars already
+            labels = connected(late.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    full, empty = sets.filter("digest is not null"), sets.filter("digest is null")
+    found = full.select("_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest").join(labels, "node", "left")
+    found = found.select("_id", "n_shingles", F.coalesce("label", "node").alias("c"))
+    found = found.union(empty.select("_id", "n_shingles", F.col("_id").alias("c")))
     as_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return found.select(
         as_id("_id").alias("doc_id"),
@@ -352,21 +357,35 @@ def near_duplicates(docs, percent=80, rows=ROWS, bands=BANDS):
 
 
 def one_of_each(docs, percent=80):
-    """docs less all but the least doc_id of each group of near duplicates, and one row for each doc_id (the least text hash).
+    """docs less all but one row of each group of near duplicates: the row of the least doc_id.
 
-    Rows with null ids are compared like others and stay only if no id is in their group.
+    Documents of equal doc_id and different texts are documents of their own, and so are those without an id: they go by a
+    number made of their id and text that lies above 2**62 (ids missing: above those), so a document of an ordinary id stays
+    before them. Of rows equal in id and text one stays. Texts without words are in no group and all stay, but for such repeated rows.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), percent)
-    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = without(docs, materialize(gone, "duplicates"))
-    if found.filter("doc_id is null").limit(1).count():
-        lone = found.filter("doc_id is null and component_id is null").limit(1).count()
-        kept = kept if lone else kept.filter("doc_id is not null")
-    twice = kept.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    if twice.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_place", F.row_number().over(order)).filter("_place = 1 or doc_id is null").drop("_place")
-    return kept
+    rows = keyed(docs)
+    seen = rows.groupBy("_id", "_th").agg(F.count("*").alias("n"))
+    twice = seen.groupBy("_id").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
+    twice = materialize(twice.filter((F.col("texts") > 1) | (F.col("n") > 1) | (F.col("_id") == NULL_ID)), "repeated-ids")
+    repeated = twice.count()
+    other = [F.col(f"`{c}`").alias(f"_in_{k}") for k, c in enumerate(docs.columns)]
+    t = F.coalesce("text", F.lit(""))
+    work = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), *other)
+    if repeated:
+        ids = twice.select("_id", (F.col("texts") > 1).alias("_again"))
+        work = work.join(F.broadcast(ids) if repeated <= MAX_BROADCAST else ids, "_id", "left")
+        own = F.shiftrightunsigned(F.xxhash64("_id", "_th"), 3)
+        lone = F.when(F.col("_id") == NULL_ID, own + (3 << 61)).when(F.col("_again"), own + (1 << 62))
+        work = work.withColumn("_id", F.coalesce(lone, "_id"))
+    text = f"_in_{docs.columns.index('text')}"
+    found = near_duplicates(work.select(F.col("_id").alias("doc_id"), F.col(text).alias("text")), percent)
+    gone = materialize(found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
+    few = gone.count() <= MAX_BROADCAST
+    kept = work.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    if repeated:
+        once = kept.filter("_again is null")
+        kept = once.unionByName(kept.filter("_again is not null").dropDuplicates(["_id"]))
+    return kept.select(*[F.col(f"_in_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op5_minhash(spark, sf_dir):

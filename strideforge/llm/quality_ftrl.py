@@ -7,9 +7,10 @@ bias alone. Labels, language, source and doc_id never enter a score.
 
 Training takes at most ``max_rows`` labelled rows (those with the smallest hash of doc_id among the rows that are not held
 out; the bound keeps the model fit apart from the corpus size) and passes over them ``epochs`` times with per-coordinate
-FTRL-proximal updates. Scoring covers every row and every word. Null text counts as empty. Null labels are not learnt from;
-of a doc_id with several labels the largest counts. Without any labelled row every score is 0.5. Repeated rows get equal
-scores; other columns pass through ``score``.
+FTRL-proximal updates. Scoring covers every row, every word and every letter, so a text of any length counts whole. Null text
+counts as empty. Null labels are not learnt from; of a doc_id with several labels the largest counts. Without any labelled row
+(or with empty tables) every score is 0.5. Repeated rows and ties get equal scores. An empty table of documents gives no rows.
+A null doc_id is held out. Other columns pass through ``score``, but for one of the result's name (score), which is replaced.
 """
 
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def held_out(doc_id):
 def _shape(word):
     """A word's shape: its classes of characters, each run once."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -65,22 +66,23 @@ def features(texts, bits):
     return f.astype(np.int64).reshape(-1), offsets * 4
 
 
-def fit(rows, bits=BITS, epochs=EPOCHS):
-    """Weights, bias last, from (label, features, values) rows."""
+def fit(y, f, v, offsets, bits=BITS, epochs=EPOCHS):
+    """Weights, bias last, from labels y and rows f[a:b] (features) and v[a:b] (values) between neighbouring offsets."""
     import numpy as np
 
     n = (1 << bits) + 1
     z, s, w = np.zeros(n), np.zeros(n), np.zeros(n)
     for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(rows)):
-            y, f, v = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(w[f] @ v, -30, 30)))
-            g = (p - y) * v
-            sigma = (np.sqrt(s[f] + g * g) - np.sqrt(s[f])) / ALPHA
-            z[f] += g - sigma * w[f]
-            s[f] += g * g
-            zf = z[f]
-            w[f] = np.where(np.abs(zf) <= L1, 0, (np.sign(zf) * L1 - zf) / ((BETA + np.sqrt(s[f])) / ALPHA + L2))
+        for i in np.random.default_rng(epoch).permutation(len(y)):
+            a, b = offsets[i], offsets[i + 1]
+            k, x = np.append(f[a:b], n - 1), np.append(v[a:b], 1.0)
+            p = 1 / (1 + np.exp(-np.clip(w[k] @ x, -30, 30)))
+            g = (p - y[i]) * x
+            sigma = (np.sqrt(s[k] + g * g) - np.sqrt(s[k])) / ALPHA
+            z[k] += g - sigma * w[k]
+            s[k] += g * g
+            zk = z[k]
+            w[k] = np.where(np.abs(zk) <= L1, 0, (np.sign(zk) * L1 - zk) / ((BETA + np.sqrt(s[k])) / ALPHA + L2))
     return w.astype(np.float32)
 
 
@@ -113,8 +115,33 @@ def _counted(bits):
     return run
 
 
+def _fitted(bits, epochs):
+    """mapInArrow over all (label, f, v) of the bounded sample in one task: one row with the weights, none without rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("label", pa.float64())]))])
+        if not rows.num_rows:
+            return
+        f, v = (rows.column(c).combine_chunks() for c in ("f", "v"))
+        y, offsets = np.asarray(rows.column("label").combine_chunks()), np.asarray(f.offsets).astype(np.int64)
+        sums = np.diff(np.concatenate([[0], np.cumsum(np.asarray(f.values), dtype=np.int64)])[offsets])
+        order = np.lexsort((y, sums, np.diff(offsets)))  # an order that does not depend on the tasks before
+        size = np.diff(offsets)[order]
+        at = np.repeat(offsets[:-1][order] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        w = fit(y[order], np.asarray(f.values)[at], np.asarray(v.values)[at], np.concatenate([[0], np.cumsum(size)]), bits, epochs)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
+
+    return run
+
+
 def train(docs, labels, label="quality", bits=BITS, max_rows=MAX_ROWS, epochs=EPOCHS):
-    """Weights learnt from docs(doc_id, text) and labels(doc_id, label), or None without labelled rows."""
+    """Weights learnt from docs(doc_id, text) and labels(doc_id, label), or None without labelled rows.
+
+    The features of the at most max_rows texts meet in one task, which returns the weights; the driver sees nothing else.
+    """
     import numpy as np
 
     chosen = (
@@ -127,24 +154,17 @@ def train(docs, labels, label="quality", bits=BITS, max_rows=MAX_ROWS, epochs=EP
     # at most max_rows rows of two numbers: safe to broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    found = texts.select("label", "text").mapInArrow(_counted(bits), "label double, f array<int>, v array<float>").toArrow()
-    if not found.num_rows:
-        return None
-    bias = np.array([1 << bits]), np.array([1.0])
-    rows = [
-        (y, np.concatenate([np.asarray(f.values, np.int64), bias[0]]), np.concatenate([np.asarray(v.values, np.float64), bias[1]]))
-        for y, f, v in zip(found.column("label").to_pylist(), found.column("f"), found.column("v"))
-    ]
-    rows.sort(key=lambda r: (len(r[1]), r[1].sum(), r[0]))
-    return fit(rows, bits, epochs)
-
-
-def score(docs, weights, bits=BITS):
-    """docs with a column score: probability of label 1 by the weights (at most ``2**bits + 1`` numbers, broadcast)."""
-    names = [c for c in docs.columns if c != "score"]
+    counted = texts.select("label", "text").mapInArrow(_counted(bits), "label double, f array<int>, v array<float>")
+    found = counted.repartition(1).mapInArrow(_fitted(bits, epochs), "weights binary").first()
+    return np.frombuffer(found["weights"], np.float32) if found else None
+
+
+def score(docs, weights, bits=BITS, name="score"):
+    """docs with a column ``name``: probability of label 1 by the weights (at most ``2**bits + 1`` numbers, broadcast)."""
+    names = [c for c in docs.columns if c != name]
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     if weights is None:
-        return kept.withColumn("score", F.lit(0.5))
+        return kept.withColumn(name, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -159,9 +179,9 @@ def score(docs, weights, bits=BITS):
                 n = np.diff(offsets)
                 x = (sums[offsets[1:]] - sums[offsets[:-1]]) * 4 * SCALE / np.maximum(n, 1) + w[-1]
                 p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], [*names, name])
 
-    return kept.mapInArrow(run, kept.limit(0).schema.add("score", "double"))
+    return kept.mapInArrow(run, kept.limit(0).schema.add(name, "double"))
 
 
 def op8_quality(spark, sf_dir):

@@ -149,6 +149,12 @@ def test_minhash_edges(spark):
     assert got == sorted(map(str, [(5, 1, 5, True), (5, 1, 5, True), (None, 1, 5, False), (9, 0, 9, True)]))
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.doc_id for r in minhash.one_of_each(df).orderBy("doc_id").collect()] == [5, 9]
+    # one id with two texts, one of which is a copy of another document; null ids without a copy; a clashing column
+    rows = [(1, "a b c", 1), (1, "d e f", 2), (2, "a b c", 3), (None, "g h", 4), (None, "g h", 5), (None, "d e f", 6), (3, None, 7), (3, "", 8)]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_id"]
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == [("1", "d e f"), ("2", "a b c"), ("3", ""), ("None", "g h")]
 
 
 def test_leaks_equal_brute_force(spark):
@@ -166,24 +172,62 @@ def test_leaks_equal_brute_force(spark):
             w[at:at] = part
         docs.append((i, " ".join(w)))
     docs += [(200, "so, Three WORD item!"), (201, None), (None, items[0][1]), (202, "")]
+    def share(part, words):
+        sets = bm25_leaks.shingles(part)
+        return sum(any(tuple(words[k : k + len(g)]) == g for k in range(len(words))) for g in sets) / len(sets) if sets else 1.0
+
     want = set()
     for d, t in docs:
         for i, x in items:
-            if d is None or i is None or not x:
+            if i is None or not bm25_leaks.words_of(x or ""):
+                continue
+            q, _, a = (bm25_leaks.words_of(p) for p in x.partition("\n"))
+            g, size = bm25_leaks.words_of(t or ""), bm25_leaks.window(len(q + a))
+            if not set(q + a) & set(g):
                 continue
-            s, g = bm25_leaks.shingles(bm25_leaks.words_of(x)), bm25_leaks.words_of(t or "")
-            have = bm25_leaks.shingles(g)
-            q, _, a = x.partition("\n")
-            share = lambda p: (lambda k: sum(y in have if len(y) == 5 else bm25_leaks._within(y, g) for y in k) / len(k) if k else 1.0)(bm25_leaks.shingles(bm25_leaks.words_of(p)))  # noqa: B023, E731
-            both = sum(y in have if len(y) == 5 else bm25_leaks._within(y, g) for y in s) / len(s)
-            if both >= 0.8 and share(q) >= 0.5 and share(a) >= 0.5:
-                want.add((d, i))
-    got = bm25_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 15
-    few = bm25_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), group_items=16)
-    assert {(r.doc_id, r.item_id) for r in few.collect()} == want
-    none = spark.createDataFrame([], "item_id long, text string")
-    assert bm25_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+            for at in range(max(1, len(g) - size + 1)):
+                w = g[at : at + size]
+                if len({*q, *a} & set(w)) >= 0.6 * len({*q, *a}) and share(q + a, w) >= 0.8 and share(q, w) >= 0.5 and share(a, w) >= 0.5:
+                    want.add((d, i))
+                    break
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda b, **k: {(r.doc_id, r.item_id) for r in bm25_leaks.leaks(docs, b, **k).collect()}
+    assert found(items) == want and len(want) > 15 and (None, 0) in want
+    # neither the size of the groups nor other items change what is found
+    assert found(items, group_items=16) == want
+    other = spark.createDataFrame([(1000 + i, " ".join(f"q{rnd.randrange(400)}" for _ in range(200))) for i in range(40)], "item_id long, text string")
+    assert {p for p in found(items.union(other)) if p[1] < 1000} == want
+    assert found(items.limit(0)) == set() and bm25_leaks.leaks(docs.limit(0), items).count() == 0
+
+
+def test_an_items_window_is_its_own(spark):
+    q, a = [f"q{i}" for i in range(20)], [f"a{i}" for i in range(12)]
+    apart = " ".join([*q, *(f"z{i}" for i in range(150)), *a])
+    docs = spark.createDataFrame([(1, apart), (2, "x " * 5000 + " ".join(q) + " y " + " ".join(a) + " x" * 5000)], "doc_id long, text string")
+    items = [(1, " ".join(q) + "\n" + " ".join(a)), (2, " ".join(f"u{i}" for i in range(200)))]
+    for some in (items[:1], items):
+        got = bm25_leaks.leaks(docs, spark.createDataFrame(some, "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(2, 1)]
+
+
+def test_wand_equals_every_score():
+    rnd = random.Random(3)
+    word = lambda: f"q{int(rnd.random() ** 2 * 300)}"
+    items = [(i, [word() for _ in range(rnd.randrange(1, 50))], [word() for _ in range(rnd.randrange(9))]) for i in range(150)]
+    words = {w for _, q, a in items for w in q + a}
+    ix = bm25_leaks.Index(items, {w: 0.1 + len(w) + int(w[1:]) % 7 for w in words}, 30)
+    for p in ix.sizes:
+        own = np.flatnonzero(p.end > p.start)
+        rows = [np.sort(np.array(rnd.sample(list(own), min(len(own), rnd.randrange(1, 90))))) for _ in range(300)]
+        flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+        got = {(i, k): s for i, k, s in p.search(flat, np.concatenate([[0], ends[:-1]]), ends)}
+        score = {}
+        for i, r in enumerate(rows):
+            for w in r:
+                for at in range(p.start[w], p.end[w]):
+                    score[i, int(p.item[at])] = score.get((i, int(p.item[at])), 0) + p.impact[at]
+        want = {k: s for k, s in score.items() if s >= 1 - 1e-9}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_quality_on_held_out_rows(spark):
