@@ -7,42 +7,36 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from pyspark.sql import functions as F
 
 from strideforge.llm import bm25_leaks, byte_bpe, line_dedup, minhash, quality_ftrl
-from strideforge.llm.common import materialize, table, without
-
-
-def batches_of(spark, rows):
-    """Rows of an Arrow batch from here on: the stages share their executors' memory, and texts pass through Python whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+from strideforge.llm.common import fresh, materialize, table, without
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality classifier does not reject (score of 0.3 or more)."""
-    batches_of(spark, 1000)
     weights = quality_ftrl.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality_ftrl.score(docs, weights).filter(F.col("score") >= quality_ftrl.THRESHOLD).drop("score")
+    name = fresh(docs, "score")
+    return quality_ftrl.score(docs, weights, name=name).filter(F.col(name) >= quality_ftrl.THRESHOLD).drop(name)
 
 
 def lines(spark, docs, sf_dir):
     """Documents without the passages of lines that stand in an earlier place; n_chars follows the text."""
-    cleaned = line_dedup.remove_passages(docs).drop("n_removed")
+    count = fresh(docs, "n_removed")
+    cleaned = line_dedup.remove_passages(docs, count=count).drop(count)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8), that of the least doc_id."""
-    batches_of(spark, 2000)
     return minhash.one_of_each(docs)
 
 
 def decontaminate(spark, docs, sf_dir):
     """Documents that hold no benchmark item."""
     found = bm25_leaks.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, materialize(found.select("doc_id").distinct(), "leaks"))
+    return without(docs, materialize(found.select("_id", "_th").distinct(), "leaks"))
 
 
 def tokens(spark, docs, sf_dir):
     """doc_id, ids, n_tokens and the digests of the ids and of the bytes they decode to."""
-    batches_of(spark, 10_000)  # larger blocks send fewer distinct words
     return byte_bpe.round_trip(docs, keep_ids=True)
 
 
