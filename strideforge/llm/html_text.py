@@ -1,31 +1,40 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once as tags and texts. Each text belongs to a path of block elements from the root (inline elements are left
-out of the path). Per path the page's texts are aggregated: characters, punctuation marks, texts, characters inside links.
-Two ratios, characters per text and punctuation per text, are smoothed over the texts in page order with a Gaussian window,
-fused by their product and lowered by the share of link characters; paths whose fused mean reaches a share of the page's
-spread are content paths. The content node is the article or main element around the deepest
-element that holds most of the characters on content paths, or else the lowest element, no paragraph or part of one, that
-holds all of them; its blocks are the text, without parts that their element, role or class names as
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+A page is read once as tags and texts. Texts between two block tags form a block, which belongs to the path of block elements
+from the root (inline elements are left out of the path). Per path the page's blocks are aggregated: characters, punctuation
+marks, blocks, characters inside links. Two ratios, characters per block and punctuation per block, are smoothed over the
+blocks in page order with a Gaussian window, fused by their product, lowered by the share of link characters and by a weight
+for elements whose class or id names another part of a page; paths whose fused mean reaches a share of the page's mean are
+content paths. The text is made of the blocks on content paths, and of the lesser blocks that belong to them: those beside them in
+an element that holds content blocks itself or in an article or main element, and headings above them. Where article and
+main elements hold most of the weighted content, only what is inside them counts.
+
+Never content are scripts, styles, forms, navigation, asides, footers, hidden elements and the roles that name such parts. A
+class or id counts only as a whole word (``comments``, ``cookie-notice``, ``related-posts``), as a weight: it can push a part
+under the threshold, but where all that a page holds is so named, it is still found.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
-order. Null html counts as empty; a page without text gives the empty string. Unclosed and misplaced tags are closed as HTML
-does for paragraphs and list items. Pages are rows of their own: repeated rows and null ids are read alike. Other columns
-are ignored. Work is linear in a page's length.
+order. Null html counts as empty; a page without text gives the empty string, an empty table no rows; of ties all paths are
+taken. Unclosed and misplaced tags are closed as HTML does for paragraphs and list items; a tag or comment that never ends
+swallows the rest of the page. Pages are rows of their own: repeated rows and null ids are read alike. Other columns are
+ignored. Pages of any length and depth are read whole, in time linear in the length.
 """
 
+import html as entities
+import re
+
 from pyspark.sql import functions as F
 
 from strideforge.llm.common import slices, table
 
-# Fixed sets of element names.
+# Fixed sets of element names and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-SKIP = frozenset("nav aside footer form button dialog menu head select fieldset".split())
+CUT = frozenset("nav aside footer form button dialog menu head select fieldset".split())
+CUT_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog menu menubar".split())
 #: Elements that end an open paragraph, and what each closes of its own kind.
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
@@ -34,83 +43,160 @@ CLOSES = {
 BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SCOPE = frozenset("table td th article section div body html ul ol main aside nav header footer form blockquote".split())
-#: Elements that are one block of a text, or a part of a list or table: never the content node.
-PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup header li ul ol dl dt dd figure figcaption address summary table thead tbody tfoot tr".split())
-#: Words in class, id or role that name what is not the article.
-NOT_CONTENT = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside related recommended recommendations share sharing social widget comment comments comment-list disqus reply replies respond footer foot header masthead topbar toolbar login search skip legal copyright complementary contentinfo".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are one block of a text, or a part of a list or table: what holds a content block is the element around them.
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote hgroup header li ul ol dl dt dd figure figcaption address summary table thead tbody tfoot tr td th".split())
+#: Words of a class or id that name what is not the article, and words that say nothing beside them.
+OTHER_PARTS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal newsletter subscribe signup paywall nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside related recommended recommendations share sharing social comment comments disqus reply replies respond footer masthead topbar toolbar login search legal copyright".split()
+)
+PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons container content footer form global header icon icons inner item items left link links list main message outer page panel post posts primary right section site text thread title top widget wrap wrapper".split()
 )
+#: The weight of an element that a class or id so names.
+LOW = 0.002
 PUNCTUATION = ".,;:!?"
+#: Share of the mean fused ratio that a content path needs, and of the content that makes article and main elements the page's text.
+SHARE, MOST = 0.3, 0.5
 
 
-def parse(html):
-    """Texts in page order: (path, block number, containers, text, in link, skipped).
+TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+COMMENT = re.compile(r"!--(?:-?>|.*?--!?>)", re.S)
+
 
-    containers: the chain of numbers of the open block elements, outermost first.
-    """
-    import re
+def named_otherwise(words):
+    """Whether one of the words of a class or id, as a whole, names another part of a page."""
+    for w in words:
+        parts = [x for x in re.split(r"[-_]+", w) if x]
+        if any(x in OTHER_PARTS for x in parts) and all(x in OTHER_PARTS or x in PLAIN for x in parts):
+            return True
+    return False
 
-    found, stack = [], [("#", 0, False)]
-    serial, block, at, links = 1, 0, 0, 0
-    token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+class Page:
+    """Elements and blocks of a page, in page order."""
+
+    def __init__(self):
+        #: By element: name, number of the parent, path, whether it is cut, weight.
+        self.name, self.parent, self.path, self.cut, self.weight = ["#"], [-1], [0], [False], [1.0]
+        #: By block: element, texts, characters, characters in links.
+        self.element, self.texts, self.chars, self.linked = [], [], [], []
+        self.paths = {}
+
+    def open(self, parent, name, attributes, inside):
+        own = {k.lower(): (a or b or c or "") for k, a, b, c in attributes}
+        roles = own.get("role", "").lower().split()
+        words = [w for key in ("class", "id") for w in own.get(key, "").lower().split()]
+        hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true"
+        style = own.get("style", "").lower().replace(" ", "")
+        hidden = hidden or "display:none" in style or "visibility:hidden" in style
+        top = not inside and (name == "header" or "banner" in roles)
+        cut = self.cut[parent] or name in CUT or hidden or top or any(r in CUT_ROLES for r in roles)
+        weight = self.weight[parent]
+        if name not in ("html", "body", "main") and (named_otherwise(words) or (not inside and not {"header", "site-header", "page-header"}.isdisjoint(words))):
+            weight = LOW
+        self.name.append(name)
+        self.parent.append(parent)
+        label = name + ("." + min(words) if words else "")
+        self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
+        self.cut.append(cut)
+        self.weight.append(weight)
+        return len(self.name) - 1
+
+
+def parse(html):
+    """The page's elements and blocks."""
+    page, stack, counts = Page(), [0], {}
+    at, block, articles, link = 0, None, 0, 0  # link: the depth of the stack where the open link began, 0: none
+
+    def pop():
+        nonlocal articles, link
+        name = page.name[stack.pop()]
+        counts[name] -= 1
+        articles -= name in ("article", "main")
+        if link > len(stack):
+            link = 0
 
     def text(s):
-        if s.isspace():
-            found.append((None, block, (), " ", False, False))
-        elif s:
-            found.append((tuple(x[0] for x in stack), block, tuple(x[1] for x in stack), s, links > 0, stack[-1][2]))
+        nonlocal block
+        if not s:
+            return
+        if block is None:
+            page.element.append(stack[-1])
+            page.texts.append([])
+            page.chars.append(0)
+            page.linked.append(0)
+            block = len(page.texts) - 1
+        page.texts[block].append(entities.unescape(s))
+        if not s.isspace():
+            page.chars[block] += len(s)
+            page.linked[block] += len(s) if link else 0
 
-    while True:
-        m = token.search(html, at)
-        if not m:
+    end = len(html)
+    while at < end:
+        start = html.find("<", at)
+        if start < 0:
             text(html[at:])
-            return found
-        text(html[at : m.start()])
-        at = m.end()
-        close, name, rest = m[1], (m[2] or "").lower(), m[3] or ""
-        if not name:
+            break
+        follow = html[start + 1 : start + 2]
+        if not (follow.isascii() and follow.isalpha()) and follow not in ("/", "!", "?"):
+            text(html[at : start + 1])  # a bare sign
+            at = start + 1
+            continue
+        text(html[at:start])
+        if html.startswith("!--", start + 1):
+            m = COMMENT.match(html, start + 1)
+            if not m:
+                break
+            at = m.end()
             continue
+        name_at = html[start + 2 : start + 3]
+        if follow in "!?" or (follow == "/" and not (name_at.isascii() and name_at.isalpha())):
+            at = html.find(">", start) + 1
+            if not at:
+                break
+            continue
+        m = TAG.match(html, start + 1)
+        if not m:
+            break  # a tag that never ends
+        at = m.end()
+        close, name, rest = m[1], m[2].lower(), m[3]
         if name in RAW and not close:
             if rest.endswith("/") and name in ("svg", "math"):
                 continue
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = _after_raw(html, name, at)
             continue
         if name == "a":
-            links = max(0, links - 1) if close else links + 1
+            link = 0 if close else len(stack)
         if name == "br":
-            found.append((None, block, (), " ", False, False))
+            text(" ")
         if name in INLINE or name in VOID:
             if name == "hr":
-                block += 1
+                block = None
             continue
-        block += 1
+        block = None
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0].split(".")[0] == name:
-                    del stack[k:]
-                    break
+            if counts.get(name):
+                while page.name[stack[-1]] != name:
+                    pop()
+                pop()
             continue
-        shut = CLOSES.get(name, {"p"} if name in BLOCKS else set())
-        while len(stack) > 1 and (top := stack[-1][0].split(".")[0]) in shut:
-            stack.pop()
+        shut = CLOSES.get(name, {"p"} if name in BLOCKS else ())
+        while len(stack) > 1 and (top := page.name[stack[-1]]) in shut:
+            pop()
             if top == name:
                 break
-        mark = re.findall(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", rest, re.I)
-        words = {w for x in mark for w in re.split(r"[\s\"'_:-]+", x.lower()) if w}
-        inside = any(x[0].split(".")[0] in ("article", "main") for x in stack)
-        skip = stack[-1][2] or name in SKIP or (name == "header" and not inside)
-        if name not in ("article", "main", "body", "html"):
-            own = words & {"article", "post", "entry", "content"} and words & {"header", "head", "masthead"}
-            skip = skip or bool(words & NOT_CONTENT and not own) or bool(re.search(r"\bhidden\b|display\s*:\s*none", rest, re.I))
-        elif name == "article" and words & {"comment", "comments", "reply", "related", "ad", "promo"}:
-            skip = True
-        label = name + ("." + min(words) if words else "")
-        stack.append((label, serial, skip))
-        serial += 1
-        if len(stack) > 400:  # deeper nesting adds nothing to the paths
-            stack.pop()
+        stack.append(page.open(stack[-1], name, ATTRIBUTE.findall(rest), articles > 0))
+        counts[name] = counts.get(name, 0) + 1
+        articles += name in ("article", "main")
+    return page
+
+
+def _after_raw(html, name, at):
+    """The place behind the end tag of an element whose content is no markup; the page's end where there is none."""
+    end = re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I).search(html, at)
+    return end.end() if end else len(html)
 
 
 def smooth(x, width=2):
@@ -121,64 +207,76 @@ def smooth(x, width=2):
     return np.convolve(x, k)[width : width + len(x)] / np.convolve(np.ones(len(x)), k)[width : width + len(x)]
 
 
-def main_text(html, share=0.3, most=0.6):
-    """The article's text. share: of the mean fused ratio that a content path needs; most: of the content in an article or main element's part."""
-    import html as entities
-    import re
+def fused_ratios(path, chars, marks, linked, weight):
+    """The fused ratio of each block's path: arrays by block in page order."""
+    import numpy as np
+
+    _, path = np.unique(path, return_inverse=True)
+    count = np.bincount(path)
+    per = lambda x: (np.bincount(path, x) / count)[path]
+    density, punctuation = smooth(per(chars)), smooth(per(marks))
+    fused = density * (0.2 + punctuation) * (1 - per(linked) / np.maximum(1, per(chars))) ** 2 * weight
+    return per(fused)
+
 
+def content_blocks(page, share=SHARE, most=MOST):
+    """Numbers of the blocks that make the text, in page order."""
     import numpy as np
 
-    nodes = parse(html)
-    texts = [n for n in nodes if n[0] is not None]
-    if not texts:
-        return ""
-    usable = [n for n in texts if not n[5]]
+    usable = [b for b, e in enumerate(page.element) if page.chars[b] and not page.cut[e]]
     if not usable:
-        return ""
-    paths = {}
-    rows = []
-    for n in usable:
-        s = n[3]
-        rows.append((paths.setdefault(n[0], len(paths)), len(s), sum(map(s.count, PUNCTUATION)), len(s) if n[4] else 0))
-    path, chars, marks, linked = np.array(rows, np.float64).T
-    path = path.astype(int)
-    count = np.bincount(path)
-    per = lambda x: np.bincount(path, x) / count
-    density = smooth(per(chars)[path])
-    punctuation = smooth(per(marks)[path])
-    fused = density * (0.2 + punctuation) * (1 - per(linked)[path] / np.maximum(1, per(chars)[path])) ** 2
-    ratio = per(fused)
-    weight = np.bincount(path, chars)
-    content = ratio >= share * (ratio @ weight) / weight.sum()
-    # an article or main element around the deepest element with most of the content characters, or what holds all of them
-    inside, labels = {}, {}
-    total = 0.0
-    for n, p, c in zip(usable, path, chars):
-        if content[p]:
-            total += c
-            for label, e in zip(n[0], n[2]):
-                inside[e] = inside.get(e, 0) + c
-                labels[e] = label
-    if not total:
-        return ""
-    node = max(e for e, c in inside.items() if c >= most * total)
-    chain = next(n[2] for n, p in zip(usable, path) if content[p] and node in n[2])
-    around = [e for e in chain if e <= node and labels.get(e, "").split(".")[0] in ("article", "main")]
-    whole = (e for e, c in inside.items() if c >= total and labels[e].split(".")[0] not in PARAGRAPHS)
-    node = around[-1] if around else max(whole)
-    out, at = [], None
-    for n in nodes:
-        if n[0] is None:
-            if out and at == n[1]:
-                out[-1] += " "
-            continue
-        if n[5] or node not in n[2]:
-            continue
-        if n[1] != at:
-            out.append("")
-            at = n[1]
-        out[-1] += n[3]
-    blocks = (re.sub(r"\s+", " ", entities.unescape(b)).strip() for b in out)
+        return []
+    elements = [page.element[b] for b in usable]
+    chars = np.array([page.chars[b] for b in usable], float)
+    marks = np.array([sum(t.count(c) for t in page.texts[b] for c in PUNCTUATION) for b in usable], float)
+    linked = np.array([page.linked[b] for b in usable], float)
+    weight = np.array([page.weight[e] for e in elements])
+    ratio = fused_ratios(np.array([page.path[e] for e in elements]), chars, marks, linked, weight)
+    content = ratio >= share * (ratio @ chars) / chars.sum()
+    # whether an element is inside an article or main element, and the innermost one
+    article = [0] * len(page.name)
+    for e in range(1, len(page.name)):
+        article[e] = e if page.name[e] in ("article", "main") else article[page.parent[e]]
+    inside = np.array([article[e] > 0 for e in elements])
+    heavy = (chars * weight)[content | inside]
+    if (chars * weight)[inside].sum() >= most * heavy.sum():
+        content = content & inside if (content & inside).any() else inside & (weight == weight[inside].max())
+    # elements with content below them: the last content block in each; and those that hold content blocks themselves
+    last, holds = [-1] * len(page.name), [False] * len(page.name)
+    for n in np.flatnonzero(content).tolist():
+        e = elements[n]
+        last[e] = n
+        while page.name[e] in PARAGRAPHS:
+            e = page.parent[e]
+        holds[e] = True
+    for e in range(len(page.name) - 1, 0, -1):
+        last[page.parent[e]] = max(last[page.parent[e]], last[e])
+    # the innermost element around each one, itself included, that has content
+    around = [0] * len(page.name)
+    for e in range(1, len(page.name)):
+        around[e] = e if last[e] >= 0 else around[page.parent[e]]
+    out = []
+    for n, (b, e) in enumerate(zip(usable, elements)):
+        near = around[e]
+        beside = near
+        while page.name[beside] in PARAGRAPHS:
+            beside = page.parent[beside]
+        own = page.weight[e] == page.weight[near]
+        if content[n]:
+            out.append(b)
+        elif own and article[near] and last[article[near]] >= 0:
+            out.append(b)
+        elif own and holds[beside] and linked[n] <= 0.5 * chars[n]:
+            out.append(b)
+        elif own and page.name[e] in HEADINGS and last[near] > n and linked[n] <= 0.5 * chars[n]:
+            out.append(b)
+    return out
+
+
+def main_text(html, share=SHARE, most=MOST):
+    """The article's text."""
+    page = parse(html)
+    blocks = (" ".join("".join(page.texts[b]).split()) for b in content_blocks(page, share, most))
     return " ".join(b for b in blocks if b)
 
 
