@@ -4,20 +4,25 @@ Base patterns (each leftmost and non-overlapping, by kind): assign, access, hex,
 them. They always stay.
 
 The field labels the white-space separated tokens of a text as outside, begin or inside of a secret. Its features are the
-token's shape (character classes with run lengths, length, letter variety), the shapes of its neighbours, the neighbouring
-words themselves, and features of the whole text (share of digits and of long tokens). The weights are trained here by
-gradient steps on the conditional likelihood (forward and backward sums), on windows around base matches and windows of
-plain text from at most ``max_docs`` documents; the labels of the windows are the tokens that a base match touches. Spans that the decoded labels
-add, and that no base span overlaps, have the kind "crf".
+token's shape (runs of character classes), its core (the longest run of letters, digits and the marks of encodings: length,
+mix and changes of classes, variety of letters), its marks (assignment, quotes, address with a user), the shapes of its
+neighbours, the neighbouring words themselves, and features of the whole text (share of digits and of long tokens). No labels
+exist, so the weights are trained here (gradient steps on the conditional likelihood, by forward and backward sums) on windows
+of at most ``max_docs`` documents of the corpus: windows around base matches; windows of plain text; and windows of plain text
+into which ``examples`` puts made-up secrets of many forms, most of which no base pattern finds, or harmless look-alikes. Spans
+that the decoded labels add, and that no base span overlaps, have the kind "crf"; quotes, brackets and commas around them are left out.
 
 Every token of every text is scored. Viterbi runs where it can matter: a token whose outside score exceeds its other scores
 by more than the largest possible sum of transition differences is outside in every best path, so such tokens split a text
 into short stretches that are decoded on their own with the same result as the whole chain.
 
-Null and empty texts have no spans. Repeated rows are scanned alike; null ids stay null; other columns are ignored.
+Null and empty texts have no spans, texts of any length are scanned whole, and so are words. Repeated rows are scanned alike;
+null ids stay null; of labels with equal scores the earlier of outside, begin, inside is taken. An empty table gives no rows and
+trains no field. Other columns are ignored.
 """
 
-from pyspark.sql import Window
+import re
+
 from pyspark.sql import functions as F
 
 from strideforge.llm.common import ascii_words, least_hashes, materialize, slices, table
@@ -27,7 +32,7 @@ ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
-MAX_DOCS, EPOCHS, SIZE = 4000, 8, 1 << 14
+MAX_DOCS, EPOCHS, SIZE = 4000, 8, 1 << 15
 #: Training documents are picked from this many times their number, those with the smallest hashes of their text.
 LOOKED_AT = 8
 OUT, BEGIN, IN = 0, 1, 2
@@ -38,8 +43,6 @@ def base_spans(text):
 
     A run of the access or hex letters that is too short can hold no longer one, so their least lengths stand in the patterns.
     """
-    import re
-
     found = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in re.finditer(ACCESS, text)]
@@ -47,17 +50,65 @@ def base_spans(text):
     return sorted(found)
 
 
+class _Classes(dict):
+    """Character classes for str.translate: capitals, other letters, digits, some marks as they are, all else."""
+
+    def __missing__(self, code):
+        c = chr(code)
+        self[code] = k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c in "=:\"'_-/+.@" else "*"
+        return k
+
+
+CLASSES = _Classes()
+#: Words of one make up to this many characters have a shape of their own; what tells longer ones apart is their core.
+SHORT = 12
+
+
+# Compiled once: every distinct word goes through some of them.
+RUNS, CORE, PARTS = re.compile(r"(.)\1+"), re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[A-Z]+|[a-z]+|[0-9]+")
+ASSIGNED = re.compile(r"[A-Za-z_-]{2,}[\"']?[=:][\"']?(?!/)([^\s\"',;]{6,})")
+WITH_USER, LONG_PART = re.compile(r"://[^/@:]*:[^/@]+@"), re.compile(r"[A-Za-z0-9_-]{10,}")
+KINDS_OF = [(k, re.compile(p)) for k, p in (("A", "[A-Z]"), ("a", "[a-z]"), ("0", "[0-9]"), ("+", "[+/]"), ("_", "[_-]"))]
+OTHER = re.compile(r"[^A-Za-z0-9]")
+
+
 def shape(word):
-    """Number of a word's shape: classes with run lengths (1, 2, 3 and more), size class and whether it mixes many letters."""
-    out, run = [], 0
-    for c in word[:80]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c in "=:\"'_-/+." else "*"
-        if out and out[-1] == k:
-            run += 1
-            continue
-        out.append(k)
-    kinds = "".join(out)[:8] if len(out) <= 8 else f"{'0' in out}{'A' in out}{len(out) // 8}"
-    return f"{kinds}|{min(6, len(word).bit_length())}|{len(set(word)) > 9}"
+    """A word's shape: its character classes, each run once, or a digest of many runs; and its size."""
+    runs = RUNS.sub(r"\1", word.translate(CLASSES))
+    kinds = runs if len(runs) <= SHORT else f"{''.join(sorted(set(runs)))}{len(runs).bit_length()}"
+    return f"{kinds}|{min(6, len(word).bit_length())}"
+
+
+def core(word):
+    """What the longest run of letters, digits and +/_- of a word looks like: size, classes, changes of class, variety."""
+    best = max(CORE.findall(word), key=len, default="")
+    n = len(best)
+    if n < 6:
+        return f"short{n}"
+    parts = PARTS.findall(best)
+    plain = sum(map(len, parts))
+    classes = "".join(k for k, p in KINDS_OF if p.search(best))
+    changes = min(5, 8 * len(parts) // max(1, plain))
+    variety = min(4, 5 * len(set(best)) // max(1, min(plain, 36)))
+    return f"{classes}|{n.bit_length()}|{n >= 20}|{changes}|{variety}"
+
+
+def marks(word):
+    """Assignment, quotes, an address with a user and a password, dots between long parts."""
+    value = ASSIGNED.search(word)
+    mixed = bool(value) and sum(bool(p.search(value[1])) for p in (*(p for _, p in KINDS_OF[:3]), OTHER))
+    user = bool(WITH_USER.search(word))
+    dotted = len(LONG_PART.findall(word)) if "." in word else 0
+    return f"{mixed}|{user}|{min(3, dotted)}|{word[:1] in chr(34) + chr(39)}|{word[-1:] in ':='}|{'@' in word and not user}|{'//' in word}"
+
+
+def looks(word):
+    """Shape, core and marks of a word. A word of letters with few changes of case has the same core and marks as all of its size."""
+    bare = word.strip(".,;:!?()\"'")
+    s = shape(word)
+    if bare.isalpha() and s.index("|") <= 5:
+        return s, f"word{min(6, len(bare).bit_length())}", word[-1:] if word[-1:] in ":=" else ""
+    return s, core(word), marks(word)
 
 
 #: Distinct words whose features a task remembers.
@@ -65,24 +116,28 @@ MEMO = 400_000
 
 
 def token_features(words, memo=None):
-    """Rows for distinct words: three numbers of the shape, two of the word as a neighbour, has a digit, is long."""
+    """Rows for distinct words: shape, shape after and before a token, core, marks, word after and before it; has a digit, is long."""
     import numpy as np
     import xxhash
 
     memo = {} if memo is None else memo
     if len(memo) > MEMO:
         memo.clear()
-    by_shape = {}
-    number = xxhash.xxh3_64_intdigest
+    known = {}
+    number = lambda text, seed: known.get((text, seed)) or known.setdefault((text, seed), xxhash.xxh3_64_intdigest(text, seed) % SIZE)
     for w in words:
         if w not in memo:
-            s = shape(w)
-            if s not in by_shape:
-                by_shape[s] = tuple(number(s, seed) % SIZE for seed in (1, 2, 3))
-            x = w.lower().strip("\"',;")[:40]
-            h = number(x, 4)
-            memo[w] = (*by_shape[s], h % SIZE, (h >> 32) % SIZE, "0" in s.split("|")[0] or any(map(str.isdigit, w)), len(w) > 20)
-    return np.array([memo[w] for w in words], np.int64).reshape(-1, 7)
+            s, c, m = looks(w)
+            h = xxhash.xxh3_64_intdigest(w.lower().strip("\"',;"), 4)
+            memo[w] = (
+                number(s, 1), number(s, 2), number(s, 3), number(c, 5), number(m, 6), h % SIZE, (h >> 32) % SIZE,
+                any(map(str.isdigit, w)), len(w) > 20,
+            )
+    return np.array([memo[w] for w in words], np.int64).reshape(-1, 9)
+
+
+#: Where each feature of a token is looked up: by places away, column.
+VIEWS = ((0, 0), (0, 3), (0, 4), (-1, 2), (-1, 5), (1, 1), (1, 6))
 
 
 def emissions(codes, offsets, words, w, w_file, memo=None):
@@ -90,17 +145,16 @@ def emissions(codes, offsets, words, w, w_file, memo=None):
     import numpy as np
 
     f = token_features(words, memo)
-    here, after_shape, before_shape, before_word, after_word = (w[f[:, j]] for j in range(5))
-    e = here[codes]
+    at = lambda place: sum(w[f[:, column]] for p, column in VIEWS if p == place)
+    e = at(0)[codes]
     n = np.diff(offsets)
     first, last = offsets[:-1][n > 0], offsets[1:][n > 0] - 1
-    left = (before_shape + before_word)[codes]
-    right = (after_shape + after_word)[codes]
+    left, right = at(-1)[codes], at(1)[codes]
     e[1:] += left[:-1]
     e[:-1] += right[1:]
     e[first[1:]] -= left[first[1:] - 1]
     e[last[:-1]] -= right[last[:-1] + 1]
-    return e + np.repeat(file_features(codes, offsets, f[:, 5:]) @ w_file, n, axis=0)
+    return e + np.repeat(file_features(codes, offsets, f[:, 7:]) @ w_file, n, axis=0)
 
 
 def file_features(codes, offsets, marks):
@@ -191,14 +245,12 @@ def fit(windows, epochs=EPOCHS, rate=0.5, batch=32):
     w, w_file, t = np.zeros((SIZE, 3)), np.zeros((4, 3)), np.zeros((3, 3))
     sw, sf, st = np.full_like(w, 1e-2), np.full_like(w_file, 1e-2), np.full_like(t, 1e-2)
     n, length, memo = len(windows), max(len(x[0]) for x in windows), {}
-    feats, gold, real = np.zeros((n, length, 5), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+    feats, gold, real = np.zeros((n, length, 7), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
     for i, (words, labels, _) in enumerate(windows):
-        feats[i, : len(words)] = token_features(words, memo)[:, :5]
+        feats[i, : len(words)] = token_features(words, memo)[:, :7]
         gold[i, : len(words)] = labels
         real[i, : len(words)] = True
     files = np.array([x[2] for x in windows], np.float64)
-    # columns: own shape; shape and word of the token before; shape and word of the token after
-    views = ((0, 0), (-1, 2), (-1, 3), (1, 1), (1, 4))
     for epoch in range(epochs):
         order = np.random.default_rng(epoch).permutation(n)
         for at in range(0, n, batch):
@@ -206,7 +258,7 @@ def fit(windows, epochs=EPOCHS, rate=0.5, batch=32):
             x, m, file = feats[some], real[some], files[some]
             e = np.repeat((file @ w_file)[:, None], length, 1)
             rows, spots = [], []
-            for shift, column in views:
+            for shift, column in VIEWS:
                 here = m & np.roll(m, -shift, 1)
                 here[:, -1 if shift > 0 else 0] &= shift == 0
                 value = np.roll(x[:, :, column], -shift, 1)
@@ -229,19 +281,95 @@ def fit(windows, epochs=EPOCHS, rate=0.5, batch=32):
 
 def token_places(text):
     """Starts and ends of the tokens of a text, as the words of ``ascii_words``."""
-    import re
-
     return [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
 
 
-def train(docs, max_docs=MAX_DOCS, epochs=EPOCHS, side=12):
-    """Weights from windows of at most max_docs documents with base matches and as many without, or None without any text.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+CUES = "key auth credential credentials pass pwd passphrase pin bearer access private signing login session client webhook encryption master".split()
+
+
+def examples(rng, plain):
+    """Tokens and labels of a made-up secret, or of a harmless look-alike (all outside). plain: words to build it with.
 
-    The documents are those with the smallest hashes of their text. A window reaches ``side`` tokens to both sides of a base
-    match, or of a place in a plain text.
+    Secrets: random strings of many alphabets and lengths, bare, quoted, behind a prefix, in dotted parts, in addresses, and
+    behind cues in the ways that texts and settings write them. Look-alikes: addresses, dates, versions, paths, names, settings.
     """
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    any_word = lambda: re.sub(r"[^A-Za-z]", "", rng.choice(plain)) or "name"
+    if rng.random() < 0.5:
+        w, v, u = any_word(), any_word(), any_word()
+        number = str(rng.randrange(10 ** rng.randrange(1, 12)))
+        made = rng.choice([
+            f"https://{w}.example/{v}/{number}.html", f"http://www.{w}.org/{v}-{u}?id={number}", f"{w}.{v}@{u}.example", f"{w}@{v}.org,", f"20{run(DIGITS, 2)}-0{run('123456789', 1)}-1{run(DIGITS, 1)}T1{run(DIGITS, 1)}:2{run(DIGITS, 1)}:00Z",
+            f"v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(30)}-{w}", f"/usr/{w}/{v}/{u}.txt", f"{w}_{v}_{u}", f"{w}-{v}-{u}-{w}", f"{w}{v.title()}{u.title()}", f"{w}={v}", f"{w}: {v}", f'"{w}": "{v}"', f"{w}: {number}", f"{w}={number}",
+            f"{w.upper()}_{v.upper()}", f"+{run(DIGITS, 2)} {run(DIGITS, 3)} {run(DIGITS, 4)}", f"{run(DIGITS, 4)} {run(DIGITS, 4)} {run(DIGITS, 4)} {run(DIGITS, 4)}", f"{run(UPPER, 2)}-{run(DIGITS, 4)}", f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}:{number[:4]}",
+            f"{run(LOWER + DIGITS, 7)}", f"{w}({v}, {u})", "-" * rng.randrange(3, 40), f"{(w + v + u) * 2}", f"{w}!!!{v}***{u}###", f"{rng.choice(CUES)} {w} {v}", f"the {rng.choice(CUES)} of {w}", f"{w}.{v}.{u}.{w}", f"postgres://{w}.{v}:5432/{u}",
+        ])
+        tokens = made.split()
+        return tokens, [OUT] * len(tokens)
+    letters = rng.choice([LOWER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "_-", UPPER + DIGITS, "ABCDEF" + DIGITS])
+    cue, way = rng.choice(CUES), rng.random()
+    prefix = run(LOWER, rng.randrange(2, 5)) + rng.choice("_-") if rng.random() < 0.3 else ""
+    value = prefix + run(letters, rng.randrange(20, 65)) + rng.choice(["", "", "", "="])
+    if way < 0.2:
+        before, made, after = [], value, []
+    elif way < 0.35:
+        before, made, after = [], ".".join(run(LOWER + UPPER + DIGITS + "_-", rng.randrange(15, 60)) for _ in range(3)), []
+    elif way < 0.55:
+        secret = run(LOWER + UPPER + DIGITS + "!$%&*#", rng.randrange(6, 20))
+        before, made, after = [], f"{rng.choice(['mysql', 'amqp', 'redis', 'ftp', 'https', 'mongodb'])}://{any_word()}:{secret}@{any_word()}.example:{rng.randrange(9999)}/{any_word()}", []
+    else:
+        if rng.random() < 0.4:
+            value = run(LOWER + UPPER + DIGITS + "!$%&*#", rng.randrange(8, 20))
+        mark = rng.choice(["", "'", '"'])
+        value, name = f"{mark}{value}{mark}", rng.choice([cue, cue.upper(), f"{any_word()}_{cue}", f"{any_word()}-{cue}", f"{any_word().upper()}_{cue.upper()}"])
+        before, made, after = rng.choice([([name, "="], value, []), ([f"{name}:"], value, []), ([f'"{name}":'], value + ",", []), ([], f"{name}={value}", []), ([name, "is"], value, []), ([f"--{name}"], value, []), (["Authorization:", "Bearer"], value, []), ([name], value, [])])
+    return [*before, made, *after], [OUT] * len(before) + [BEGIN] + [OUT] * len(after)
+
+
+#: Windows that one document of the sample gives at most, by base matches and by made-up examples.
+WINDOWS, MADE = 20, 3
+
+
+def training_windows(text, seed, side):
+    """Windows (words, labels, file features) of one text."""
+    import random
+
     import numpy as np
 
+    places = token_places(text)
+    if not places:
+        return []
+    words, rng = [text[a:b] for a, b in places], random.Random(seed)
+    file = file_features(np.arange(len(words)), np.array([0, len(words)]), token_features(words)[:, 7:])[0].tolist()
+    gold, touched = [OUT] * len(words), []
+    ends = np.array([b for _, b in places])
+    for a, _, b in base_spans(text):
+        first = i = int(np.searchsorted(ends, a, "right"))
+        while i < len(places) and places[i][0] < b:
+            if gold[i] == OUT:
+                gold[i] = BEGIN if i == first else IN
+            touched.append(i)
+            i += 1
+    found = []
+    for i in touched[:WINDOWS] or [rng.randrange(len(words)) for _ in range(2)]:
+        found.append((words[max(0, i - side) : i + side + 1], gold[max(0, i - side) : i + side + 1], file))
+    for _ in range(MADE):
+        i = rng.randrange(len(words) + 1)
+        tokens, labels = examples(rng, words)
+        a, b = max(0, i - side), i + side
+        found.append(([*words[a:i], *tokens, *words[i:b]], [*gold[a:i], *labels, *gold[i:b]], file))
+    return found
+
+
+def train(docs, max_docs=MAX_DOCS, epochs=EPOCHS, side=8):
+    """Weights from windows of at most max_docs documents, up to half of them with base matches, or None without any text.
+
+    The documents are those with the smallest hashes of their text among the first ``LOOKED_AT * max_docs`` of them; a window
+    reaches ``side`` tokens to both sides. The windows meet in one task, which returns the weights.
+    """
+    import pickle
+
     text = F.coalesce("text", F.lit(""))
     ids = docs.select(F.xxhash64(text).alias("h")).filter(F.col("h") != F.xxhash64(F.lit("")))
     looked = least_hashes(ids, "h", LOOKED_AT * max_docs).distinct()  # a bounded number of 8-byte hashes
@@ -253,38 +381,32 @@ def train(docs, max_docs=MAX_DOCS, epochs=EPOCHS, side=12):
         import pyarrow as pa
 
         for batch in batches:
-            ws, gs, fs = [], [], []
-            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
-                places = token_places(text)
-                if not places:
-                    continue
-                words = [text[a:b] for a, b in places]
-                file = file_features(np.arange(len(words)), np.array([0, len(words)]), token_features(words)[:, 5:])[0].tolist()
-                gold, touched = [OUT] * len(words), []
-                ends = np.array([b for _, b in places])
-                for a, _, b in base_spans(text):
-                    i = int(np.searchsorted(ends, a, "right"))
-                    first = i
-                    while i < len(places) and places[i][0] < b:
-                        if gold[i] == OUT:
-                            gold[i] = BEGIN if i == first else IN
-                        touched.append(i)
-                        i += 1
-                starts = touched[:20] or [abs(h) % len(words)]
-                for i in starts:
-                    a, b = max(0, i - side), i + side + 1
-                    ws.append(words[a:b])
-                    gs.append(gold[a:b])
-                    fs.append(file)
+            found = [w for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()) for w in training_windows(text, h, side)]
+            ws, gs, fs = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.list_(pa.string())), pa.array(gs, pa.list_(pa.int32())), pa.array(fs, pa.list_(pa.float32()))], ["w", "g", "f"])
 
-    half = max_docs // 2
-    place = F.row_number().over(Window.partitionBy("hit").orderBy("h"))
+    def fitted(batches):
+        import pyarrow as pa
+
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["w"], r["g"]))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(r["w"], r["g"], r["f"]) for r in got], epochs))], pa.binary())], ["weights"])
+
     rows = materialize(rows.select("text", "h", "hit"), "training-texts")
-    best = rows.select("h", "hit").withColumn("place", place).filter(F.col("place") <= half).select("h")  # bounded as well
-    got = rows.join(F.broadcast(best), "h").select("text", "h").mapInArrow(run, "w array<string>, g array<int>, f array<float>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["w"], r["g"]))
-    return fit([(r["w"], r["g"], r["f"]) for r in got], epochs) if got else None
+    best = [least_hashes(rows.filter(F.col("hit") == hit).select("h"), "h", max_docs // 2) for hit in (True, False)]  # bounded as well
+    windows = rows.join(F.broadcast(best[0].union(best[1])), "h").select("text", "h").mapInArrow(run, "w array<string>, g array<int>, f array<float>")
+    got = windows.repartition(1).mapInArrow(fitted, "weights binary").first()
+    return pickle.loads(got["weights"]) if got else None
+
+
+def trim(text, a, b):
+    """The span without the quotes, brackets and commas around it."""
+    around = "\"'`,;()[]{}<>"
+    while a < b and text[a] in around:
+        a += 1
+    while a < b and text[b - 1] in around:
+        b -= 1
+    return a, b
 
 
 def scan(docs, weights=None):
@@ -317,7 +439,8 @@ def scan(docs, weights=None):
                                 spans[-1][1:] = b, spans[-1][2], i
                             else:
                                 spans.append([a, b, i, i])
-                        added[r] = [(s[0], 3, s[1]) for s in spans if not any(x < s[1] and s[0] < y for x, _, y in found[r])]
+                        trimmed = [trim(texts[r], s[0], s[1]) for s in spans]
+                        added[r] = [(a, 3, b) for a, b in trimmed if a < b and not any(x < b and a < y for x, _, y in found[r])]
                 names = (*KINDS, "crf")
                 out = [[{"kind": names[k], "start": a, "end": b} for a, k, b in sorted(f + g)] for f, g in zip(found, added)]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
