@@ -1,35 +1,51 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids with product-quantised residuals, then exact reranking.
 
-Fit: at most ``max_train`` vectors (those with the smallest hash of vec_id; a documented, fixed bound) give the coarse
-centroids and, from their residuals, a codebook of 256 entries for each of ``parts`` slices, by k-means.
-Index: every row gets its list and its code. Rows of a list are packed into blocks of about ``block_rows`` rows, dealt by a
-hash of vec_id, so a list that holds a third of all rows is many blocks and never one task.
-Search: each query goes to the ``probe`` share of lists nearest to it. Queries of a list are packed too, and blocks meet
-blocks by list: distances to codes come from a table per query and list (asymmetric distances). Each block gives its
-``keep`` nearest per query, the best ``rerank`` of a query are measured exactly on the original vectors in double
-precision, and the k nearest stay, ties to the smaller vec_id. High-dimensional noise has no near lists, so the default
-probes most of them; ``probe`` trades recall for work.
+Fit: there are about as many lists as the root of the number of vectors, at most ``max_train / 16``. A sample (the vectors with
+the smallest hash of vec_id: 32 for each list, 8,192 at least, ``max_train`` at most; a documented bound) gives the coarse centroids and,
+from its residuals, a codebook of 256 entries for each of ``parts`` slices, by k-means, in one task.
+Index: every row gets its list, its code and the length of what the code leaves out. Rows of a list are dealt at random into blocks of about
+``block_rows`` rows, so a list that holds a third of all rows is many blocks and never one task.
+Search: each query visits the lists whose centroid is at most ``reach`` times as far as its nearest one, and the ``least``
+nearest lists in any case. So queries in clusters visit few lists, and those in high-dimensional noise, which has no near lists, most.
+Queries of a list go to each of its blocks. Distances to codes come from a table per query and list (asymmetric distances).
+The distance of a code and what the code leaves out bound a row's true distance from both sides; all rows whose lower bound
+does not exceed the k-th smallest upper bound are measured exactly, on the original vectors in double precision, there and
+then. So no neighbour in a visited list is lost, however many rows share a code or lie next to each other, and a block gives k rows
+per query. Of these the k nearest stay, ties to the smaller vec_id.
 
 A vector that is null, zero, of another length than most, or holds a null or non-finite component takes no part, neither as
 query nor as candidate. A query's own row (any row with its vec_id) is no candidate; rows with equal vec_id are candidates
-of others each by itself. Null ids take no part. Fewer candidates than k give fewer rows. An empty table gives no rows.
+of others each by itself, and as a query the one with the least components counts. Null ids take no part. Fewer candidates than k give fewer
+rows. An empty table gives no rows. Other columns are ignored.
 """
 
+import pickle
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.llm.common import least_hashes, materialize, table
 
-MAX_TRAIN, PARTS, LISTS, PROBE, BLOCK_ROWS, KEEP, RERANK = 16_384, 16, 128, 0.75, 4096, 128, 256
+MAX_TRAIN, LEAST_TRAIN, PARTS, REACH, LEAST, BLOCK_ROWS, GROUP_ROWS = 65_536, 8_192, 16, 1.3, 16, 4096, 256
 
 
 def kmeans(x, k, rounds=12, seed=0):
-    """Centroids of the rows of x; empty ones take rows far from their own."""
+    """Centroids of the rows of x; empty ones take rows far from their own.
+
+    The first ones are drawn with a probability by the squared distance to those before, so a group of near copies, however
+    large, does not take more than its share of space.
+    """
     import numpy as np
 
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
-    c = x[rng.choice(len(x), k, replace=False)].copy()
+    picked = [int(rng.integers(len(x)))]
+    gap = ((x - x[picked[0]]) ** 2).sum(1)
+    while len(picked) < k and gap.max() > 0:
+        picked.append(int(np.searchsorted(np.cumsum(gap), rng.random() * gap.sum())))
+        gap = np.minimum(gap, ((x - x[picked[-1]]) ** 2).sum(1))
+    k = len(picked)
+    c = x[picked].copy()
     for _ in range(rounds):
         a = nearest(x, c)
         n = np.bincount(a, minlength=k)
@@ -67,19 +83,29 @@ def usable(vectors, dim=None):
     return v.filter(F.size("embedding") == dim), dim
 
 
-def fit(vectors, lists=LISTS, parts=PARTS, max_train=MAX_TRAIN):
-    """Coarse centroids and codebooks from a bounded sample, or None without vectors."""
-    import numpy as np
+def fit(vectors, lists=None, parts=PARTS, max_train=MAX_TRAIN):
+    """Coarse centroids and codebooks from a bounded sample, or None without vectors. lists: their number, about the root by default."""
+    total = vectors.count()
+    lists = min(lists or max(1, int(total**0.5)), max_train // 16)
+    sample = least_hashes(vectors.withColumn("_h", F.xxhash64("vec_id")), "_h", min(max_train, max(LEAST_TRAIN, 32 * lists)))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        some = [_matrix(b.column("embedding")) for b in batches if b.num_rows]
+        if not some:
+            return
+        x = np.concatenate(some)
+        x = x[np.lexsort(x.T)]  # an order that does not depend on the tasks before
+        coarse = kmeans(x, max(1, min(lists, len(x) // 8)))
+        residual = x - coarse[nearest(x, coarse)]
+        at = bounds(x.shape[1], parts)
+        books = [kmeans(residual[:, a:b], 256, seed=i + 1) for i, (a, b) in enumerate(zip(at, at[1:]))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((coarse, books))], pa.binary())], ["model"])
 
-    sample = least_hashes(vectors.withColumn("_h", F.xxhash64("vec_id")), "_h", max_train)
-    rows = sample.select("embedding").toArrow().column("embedding")
-    if not len(rows):
-        return None
-    x = np.concatenate([np.asarray(c.flatten()) for c in rows.chunks]).reshape(len(rows), -1)
-    coarse = kmeans(x, max(1, min(lists, len(x) // 40)))
-    residual = x - coarse[nearest(x, coarse)]
-    at = bounds(x.shape[1], parts)
-    return coarse, [kmeans(residual[:, a:b], 256, seed=i + 1) for i, (a, b) in enumerate(zip(at, at[1:]))]
+    found = sample.select("embedding").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def _matrix(column):
@@ -89,26 +115,33 @@ def _matrix(column):
 
 
 def coded(vectors, model):
-    """vec_id, list, code of every vector."""
+    """Every vector with its list, its code, the length that the code leaves out, and a random number to deal it by."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         coarse, books = model.value
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("embedding"))
             own = nearest(x, coarse)
             r, at = x - coarse[own], bounds(x.shape[1], len(books))
-            code = np.stack([nearest(r[:, a:b], c) for c, a, b in zip(books, at, at[1:])], 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "list", "code"])
+            code = np.stack([nearest(r[:, a:b], c) for c, a, b in zip(books, at, at[1:])], 1)
+            kept = np.concatenate([c[code[:, m]] for m, c in enumerate(books)], 1)
+            left = np.sqrt(((r - kept) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("embedding"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code.astype(np.uint8)], pa.binary()), pa.array(left), pa.array(rng.integers(0, 2**31 - 1, len(x)).astype(np.int32))],
+                ["vec_id", "embedding", "list", "code", "left", "lot"],
+            )
 
-    return vectors.mapInArrow(run, "vec_id long, list int, code binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, list int, code binary, left double, lot int")
 
 
-def probes(queries, model, probe):
+def visits(queries, model, reach, least):
     """query_id, embedding, list: a row for each list that a query visits."""
 
     def run(batches):
@@ -116,26 +149,28 @@ def probes(queries, model, probe):
         import pyarrow as pa
 
         coarse, _ = model.value
-        n = max(1, int(np.ceil(probe * len(coarse))))
+        n = min(max(1, least), len(coarse))
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 x = _matrix(batch.column("embedding"))
-                near = np.argsort((coarse**2).sum(1)[None] - 2 * x @ coarse.T, axis=1, kind="stable")[:, :n]
-                rows = pa.array(np.repeat(np.arange(len(x)), n))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("embedding").take(rows), pa.array(near.reshape(-1).astype(np.int32))], ["query_id", "embedding", "list"])
+                far = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (coarse**2).sum(1)[None] - 2 * x @ coarse.T))
+                bound = np.maximum(reach * far.min(1), np.partition(far, n - 1, axis=1)[:, n - 1])
+                row, near = np.nonzero(far <= bound[:, None])
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("embedding").take(rows), pa.array(near.astype(np.int32))], ["query_id", "embedding", "list"])
 
     return queries.mapInArrow(run, "query_id long, embedding array<double>, list int")
 
 
-def packed(rows, counts, fields, size):
-    """Rows of a list in blocks of about ``size`` rows, dealt by the hash of their id. counts: list -> rows, one row a list."""
-    dealt = rows.join(F.broadcast(counts), "list").withColumn("deal", F.pmod(F.xxhash64(fields[0]), F.greatest(F.lit(1), F.ceil(F.col("n") / size))))
-    return dealt.groupBy("list", "deal").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+def dealt(rows, size, by):
+    """rows with the number of their block (deal) and the number of blocks of their list (deals), of about ``size`` rows each."""
+    counts = rows.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("deals"))
+    return rows.join(F.broadcast(counts), "list").withColumn("deal", F.pmod(by, F.col("deals")))  # counts: one row a list
 
 
-def scanned(queries, blocks, model, keep):
-    """query_id, vec_id, approx: the ``keep`` nearest codes of each pair of blocks per query."""
+def scanned(groups, blocks, model, k):
+    """query_id, vec_id, score: the k nearest rows of each block for each query of a group that visits its list."""
 
     def run(batches):
         import numpy as np
@@ -146,56 +181,49 @@ def scanned(queries, blocks, model, keep):
             for i in range(batch.num_rows):
                 own = batch.column("list")[i].as_py()
                 rows, asked = batch.column("rows")[i].values, batch.column("queries")[i].values
-                ids = np.asarray(rows.field("vec_id"))
+                ids, x, left = np.asarray(rows.field("vec_id")), _matrix(rows.field("embedding")), np.asarray(rows.field("left"))
                 codes = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(len(ids), -1).T
                 q_ids, q = np.asarray(asked.field("query_id")), _matrix(asked.field("embedding"))
                 at = bounds(q.shape[1], len(books))
                 out = []
-                for query, x in zip(q_ids, q - coarse[own]):
-                    d = np.zeros(len(ids))
+                for query, v in zip(q_ids, q):
+                    r, d = v - coarse[own], np.zeros(len(ids))
                     for m, (c, a, b) in enumerate(zip(books, at, at[1:])):
-                        d += ((x[a:b] - c) ** 2).sum(1)[codes[m]]
-                    d[ids == query] = np.inf
-                    best = np.arange(len(d))
-                    if len(d) > keep:  # all of the rows that tie with the last one, then the smaller ids
-                        best = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
-                    best = best[np.lexsort((ids[best], d[best]))][:keep]
-                    best = best[np.isfinite(d[best])]
-                    out.append((np.full(len(best), query), ids[best], d[best]))
+                        d += ((r[a:b] - c) ** 2).sum(1)[codes[m]]
+                    d = np.sqrt(d)
+                    some = np.flatnonzero(ids != query)
+                    if len(some) > k:
+                        cut = np.partition((d + left)[some], k - 1)[k - 1]
+                        some = some[(d - left)[some] <= cut * (1 + 1e-9) + 1e-12]
+                    score = np.sqrt(((x[some] - v) ** 2).sum(1))
+                    best = np.lexsort((ids[some], score))[:k]
+                    out.append((np.full(len(best), query), ids[some][best], score[best]))
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "approx"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    joined = blocks.select("list", "rows").join(queries.select("list", F.col("rows").alias("queries")), "list")
-    return joined.mapInArrow(run, "query_id long, vec_id long, approx double")
+    joined = blocks.join(groups, ["list", "deal"]).select("list", "rows", "queries")
+    return joined.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def search(vectors, is_query, k=10, lists=LISTS, parts=PARTS, probe=PROBE, keep=KEEP, rerank=RERANK):
+def search(vectors, is_query, k=10, lists=None, parts=PARTS, reach=REACH, least=LEAST, max_train=MAX_TRAIN):
     """query_id, rank, vec_id, score: the k nearest found for the rows of vectors(vec_id, embedding) where is_query holds."""
     spark = vectors.sparkSession
     vectors, _ = usable(vectors)
-    fitted = fit(vectors, lists, parts)
+    fitted = fit(vectors, lists, parts, max_train)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(fitted)
-    codes = materialize(coded(vectors, model), "ivf-codes")
-    asked = vectors.filter(is_query)
-    visits = probes(asked.dropDuplicates(["vec_id"]), model, probe)
-    per_list = lambda rows: rows.groupBy("list").agg(F.count("*").alias("n"))  # noqa: E731  at most ``lists`` rows
-    blocks = packed(codes, per_list(codes), ["vec_id", "code"], BLOCK_ROWS)
-    groups = packed(visits, per_list(visits), ["query_id", "embedding"], 256)
-    near = scanned(groups, blocks, model, keep)
-    best = Window.partitionBy("query_id").orderBy("approx", "vec_id")
-    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
-    near = near.distinct()
-    originals = vectors.select("vec_id", "embedding")
-    queries = asked.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = near.join(originals, "vec_id").join(queries, "query_id")
-    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    ranked = exact.select("query_id", "vec_id", F.sqrt(gap).alias("score"))
+    codes = dealt(materialize(coded(vectors, model), "ivf-codes"), BLOCK_ROWS, F.col("lot"))
+    blocks = codes.groupBy("list", "deal").agg(F.collect_list(F.struct("vec_id", "code", "left", "embedding")).alias("rows"))  # about BLOCK_ROWS
+    asked = vectors.filter(is_query).groupBy(F.col("vec_id")).agg(F.min("embedding").alias("embedding"))
+    some = dealt(visits(asked, model, reach, least), GROUP_ROWS, F.xxhash64("query_id"))
+    groups = some.groupBy("list", "deal").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))  # about GROUP_ROWS
+    # each group of queries goes to each block of its list
+    n_blocks = codes.select("list", "deals").distinct()
+    groups = groups.drop("deal").join(F.broadcast(n_blocks), "list").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    near = scanned(groups.select("list", "deal", "queries"), blocks, model, k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_ivfpq(spark, sf_dir):

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -71,6 +72,38 @@ def test_search_recall_and_ties(spark):
     assert len(few) == 3
 
 
+def recall(spark, x, step, **settings):
+    """Share of the true 10 nearest that the search finds."""
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("of the caller"))
+    for r in ivfpq.search(df, F.pmod("vec_id", F.lit(step)) == 0, **settings).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = n = 0
+    for q in range(0, len(x), step):
+        dist = ((x - x[q]) ** 2).sum(1)
+        want = {int(i) for i in np.lexsort((np.arange(len(x)), dist)) if i != q and np.any(x[i])} if len(x) < 20 else [int(i) for i in np.argsort(dist, kind="stable") if i != q][:10]
+        hit, n = hit + len(set(want) & got.get(q, set())), n + len(want)
+    return hit / n
+
+
+def test_recall_beside_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 24))
+    x[1000:3500] = x[1000] + rng.normal(size=(2500, 24)) * 0.001
+    x[4000:4400] = x[4000] + rng.normal(size=(400, 24)) * 0.05
+    assert recall(spark, x, 50) >= 0.95
+
+
+GIVEN = "/root/testdata/sf0.01/embeddings.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="the given table is not there")
+def test_recall_on_the_given_table(spark):
+    rows = spark.read.parquet(GIVEN).filter("embedding is not null").orderBy("vec_id").select("embedding").collect()
+    assert recall(spark, np.array([r.embedding for r in rows], float), 5) >= 0.9
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 101 + i) for i in range(50)] + [(7, 7), (100, 101)]
