@@ -15,7 +15,9 @@ A chunk has to lie whole inside a shared passage, so passages of a few lines mos
 (``op1_passages``, and the pipeline) takes every pair of neighbouring lines that are not blank instead: a pair that stands in
 an earlier place too (the same bytes but for white space at the lines' ends, told by 128 bits of SHA-256) is repeated,
 overlapping repeated pairs form a run, and a run of at least ``min_chars`` characters is removed, so a passage goes from its
-first whole line to its last. Each line that goes stays in an earlier place.
+first whole line to its last. Each line that goes stays in an earlier place. Whole copies of documents can be left out of it
+(``copies``), as the pipeline does, which looks for near duplicates next: of a torn copy only fragments would be left to find.
+An empty table gives no rows; of equal places the least document and line is the first.
 """
 
 from pyspark.sql import Window
@@ -27,6 +29,8 @@ SPLIT = r"(?<=\n)|(?<=[.!?] )"
 #: Factor and modulus of the rolling hash over two 32-bit line hashes (fixed values).
 FACTOR, MODULUS = 1000003, 2147483647
 MIN_LINES, MIN_CHARS = 2, 64
+#: Share of a document that makes it a copy of another one, for callers that look for near duplicates afterwards.
+COPY = 0.5
 MARK = "\x01"
 
 
@@ -109,23 +113,30 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
-def repeated_runs(docs, min_chars=MIN_CHARS):
+def repeated_runs(docs, min_chars=MIN_CHARS, copies=None):
     """Runs of lines of docs(_id, _th, text) to remove: _id, _th, start, end (line numbers, both removed)."""
     lines = F.transform(F.split("text", SPLIT, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
-    lines = docs.select("_id", "_th", F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
+    lines = docs.select("_id", "_th", F.length("text").alias("size"), F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
     rest = F.greatest(F.size("n") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("n", F.lit(1), rest), F.slice("n", F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    places = lines.select("_id", "_th", F.inline(pairs)).select(
-        "_id", "_th", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.length("a.u").alias("chars"), F.length("b.u").alias("last"),
+    places = lines.select("_id", "_th", "size", F.inline(pairs)).select(
+        "_id", "_th", "size", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.length("a.u").alias("chars"), F.length("b.u").alias("last"),
         F.xxhash64("a.u", "b.u").alias("hash"), F.substring(F.unhex(F.sha2(F.concat_ws("\n", "a.u", "b.u"), 256)), 1, 16).alias("bytes"),
     )
     places = materialize(places, "line-pairs")
     twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "line-pairs-twice")
     found = materialize(places.join(twice, "hash").drop("hash"), "line-pairs-found")
-    place = F.struct("_id", "_th", "i")
+    place = F.struct("_id", "_th", "i", "size")
     first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last_place")).filter("first <> last_place")
+    # written first: both sides of the join are then plain exchanges, of which Spark splits the tasks of a frequent pair
     first = materialize(first.select("bytes", "first"), "line-pair-firsts")
     gone = found.join(first, "bytes").filter(place != F.col("first"))
+    if copies is not None:
+        other = (F.col("first._id") != F.col("_id")) | (F.col("first._th") != F.col("_th"))
+        source = gone.filter(other).groupBy("_id", "_th", F.col("first._id").alias("id"), F.col("first._th").alias("th"))
+        source = source.agg(F.sum("chars").alias("chars"), F.max(F.greatest("size", "first.size")).alias("size"))
+        whole = source.filter(F.col("chars") >= copies * F.col("size")).select("_id", "_th").distinct()
+        gone = gone.join(whole, ["_id", "_th"], "left_anti")
     gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
     order = Window.partitionBy("_id", "_th").orderBy("i")
     gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
@@ -136,15 +147,19 @@ def repeated_runs(docs, min_chars=MIN_CHARS):
     return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
 
 
-def remove_passages(docs, min_chars=MIN_CHARS, count="n_removed"):
-    """docs with every run of two or more lines that stand in an earlier place removed from text, and a column ``count`` (lines)."""
+def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed"):
+    """docs with every run of two or more lines that stand in an earlier place removed from text, and a column ``count`` (lines).
+
+    copies: a document of which one earlier document holds so large a share (of the longer one's characters) is a copy of it, not
+    a text with a repeated passage; it stays as it is, for a later search for near duplicates, which could not tell fragments.
+    """
     other = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
         *[F.col(f"`{c}`").alias(a) for c, a in other.items()],
     )
-    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars)
+    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies)
     per_doc = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
     joined = rows.join(per_doc, ["_id", "_th"], "left")
     lines = F.when(F.col("gone").isNotNull(), F.split("text", SPLIT, -1))

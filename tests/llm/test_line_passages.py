@@ -39,3 +39,19 @@ def test_passage_rows(spark):
     # pairs of short lines that repeat inside one text come to fewer than 64 characters
     assert got == [("3", "own.\n", "y", 2), ("4", "", "z", 0), ("5", "no. no. no. no. ", "z", 0), ("6", "\n\n", "z", 0), ("None", two, "x", 0), ("None", two, "x", 0)]
     assert line_dedup.remove_passages(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_whole_copies_can_be_left_to_the_search_for_near_duplicates(spark):
+    rnd = random.Random(12)
+    sentence = lambda: " ".join(f"v{rnd.randrange(9000)}" for _ in range(9)) + ". "
+    base = [sentence() for _ in range(20)]
+    near = list(base)
+    near[7] = sentence()
+    passage = "".join(sentence() for _ in range(7))
+    texts = ["".join(base), "".join(base), "".join(near), "".join(sentence() for _ in range(12)) + passage, "".join(sentence() for _ in range(12)) + passage]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_removed int")
+    got = {r.doc_id: (r.text, r.gone) for r in line_dedup.remove_passages(df, copies=line_dedup.COPY, count="gone").collect()}
+    assert [got[i] for i in range(4)] == [(t, 0) for t in texts[:4]]
+    assert got[4] == (texts[4][: -len(passage)], 7)
+    torn = {r.doc_id: r.text for r in line_dedup.remove_passages(df).collect()}
+    assert torn[1] == "" and len(torn[2]) < len(texts[2]) / 4 and torn[4] == got[4][0]
