@@ -18,9 +18,12 @@ def quality(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Documents without the passages of lines that stand in an earlier place; n_chars follows the text."""
+    """Documents without the passages of lines that stand in an earlier place; n_chars follows the text.
+
+    Copies of whole documents stay as they are, for the next stage.
+    """
     count = fresh(docs, "n_removed")
-    cleaned = line_dedup.remove_passages(docs, count=count).drop(count)
+    cleaned = line_dedup.remove_passages(docs, copies=line_dedup.COPY, count=count).drop(count)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
