@@ -147,7 +147,7 @@ def interval_force(low, high, g=9.81):
 
 
 def centre(axis, channels=CHANNELS, centres=CENTRES_MM):
-    """Coordinate of the centre of pressure, in units of the insole's length; null for an empty frame."""
+    """Coordinate of the centre of pressure, in units of the foot's length; null for an empty frame."""
     total = total_force(channels).cast("double")
     weighted = sum((F.col(c) * (centres[i][axis] / LENGTH_MM) for i, c in enumerate(channels)), F.lit(0.0))
     return F.when(total != 0, weighted / total)

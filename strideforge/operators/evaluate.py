@@ -5,8 +5,8 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.operators import models
-from strideforge.schemas import WILSON_Z
+from strideforge.operators import logistic, models, splits
+from strideforge.schemas import BLOCKS, REPEATS, WILSON_Z
 
 
 def wilson(n_correct, n, z=WILSON_Z):
@@ -44,8 +44,9 @@ def precision_recall(predicted, by=()):
 def evaluate_folds(rows, assignment, features, kind="qda"):
     """Predictions of the test rows of every fold: fold, row_id, label, pred, and the reasons of folds that failed.
 
-    All folds are fitted from one aggregate keyed by fold and label; test rows meet their fold's model as expressions.
-    Rows with a missing feature take no part on either side. One pass over the data per call, whatever the number of folds.
+    All folds are fitted from one aggregate keyed by fold and label; test rows meet their fold's model in NumPy batches.
+    Rows with a missing feature take no part on either side. For splits that test each row once at most, ``evaluate_held_out``
+    does the same without a row for each fold.
     """
     whole = models._complete(rows, features).join(assignment, "row_id")
     stats = models.class_stats(whole.filter("side = 'train'"), features, "label", ["fold"]).collect()  # folds x classes rows
@@ -53,24 +54,62 @@ def evaluate_folds(rows, assignment, features, kind="qda"):
     for r in stats:
         by_fold.setdefault(r["fold"], []).append(r)
     test, failed, fitted = whole.filter("side = 'test'"), {}, {}
-    pred = F.lit(None).cast("string")
     for fold, some in sorted(by_fold.items()):
         try:
-            model = models.from_stats(kind, some, len(features))
-            scores = models.class_scores(model, features)
-            fitted[fold] = model
+            fitted[fold] = models.from_stats(kind, some, len(features))
         except ValueError as e:
             failed[fold] = str(e)
-            continue
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        p = F.lit(None).cast("string")
-        for c, s in reversed(list(zip(model["classes"], scores))):
-            p = F.when(s == best, c).otherwise(p)
-        pred = F.when(F.col("fold") == fold, p).otherwise(pred)
-    if len(features) > models.MAX_TERMS:
-        out = models.predict_batches(test.select("fold", "row_id", "label", "session", *features), fitted, features, "fold")
-        return out.select("fold", "row_id", "label", "session", "pred"), failed
-    return test.withColumn("pred", pred).select("fold", "row_id", "label", "session", "pred"), failed
+    out = models.predict_batches(test.select("fold", "row_id", "label", "session", *features), fitted, features, "fold")
+    return out.select("fold", "row_id", "label", "session", "pred"), failed
+
+
+def evaluate_held_out(rows, features, kind="qda"):
+    """``evaluate_folds`` for rows with a column fold, the only one that tests them (null: none does); all others train on them.
+
+    One aggregate by fold and label; a fold's training rows are the whole less its own, so no row is repeated for a fold.
+    """
+    whole = models._complete(rows, features)
+    fitted, failed = models.fit_without(models.class_stats(whole, features, "label", ["fold"]).collect(), len(features), kind)  # folds x classes rows
+    test = whole.filter("fold is not null").withColumn("fold", F.col("fold").cast("int"))
+    out = models.predict_batches(test.select("fold", "row_id", "label", "session", *features), fitted, features, "fold")
+    return out.select("fold", "row_id", "label", "session", "pred"), failed
+
+
+def cross_validation(rows, features, kind="qda", k=BLOCKS, repeats=REPEATS):
+    """Accuracy over k contiguous blocks (pooled; least and best block) and over repeated random splits (mean, least, best)."""
+    spread = lambda p, name, mean: (
+        score(p, ["fold"]).agg(F.count("*").alias("folds"), mean.alias("accuracy"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most")).withColumn("scheme", F.lit(name))
+    )
+    blocks = evaluate_held_out(splits.block_of(rows, k), features, kind)[0]
+    random = evaluate_folds(rows, splits.random_split(rows, repeats=repeats), features, kind)[0]
+    pooled = F.try_divide(F.sum("n_correct"), F.sum("n"))
+    return spread(blocks, "blocks", pooled).unionByName(spread(random, "random", F.avg("accuracy")))
+
+
+def grid(rows, sets, kinds=("lda", "qda", "logistic"), k=BLOCKS):
+    """Block-CV predictions of every cell: rep, fset, kind, fold, row_id, label, session, pred.
+
+    rows: features of all representations, stacked, with a column rep; sets: name -> features. For each set one aggregate by
+    (rep, fold, label) fits all discriminants, and each Newton step of all logistic regressions is one aggregate as well.
+    """
+    out = None
+    placed = splits.block_of(rows, k, ["rep"]).withColumn("fold", F.col("fold").cast("int"))
+    for name, features in sets.items():
+        whole = models._complete(placed, features)
+        stats = {}
+        for r in models.class_stats(whole, features, "label", ["rep", "fold"]).collect():  # representations x folds x classes rows
+            stats.setdefault(r["rep"], []).append(r)
+        for kind in kinds:
+            if kind == "logistic":
+                fitted = logistic.fit_without(whole, stats, features)
+            else:
+                fitted = {(rep, f): m for rep, some in stats.items() for f, m in models.fit_without(some, len(features), kind)[0].items()}
+            test = whole.withColumn("_cell", F.concat_ws("/", "rep", "fold")).select("_cell", "rep", "fold", "row_id", "label", "session", *features)
+            fitted = {f"{rep}/{f}": m for (rep, f), m in fitted.items()}
+            predict = logistic.predict_batches if kind == "logistic" else models.predict_batches
+            part = predict(test, fitted, features, "_cell").select("rep", F.lit(name).alias("fset"), F.lit(kind).alias("kind"), "fold", "row_id", "label", "session", "pred")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mcnemar(a, b):
@@ -121,15 +160,21 @@ def errors(predicted, rows, features):
     return wrong.join(rows.select("row_id", "label", *features), "row_id")
 
 
-def error_profile(errors_, rows, features):
-    """Per (label, pred): count, mean of each feature, and whether it lies nearer the predicted class's mean."""
-    means = rows.groupBy("label").agg(*[F.avg(f).alias(f"m_{f}") for f in features])
-    prof = errors_.groupBy("label", "pred").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
-    own = means.select("label", *[F.col(f"m_{f}").alias(f"own_{f}") for f in features])
-    other = means.select(F.col("label").alias("pred"), *[F.col(f"m_{f}").alias(f"other_{f}") for f in features])
+def error_profile(errors_, rows, features, shares=(), lengths=()):
+    """Per (label, pred): count, mean of each feature, and whether it lies nearer the predicted class's mean.
+
+    shares (such as s4_zero_frac) and lengths (such as contact_time_s) are averaged over the errors too, the former beside the
+    means of both classes, the latter beside their medians: own_<name> and other_<name>.
+    """
+    extra = [*shares, *lengths]
+    means = rows.groupBy("label").agg(*[F.avg(f).alias(f"m_{f}") for f in [*features, *shares]], *[F.median(f).alias(f"m_{f}") for f in lengths])
+    prof = errors_.groupBy("label", "pred").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in [*features, *extra]])
+    own = means.select("label", *[F.col(f"m_{f}").alias(f"own_{f}") for f in [*features, *extra]])
+    other = means.select(F.col("label").alias("pred"), *[F.col(f"m_{f}").alias(f"other_{f}") for f in [*features, *extra]])
     joined = prof.join(F.broadcast(own), "label").join(F.broadcast(other), "pred")  # one row a class on each small side
     nearer = {f"nearer_pred_{f}": F.abs(F.col(f) - F.col(f"other_{f}")) < F.abs(F.col(f) - F.col(f"own_{f}")) for f in features}
-    return joined.withColumns(nearer).select("label", "pred", "n", *features, *nearer)
+    beside = [c for f in extra for c in (f, f"own_{f}", f"other_{f}")]
+    return joined.withColumns(nearer).select("label", "pred", "n", *features, *nearer, *beside)
 
 
 def first_errors(predicted, limit=12):

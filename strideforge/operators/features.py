@@ -79,9 +79,9 @@ def extract_features(frames, rep="raw", gains=None, by=("session_id",), **detect
     return stance_features(stance_frames(frames, rep, gains, by, **detector), by)
 
 
-def gap_frames(inside):
+def gap_frames(inside, by=("session_id",)):
     """Frames missing strictly inside each stance: the sum of last_gap after its first frame."""
-    return inside.groupBy(*KEY).agg(F.sum(F.when(F.col("frame_idx") > F.col("start"), F.col("last_gap")).otherwise(0)).alias("gap_frames"))
+    return inside.groupBy(*by, "stance").agg(F.sum(F.when(F.col("frame_idx") > F.col("start"), F.col("last_gap")).otherwise(0)).alias("gap_frames"))
 
 
 def stance_metrics(inside):
@@ -124,9 +124,18 @@ def order_violations(timing, groups=((0, 1), (2,), (3, 4), (5,))):
     return a.join(b, wrong).select(F.col("a.sensor").alias("earlier"), F.col("b.sensor").alias("later"))
 
 
-def detection_summary(frames, events, features=None):
-    """Counts of events by kind, and shares of extrapolating, s4 = 0 and empty frames, per session."""
+def detection_summary(frames, events, predictions=None):
+    """Counts of events by kind, and shares of extrapolating, s4 = 0 and empty frames, per session.
+
+    With predictions(session_id, gap_frames, pred), a row a stance: n_with_gaps, n_predicted and n_no_prediction as well.
+    """
     flags = frame_flags(frames).groupBy("session_id").agg(*[(100 * F.avg(F.col(c).cast("double"))).alias(f"pct_{c}") for c in ("extrapolating", "s4_zero", "all_zero")])
     kinds = ["stance", "discarded_max", "discarded_reset", "rejected_min"]
     n = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in kinds]
-    return flags.join(events.groupBy("session_id").agg(*n), "session_id", "left").fillna(0, [f"n_{k}" for k in kinds])
+    out = flags.join(events.groupBy("session_id").agg(*n), "session_id", "left").fillna(0, [f"n_{k}" for k in kinds])
+    if predictions is None:
+        return out
+    p = predictions.groupBy("session_id").agg(
+        F.sum((F.coalesce("gap_frames", F.lit(0)) > 0).cast("long")).alias("n_with_gaps"), F.count("pred").alias("n_predicted"), (F.count("*") - F.count("pred")).alias("n_no_prediction")
+    )
+    return out.join(p, "session_id", "left").fillna(0, ["n_with_gaps", "n_predicted", "n_no_prediction"])

@@ -1,4 +1,4 @@
-"""Pressure field over the insole: inverse-distance weights of the six sensors, applied to averaged readings."""
+"""Pressure field over the foot: inverse-distance weights of the six sensors, applied to averaged readings."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -42,8 +42,13 @@ def weights(spark, power=2.0, length=LENGTH_MM, width=WIDTH_MM):
     return spark.createDataFrame(rows, "gx int, gy int, inside boolean, " + ", ".join(f"w{i} double" for i in range(len(CENTRES_MM))))
 
 
-def mean_field(frames, grid, by):
-    """Mean pressure of each cell per key: the field is linear, so readings are averaged first; null outside the foot."""
+def mean_field(frames, grid, by, max_keys=10_000):
+    """Mean pressure of each cell per key: the field is linear, so readings are averaged first; null outside the foot.
+
+    Every key gives a row for each cell of the grid, so more than max_keys keys are refused (None: any number).
+    """
     means = frames.groupBy(*by).agg(*[F.avg(c).alias(c) for c in CHANNELS])
+    if max_keys is not None and means.limit(max_keys + 1).count() > max_keys:
+        raise ValueError(f"more than {max_keys} keys; each gives a row for every cell of the grid")
     value = sum((F.col(f"w{i}") * F.col(c) for i, c in enumerate(CHANNELS)), F.lit(0.0))
     return means.join(F.broadcast(grid)).select(*by, "gx", "gy", F.when(F.col("inside"), value).alias("value"))  # grid: a fixed size

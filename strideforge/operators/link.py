@@ -12,52 +12,64 @@ def by_session(*order):
     return Window.partitionBy("session_id").orderBy(*order)
 
 
-def link_accounting(parsed, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
-    """Valid frames of parsed lines with frame_idx, epoch, lost, seq_break, timing_break, reset, last_gap.
+def link_lines(parsed, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
+    """Parsed lines of all kinds, the valid ones with frame_idx, epoch, lost, seq_break, timing_break, reset, last_gap.
 
     One exchange on session_id: all windows share its order. A restart (time runs backwards) counts as nothing else. Frames
     rejected for their checksum since the last valid frame are missing from the sequence but not lost.
     """
     w = by_session("line_no")
-    seen = parsed.withColumn("_bad", F.sum((F.col("status") == "bad_checksum").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    valid = seen.filter("status = 'valid'")
-    valid = valid.withColumns(
-        {
-            "frame_idx": (F.row_number().over(w) - 1).cast("long"),
-            "_seq": F.lag("seq").over(w),
-            "_ts": F.lag("ts_us").over(w),
-            "_credit": F.col("_bad") - F.lag("_bad").over(w),
-        }
-    )
-    reset = F.coalesce(F.col("ts_us") < F.col("_ts"), F.lit(False))
-    delta = F.when(~F.col("reset"), F.pmod(F.col("seq") - F.col("_seq"), F.lit(WRAP)))
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    valid = F.col("status") == "valid"
+    rows = parsed.withColumn("_bad", F.sum((F.col("status") == "bad_checksum").cast("long")).over(upto))
+    rows = rows.withColumn("_v", F.when(valid, F.struct("seq", "ts_us", "_bad")))
+    rows = rows.withColumns({"_p": F.last("_v", ignorenulls=True).over(before), "_n": F.count("_v").over(upto)})
+    reset = F.coalesce(F.col("ts_us") < F.col("_p.ts_us"), F.lit(False))
+    delta = F.when(~F.col("reset"), F.pmod(F.col("seq") - F.col("_p.seq"), F.lit(WRAP)))
     missing = F.greatest(F.col("_delta") - 1, F.lit(0))
-    gap = F.greatest(F.col("last_gap") - F.col("_credit"), F.lit(0))
+    gap = F.greatest(F.col("last_gap") - (F.col("_bad") - F.col("_p._bad")), F.lit(0))
     no = F.lit(False)
+    here = lambda c: F.when(valid, c)
     return (
-        valid.withColumn("reset", reset)
-        .withColumn("_delta", delta)
-        .withColumn("last_gap", F.coalesce(missing, F.lit(0)).cast("long"))
-        .withColumn("lost", F.when(F.col("_delta").isNull(), 0).otherwise(gap).cast("long"))
-        .withColumn("seq_break", F.coalesce((F.col("_delta") != 1) & ((F.col("lost") > 0) | (F.col("_delta") == 0)), no))
-        .withColumn("timing_break", F.coalesce((F.col("_delta") > 0) & (F.abs(F.col("ts_us") - F.col("_ts") - period * F.col("_delta")) > tolerance), no))
-        .withColumn("epoch", F.sum(F.col("reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        .drop("_bad", "_seq", "_ts", "_credit", "_delta", "status", "value")
+        rows.withColumn("frame_idx", here(F.col("_n") - 1).cast("long"))
+        .withColumn("reset", here(reset))
+        .withColumn("_delta", here(delta))
+        .withColumn("last_gap", here(F.coalesce(missing, F.lit(0)).cast("long")))
+        .withColumn("lost", here(F.when(F.col("_delta").isNull(), 0).otherwise(gap).cast("long")))
+        .withColumn("seq_break", here(F.coalesce((F.col("_delta") != 1) & ((F.col("lost") > 0) | (F.col("_delta") == 0)), no)))
+        .withColumn("timing_break", here(F.coalesce((F.col("_delta") > 0) & (F.abs(F.col("ts_us") - F.col("_p.ts_us") - period * F.col("_delta")) > tolerance), no)))
+        .withColumn("epoch", F.sum(F.coalesce("reset", no).cast("int")).over(upto).cast("int"))
+        .drop("_bad", "_v", "_p", "_n", "_delta")
     )
 
 
-def capture_report(parsed, accounted):
-    """One row per session: all counters, loss percentage, device seconds."""
+def link_accounting(parsed, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
+    """The valid frames of ``link_lines``."""
+    return link_lines(parsed, period, tolerance).filter("status = 'valid'").drop("status", "value")
+
+
+def capture_report(lines, duration_s=None, at="arrival_ts"):
+    """One row per session of link_lines: all counters, loss percentage, device seconds; one aggregate over one pass.
+
+    Where the lines carry arrival times: host_s, from the first to the last valid frame; and with the duration asked for,
+    short_s, what it lacks, where that is more than a second (else null).
+    """
+    valid = F.col("status") == "valid"
     n = lambda s: F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}")
-    kinds = parsed.groupBy("session_id").agg(*map(n, ("valid", "malformed", "empty", "bad_checksum", "status")))
-    links = accounted.groupBy("session_id").agg(
-        F.sum("lost").alias("lost"),
-        *[F.sum(F.col(c).cast("long")).alias(f"{c}s") for c in ("seq_break", "timing_break", "reset")],
-        ((F.max_by("ts_us", "frame_idx") - F.min_by("ts_us", "frame_idx")) / 1e6).alias("device_s"),
-    )
-    counters = ["lost", "seq_breaks", "timing_breaks", "resets"]
-    report = kinds.join(links, "session_id", "left").fillna(0, counters)
-    return report.withColumn("loss_pct", F.coalesce(F.try_divide(100.0 * F.col("lost"), F.col("n_valid") + F.col("lost")), F.lit(0.0)))
+    aggs = [n(s) for s in ("valid", "malformed", "empty", "bad_checksum", "status")]
+    aggs += [F.coalesce(F.sum("lost"), F.lit(0)).alias("lost")]
+    aggs += [F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(f"{c}s") for c in ("seq_break", "timing_break", "reset")]
+    aggs += [((F.max_by("ts_us", "frame_idx") - F.min_by("ts_us", "frame_idx")) / 1e6).alias("device_s")]
+    timed = at in lines.columns
+    if timed:
+        t = F.unix_micros(F.when(valid, F.col(at)))
+        aggs.append(((F.max(t) - F.min(t)) / 1e6).alias("host_s"))
+    report = lines.groupBy("session_id").agg(*aggs)
+    report = report.withColumn("loss_pct", F.coalesce(F.try_divide(100.0 * F.col("lost"), F.col("n_valid") + F.col("lost")), F.lit(0.0)))
+    if timed and duration_s is not None:
+        short = duration_s - F.coalesce("host_s", F.lit(0.0))
+        report = report.withColumn("short_s", F.when(short > 1.0, short))
+    return report
 
 
 def capture_verdict(report, transport="serial", loss_limit=BLE_LOSS_LIMIT):

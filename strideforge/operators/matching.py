@@ -1,5 +1,6 @@
 """Comparisons: detections with truth, captures with captures, counts with pins."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.schemas import CHANNELS
@@ -74,6 +75,24 @@ def compare_captures(a, b, key=("session_id", "seq")):
     return out.withColumn("coverage_pct", 100.0 * F.col("n_both") / F.col("n_a"))
 
 
+def comparison_verdict(compared):
+    """compare_captures with verdict: no_overlap (a refusal: the captures share no frame), mismatch, or same."""
+    differ = sum((F.col(f"diff_{c}") for c in ["ts_us", *CHANNELS]), F.lit(0))
+    return compared.withColumn("verdict", F.when(F.col("n_both") == 0, "no_overlap").when(differ > 0, "mismatch").otherwise("same"))
+
+
+def first_mismatches(a, b, key=("session_id", "seq"), limit=10):
+    """Per session the first frames of both captures that differ, in the order of the key: both sides' values."""
+    key = list(key)
+    cols = ["ts_us", *CHANNELS]
+    j = a.select(*key, *cols).join(b.select(*key, *[F.col(c).alias(f"{c}_b") for c in cols]), key)
+    differ = F.lit(False)
+    for c in cols:
+        differ = differ | ~F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    w = Window.partitionBy("session_id").orderBy(*[k for k in key if k != "session_id"])
+    return j.filter(differ).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+
+
 def pinned_counts(counts, pins):
     """Sessions whose stance count differs from its pin, and sessions without one."""
     j = counts.join(pins, "session_id", "left")

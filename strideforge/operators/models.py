@@ -50,10 +50,50 @@ def from_stats(kind, stats, p, label="label", reg=0.0, meta=None):
     return model
 
 
-def _complete(rows, features):
+def finite(features):
+    """Whether all features are there and finite; others count as missing in fits and predictions alike."""
+    out = F.lit(True)
     for f in features:
-        rows = rows.filter(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
-    return rows
+        x = F.col(f).cast("double")
+        out = out & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return out
+
+
+def _complete(rows, features):
+    return rows.filter(finite(features))
+
+
+def fit_without(stats, p, kind, label="label", fold="fold"):
+    """Models by fold, each fitted on all rows but the fold's own, and the reasons of those that failed.
+
+    stats: collected ``class_stats`` by fold and label; counts, sums and scatters of a class less those of a fold give the rest's.
+    """
+    parts = {}
+    for r in stats:
+        n, mean = r["n"], np.array([r[f"m_{i}"] for i in range(p)], float)
+        scatter = np.zeros((p, p))
+        if n > 1:
+            for i in range(p):
+                for j in range(i, p):
+                    scatter[i, j] = scatter[j, i] = r[f"c_{i}_{j}"] * (n - 1)
+        parts.setdefault(r[label], []).append((r[fold], n, mean, scatter))
+    fitted, failed = {}, {}
+    for f in sorted({r[fold] for r in stats if r[fold] is not None}):
+        rows = []
+        for c, some in parts.items():
+            rest = [x for x in some if x[0] != f]
+            n = sum(x[1] for x in rest)
+            if not n:
+                continue
+            mean = sum(x[1] * x[2] for x in rest) / n
+            scatter = sum(x[3] + x[1] * np.outer(x[2] - mean, x[2] - mean) for x in rest)
+            cov = {f"c_{i}_{j}": scatter[i, j] / (n - 1) if n > 1 else None for i in range(p) for j in range(i, p)}
+            rows.append({label: c, "n": n, **{f"m_{i}": mean[i] for i in range(p)}, **cov})
+        try:
+            fitted[f] = from_stats(kind, rows, p, label)
+        except ValueError as e:
+            failed[f] = str(e)
+    return fitted, failed
 
 
 def fit(rows, features, kind="qda", label="label", reg=0.0, meta=None):
@@ -109,18 +149,12 @@ def predict_batches(rows, by_key, features, key=None):
 
 
 def predict(rows, model, features):
-    """rows with pred: the class of the highest score, ties to the first; null where a feature is missing."""
+    """rows with pred: the class of the highest score, ties to the first; null where a feature is missing or not finite."""
     if len(features) > MAX_TERMS:
         return predict_batches(rows, {None: model}, features)
-    scores = class_scores(model, features)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    pred = F.lit(None).cast("string")
-    for c, s in reversed(list(zip(model["classes"], scores))):
-        pred = F.when(s == best, c).otherwise(pred)
-    known = F.lit(True)
-    for f in features:
-        known = known & F.col(f).isNotNull()
-    return rows.withColumn("pred", F.when(known, pred))
+    scores = F.array(*class_scores(model, features))
+    place = F.array_position(scores, F.array_max(scores)).cast("int") - 1
+    return rows.withColumn("pred", F.when(finite(features), F.get(F.array(*map(F.lit, model["classes"])), place)))
 
 
 def pooled_eigen(model):

@@ -1,6 +1,5 @@
 """Reports over frames, runs, stances and feature frames: small aggregates, exact percentiles."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.functions.frames import cop, total_force, transform
@@ -46,16 +45,16 @@ def channel_summary(frames, by=("session_id",), active=100):
 
 def noise_stats(frames, sigmas=5.0):
     """Per session and channel: mean, sample sd, min, max, peak to peak, samples beyond the sigmas (none if sd is 0)."""
-    long = unpivoted(frames, ["session_id"])
-    s = long.groupBy("session_id", "sensor").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
-        F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("p2p"),
-    )
-    far = long.join(s.select("session_id", "sensor", "mean", "sd"), ["session_id", "sensor"])
-    far = far.groupBy("session_id", "sensor").agg(
-        F.sum(F.coalesce((F.col("sd") > 0) & (F.abs(F.col("value") - F.col("mean")) > sigmas * F.col("sd")), F.lit(False)).cast("long")).alias("n_far")
-    )
-    return s.join(far, ["session_id", "sensor"])
+    aggs = [F.count("*").alias("n")]
+    for c in CHANNELS:
+        aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"sd_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    s = frames.groupBy("session_id").agg(*aggs)
+    both = frames.select("session_id", *CHANNELS).join(s.select("session_id", *[f"{k}_{c}" for c in CHANNELS for k in ("mean", "sd")]), "session_id")
+    far = lambda c: F.coalesce((F.col(f"sd_{c}") > 0) & (F.abs(F.col(c) - F.col(f"mean_{c}")) > sigmas * F.col(f"sd_{c}")), F.lit(False))
+    n_far = both.groupBy("session_id").agg(*[F.sum(far(c).cast("long")).alias(f"far_{c}") for c in CHANNELS])
+    each = lambda i, c: F.struct(F.lit(i).alias("sensor"), F.col(f"mean_{c}").alias("mean"), F.col(f"sd_{c}").alias("sd"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"), F.col(f"far_{c}").alias("n_far"))
+    rows = s.join(n_far, "session_id").select("session_id", "n", F.explode(F.array(*[each(i, c) for i, c in enumerate(CHANNELS)])).alias("x"))
+    return rows.select("session_id", "x.sensor", "n", "x.mean", "x.sd", "x.min", "x.max", (F.col("x.max") - F.col("x.min")).alias("p2p"), "x.n_far")
 
 
 def ceiling_fraction(frames, ceiling=CALIBRATION_CEILING, by=("session_id",)):
@@ -136,9 +135,10 @@ def ml_spread(inside, whole=True):
     return per.groupBy("label").agg(F.stddev_samp("ml").alias("sd_mm"), (F.max("ml") - F.min("ml")).alias("range_mm"), F.count("ml").alias("n"))
 
 
-def band_overlap(rows, feature):
-    """Share of class a inside class b's 10 to 90 % band, for all a, b that differ."""
-    band = rows.groupBy(F.col("label").alias("b")).agg(_p(feature, 0.1).alias("_lo"), _p(feature, 0.9).alias("_hi"))
+def band_overlap(rows, feature, accuracy=None):
+    """Share of class a inside class b's 10 to 90 % band, for all a, b that differ; accuracy: of approximate percentiles."""
+    at = (lambda q: F.percentile_approx(feature, q, accuracy)) if accuracy else (lambda q: _p(feature, q))
+    band = rows.groupBy(F.col("label").alias("b")).agg(at(0.1).alias("_lo"), at(0.9).alias("_hi"))
     j = rows.filter(F.col(feature).isNotNull()).join(F.broadcast(band), F.col("label") != F.col("b"))  # one row a class
     return j.groupBy(F.col("label").alias("a"), "b").agg(F.avg(F.col(feature).between(F.col("_lo"), F.col("_hi")).cast("double")).alias("share"))
 
@@ -161,15 +161,17 @@ def peak_trend(rows, y="peak_counts", x="onset_s"):
     return trend.withColumn("p", p_value("r", "n"))
 
 
-def zero_channel_effect(frames, by=("session_id",), sensor="s4", pooled=False):
-    """Shift of the centre of pressure (mm) when zeros of the sensor are replaced by its median non-zero count, on loaded frames."""
-    w = Window.partitionBy() if pooled else Window.partitionBy(*by)
+def zero_channel_effect(frames, by=("session_id",), sensor="s4", pooled=False, accuracy=None):
+    """Shift of the centre of pressure (mm) when zeros of the sensor are replaced by its median non-zero count, on loaded frames.
+
+    An exact median keeps the counts of its key; accuracy asks for Spark's approximate one, for keys of a whole fleet.
+    """
     nonzero = F.when(F.col(sensor) > 0, F.col(sensor))
+    median = F.percentile_approx(nonzero, 0.5, accuracy) if accuracy else F.median(nonzero)
     if pooled:
-        one = frames.agg(F.median(nonzero).alias("_m"))
-        rows = frames.join(F.broadcast(one))  # one row
-    else:
-        rows = frames.withColumn("_m", F.median(nonzero).over(w))
+        rows = frames.join(F.broadcast(frames.agg(median.alias("_m"))))  # one row
+    else:  # a row a key; Spark broadcasts it where it is small
+        rows = frames.join(frames.groupBy(*by).agg(median.alias("_m")), list(by))
     hit = rows.filter((F.col(sensor) == 0) & (total_force() > 0) & F.col("_m").isNotNull())
     a = cop(hit, names=("_x", "_y"))
     renamed = a.withColumns({f"_{c}": F.col(c) for c in CHANNELS}).withColumn(f"_{sensor}", F.col("_m"))
@@ -178,13 +180,16 @@ def zero_channel_effect(frames, by=("session_id",), sensor="s4", pooled=False):
     return b.groupBy(*by).agg(F.count("*").alias("n"), F.avg(dx).alias("dx_mm"), F.avg(dy).alias("dy_mm"), F.avg(F.hypot(dx, dy)).alias("dist_mm"))
 
 
-def representation_shift(frames, a="raw", b="gain_matched", gains=None, by=("session_id",)):
-    """Mean and median distance (mm) between the centres of pressure of two representations, frames without one left out."""
+def representation_shift(frames, a="raw", b="gain_matched", gains=None, by=("session_id",), accuracy=None):
+    """Mean and median distance (mm) between the centres of pressure of two representations, frames without one left out.
+
+    accuracy asks for Spark's approximate median, for keys of a whole fleet.
+    """
     raw = frames.withColumns({f"_k{c}": F.col(c) for c in CHANNELS})
     one = cop(transform(raw, a, gains), names=("_xa", "_ya")).withColumns({c: F.col(f"_k{c}") for c in CHANNELS})
     two = cop(transform(one, b, gains), names=("_xb", "_yb"))
     d = F.hypot(F.col("_xb") - F.col("_xa"), F.col("_yb") - F.col("_ya")) * LENGTH_MM
-    return two.withColumn("_d", d).filter("_d is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_mm"), F.median("_d").alias("median_mm"))
+    return two.withColumn("_d", d).filter("_d is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_mm"), (F.percentile_approx("_d", 0.5, accuracy) if accuracy else F.median("_d")).alias("median_mm"))
 
 
 def majority(rows, label="label"):
@@ -194,5 +199,18 @@ def majority(rows, label="label"):
     return top.select(F.col("t.count").alias("n_top"), (F.col("t.count") / F.col("n")).alias("floor"), "n")
 
 
+def majority_floor(train, test, label="label"):
+    """Floors that a classifier is read against: most common class of all rows, of the test rows, and that of train on test.
+
+    One row: floor_all, floor_test, train_top (ties to the first name), train_on_test (its share of the test rows), n_test.
+    """
+    n = train.groupBy(label).agg(F.count("*").alias("a")).join(test.groupBy(label).agg(F.count("*").alias("b")), label, "full").fillna(0, ["a", "b"])
+    top = n.agg(F.min(F.struct((-F.col("a")).alias("k"), F.col(label).alias("c"), "b")).alias("t"), F.max(F.col("a") + F.col("b")).alias("m"), F.sum(F.col("a") + F.col("b")).alias("n"), F.max("b").alias("mb"), F.sum("b").alias("nb"))
+    return top.select(
+        F.try_divide("m", "n").alias("floor_all"), F.try_divide("mb", "nb").alias("floor_test"), F.col("t.c").alias("train_top"),
+        F.try_divide(F.col("t.b"), F.col("nb")).alias("train_on_test"), F.col("nb").alias("n_test"),
+    )
+
+
 def prediction_summary(predicted):
     return predicted.groupBy("pred").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("agreement"))

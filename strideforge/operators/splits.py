@@ -27,7 +27,7 @@ def time_blocked(rows, fraction=TRAIN_FRACTION, guard=0):
 def random_split(rows, fraction=TRAIN_FRACTION, repeats=REPEATS, seed=SEED):
     """Sizes of time_blocked, rows in the order of a seeded hash, for each repeat."""
     each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = [F.xxhash64("row_id", F.lit(seed), "fold"), "row_id"]
+    order = [F.md5(F.concat_ws("_", "row_id", F.lit(seed), "fold")), "row_id"]
     return _cut(_placed(each, order, ["fold"]), fraction, 0).select("fold", "row_id", "side")
 
 
@@ -36,10 +36,22 @@ def _sides(tested, k):
     return folds.select("fold", "row_id", F.when(F.col("fold") == F.col("_fold"), "test").otherwise("train").alias("side"))
 
 
+def block_of(rows, k=5, extra=()):
+    """rows with fold: the number of its contiguous block by start within (label, session); the first n mod k are one larger."""
+    return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(*extra, *GROUP).orderBy("start")) - 1)
+
+
 def contiguous_blocks(rows, k=5):
-    """k folds of contiguous blocks by start within (label, session); the first n mod k blocks are one larger."""
-    w = Window.partitionBy(*GROUP).orderBy("start")
-    return _sides(rows.withColumn("_fold", F.ntile(k).over(w) - 1), F.lit(k))
+    """The blocks of ``block_of`` as k folds of an assignment table; evaluation takes ``block_of``, which repeats no row."""
+    return _sides(block_of(rows, k).withColumnRenamed("fold", "_fold"), F.lit(k))
+
+
+def held_session(rows):
+    """rows with fold: that of ``leave_one_session_out`` which tests the row's session, null for sessions beyond the last fold."""
+    sessions = rows.select(*GROUP).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy("session")) - 1)
+    k = sessions.groupBy("label").count().agg(F.min("count").alias("k"))
+    held = sessions.join(F.broadcast(k), F.col("_rank") < F.col("k"))  # k: one row
+    return rows.join(held.groupBy("session").agg(F.min("_rank").alias("fold")), "session", "left")
 
 
 def leave_one_session_out(rows):
@@ -68,6 +80,13 @@ def disjoint(rows, assignment, key="session"):
     return train.intersect(both.filter("side = 'test'").select("fold", key))
 
 
+def coverage(rows, assignment):
+    """rows' ids with n_tested, the number of folds that test them, and n_both, those that have them on both sides (0 in a sound split)."""
+    sides = assignment.groupBy("row_id", "fold").agg(F.max((F.col("side") == "test").cast("long")).alias("t"), F.max((F.col("side") == "train").cast("long")).alias("r"))
+    n = sides.groupBy("row_id").agg(F.sum("t").alias("n_tested"), F.sum(F.col("t") * F.col("r")).alias("n_both"))
+    return rows.select("row_id").join(n, "row_id", "left").fillna(0, ["n_tested", "n_both"])
+
+
 def sessions_per_class(rows):
     return rows.groupBy("label").agg(F.countDistinct("session").alias("n_sessions"))
 

@@ -7,12 +7,19 @@ arrival stream; embeddings gives labelled feature rows; part gives calibration t
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Fixed values of the adapter.
-WINDOWS = [(0, 30), (15, 45), (30, 55), (32, 57), (35, 58), (45, 62)]
-AMPLITUDES = [3200, 1400, 2600, 2800, 2200, 1800]
-STANDING = [1800, 900, 1200, 1300, 1000, 400]
+from strideforge.schemas import FEATURES
+
+# Values of the made-up sessions: when each channel is loaded (per cent of a step), how much, and the loads of standing.
+WINDOWS = [(0, 28), (12, 44), (28, 52), (30, 56), (36, 60), (46, 64)]
+AMPLITUDES = [3000, 1500, 2500, 2700, 2300, 1900]
+STANDING = [1700, 950, 1150, 1350, 1050, 450]
 ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
-GAINS = {0: 0.99, 1: 0.9616, 2: 0.9741, 3: 1.2513, 4: 0.8692, 5: 0.9538}
+GAINS = {0: 1.02, 1: 0.95, 2: 0.98, 3: 1.21, 4: 0.88, 5: 0.96}
+
+
+LABEL = "CASE kind WHEN 0 THEN 'walk' WHEN 1 THEN 'fast' WHEN 2 THEN 'shuffle' ELSE 'stand' END"
+KIND = "CASE WHEN session_id % 10 = 9 THEN 3 ELSE session_id % 3 END"
+REPRESENTATIONS = ("raw", "conductance", "gain_matched")
 
 
 def _channel(i, div):
@@ -26,7 +33,7 @@ def _channel(i, div):
 def frame_columns(div):
     return [
         "session_id", "k AS frame_idx",
-        "CASE kind WHEN 0 THEN 'walk' WHEN 1 THEN 'fast' WHEN 2 THEN 'shuffle' ELSE 'stand' END AS label",
+        f"{LABEL} AS label",
         "CAST(k % 65536 AS INT) AS seq", "CAST(k * 10000 + (l_orderkey % 3 - 1) AS BIGINT) AS ts_us",
         *[_channel(i, div) for i in range(6)], "l_orderkey", "l_partkey",
     ]
@@ -100,6 +107,20 @@ def features_sql(p=2):
     return f"feats AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label, label || '_' || (vec_id % 4) AS session, vec_id AS start, {cols} FROM embeddings)"
 
 
+def stances(spark, sf_dir):
+    """Features of the moving sessions' stances under every representation: rep, row_id, label, session, start, features."""
+    from strideforge.operators.features import extract_features
+
+    out = None
+    f = frames(spark, sf_dir).filter("label <> 'stand'")
+    for rep in REPRESENTATIONS:
+        part = extract_features(f, rep, GAINS).selectExpr(
+            f"'{rep}' AS rep", "session_id * 100000 + stance AS row_id", f"{LABEL.replace('kind', f'({KIND})')} AS label", "CAST(session_id AS STRING) AS session", "start", "s4_zero_frac", *FEATURES
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 TRIAL_COLUMNS = [
     "CAST(p_partkey % 6 AS INT) AS sensor", "CAST(p_partkey AS BIGINT) AS trial", "CAST((p_partkey * 37) % 4096 AS INT) AS count",
     "CAST((p_partkey * 37) % 4096 AS DOUBLE) / 400.0 + CAST(p_partkey % 7 AS DOUBLE) / 10.0 AS force_n", "CAST(p_partkey % 6 AS DOUBLE) * 100.0 AS g_min",

@@ -26,6 +26,10 @@ def parsed(spark, d):
     return fx.parse_frames(ad.lines(spark, d))
 
 
+def lined(spark, d):
+    return link.link_lines(parsed(spark, d))
+
+
 def accounted(spark, d):
     return link.link_accounting(parsed(spark, d)).withColumn("total", fx.total_force())
 
@@ -63,17 +67,26 @@ def rep_sql(rep):
     return {"raw": lambda i: f"s{i}", "conductance": lambda i: x(f"s{i}"), "gain_matched": lambda i: f"({x(f's{i}')} * {ad.GAINS[i]!r})"}[rep]
 
 
-def features_sql(rep="raw"):
-    r = rep_sql(rep)
-    loads = ", ".join(f"{r(i)} AS r{i}" for i in range(6))
-    rs = [f"r{i}" for i in range(6)]
-    return f"""{F_}, {RUNS}, steps AS (
+def features_sql(rep="raw", source=F_):
+    """The chain from frames to feats; source: the SQL that makes frames."""
+    return f"""{source}, {RUNS}, steps AS (
   SELECT session_id, ts_us - lag(ts_us) OVER (PARTITION BY session_id ORDER BY frame_idx) AS step FROM frames
 ), dts AS (SELECT session_id, median(step) / 1e6 AS dt_s FROM steps GROUP BY session_id),
 inside AS (
-  SELECT f.*, m.stance, m.start, m."end", d.dt_s, {loads} FROM frames f JOIN merged m ON f.session_id = m.session_id AND f.frame_idx BETWEEN m.start AND m."end"
+  SELECT f.*, m.stance, m.start, m."end", d.dt_s, {loads_sql(rep)} FROM frames f JOIN merged m ON f.session_id = m.session_id AND f.frame_idx BETWEEN m.start AND m."end"
   JOIN dts d ON d.session_id = f.session_id
-), loaded AS (SELECT *, {' + '.join(rs)} AS load, {cop_sql(rs, 0)} AS cx, {cop_sql(rs, 1)} AS cy FROM inside),
+), {tail_sql()}"""
+
+
+def loads_sql(rep):
+    r = rep_sql(rep)
+    return ", ".join(f"{r(i)} AS r{i}" for i in range(6))
+
+
+def tail_sql():
+    """From the frames inside stances to their features."""
+    rs = [f"r{i}" for i in range(6)]
+    return f"""loaded AS (SELECT *, {' + '.join(rs)} AS load, {cop_sql(rs, 0)} AS cx, {cop_sql(rs, 1)} AS cy FROM inside),
 open_ AS (SELECT * FROM loaded WHERE frame_idx < "end"),
 points AS (
   SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM open_ WHERE cx IS NOT NULL WINDOW w AS (PARTITION BY session_id, stance ORDER BY frame_idx)
@@ -164,7 +177,7 @@ def flagship(spark, d):
 
 
 def encoded(spark, d):
-    e = fx.encode_frames(ad.frames(spark, d).filter("frame_idx < 50 or frame_idx % 7 = 0"))
+    e = fx.encode_frames(ad.frames(spark, d))
     back = fx.parse_frames(e.select("session_id", F.col("frame_idx").alias("line_no"), "value"))
     return back.groupBy("session_id", "status").agg(F.count("*").alias("n"), F.sum("s3").alias("s3"), F.min(F.length("value")).alias("shortest"))
 
@@ -199,6 +212,16 @@ def emitted_counts(spark, d):
     return ft.detection_summary(a, st.stance_events(a))
 
 
+def predictions(a):
+    """A row for each stance of accounted frames: features by epoch, gap_frames and the model's class."""
+    from strideforge.operators.models import predict
+
+    by = ["session_id", "epoch"]
+    inside = ft.stance_frames(a, by=by)
+    rows = ft.stance_features(inside, by).join(ft.gap_frames(inside, by), [*by, "stance"])
+    return predict(rows, MODEL, ["cop_path_len", "cop_displacement"])
+
+
 def truth(spark, d):
     """Periodic truth intervals of the moving sessions: frames 0..60 % of each period."""
     f = ad.frames(spark, d).filter("label <> 'stand'").groupBy("session_id", "label").agg(F.max("frame_idx").alias("last"))
@@ -223,7 +246,30 @@ def sql_sums(source, *exprs):
     return f"WITH {F_} SELECT session_id, {cells} FROM {source} GROUP BY session_id"
 
 
-Q, SQL = {}, {}
+def model_sql(model, x, y):
+    """The class of the highest score of a two-feature model, null where a feature is."""
+    scores = []
+    for (mx, my), ((a, b), (_, c)), prior in zip(model["means"], model["covs"], model["priors"]):
+        det = f"({a} * {c} - {b} * {b})"
+        dx, dy = f"({x} - {mx})", f"({y} - {my})"
+        scores.append(f"(-0.5 * ({c} * {dx} * {dx} - 2 * {b} * {dx} * {dy} + {a} * {dy} * {dy}) / {det} - 0.5 * ln({det}) + ln({prior}))")
+    best = f"greatest({', '.join(scores)})"
+    cases = " ".join(f"WHEN {v} = {best} THEN '{c}'" for c, v in zip(model["classes"], scores))
+    return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL {cases} END"
+
+
+#: Frames with session and epoch as one key, so that the chain of the features serves epochs as well.
+EPOCH_FRAMES = f"frames AS (SELECT session_id * 100 + epoch AS session_id, frame_idx, ts_us, last_gap, {', '.join(CH)}, {TOTAL} AS total FROM (WITH {ACCOUNTED} SELECT * FROM accounted))"
+FLAGSHIP = f"""WITH {features_sql("raw", EPOCH_FRAMES)}, flagship AS (SELECT CAST(session_id // 100 AS BIGINT) AS session_id, CAST(session_id % 100 AS BIGINT) AS epoch, stance, start, "end", n_frames, round(onset_s, 6) AS onset_s, round(s4_zero_frac, 6) AS s4_zero_frac,
+  {ROUNDED}, {model_sql(MODEL, "cop_path_len", "cop_displacement")} AS pred FROM feats)"""
+LIVE = f"""WITH {EVENTS}, ids AS (SELECT *, row_number() OVER (ORDER BY session_id, epoch, start) AS id FROM eemit), ist AS (SELECT session_id, epoch, frame_idx, ts_us - lag(ts_us) OVER (PARTITION BY session_id, epoch ORDER BY frame_idx) AS step FROM accounted),
+idt AS (SELECT i.id, median(step) / 1e6 AS dt_s FROM ids i JOIN ist s ON i.session_id = s.session_id AND i.epoch = s.epoch AND s.frame_idx <= i.emit_idx GROUP BY i.id),
+inside AS (SELECT i.id AS session_id, 0 AS stance, i.start, i."end", d.dt_s, a.frame_idx, a.ts_us, a.last_gap, {', '.join(f'a.s{i}' for i in range(6))}, {loads_sql("raw")} FROM ids i JOIN idt d ON d.id = i.id
+  JOIN accounted a ON a.session_id = i.session_id AND a.epoch = i.epoch AND a.frame_idx BETWEEN i.start AND i."end"),
+{tail_sql()}, igaps AS (SELECT session_id, CAST(sum(CASE WHEN frame_idx > start THEN last_gap ELSE 0 END) AS BIGINT) AS gap_frames FROM inside GROUP BY session_id)
+SELECT CAST(i.session_id AS VARCHAR) AS session_id, CAST(i.epoch AS BIGINT) AS epoch, i.start, i."end", g.gap_frames, round(d.dt_s, 6) AS dt_s, {ROUNDED}, {model_sql(MODEL, "cop_path_len", "cop_displacement")} AS pred
+FROM ids i JOIN idt d ON d.id = i.id JOIN igaps g ON g.session_id = i.id JOIN feats f ON f.session_id = i.id"""
+Q, SQL = {}, {"flagship": f"{FLAGSHIP} SELECT * FROM flagship"}
 
 
 def add(name, sql=None):
@@ -242,7 +288,7 @@ add("p1_parse_lines", f"WITH {PARSED} SELECT session_id, status, count(*) AS n,
 add("p2_checksum", f"WITH {F_} SELECT session_id, CAST(sum((((seq + ts_us + total) % 256) + 256) % 256) AS BIGINT) AS c FROM frames GROUP BY session_id")(
     lambda s, d: ad.frames(s, d).withColumn("c", fx.checksum("seq", "ts_us", *CH)).groupBy("session_id").agg(F.sum("c").alias("c"))
 )
-add("io4_encode_frames", f"""WITH {F_}, e AS (SELECT *, concat_ws(',', 'INS', seq, ts_us, s0, s1, s2, s3, s4, s5, (((seq + ts_us + total) % 256) + 256) % 256) AS v FROM frames WHERE frame_idx < 50 OR frame_idx % 7 = 0)
+add("io4_encode_frames", f"""WITH {F_}, e AS (SELECT *, concat_ws(',', 'INS', seq, ts_us, s0, s1, s2, s3, s4, s5, (((seq + ts_us + total) % 256) + 256) % 256) AS v FROM frames)
 SELECT session_id, 'valid' AS status, count(*) AS n, CAST(sum(s3) AS BIGINT) AS s3, CAST(min(length(v)) AS BIGINT) AS shortest FROM e GROUP BY session_id""")(encoded)
 add("p3_parse_kv", f"WITH {F_}, {ad.LINES_SQL} SELECT session_id, count(*) AS n, max(CAST(regexp_extract(value, 'notif=([0-9]+)', 1) AS BIGINT)) AS notif FROM lines WHERE value LIKE '#%' GROUP BY session_id")(kv)
 add("io5_reassemble_lines", f"WITH {F_}, {ad.LINES_SQL} SELECT session_id, count(*) AS n, CAST(sum(length(trim(value))) AS BIGINT) AS chars FROM lines WHERE trim(value) <> '' GROUP BY session_id")(reassembled)
@@ -250,13 +296,12 @@ add("p4_clean", f"WITH {F_} SELECT session_id, count(*) AS n, count(*) FILTER (W
     lambda s, d: per_session_counts(ad.frames(s, d)).join(per_session_counts(fx.clean(ad.frames(s, d), 3000)).withColumnRenamed("n", "kept"), "session_id", "left").select("session_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 )
 add("p5_total_force", f"WITH {F_} SELECT session_id, CAST(sum(total) AS BIGINT) AS total, count(total) AS n_total FROM frames GROUP BY session_id")(lambda s, d: sums(fr(s, d), "total"))
-add("p6_conductance", sql_sums("frames", ("c0", conduct("s0")), ("c3", conduct("s3"))))(lambda s, d: sums(ad.frames(s, d).withColumns({"c0": fx.conductance("s0"), "c3": fx.conductance("s3")}), "c0", "c3"))
+_all = lambda f: {f"c{i}": f(f"s{i}") for i in range(6)}
+add("p6_conductance", sql_sums("frames", *[(f"c{i}", conduct(f"s{i}")) for i in range(6)]))(lambda s, d: sums(ad.frames(s, d).withColumns(_all(fx.conductance)), *_all(str)))
 add("p7_saturated", f"WITH {F_} SELECT session_id, count(*) FILTER (WHERE s0 >= 3200 - 25) AS n FROM frames GROUP BY session_id")(
     lambda s, d: ad.frames(s, d).groupBy("session_id").agg(F.sum(fx.is_saturated("s0", 3200).cast("bigint")).alias("n"))
 )
-add("p8_conductance_capped", sql_sums("frames", ("c0", rep_sql("conductance")(0)), ("c5", rep_sql("conductance")(5))))(
-    lambda s, d: sums(ad.frames(s, d).withColumns({"c0": fx.conductance_capped("s0"), "c5": fx.conductance_capped("s5")}), "c0", "c5")
-)
+add("p8_conductance_capped", sql_sums("frames", *[(f"c{i}", rep_sql("conductance")(i)) for i in range(6)]))(lambda s, d: sums(ad.frames(s, d).withColumns(_all(fx.conductance_capped)), *_all(str)))
 add("p9_transform", sql_sums("frames", *[(f"s{i}", rep_sql("gain_matched")(i)) for i in range(6)]))(lambda s, d: sums(fx.transform(ad.frames(s, d), "gain_matched", ad.GAINS), *CH))
 add("p10_apply_gain_match", sql_sums("frames", *[(f"g{i}", f"CASE WHEN s{i} < 4070 THEN ({conduct(f's{i}')}) * {ad.GAINS[i]!r} END") for i in range(6)]))(
     lambda s, d: sums(fx.apply_gain_match(ad.frames(s, d), ad.GAINS), *[f"g{i}" for i in range(6)])
@@ -305,16 +350,28 @@ SELECT session_id, round(min(t0) / 1e6, 6) AS first_onset_s, round(max(t1) / 1e6
     lambda s, d: reports.coverage_report(st.merge_close(st.find_stances(fr(s, d))), st.find_runs(fr(s, d)), fr(s, d))
 )
 _report_cols = "session_id, n_valid, n_malformed, n_empty, n_bad_checksum, n_status, lost, seq_breaks, timing_breaks, resets, round(device_s, 6) AS device_s, round(loss_pct, 6) AS loss_pct"
-add("a1_capture_report", f"WITH {REPORT} SELECT {_report_cols} FROM report")(lambda s, d: link.capture_report(parsed(s, d), accounted(s, d)))
+add("a1_capture_report", f"WITH {REPORT} SELECT {_report_cols} FROM report")(lambda s, d: link.capture_report(lined(s, d)))
+_arrive = "1704067200000000 + line_no * 2600 + session_id * 1000"
+add("a1_host_seconds", f"""WITH {PARSED}, t AS (SELECT session_id, count(*) FILTER (WHERE status = 'valid') AS n_valid, (max({_arrive}) FILTER (WHERE status = 'valid') - min({_arrive}) FILTER (WHERE status = 'valid')) / 1e6 AS host_s FROM parsed GROUP BY session_id)
+SELECT session_id, n_valid, round(host_s, 6) AS host_s, round(CASE WHEN 6.5 - coalesce(host_s, 0) > 1 THEN 6.5 - coalesce(host_s, 0) END, 6) AS short_s FROM t""")(
+    lambda s, d: link.capture_report(link.link_lines(fx.parse_frames(ad.lines(s, d).withColumn("arrival_ts", F.expr(f"timestamp_micros({_arrive})")))), 6.5).select("session_id", "n_valid", "host_s", "short_s")
+)
 _verdict = "CASE WHEN n_malformed > 0 OR n_bad_checksum > 0 THEN 'corruption' WHEN resets > 0 THEN 'reset' WHEN n_valid = 0 THEN 'no_frames' WHEN {} THEN 'loss' {} WHEN timing_breaks > 0 THEN 'timing' ELSE 'ok' END"
 add("a2_capture_verdict", f"WITH {REPORT} SELECT session_id, {_verdict.format('lost > 0', 'WHEN seq_breaks > 0 THEN ' + chr(39) + 'sequence' + chr(39))} AS serial, {_verdict.format('loss_pct > 2.0', '')} AS ble FROM (SELECT * REPLACE (0 AS n_malformed, CASE WHEN session_id % 2 = 0 THEN 0 ELSE n_bad_checksum END AS n_bad_checksum) FROM report)")(
     lambda s, d: (lambda r: link.capture_verdict(r).withColumnRenamed("verdict", "serial").join(link.capture_verdict(r, "ble").select("session_id", F.col("verdict").alias("ble")), "session_id").select("session_id", "serial", "ble"))(
-        link.capture_report(parsed(s, d), accounted(s, d)).withColumns({"n_malformed": F.lit(0), "n_bad_checksum": F.when(F.col("session_id") % 2 == 0, 0).otherwise(F.col("n_bad_checksum"))})
+        link.capture_report(lined(s, d)).withColumns({"n_malformed": F.lit(0), "n_bad_checksum": F.when(F.col("session_id") % 2 == 0, 0).otherwise(F.col("n_bad_checksum"))})
     )
 )
 add("a3_detection_summary", f"""WITH {EVENTS}, fl AS (SELECT session_id, round(100 * avg(CASE WHEN greatest(s0, s1, s2, s3, s4, s5) > 824 THEN 1.0 ELSE 0.0 END), 6) AS pct_extrapolating, round(100 * avg(CASE WHEN s4 = 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_s4_zero,
 round(100 * avg(CASE WHEN greatest(s0, s1, s2, s3, s4, s5) = 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_all_zero FROM accounted GROUP BY session_id)
 SELECT fl.*, {', '.join(f"(SELECT count(*) FROM events_ e WHERE e.session_id = fl.session_id AND kind = '{k}') AS n_{k}" for k in ('stance', 'discarded_max', 'discarded_reset', 'rejected_min'))} FROM fl""")(emitted_counts)
+_RUNS_E = RUNS.replace("FROM frames", "FROM (SELECT *, s0 + s1 + s2 + s3 + s4 + s5 AS total FROM accounted)").replace("PARTITION BY session_id", "PARTITION BY session_id, epoch").replace("SELECT session_id,", "SELECT session_id, epoch,").replace("GROUP BY session_id", "GROUP BY session_id, epoch")
+add("a3_predictions", f"""WITH {ACCOUNTED}, {_RUNS_E}, p AS (SELECT m.session_id, m.epoch, m.stance, sum(CASE WHEN a.frame_idx > m.start THEN a.last_gap ELSE 0 END) AS gaps, count(*) FILTER (WHERE a.frame_idx < m."end" AND s0 + s1 + s2 + s3 + s4 + s5 > 0) AS points
+  FROM merged m JOIN accounted a ON a.session_id = m.session_id AND a.epoch = m.epoch AND a.frame_idx BETWEEN m.start AND m."end" GROUP BY 1, 2, 3),
+n AS (SELECT session_id, count(*) FILTER (WHERE gaps > 0) AS n_with_gaps, count(*) FILTER (WHERE points >= 2) AS n_predicted, count(*) FILTER (WHERE points < 2) AS n_no_prediction FROM p GROUP BY session_id)
+SELECT s.session_id, coalesce(n_with_gaps, 0) AS n_with_gaps, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_no_prediction, 0) AS n_no_prediction FROM (SELECT DISTINCT session_id FROM accounted) s LEFT JOIN n USING (session_id)""")(
+    lambda s, d: (lambda a: ft.detection_summary(a, st.stance_events(a), predictions(a)).select("session_id", "n_with_gaps", "n_predicted", "n_no_prediction"))(accounted(s, d))
+)
 _force_cols = ", ".join(R(f) for f in FEATS[:5])
 add("a4_force_features", f'WITH {features_sql()} SELECT session_id, stance, start, "end", {_force_cols} FROM feats')(lambda s, d: ft.force_features(inside(s, d)))
 add("a5_cop_features", f'WITH {features_sql()} SELECT session_id, stance, start, "end", {", ".join(R(f) for f in FEATS[5:])} FROM feats')(lambda s, d: ft.cop_features(inside(s, d)))
@@ -354,7 +411,23 @@ SELECT f.session_id, count(*) AS n_a, count(b.seq) AS n_both, {', '.join(f'count
 FROM frames f LEFT JOIN b ON f.session_id = b.session_id AND f.seq = b.seq GROUP BY f.session_id""")(
     lambda s, d: matching.compare_captures(ad.frames(s, d), ad.frames(s, d).filter("l_orderkey % 97 <> 0").withColumn("s3", F.expr("CASE WHEN l_partkey % 89 = 0 THEN s3 + 1 ELSE s3 END")))
 )
-add("j2_frames_in_stances", f'WITH {F_}, {RUNS} SELECT f.session_id, m.stance, f.frame_idx, m.start, m."end" FROM frames f JOIN merged m ON f.session_id = m.session_id AND f.frame_idx BETWEEN m.start AND m."end"')(
+# islands by number, so that all joins are on equal keys
+_b = lambda s, d: ad.frames(s, d).filter("l_orderkey % 97 <> 0").withColumn("s3", F.expr("CASE WHEN l_partkey % 89 = 0 THEN s3 + 1 ELSE s3 END"))
+_bsql = "b AS (SELECT * REPLACE (CASE WHEN l_partkey % 89 = 0 THEN s3 + 1 ELSE s3 END AS s3) FROM frames WHERE l_orderkey % 97 <> 0 AND session_id % 5 <> 0)"
+add("j1_verdict", f"""WITH {F_}, {_bsql}, j AS (SELECT f.session_id, count(b.seq) AS n_both, count(*) FILTER (WHERE b.seq IS NOT NULL AND f.s3 <> b.s3) AS n FROM frames f LEFT JOIN b ON f.session_id = b.session_id AND f.seq = b.seq GROUP BY f.session_id)
+SELECT session_id, n_both, CASE WHEN n_both = 0 THEN 'no_overlap' WHEN n > 0 THEN 'mismatch' ELSE 'same' END AS verdict FROM j""")(
+    lambda s, d: matching.comparison_verdict(matching.compare_captures(ad.frames(s, d), _b(s, d).filter("session_id % 5 <> 0"))).select("session_id", "n_both", "verdict")
+)
+add("j1_first_mismatches", f"""WITH {F_}, {_bsql}, j AS (SELECT f.session_id, f.seq, f.s3, b.s3 AS s3_b, row_number() OVER (PARTITION BY f.session_id ORDER BY f.seq) AS place FROM frames f JOIN b ON f.session_id = b.session_id AND f.seq = b.seq WHERE f.s3 <> b.s3)
+SELECT session_id, CAST(seq AS BIGINT) AS seq, CAST(s3 AS BIGINT) AS s3, CAST(s3_b AS BIGINT) AS s3_b, place FROM j WHERE place <= 10""")(
+    lambda s, d: matching.first_mismatches(ad.frames(s, d), _b(s, d).filter("session_id % 5 <> 0")).select("session_id", "seq", "s3", "s3_b", "place")
+)
+add("j2_frames_in_stances", f"""WITH {F_}, {RUNS}, kept AS (SELECT session_id, run, min(frame_idx) AS s, max(frame_idx) AS e FROM numbered WHERE on_ = 1 GROUP BY session_id, run HAVING count(*) BETWEEN 15 AND 200),
+ko AS (SELECT *, CASE WHEN coalesce(s - lag(e) OVER (PARTITION BY session_id ORDER BY s) - 1 >= 12, true) THEN 1 ELSE 0 END AS opens FROM kept), ki AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY s) - 1 AS stance FROM ko),
+ks AS (SELECT session_id, run, stance, min(s) OVER (PARTITION BY session_id, stance) AS start, max(e) OVER (PARTITION BY session_id, stance) AS "end" FROM ki),
+fw AS (SELECT n.session_id, n.frame_idx, last_value(k.stance IGNORE NULLS) OVER w AS stance, last_value(k.start IGNORE NULLS) OVER w AS start, last_value(k."end" IGNORE NULLS) OVER w AS "end" FROM numbered n LEFT JOIN ks k ON k.session_id = n.session_id AND k.run = n.run
+  WINDOW w AS (PARTITION BY n.session_id ORDER BY n.frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT session_id, CAST(stance AS BIGINT) AS stance, frame_idx, start, "end" FROM fw WHERE frame_idx BETWEEN start AND "end" """)(
     lambda s, d: st.frames_in_stances(fr(s, d)).select("session_id", "stance", "frame_idx", "start", "end")
 )
 add("j3_boundary_report")(lambda s, d: matching.boundary_report(st.merge_close(st.find_stances(fr(s, d))), truth(s, d)))

@@ -14,6 +14,7 @@ from strideforge.operators import stances as st
 from strideforge.plans import adapter as ad
 from strideforge.plans import frame_queries as fq
 from strideforge.plans.common import normal
+from strideforge.schemas import CENTRES_MM, LENGTH_MM, WIDTH_MM
 from strideforge.streaming import live
 
 Q, SQL = {}, {}
@@ -61,7 +62,10 @@ add("m1_class_stats", f"WITH {FE}, {STATS.format(src='feats')} SELECT label, n,
 for _k in ("lda", "qda"):
     add(f"m{2 if _k == 'lda' else 3}_m4_{_k}_predict", f"WITH {pred_sql(_k)} SELECT row_id, label, pred FROM pr")(lambda s, d, k=_k: predicted(s, d, k).select("row_id", "label", "pred"))
 add("m5_logistic")(lambda s, d: (lambda rows: models.predict_logistic(rows, models.fit_logistic(rows, X), X, rows).select("row_id", "label", "pred"))(fe(s, d)))
-add("m6_condition_numbers")(
+_eig = lambda a, b, c: [f"(({a} + {c}) / 2 {sign} sqrt(power(({a} - {c}) / 2, 2) + {b} * {b}))" for sign in "+-"]
+_r, _z, _p = _eig("a", "b", "c"), _eig("1.0", "(b / sqrt(a * c))", "1.0"), _eig("p00", "p01", "p11")
+add("m6_condition_numbers", f"""WITH {FE}, {STATS.format(src='feats')}, {LDA}, w AS (SELECT covar_samp(x0, x0) AS a, covar_samp(x0, x1) AS b, covar_samp(x1, x1) AS c FROM feats)
+SELECT round({_r[0]} / {_r[1]}, 6) AS raw, round({_z[0]} / {_z[1]}, 6) AS scaled, round({_p[0]}, 6) AS eigen_1, round({_p[1]}, 6) AS eigen_2 FROM w, pool""")(
     lambda s, d: (lambda c, e: s.range(1).select(F.lit(c[0]).alias("raw"), F.lit(c[1]).alias("scaled"), F.lit(float(e[0])).alias("eigen_1"), F.lit(float(e[1])).alias("eigen_2")))(models.condition_numbers(fe(s, d), X), models.pooled_eigen(models.fit(fe(s, d), X, "qda")))
 )
 _half = "SELECT * FROM feats WHERE row_id % 2 = 0"
@@ -83,6 +87,9 @@ add("x1_time_blocked", f"WITH {FE}, {_PLACED}, c AS (SELECT *, CAST(round_even(n
 add("x2_random_split", f"WITH {FE}, {_PLACED}, c AS (SELECT label, session, CAST(round_even(min(n) * 0.6, 0) AS BIGINT) AS t, min(n) AS n FROM pl GROUP BY 1, 2) SELECT CAST(f.fold AS BIGINT) AS fold, CAST(sum(t) AS BIGINT) AS n_train, CAST(sum(n - t) AS BIGINT) AS n_test FROM c, (SELECT unnest(range(20)) AS fold) f GROUP BY f.fold")(
     lambda s, d: splits.random_split(fe(s, d)).groupBy("fold").agg(F.sum((F.col("side") == "train").cast("bigint")).alias("n_train"), F.sum((F.col("side") == "test").cast("bigint")).alias("n_test"))
 )
+_RANDOM = "ra AS (SELECT feats.*, CAST(f.fold AS BIGINT) AS fold FROM feats, (SELECT unnest(range(20)) AS fold) f), rp AS (SELECT *, row_number() OVER (PARTITION BY fold, label, session ORDER BY md5(row_id || '_0_' || fold), row_id) AS place, count(*) OVER (PARTITION BY fold, label, session) AS n FROM ra), asg AS (SELECT fold, row_id, CASE WHEN place > CAST(round_even(n * 0.6, 0) AS BIGINT) THEN 'test' ELSE 'train' END AS side FROM rp)"
+add("x2_random_rows", f"WITH {FE}, {_RANDOM} SELECT * FROM asg")(lambda s, d: splits.random_split(fe(s, d)))
+_BLOCKS = "bl AS (SELECT *, ntile(5) OVER (PARTITION BY label, session ORDER BY start) - 1 AS f FROM feats), bk AS (SELECT unnest(range(5)) AS fold), asg AS (SELECT CAST(fold AS BIGINT) AS fold, row_id, CASE WHEN f = fold THEN 'test' ELSE 'train' END AS side FROM bl, bk)"
 add("x3_contiguous_blocks", f"WITH {FE}, b AS (SELECT *, ntile(5) OVER (PARTITION BY label, session ORDER BY start) - 1 AS f FROM feats), k AS (SELECT unnest(range(5)) AS fold) SELECT CAST(fold AS BIGINT) AS fold, row_id, CASE WHEN f = fold THEN 'test' ELSE 'train' END AS side FROM b, k")(lambda s, d: splits.contiguous_blocks(fe(s, d)))
 LOSO = """sess AS (SELECT label, session, row_number() OVER (PARTITION BY label ORDER BY session) - 1 AS rk FROM (SELECT DISTINCT label, session FROM feats)),
 kk AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM sess GROUP BY label)), asg AS (
@@ -92,21 +99,30 @@ add("x5_fixed_session", f"WITH {FE}, {LOSO} SELECT CAST(0 AS BIGINT) AS fold, ro
 add("o5_disjoint", f"WITH {FE}, {LOSO}, b AS (SELECT DISTINCT fold, session, side FROM asg JOIN feats USING (row_id)) SELECT fold, session FROM b WHERE side = 'train' INTERSECT SELECT fold, session FROM b WHERE side = 'test'")(
     lambda s, d: splits.disjoint(fe(s, d), splits.leave_one_session_out(fe(s, d)))
 )
+add("o5_leaks", f"WITH {FE}, {_PLACED}, c AS (SELECT *, CAST(round_even(n * 0.6, 0) AS BIGINT) AS t FROM pl) SELECT DISTINCT CAST(0 AS BIGINT) AS fold, session FROM c WHERE place > t INTERSECT SELECT DISTINCT CAST(0 AS BIGINT), session FROM c WHERE place <= t - 1")(
+    lambda s, d: splits.disjoint(fe(s, d), splits.time_blocked(fe(s, d), guard=1))
+)
+_cov = lambda name, cte: f"SELECT '{name}' AS scheme, n_tested, count(*) AS n_rows FROM (WITH {FE}, {cte} SELECT row_id, count(*) FILTER (WHERE side = 'test') AS n_tested FROM asg GROUP BY row_id) GROUP BY n_tested"
+add("o5_coverage", f"{_cov('blocks', _BLOCKS)} UNION ALL {_cov('sessions', LOSO)} UNION ALL {_cov('random', _RANDOM)}")(
+    lambda s, d: (lambda rows: (lambda n: n("blocks", splits.contiguous_blocks(rows)).unionByName(n("sessions", splits.leave_one_session_out(rows))).unionByName(n("random", splits.random_split(rows))))(
+        lambda name, asg: splits.coverage(rows, asg).groupBy("n_tested").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("scheme"), "n_tested", "n_rows")
+    ))(fe(s, d))
+)
 add("a30_sessions_per_class", f"WITH {FE} SELECT label, count(DISTINCT session) AS n_sessions FROM feats GROUP BY label")(lambda s, d: splits.sessions_per_class(fe(s, d)))
 add("a30_session_purity", f"WITH {FE}, n AS (SELECT session, label, count(*) AS n FROM feats GROUP BY 1, 2) SELECT session, round(max(n) / sum(n), 6) AS purity FROM n GROUP BY session")(lambda s, d: splits.session_purity(fe(s, d)))
 
 # ---- evaluation --------------------------------------------------------------------------------------------------------
-FOLDS = f"""{FE}, {LOSO}, tr AS (SELECT f.*, a.fold FROM feats f JOIN asg a USING (row_id) WHERE a.side = 'train'),
+FIT = """tr AS (SELECT f.*, a.fold FROM feats f JOIN asg a USING (row_id) WHERE a.side = 'train'),
 fs AS (SELECT fold, label, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, covar_samp(x0, x0) AS c00, covar_samp(x0, x1) AS c01, covar_samp(x1, x1) AS c11 FROM tr GROUP BY 1, 2),
 fc AS (SELECT *, n / sum(n) OVER (PARTITION BY fold) AS prior FROM fs),
 fsc AS (SELECT a.fold, r.row_id, r.label, r.session, c.label AS cand, -0.5 * (c11 * (x0 - m0) * (x0 - m0) - 2 * c01 * (x0 - m0) * (x1 - m1) + c00 * (x1 - m1) * (x1 - m1)) / (c00 * c11 - c01 * c01) - 0.5 * ln(c00 * c11 - c01 * c01) + ln(prior) AS s
   FROM asg a JOIN feats r USING (row_id) JOIN fc c ON c.fold = a.fold WHERE a.side = 'test'),
 fp AS (SELECT fold, row_id, min(label) AS label, min(session) AS session, arg_max(cand, s) AS pred FROM fsc GROUP BY 1, 2)"""
+FOLDS = f"{FE}, {LOSO}, {FIT}"
 
 
 def folds(spark, d, kind="qda"):
-    rows = fe(spark, d)
-    return ev.evaluate_folds(rows, splits.leave_one_session_out(rows), X, kind)[0]
+    return ev.evaluate_held_out(splits.held_session(fe(spark, d)), X, kind)[0]
 
 
 def wilson_sql(k, n):
@@ -124,13 +140,42 @@ add("e1_precision_recall", f"WITH {pred_sql('qda')}, c AS (SELECT DISTINCT label
 )
 add("e2_evaluate_folds", f"WITH {FOLDS} SELECT fold, row_id, label, session, pred FROM fp")(folds)
 add("e3_cross_validation", f"WITH {FOLDS}, z AS ({SCORE.format(by='fold, ', src='fp', group='GROUP BY fold')}) SELECT fold, {_cols} FROM z")(lambda s, d: ev.score(folds(s, d), ["fold"]))
-add("e4_grid")(
-    lambda s, d: (lambda rows, asg: ev.score(
-        ev.evaluate_folds(rows, asg, X, "lda")[0].withColumns({"kind": F.lit("lda"), "fset": F.lit("2")})
-        .unionByName(ev.evaluate_folds(rows, asg, X, "qda")[0].withColumns({"kind": F.lit("qda"), "fset": F.lit("2")}))
-        .unionByName(ev.evaluate_folds(rows, asg, [f"x{i}" for i in range(7)], "lda")[0].withColumns({"kind": F.lit("lda"), "fset": F.lit("7")})), ["fset", "kind"]
-    ))(fe(s, d, 7), splits.contiguous_blocks(fe(s, d, 7)))
-)
+_cv = lambda name, cte, mean: f"SELECT count(*) AS folds, round({mean}, 6) AS accuracy, round(min(k / n), 6) AS least, round(max(k / n), 6) AS most, '{name}' AS scheme FROM (WITH {FE}, {cte}, {FIT} SELECT fold, count(*) AS n, count(*) FILTER (WHERE pred = label) AS k FROM fp GROUP BY fold)"
+add("e3_block_and_random", f"{_cv('blocks', _BLOCKS, 'sum(k) / sum(n)')} UNION ALL {_cv('random', _RANDOM, 'avg(k / n)')}")(lambda s, d: ev.cross_validation(fe(s, d), X))
+SETS = {"cop": ft.COP_FEATURES, "full": [*ft.FORCE_FEATURES, *ft.COP_FEATURES]}
+
+
+def cells(spark, d, kinds, sets):
+    """Predictions of the grid over the sessions' stances: features of all representations are written once."""
+    base = shared(spark)
+    ad.stances(spark, d).write.parquet(base)
+    return ev.grid(spark.read.parquet(base), sets, kinds)
+
+
+_stances = " UNION ALL ".join(f"SELECT '{r}' AS rep, * FROM (WITH {fq.features_sql(r)} SELECT session_id, stance, start, s4_zero_frac, {', '.join(fq.FEATS)} FROM feats)" for r in ad.REPRESENTATIONS)
+CELLS = f"""cl AS (SELECT rep, session_id * 100000 + stance AS row_id, {ad.LABEL.replace('kind', f'({ad.KIND})')} AS label, CAST(session_id AS VARCHAR) AS session, start, cop_path_len AS x0, cop_displacement AS x1, s4_zero_frac, contact_time_s FROM ({_stances}) WHERE session_id % 10 <> 9),
+cp AS (SELECT *, ntile(5) OVER (PARTITION BY rep, label, session ORDER BY start) - 1 AS f FROM cl), cw AS (SELECT * FROM cp WHERE x0 IS NOT NULL AND x1 IS NOT NULL), ck AS (SELECT unnest(range(5)) AS fold),
+gs AS (SELECT rep, fold, label, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, covar_samp(x0, x0) AS c00, covar_samp(x0, x1) AS c01, covar_samp(x1, x1) AS c11 FROM cw, ck WHERE f <> fold GROUP BY 1, 2, 3),
+gl AS (SELECT rep, fold, sum((n - 1) * c00) / (sum(n) - count(*)) AS p00, sum((n - 1) * c01) / (sum(n) - count(*)) AS p01, sum((n - 1) * c11) / (sum(n) - count(*)) AS p11 FROM gs GROUP BY 1, 2),
+gc AS (SELECT rep, fold, label, 'qda' AS kind, m0, m1, c00, c01, c11, n / sum(n) OVER (PARTITION BY rep, fold) AS prior FROM gs UNION ALL SELECT rep, fold, label, 'lda', m0, m1, p00, p01, p11, n / sum(n) OVER (PARTITION BY rep, fold) FROM gs JOIN gl USING (rep, fold)),
+gp AS (SELECT w.rep, g.kind, w.f AS fold, w.row_id, min(w.label) AS label, min(w.session) AS session, arg_max(g.label, -0.5 * (c11 * (x0 - m0) * (x0 - m0) - 2 * c01 * (x0 - m0) * (x1 - m1) + c00 * (x1 - m1) * (x1 - m1)) / (c00 * c11 - c01 * c01) - 0.5 * ln(c00 * c11 - c01 * c01) + ln(prior)) AS pred
+  FROM cw w JOIN gc g ON g.rep = w.rep AND g.fold = w.f GROUP BY 1, 2, 3, 4)"""
+_cell_score = "ce AS (SELECT rep, 'cop' AS fset, kind, count(*) AS n, count(*) FILTER (WHERE pred = label) AS n_correct FROM gp GROUP BY 1, 2, 3)"
+add("e4_grid")(lambda s, d: ev.score(cells(s, d, ("lda", "qda", "logistic"), SETS), ["rep", "fset", "kind"]))
+add("e4_grid_cop", f"WITH {CELLS}, {_cell_score} SELECT rep, fset, kind, {_cols} FROM ce")(lambda s, d: ev.score(cells(s, d, ("lda", "qda"), {"cop": SETS["cop"]}), ["rep", "fset", "kind"]))
+
+
+def stance_profile(spark, d):
+    rows = ad.stances(spark, d).filter("rep = 'raw'")
+    wrong = cells(spark, d, ("qda",), {"cop": SETS["cop"]}).filter("rep = 'raw' and pred <> label").select("row_id", "pred")
+    return ev.error_profile(wrong.join(rows, "row_id"), rows, SETS["cop"], ["s4_zero_frac"], ["contact_time_s"])
+
+
+_side = lambda f, agg: f"round(avg(e.{f}), 6) AS {f}, round(min(o.{agg}), 6) AS own_{f}, round(min(t.{agg}), 6) AS other_{f}"
+add("e8_stance_profile", f"""WITH {CELLS}, rw AS (SELECT * FROM cl WHERE rep = 'raw'), md AS (SELECT label, avg(x0) AS m0, avg(x1) AS m1, avg(s4_zero_frac) AS mz, median(contact_time_s) AS mc FROM rw GROUP BY label),
+e AS (SELECT r.*, g.pred FROM gp g JOIN rw r USING (row_id) WHERE g.rep = 'raw' AND g.kind = 'qda' AND g.pred <> r.label)
+SELECT e.label, e.pred, count(*) AS n, round(avg(e.x0), 6) AS cop_path_len, round(avg(e.x1), 6) AS cop_displacement, abs(avg(e.x0) - min(t.m0)) < abs(avg(e.x0) - min(o.m0)) AS nearer_pred_cop_path_len, abs(avg(e.x1) - min(t.m1)) < abs(avg(e.x1) - min(o.m1)) AS nearer_pred_cop_displacement,
+{_side('s4_zero_frac', 'mz')}, {_side('contact_time_s', 'mc')} FROM e JOIN md o ON o.label = e.label JOIN md t ON t.label = e.pred GROUP BY 1, 2""")(stance_profile)
 add("e5_holm", f"""WITH {FE}, t AS (SELECT label, avg(abs(x0)) / 4 AS p FROM feats GROUP BY label), r AS (SELECT *, row_number() OVER (ORDER BY p, label) AS r, count(*) OVER () AS m FROM t)
 SELECT label, round(p, 6) AS p, round(least(max((m - r + 1) * p) OVER (ORDER BY p, label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 6) AS p_holm FROM r""")(lambda s, d: ev.holm(fe(s, d).groupBy("label").agg((F.avg(F.abs("x0")) / 4).alias("p"))))
 add("e6_overlap_fractions", f"""WITH {FE}, b AS (SELECT label, min(x0) AS lo, max(x0) AS hi, min(x1) AS lo2, max(x1) AS hi2 FROM feats GROUP BY label) SELECT label, round(greatest(least(hi, hi2) - greatest(lo, lo2), 0) / (hi - lo), 6) AS a, round(greatest(least(hi, hi2) - greatest(lo, lo2), 0) / (hi2 - lo2), 6) AS b FROM b""")(
@@ -150,11 +195,8 @@ BOTH = pred_sql("qda").replace("cls AS", "qcls AS").replace(", cls c", ", qcls c
 add("j7_mcnemar", f"WITH {BOTH} SELECT count(*) FILTER (WHERE q.pred = q.label AND l.pred = l.label) AS a, count(*) FILTER (WHERE q.pred = q.label AND l.pred <> l.label) AS b, count(*) FILTER (WHERE q.pred <> q.label AND l.pred = l.label) AS c, count(*) FILTER (WHERE q.pred <> q.label AND l.pred <> l.label) AS d FROM qpr q JOIN lpr l USING (row_id)")(
     lambda s, d: ev.mcnemar(predicted(s, d, "qda"), predicted(s, d, "lda"))
 )
-add("o1_choose_cell", "SELECT 'gain_matched' AS rep, 'cop' AS fset, 'lda' AS kind, round(avg(CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM embeddings")(
-    lambda s, d: ev.choose_cell(
-        s.read.parquet(f"{d}/embeddings.parquet").agg(F.avg((F.col("label") % 2 == 0).cast("double")).alias("accuracy")).withColumn("c", F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(f).alias("fset"), F.lit(k).alias("kind")) for r, f, k in (("conductance", "cop", "lda"), ("gain_matched", "cop", "qda"), ("gain_matched", "cop", "lda"), ("raw", "all", "lda"), ("raw", "cop", "logistic"))])))
-        .select("c.*", "accuracy")
-    )
+add("o1_choose_cell", f"WITH {CELLS}, {_cell_score} SELECT rep, fset, kind, round(n_correct / n, 6) AS accuracy FROM ce ORDER BY round(n_correct / n, 6) DESC, CASE rep WHEN 'raw' THEN 0 WHEN 'gain_matched' THEN 1 ELSE 2 END, kind LIMIT 1")(
+    lambda s, d: ev.choose_cell(ev.score(cells(s, d, ("lda", "qda"), {"cop": SETS["cop"]}), ["rep", "fset", "kind"]).select("rep", "fset", "kind", "accuracy"))
 )
 add("o2_first_errors", f"WITH {FOLDS}, r AS (SELECT label, pred, row_id, row_number() OVER (PARTITION BY label, pred ORDER BY row_id) AS place FROM fp WHERE pred <> label) SELECT * FROM r WHERE place <= 12")(lambda s, d: ev.first_errors(folds(s, d)).select("label", "pred", "row_id", "place"))
 _wrong = lambda p: p.filter("pred <> label").select("row_id")
@@ -177,6 +219,10 @@ add("a22_band_overlap", f"WITH {FE}, b AS (SELECT label AS b, quantile_cont(x0,
 add("a23_peak_trend", f"WITH {FE} SELECT label, session, round(regr_slope(x0, x1), 6) AS slope, round(regr_intercept(x0, x1), 6) AS intercept, round(corr(x0, x1), 6) AS r, CAST(regr_count(x0, x1) AS BIGINT) AS n FROM feats GROUP BY GROUPING SETS ((label), (label, session))")(lambda s, d: reports.peak_trend(fe(s, d), "x0", "x1").drop("p"))
 add("a23_peak_trend_p")(lambda s, d: reports.peak_trend(fe(s, d), "x0", "x1").select("label", "session", "p"))
 add("a28_majority_floor", f"WITH {FE}, n AS (SELECT label, count(*) AS n FROM feats GROUP BY label) SELECT max(n) AS n_top, round(max(n) / sum(n), 6) AS floor, CAST(sum(n) AS BIGINT) AS n FROM n")(lambda s, d: reports.majority(fe(s, d)))
+add("a28_split_floors", f"""WITH {FE}, {_PLACED}, c AS (SELECT *, CAST(round_even(n * 0.6, 0) AS BIGINT) AS t FROM pl), k AS (SELECT label, count(*) FILTER (WHERE place <= t - 1) AS a, count(*) FILTER (WHERE place > t) AS b FROM c WHERE place > t OR place <= t - 1 GROUP BY label)
+SELECT round(max(a + b) / sum(a + b), 6) AS floor_all, round(max(b) / sum(b), 6) AS floor_test, (SELECT label FROM k ORDER BY a DESC, label LIMIT 1) AS train_top, round((SELECT b FROM k ORDER BY a DESC, label LIMIT 1) / sum(b), 6) AS train_on_test, CAST(sum(b) AS BIGINT) AS n_test FROM k""")(
+    lambda s, d: (lambda both: reports.majority_floor(both.filter("side = 'train'"), both.filter("side = 'test'")))(fe(s, d).join(splits.time_blocked(fe(s, d), guard=1), "row_id"))
+)
 add("a29_prediction_summary", f"WITH {pred_sql('qda')} SELECT pred, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM pr GROUP BY pred")(lambda s, d: reports.prediction_summary(predicted(s, d, "qda")))
 
 # ---- calibration -------------------------------------------------------------------------------------------------------
@@ -192,7 +238,8 @@ add("a24_fit_sensors", f"""WITH {T}, x AS (SELECT *, {_fit} AS x FROM trials WHE
 min(x) AS x_min, max(x) AS x_max, max(CASE WHEN x IS NOT NULL THEN count END) - min(CASE WHEN x IS NOT NULL THEN count END) AS cr FROM x GROUP BY sensor), s AS (SELECT unnest(range(6)) AS sensor)
 SELECT s.sensor, round(a, 6) AS a, round(b, 6) AS b, round(r2, 6) AS r2, coalesce(n_points, 0) AS n_points, coalesce(n_saturated, 0) AS n_saturated, coalesce(n_dropped, 0) AS n_dropped, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, round(CAST(cr AS DOUBLE), 6) AS count_range,
 CASE WHEN n_points IS NULL THEN 'no_data' WHEN n_points < 3 THEN 'few_points' WHEN cr < 100 THEN 'flat' WHEN a IS NULL THEN 'degenerate' WHEN coalesce(r2, 0) < 0.9 THEN 'poor_fit' ELSE 'ok' END AS flag FROM s LEFT JOIN f ON f.sensor = s.sensor""")(lambda s, d: cal.fit_sensors(ad.trials(s, d).filter("sensor < 5")))
-add("a24_residuals")(lambda s, d: (lambda t: cal.residuals(t, cal.fit_sensors(t)).select("sensor", F.size("residuals").alias("n"), F.aggregate("residuals", F.lit(0.0), lambda a, x: a + x * x).alias("ss")))(ad.trials(s, d)))
+_res = "CASE WHEN count > 0 AND count < 4070 THEN count / CAST(4095 - count AS DOUBLE) END"
+add("a24_residuals", f"WITH {T}, x AS (SELECT *, {_res} AS x FROM trials), f AS (SELECT sensor, regr_slope(force_n, x) AS a, regr_intercept(force_n, x) AS b FROM x GROUP BY sensor) SELECT CAST(sensor AS BIGINT) AS sensor, count(*) AS n, round(sum(power(force_n - (a * x + b), 2)), 6) AS ss FROM x JOIN f USING (sensor) WHERE x IS NOT NULL GROUP BY sensor")(lambda s, d: (lambda t: cal.residuals(t, cal.fit_sensors(t)).select("sensor", F.size("residuals").alias("n"), F.aggregate("residuals", F.lit(0.0), lambda a, x: a + x * x).alias("ss")))(ad.trials(s, d)))
 add("a25_steady_median", f"""WITH {ad.FRAMES_SQL}, m AS (SELECT session_id, min(ts_us) AS t0 FROM frames GROUP BY session_id), v AS (SELECT f.session_id, s2, CASE WHEN (ts_us - t0) / 1e6 >= 1.0 THEN s2 END AS v FROM frames f JOIN m USING (session_id))
 SELECT session_id, round(CASE WHEN count(v) >= 20 THEN median(v) ELSE median(s2) END, 6) AS steady, count(v) AS n_steady FROM v GROUP BY session_id""")(lambda s, d: cal.steady_median(ad.frames(s, d), "s2"))
 add("a26_trial_stats", f"""WITH {T}, t AS (SELECT sensor, trial % 40 AS trial, count AS v FROM trials) SELECT CAST(sensor AS BIGINT) AS sensor, trial, count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) < 2 THEN 0.0 ELSE stddev_samp(v) END, 6) AS sd, CAST(min(v) AS BIGINT) AS min, CAST(max(v) AS BIGINT) AS max,
@@ -207,8 +254,29 @@ add("a27_gain_match", f"WITH {T}, {_cycle}, k AS (SELECT sensor, force_n / (c /
         ad.trials(s, d).filter("count between 500 and 3500").groupBy("sensor").agg(F.min_by("count", "trial").cast("double").alias("count_mean"))
     )
 )
-add("h1_field_weights")(lambda s, d: fl.mean_field(ad.frames(s, d).filter("frame_idx < 100"), fl.weights(s), ["label"]).groupBy("label").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_inside"), F.max("value").alias("max")))
-add("h2_mean_field")(lambda s, d: fl.mean_field(ad.frames(s, d), fl.weights(s), ["label"]).filter("gx % 10 = 0 and gy % 10 = 0"))
+
+
+def field_sql():
+    """Cells of the grid with the weights of the sensors and the mask, and the mean field of the labels."""
+    import numpy as np
+
+    v = np.array(fl.OUTLINE)
+    v = (v - v.min(0)) / np.ptp(v, axis=0)
+    edges = ", ".join(f"({float(a)!r}, {float(b)!r}, {float(c)!r}, {float(e)!r})" for (a, b), (c, e) in zip(v, np.roll(v, -1, 0)) if b != e)
+    nx, ny = round(WIDTH_MM), round(LENGTH_MM)
+    gap = [f"sqrt(power(x * {WIDTH_MM} / {LENGTH_MM} - {a} / {LENGTH_MM}, 2) + power(y - {b} / {LENGTH_MM}, 2))" for a, b in CENTRES_MM]
+    hit = " OR ".join(f"d{i} < 1e-9" for i in range(6))
+    w = [f"CASE WHEN {hit} THEN CASE WHEN d{i} < 1e-9 THEN 1.0 ELSE 0.0 END ELSE 1 / power(d{i}, 2) END AS w{i}" for i in range(6)]
+    total = " + ".join(f"w{i}" for i in range(6))
+    crossed = "(y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1"
+    return f"""edges(x1, y1, x2, y2) AS (SELECT CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), CAST(d AS DOUBLE) FROM (VALUES {edges}) t(a, b, c, d)), cell AS (SELECT gx, gy, gx / CAST({nx - 1} AS DOUBLE) AS x, gy / CAST({ny - 1} AS DOUBLE) AS y FROM (SELECT unnest(range({nx})) AS gx) CROSS JOIN (SELECT unnest(range({ny})) AS gy)),
+gap AS (SELECT *, {', '.join(f'{g} AS d{i}' for i, g in enumerate(gap))} FROM cell), wgt AS (SELECT gx, gy, x, y, {', '.join(w)} FROM gap), mask AS (SELECT gx, gy, count(*) FILTER (WHERE {crossed}) % 2 = 1 AS inside FROM cell, edges GROUP BY gx, gy),
+means AS (SELECT label, {', '.join(f'avg(s{i}) AS a{i}' for i in range(6))} FROM frames GROUP BY label),
+field AS (SELECT label, gx, gy, CASE WHEN inside THEN ({' + '.join(f'w{i} * a{i}' for i in range(6))}) / ({total}) END AS value FROM wgt JOIN mask USING (gx, gy) CROSS JOIN means)"""
+
+
+add("h1_field_weights", f"WITH {ad.FRAMES_SQL}, {field_sql()} SELECT label, count(*) AS n_cells, count(value) AS n_inside, round(max(value), 6) AS max FROM field GROUP BY label")(lambda s, d: fl.mean_field(ad.frames(s, d), fl.weights(s), ["label"]).groupBy("label").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_inside"), F.max("value").alias("max")))
+add("h2_mean_field", f"WITH {ad.FRAMES_SQL}, {field_sql()} SELECT label, gx, gy, round(value, 6) AS value FROM field")(lambda s, d: fl.mean_field(ad.frames(s, d), fl.weights(s), ["label"]))
 
 # ---- arrivals and streams ----------------------------------------------------------------------------------------------
 _gap = "g AS (SELECT user_id AS session_id, event_id AS line_no, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap_s FROM events)"
@@ -219,24 +287,46 @@ add("t9_capture_window", "SELECT session_id, count(*) AS n FROM (SELECT user_id
 
 
 def shared(spark):
+    """A new place in the folder that driver and executors share; a local one where it is unset and the master is local."""
     from tempfile import mkdtemp
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = mkdtemp(prefix="spark-")
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
-def streamed(spark, d, max_files=None):
-    """Events of the live job over the adapter's lines, written as files and streamed in several micro-batches."""
+#: Files that each arrival of lines is written to, so that a micro-batch takes one arrival.
+FILES = 4
+
+
+def arrived(spark, parts):
+    """A stream of lines that came in several arrivals, one micro-batch each: parts are tables of lines in the order of arrival."""
     from strideforge.sources.logs import line_stream
 
     base = shared(spark)
-    lines = ad.lines(spark, d).withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+    for k, part in enumerate(parts):
+        # one file for each partition, and the later arrivals in later files
+        part.repartition(FILES).write.mode("append").json(f"{base}/in/part={k}")
+    return base, line_stream(spark, f"{base}/in/*", FILES)
+
+
+def streamed(spark, d, again=None, **settings):
+    """Events of the live job over the adapter's lines: two halves of every session, then lines that come again, then the ends."""
+    lines = ad.lines(spark, d).withColumn("arrival_ts", F.expr("timestamp_micros(1704067200000000 + line_no * 2500)"))
     ends = lines.groupBy("session_id").agg((F.max("line_no") + 1).alias("line_no")).select("session_id", "line_no", F.lit(live.END).alias("value"), F.lit("2024-01-01").cast("timestamp").alias("arrival_ts"))
-    lines.unionByName(ends).repartitionByRange(4, "line_no").write.json(f"{base}/in")
-    stream = live.live_stances(line_stream(spark, f"{base}/in", max_files), fq.MODEL, ["cop_path_len", "cop_displacement"], stall_s=0)
+    parts = [lines.filter(f"line_no < {HALF}"), lines.filter(f"line_no >= {HALF}"), *([lines.filter(again)] if again else []), ends]
+    base, stream = arrived(spark, parts)
+    stream = live.live_stances(stream, fq.MODEL, ["cop_path_len", "cop_displacement"], stall_s=0, **settings)
     return live.run_now(stream, f"{base}/out", f"{base}/ck")
 
 
+#: Lines of a session that come in its first micro-batch.
+HALF = 1100
+
+
 add("t2_t6_live_events", f"WITH {fq.EVENTS} SELECT CAST(session_id AS VARCHAR) AS session_id, kind, epoch, start, \"end\", emit_idx FROM events_")(
     lambda s, d: streamed(s, d).filter("kind <> 'end'").select("session_id", "kind", "epoch", "start", "end", "emit_idx")
 )
@@ -250,18 +340,23 @@ def live_features(spark, d):
     return streamed(spark, d).filter("kind = 'stance'").select("session_id", "epoch", "start", "end", "gap_frames", "dt_s", *ft.FORCE_FEATURES, *ft.COP_FEATURES, "pred")
 
 
-add("t4_live_features")(live_features)
+add("t4_live_features", fq.LIVE)(live_features)
+add("t10_late_lines", f"WITH {ad.FRAMES_SQL}, {ad.LINES_SQL} SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) FILTER (WHERE line_no % 50 = 4) AS late FROM lines GROUP BY session_id")(
+    lambda s, d: streamed(s, d, again="line_no % 50 = 4").filter("kind = 'end'").select("session_id", F.element_at("counters", F.lit("late")).alias("late"))
+)
+_late = "line_no * 2500 - min(line_no * 2500) OVER (PARTITION BY session_id) > 4000000"
+add("t9_live_window", f"WITH {ad.FRAMES_SQL}, {ad.LINES_SQL}, t AS (SELECT session_id, {_late} AS outside FROM lines) SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) FILTER (WHERE outside) AS outside FROM t GROUP BY session_id")(
+    lambda s, d: streamed(s, d, duration_s=1.5, slack_s=2.5).filter("kind = 'end'").select("session_id", F.element_at("counters", F.lit("outside")).alias("outside"))
+)
 
 
 def status(spark, d):
-    base = shared(spark)
-    ad.arrivals(spark, d).write.json(f"{base}/in")
-    from strideforge.sources.logs import line_stream
-
-    stream = live.status_counts(line_stream(spark, f"{base}/in"), "1 day", "400 days")
-    query = stream.writeStream.format("memory").queryName("status_" + uuid.uuid4().hex).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/ck").start()
-    query.awaitTermination()
-    return spark.table(query.name).select(F.unix_micros("from").alias("from_us"), "session_id", "n_lines")
+    """Windows of arrival per session, appended as the watermark closes them; rows of a later day close the last ones."""
+    rows = ad.arrivals(spark, d).select("session_id", "line_no", "value", "arrival_ts")
+    mark = rows.agg(F.max("arrival_ts").alias("t")).select(F.lit("mark").alias("session_id"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("value"), F.expr("t + interval 800 days").alias("arrival_ts"))
+    base, stream = arrived(spark, [rows.withColumn("session_id", F.col("session_id").cast("string")), mark])
+    done = live.run_now(live.status_counts(stream, "1 day", "400 days"), f"{base}/out", f"{base}/ck")
+    return done.filter("session_id <> 'mark'").select(F.unix_micros("from").alias("from_us"), "session_id", "n_lines")
 
 
 add("t8_status_counts", "SELECT epoch_us(date_trunc('day', ts)) AS from_us, CAST(user_id AS VARCHAR) AS session_id, count(*) AS n_lines FROM events GROUP BY 1, 2")(status)
@@ -286,7 +381,7 @@ def log_round_trip(spark, d):
     from strideforge.sources.logs import read_frame_log
 
     base = shared(spark)
-    one = ad.lines(spark, d).repartition(8, "session_id").sortWithinPartitions("session_id", "line_no")
+    one = ad.lines(spark, d).repartition("session_id").sortWithinPartitions("session_id", "line_no")
     one.select("value").write.text(base)
     return fx.parse_frames(read_frame_log(spark, base)).groupBy("status").agg(F.count("*").alias("n"), F.sum("s4").alias("s4"))
 
@@ -320,7 +415,74 @@ add("io11_next_trial", "SELECT CAST(p_partkey % 6 AS BIGINT) AS sensor, max(p_pa
 def fingerprints(spark, d):
     from strideforge.sources.documents import fingerprint
 
-    return fingerprint(spark, f"{d}/region.parquet")
+    return fingerprint(spark, f"{d}/lineitem.parquet")
+
+
+add("io13_fingerprint")(fingerprints)  # the files' own bytes: no SQL over tables tells them; a test holds it against hashlib
+
+
+def manifest_round_trip(spark, d):
+    from strideforge.sources.documents import append_trials, read_manifest
+
+    base = shared(spark)
+    t = ad.trials(spark, d).selectExpr(
+        "sensor", "CAST(trial AS INT) AS trial", "concat('c/', CAST(trial AS STRING), '.csv') AS csv_path", "g_min", "g_max", "force_n", "0.5 AS sigma_force_n", "200 AS n_samples", "CAST(count AS DOUBLE) AS count_mean", "1.25D AS count_sd", "0.0D AS saturated_frac", "timestamp_seconds(trial) AS timestamp_iso"
+    )
+    append_trials(t.filter("trial % 2 = 0"), base)
+    append_trials(t.filter("trial % 2 = 1"), base)
+    back = read_manifest(spark, base)
+    return back.groupBy("sensor").agg(F.count("*").alias("n"), F.sum("trial").alias("trial"), F.sum("force_n").alias("force_n"), F.max("count_mean").alias("count_mean"), F.max(F.unix_seconds("timestamp_iso")).alias("last"))
+
+
+add("io6_io7_manifest", f"WITH {T} SELECT CAST(sensor AS BIGINT) AS sensor, count(*) AS n, CAST(sum(trial) AS BIGINT) AS trial, round(sum(force_n), 6) AS force_n, CAST(max(count) AS DOUBLE) AS count_mean, max(trial) AS last FROM trials GROUP BY sensor")(manifest_round_trip)
+
 
+def calibration_round_trip(spark, d):
+    """Fits and gains, written, loaded and applied to the trials."""
+    from strideforge.sources.documents import load_calibration, load_gain_match, save_calibration, save_gain_match
 
-add("io13_fingerprint")(fingerprints)
+    base, t = shared(spark), ad.trials(spark, d)
+    save_calibration(cal.fit_sensors(t), f"{base}/fits")
+    rows = cal.derive_gain_match(t.filter("count between 500 and 3500").groupBy("sensor").agg(F.min_by("count", "trial").cast("double").alias("count_mean"), (F.first("sensor") * 0.1 + 11.4).alias("force_n"))).collect()  # a row a sensor
+    save_gain_match(spark, {r["sensor"]: r["k"] for r in rows}, {r["sensor"]: r["correction"] for r in rows}, f"{base}/gains")
+    fits, (gains, full_scale) = load_calibration(spark, f"{base}/fits"), load_gain_match(spark, f"{base}/gains")
+    small = spark.createDataFrame([(k, v["a"], v["b"], v["flag"], gains[k], full_scale) for k, v in fits.items()], "sensor int, a double, b double, flag string, correction double, full_scale int")
+    x = F.col("count") / (F.col("full_scale") - F.col("count"))
+    return t.join(F.broadcast(small), "sensor").groupBy("sensor", "flag").agg(F.count("*").alias("n"), F.sum(F.when(F.col("count") < 4070, F.col("a") * x + F.col("b"))).alias("force"), F.sum(F.when(F.col("count") < 4070, x * F.col("correction"))).alias("matched"))
+
+
+add("io9_calibration_documents", f"""WITH {T}, {_cycle}, k AS (SELECT sensor, force_n / (c / CAST(4095 - c AS DOUBLE)) AS k FROM cyc), g AS (SELECT sensor, k / avg(k) OVER () AS correction FROM k), x AS (SELECT *, {_fit} AS x FROM trials),
+f AS (SELECT sensor, regr_slope(force_n, x) AS a, regr_intercept(force_n, x) AS b, regr_r2(force_n, x) AS r2, count(x) AS n, max(CASE WHEN x IS NOT NULL THEN count END) - min(CASE WHEN x IS NOT NULL THEN count END) AS cr FROM x GROUP BY sensor)
+SELECT CAST(t.sensor AS BIGINT) AS sensor, CASE WHEN f.n < 3 THEN 'few_points' WHEN cr < 100 THEN 'flat' WHEN a IS NULL THEN 'degenerate' WHEN coalesce(r2, 0) < 0.9 THEN 'poor_fit' ELSE 'ok' END AS flag, count(*) AS n,
+round(sum(CASE WHEN t.count < 4070 THEN a * (t.count / CAST(4095 - t.count AS DOUBLE)) + b END), 6) AS force, round(sum(CASE WHEN t.count < 4070 THEN t.count / CAST(4095 - t.count AS DOUBLE) * correction END), 6) AS matched FROM trials t JOIN f USING (sensor) JOIN g USING (sensor) GROUP BY 1, 2""")(calibration_round_trip)
+
+
+def prediction_rows(spark, d):
+    from strideforge.sources.logs import write_predictions
+
+    base = shared(spark)
+    rows = fq.predictions(fq.accounted(spark, d))
+    write_predictions(rows, base)
+    back = spark.read.option("header", True).schema(rows.schema).csv(base)
+    return back.groupBy("pred").agg(F.count("*").alias("n"), F.sum("n_frames").alias("n_frames"), F.sum("gap_frames").alias("gap_frames"), F.sum("impulse_counts_s").alias("impulse"))
+
+
+add("io10_predictions", f"""{fq.FLAGSHIP}, fg AS (SELECT session_id, stance, sum(CASE WHEN frame_idx > start THEN last_gap ELSE 0 END) AS gaps FROM inside GROUP BY 1, 2)
+SELECT pred, count(*) AS n, CAST(sum(n_frames) AS BIGINT) AS n_frames, CAST(sum(gaps) AS BIGINT) AS gap_frames, round(sum(f.impulse_counts_s), 6) AS impulse FROM flagship p JOIN feats f ON f.session_id = p.session_id * 100 + p.epoch AND f.stance = p.stance JOIN fg g ON g.session_id = f.session_id AND g.stance = f.stance GROUP BY pred""".replace("SELECT pred, count(*) AS n, CAST(sum(n_frames)", "SELECT pred, count(*) AS n, CAST(sum(p.n_frames)"))(prediction_rows)
+
+
+def stored_model(spark, d):
+    """A model of even sessions, stored with its representation, applied to odd ones under the representation that it names."""
+    base = shared(spark)
+    rows = ad.stances(spark, d)
+    fitted = models.fit(rows.filter("rep = 'gain_matched' and CAST(session AS INT) % 2 = 0"), SETS["cop"], "qda")
+    models.save_model(spark, fitted, base, {"representation": "gain_matched"})
+    model = models.load_model(spark, base)
+    rep = fx.resolve_representation(model["meta"], ad.GAINS)
+    other = rows.filter((F.col("rep") == rep) & (F.col("session").cast("int") % 2 == 1))
+    found = models.predict(other, model, SETS["cop"])
+    return ev.score(found, ["label"]).select("label", "n", "n_correct", "accuracy")
+
+
+add("p15_m7_stored_model", f"""WITH {CELLS}, pop AS (SELECT * FROM cw WHERE rep = 'gain_matched'), st AS (SELECT label, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, covar_samp(x0, x0) AS c00, covar_samp(x0, x1) AS c01, covar_samp(x1, x1) AS c11 FROM pop WHERE CAST(session AS INT) % 2 = 0 GROUP BY label),
+{QDA}, odd AS (SELECT * FROM pop WHERE CAST(session AS INT) % 2 = 1), {SCORED.format(test='odd')} SELECT label, count(*) AS n, count(*) FILTER (WHERE pred = label) AS n_correct, round(count(*) FILTER (WHERE pred = label) / count(*), 6) AS accuracy FROM pr GROUP BY label""")(stored_model)

@@ -6,23 +6,27 @@ from pyspark.sql import functions as F
 from strideforge.schemas import CAPTURE_CSV, CHANNELS
 
 
+def _in_file_order(rows):
+    """rows(session_id, _block, _at, ...) numbered from 0 in the order of their file: by block, then as the task read them."""
+    w = Window.partitionBy("session_id").orderBy("_block", "_at")
+    return F.row_number().over(w) - 1
+
+
 def read_frame_log(spark, path):
-    """Lines of saved logs in order: session_id (the file), line_no, value; the piece after the last line feed is no line.
+    """Lines of saved logs in order: session_id (the file), line_no, value; what follows the last line feed is no line if it is empty.
 
-    A file is one row while it is cut, so logs of days should come as tables with line_no already.
+    Files are read line by line and split at any size; lines are numbered in the order of their place in the file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session_id"), "value")
-    pieces = F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)
-    lines = files.filter("value <> ''").select("session_id", F.posexplode(pieces).alias("line_no", "value"))
-    return lines.select("session_id", F.col("line_no").cast("long").alias("line_no"), F.trim("value").alias("value"))
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    return rows.select("session_id", _in_file_order(rows).cast("long").alias("line_no"), F.trim("value").alias("value"))
 
 
 def read_capture_csv(spark, path, schema=CAPTURE_CSV):
-    """Capture CSV files; a header other than the schema's is refused. frame_idx follows the clock and the sequence of a file."""
+    """Capture CSV files; a header other than the schema's is refused. frame_idx follows the rows of a file."""
     raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("session_id"), F.monotonically_increasing_id().alias("_at"), *schema.names)
-    w = Window.partitionBy("session_id").orderBy("_at")
-    return rows.withColumn("frame_idx", (F.row_number().over(w) - 1).cast("long")).drop("_at")
+    rows = raw.select(F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), *schema.names)
+    return rows.withColumn("frame_idx", _in_file_order(rows).cast("long")).drop("_block", "_at")
 
 
 def load_sessions(spark, paths, key=r"([^/]+)\.csv$"):
@@ -42,12 +46,21 @@ def write_predictions(rows, path, format="csv"):
 
 
 def reassemble_lines(chunks):
-    """Whole lines of notification chunks(session_id, chunk_no, bytes): the trailing partial line and blank pieces are dropped."""
-    joined = chunks.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "bytes"))).alias("c"))
-    text = F.array_join(F.transform("c", lambda x: x["bytes"]), "")
-    pieces = F.split(text, "\n", -1)
-    whole = F.filter(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.trim(p) != "")
-    return joined.select("session_id", F.posexplode(whole).alias("line_no", "value")).select("session_id", F.col("line_no").cast("long").alias("line_no"), F.trim("value").alias("value"))
+    """Whole lines of notification chunks(session_id, chunk_no, bytes): the trailing partial line and blank pieces are dropped.
+
+    Each chunk is cut at its line feeds; a piece belongs to the line after the feeds before it. Only the pieces of one line
+    meet, never a whole session.
+    """
+    w = Window.partitionBy("session_id").orderBy("chunk_no")
+    cut = chunks.withColumn("_p", F.split("bytes", "\n", -1)).withColumn("_n", F.size("_p") - 1)
+    cut = cut.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = cut.withColumn("_all", F.sum("_n").over(Window.partitionBy("session_id")))
+    pieces = cut.select("session_id", "chunk_no", "_before", "_all", F.posexplode("_p").alias("_i", "piece"))
+    pieces = pieces.select("session_id", "chunk_no", "piece", (F.col("_before") + F.col("_i")).alias("_line"), "_all").filter(F.col("_line") < F.col("_all"))
+    joined = pieces.groupBy("session_id", "_line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "piece"))), lambda x: x["piece"]), "").alias("value"))
+    whole = joined.select("session_id", "_line", F.trim("value").alias("value")).filter("value <> ''")
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("_line")) - 1
+    return whole.select("session_id", number.cast("long").alias("line_no"), "value")
 
 
 def line_stream(spark, path, max_files=None):
