@@ -3,10 +3,12 @@
 Writing: a page is an HTTP response with a chunked body in a record of its own; a block longer than ``segment_bytes`` goes
 on in continuation records with the origin's id and their segment numbers, the last one with the total length. Of pages
 with equal payloads (SHA-1) of at least ``least_bytes`` bytes the one with the smallest page_id is written in full, the
-others as revisits of it without a payload. Records go to compressed text files through Spark's writer, at most
-``records_per_file`` to a file, in the shared folder or a path of the caller's.
+others as revisits of it without a payload, which name its record (WARC-Refers-To). Records go to compressed text files through
+Spark's writer, at most ``records_per_file`` to a file, in the shared folder or a path of the caller's; that writer zips a file as
+a whole, not record by record.
 
-Reading: records are cut from each file by their Content-Length; segmented ones are grouped by origin id (a group is one
+Reading: files of the names ``pattern`` (those of the writer and .warc files, zipped in one or in many members or not) are unzipped
+piece by piece, records are cut from them by their Content-Length; segmented ones are grouped by origin id (a group is one
 payload), ordered by segment number, and their total length is verified; then the chunked framing is decoded. A revisit
 takes its payload's size from the response that it refers to, by a join. Broken archives (a missing or repeated segment, a
 wrong length, bad framing) are errors, not rows.
@@ -63,21 +65,28 @@ def write_archive(pages, path, least_bytes=0, segment_bytes=SEGMENT_BYTES, chunk
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.coalesce("page_id", F.lit(LAST)).alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    least = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("least"))
-    refers = F.when((F.octet_length("payload") >= least_bytes) & (F.col("least") != F.col("page_id")), F.col("least"))
-    rows = rows.join(least, "digest", "left").withColumn("refers", refers).withColumn("serial", F.monotonically_increasing_id())
+    rows = rows.withColumn("serial", F.monotonically_increasing_id())
+    # a record is named by its page and digest; where rows are repeated, by a serial number as well
+    named = rows.select("digest", "page_id", "serial", F.octet_length("payload").alias("n")).groupBy("digest", "page_id")
+    named = named.agg(F.count("*").alias("copies"), F.min("serial").alias("one"), F.max("n").alias("n"))
+    least = named.groupBy("digest").agg(F.min(F.struct("page_id", "one")).alias("least"), (F.max("copies") > 1).alias("repeated"), F.max("n").alias("n"))
+    rows = rows.join(least.filter((F.col("n") >= least_bytes) | F.col("repeated")), "digest", "left")
+    rows = rows.withColumn("refers", F.when((F.col("n") >= least_bytes) & (F.col("least.page_id") != F.col("page_id")), F.col("least.page_id")))
+    serial = lambda c: F.when(F.coalesce("repeated", F.lit(False)), F.concat(F.lit(":"), F.col(c).cast("string"))).otherwise("")
+    name = lambda page, one: F.concat(F.lit("urn:page:"), F.col(page).cast("string"), F.lit(":"), "digest", serial(one))
+    rows = rows.withColumns({"own": name("page_id", "serial"), "other": name("refers", "least.one")})
 
     def run(batches):
         import pyarrow as pa
 
-        def record(serial, page, url, digest, refers, block):
-            kind = "response" if refers is None else "revisit"
+        def record(own, page, url, digest, other, block):
+            kind = "response" if other is None else "revisit"
             parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)] or [b""]
             for k, part in enumerate(parts, 1):
                 head = [
                     "WARC/1.1",
                     f"WARC-Type: {kind if k == 1 else 'continuation'}",
-                    f"WARC-Record-ID: <urn:page-record:{serial}:{k}>",
+                    f"WARC-Record-ID: <{own}{f'/{k}' if k > 1 else ''}>",
                     "WARC-Date: 1970-01-01T00:00:00Z",
                     f"Content-Length: {len(part)}",
                 ]
@@ -86,13 +95,13 @@ def write_archive(pages, path, least_bytes=0, segment_bytes=SEGMENT_BYTES, chunk
                     if url is not None:
                         head.append("WARC-Target-URI: " + url.replace("\r", "").replace("\n", ""))
                     head.append(f"WARC-Payload-Digest: sha1:{digest}")
-                    if refers is not None:
-                        head.append(f"WARC-Refers-To: <urn:page:{refers}>")
+                    if other is not None:
+                        head.append(f"WARC-Refers-To: <{other}>")
                         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
                 if len(parts) > 1:
                     head.append(f"WARC-Segment-Number: {k}")
                     if k > 1:
-                        head.append(f"WARC-Segment-Origin-ID: <urn:page-record:{serial}:1>")
+                        head.append(f"WARC-Segment-Origin-ID: <{own}>")
                     if k == len(parts):
                         head.append(f"WARC-Segment-Total-Length: {len(block)}")
                 yield "\r\n".join(head).encode() + b"\r\n\r\n" + part
@@ -101,48 +110,79 @@ def write_archive(pages, path, least_bytes=0, segment_bytes=SEGMENT_BYTES, chunk
             for batch in slices(whole, "payload"):
                 d = batch.to_pydict()
                 out = []
-                for serial, page, url, digest, refers, payload in zip(*(d[c] for c in ("serial", "page_id", "url", "digest", "refers", "payload"))):
-                    block = HTTP + chunked(payload, chunk_bytes) if refers is None else HTTP
-                    out += record(serial, page, url, digest, refers, block)
+                for own, page, url, digest, other, payload in zip(*(d[c] for c in ("own", "page_id", "url", "digest", "other", "payload"))):
+                    block = HTTP + chunked(payload, chunk_bytes) if other is None else HTTP
+                    out += record(own, page, url, digest, other, block)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     body = F.when(F.col("refers").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    lean = rows.select("serial", "page_id", "url", "digest", "refers", body.alias("payload"))
+    lean = rows.select("own", "page_id", "url", "digest", "other", body.alias("payload"))
     records = lean.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record"))
     writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file)
     writer.mode("append").text(path)
 
 
-def records(data):
-    """(headers in lower case, block) of the records in the bytes of an archive, compressed or not."""
+#: Bytes that are unzipped at a time.
+PIECE = 1 << 20
+
+
+def unzipped(data):
+    """The bytes of an archive in pieces: of all members of a zipped one, or as they are."""
     import zlib
 
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(out)
-    at, end = 0, len(data)
-    while at < end:
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data, PIECE)
+        while not d.eof:
+            if not d.unconsumed_tail and not (last := d.flush()):
+                raise ValueError("a zipped archive ends early")
+            yield d.decompress(d.unconsumed_tail, PIECE) if d.unconsumed_tail else last
+        data = d.unused_data
+
+
+def records(data):
+    """(headers in lower case, block) of the records in the bytes of an archive, compressed or not."""
+    held, more = bytearray(), unzipped(data)
+
+    def upto(n):
+        """Whether n bytes are there, unzipped as needed."""
+        while len(held) < n:
+            piece = next(more, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while upto(2):
+        if held[:2] == b"\r\n":
+            del held[:2]
             continue
-        stop = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or stop < 0:
+        at = 0
+        while (stop := held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
+            at = len(held)
+            if not upto(at + 1):
+                break
+        if held[:5] != b"WARC/" or stop < 0:
             raise ValueError("not a WARC record")
         head = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
+        for line in bytes(held[:stop]).split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode()] = v.strip().decode()
-        at = stop + 4 + int(head["content-length"])
-        if at > end:
+        end = stop + 4 + int(head["content-length"])
+        if not upto(end):
             raise ValueError("a record ends early")
-        yield head, data[stop + 4 : at]
+        yield head, bytes(held[stop + 4 : end])
+        del held[:end]
+
+
+#: Names of the files that are read.
+PATTERN = "*{.txt,.warc}*"
 
 
-def read_records(spark, path):
+def read_records(spark, path, pattern=PATTERN):
     """All records of the archives under path: one row each, segments not yet joined."""
 
     def run(batches):
@@ -154,7 +194,8 @@ def read_records(spark, path):
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        number = lambda h, k: int(h[k].strip("<>").rpartition(":")[2]) if k in h else None
+        number = lambda h, k: int(h[k]) if h.get(k, "").isdecimal() else None
+        page = lambda name: int(name.split(":")[2]) if name.startswith("<urn:page:") else None
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
@@ -162,7 +203,7 @@ def read_records(spark, path):
                     rows.append(
                         (
                             h["warc-record-id"], h["warc-type"], number(h, "x-page-id"), h.get("warc-target-uri"),
-                            h.get("warc-payload-digest", "").removeprefix("sha1:"), number(h, "warc-refers-to"), h.get("warc-segment-origin-id"),
+                            h.get("warc-payload-digest", "").removeprefix("sha1:"), page(h.get("warc-refers-to", "")), h.get("warc-segment-origin-id"),
                             number(h, "warc-segment-number"), number(h, "warc-segment-total-length"), block,
                         )
                     )
@@ -173,7 +214,7 @@ def read_records(spark, path):
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("content").mapInArrow(run, RECORD)
 
 

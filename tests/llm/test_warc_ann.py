@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -32,6 +33,31 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_of_other_makes(tmp_path, spark):
+    block = lambda k, body: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    one = lambda k, body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nWARC-Target-URI: http://h/%d\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k, k, len(block(k, body)), block(k, body))
+    bodies = [b"a" * 3_000_000, b"", b"\r\n\r\nWARC/1.0", "é".encode()]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(one(k, b)) for k, b in enumerate(bodies)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(one(k, b) for k, b in enumerate(bodies)))
+    got = sorted((r.url, bytes(r.payload)) for r in warc.read_pages(spark, str(tmp_path)).collect())
+    assert got == sorted((f"http://h/{k}", b) for k, b in enumerate(bodies) for _ in range(2))
+    with pytest.raises(ValueError, match="early"):
+        list(warc.records(gzip.compress(one(1, b"abc"))[:-12]))
+    with pytest.raises(ValueError, match="early"):
+        list(warc.records(one(1, b"abc")[:-9]))
+
+
+def test_revisits_name_the_record_of_their_response(spark, tmp_path):
+    rows = [(i, "u", h, "") for i, h in [(1, "x"), (2, "x"), (3, "y"), (3, "y"), (5, "y"), (6, "z"), (7, "z" * 5000), (8, "z" * 5000)]]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), f"{tmp_path}/w", segment_bytes=512)
+    heads = [h for p in (tmp_path / "w").glob("*.gz") for h, _ in warc.records(p.read_bytes())]
+    ids = [h["warc-record-id"] for h in heads]
+    responses = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert len(set(ids)) == len(ids) and len(responses) == 5
+    assert all(h["warc-refers-to"] in responses for h in heads if h["warc-type"] == "revisit")
+    assert all(h["warc-segment-origin-id"] in responses for h in heads if h["warc-type"] == "continuation")
+
+
 def test_least_bytes(spark):
     rows = [(1, "u", "ab", ""), (2, "u", "ab", ""), (3, "u", "abcdef", ""), (4, "u", "abcdef", "")]
     out = warc.round_trip(spark.createDataFrame(rows, PAGES), least_bytes=5).collect()
