@@ -29,8 +29,9 @@ SPLIT = r"(?<=\n)|(?<=[.!?] )"
 #: Factor and modulus of the rolling hash over two 32-bit line hashes (fixed values).
 FACTOR, MODULUS = 1000003, 2147483647
 MIN_LINES, MIN_CHARS = 2, 64
-#: Share of a document that makes it a copy of another one, for callers that look for near duplicates afterwards.
-COPY = 0.5
+#: Similarity that makes a document a copy of another one, for callers that look for near duplicates afterwards; and the share
+#: of the longer one's characters in common lines from which on it is looked at.
+COPY, LEAST_COMMON = 0.8, 0.1
 MARK = "\x01"
 
 
@@ -132,11 +133,11 @@ def repeated_runs(docs, min_chars=MIN_CHARS, copies=None):
     first = materialize(first.select("bytes", "first"), "line-pair-firsts")
     gone = found.join(first, "bytes").filter(place != F.col("first"))
     if copies is not None:
-        other = (F.col("first._id") != F.col("_id")) | (F.col("first._th") != F.col("_th"))
-        source = gone.filter(other).groupBy("_id", "_th", F.col("first._id").alias("id"), F.col("first._th").alias("th"))
+        gone = gone.withColumns({"id": F.col("first._id"), "th": F.col("first._th")})
+        source = gone.filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th"))).groupBy("_id", "_th", "id", "th")
         source = source.agg(F.sum("chars").alias("chars"), F.max(F.greatest("size", "first.size")).alias("size"))
-        whole = source.filter(F.col("chars") >= copies * F.col("size")).select("_id", "_th").distinct()
-        gone = gone.join(whole, ["_id", "_th"], "left_anti")
+        source = source.filter(F.col("chars") >= LEAST_COMMON * F.col("size")).select("_id", "_th", "id", "th")
+        gone = gone.join(_copied(docs, materialize(source, "line-sources"), copies), ["_id", "_th", "id", "th"], "left_anti")
     gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
     order = Window.partitionBy("_id", "_th").orderBy("i")
     gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
@@ -147,11 +148,29 @@ def repeated_runs(docs, min_chars=MIN_CHARS, copies=None):
     return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
 
 
+def _copied(docs, pairs, similarity):
+    """The pairs of documents (_id, _th, id, th) whose five-word shingles have the similarity; equal texts need no look."""
+    a, z = (ord(c) for c in "AZ")
+    capitals = "".join(map(chr, range(a, z + 1)))
+    words = F.filter(F.split(F.translate("text", capitals, capitals.lower()), "[ \\t-\\r]+", -1), lambda w: w != "")
+    near = pairs.filter("_th <> th")
+    wanted = near.select("_id", "_th").union(near.select("id", "th")).distinct()
+    cut = docs.join(wanted, ["_id", "_th"], "left_semi").select("_id", "_th", F.inline(F.array(F.struct(words.alias("w")))))
+    several = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))
+    sets = F.array_distinct(F.when(F.size("w") >= 5, several).otherwise(F.array(F.xxhash64("w"))))
+    sets = materialize(cut.select("_id", "_th", sets.alias("s")), "line-source-sets")
+    both = near.join(sets, ["_id", "_th"]).join(sets.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("s").alias("t")), ["id", "th"])
+    both = both.select("_id", "_th", "id", "th", F.size(F.array_intersect("s", "t")).alias("n"), (F.size("s") + F.size("t")).alias("m"))
+    alike = both.filter(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("_id", "_th", "id", "th")
+    return alike.union(pairs.filter("_th = th").select("_id", "_th", "id", "th"))
+
+
 def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed"):
     """docs with every run of two or more lines that stand in an earlier place removed from text, and a column ``count`` (lines).
 
-    copies: a document of which one earlier document holds so large a share (of the longer one's characters) is a copy of it, not
-    a text with a repeated passage; it stays as it is, for a later search for near duplicates, which could not tell fragments.
+    copies: where two documents' five-word shingles have this similarity, the later one is a copy of the earlier one, not a
+    text with a repeated passage; what they share stays, for a later search for near duplicates, which could not tell fragments.
+    What stands in a third document earlier than both goes from both.
     """
     other = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     t = F.coalesce("text", F.lit(""))
