@@ -17,7 +17,7 @@ import base64
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideforge.llm.common import materialize, table
+from strideforge.llm.common import materialize, released, table
 
 #: A table of token bytes larger than this is refused, as it is broadcast.
 MAX_TABLE_BYTES = 64 << 20
@@ -167,7 +167,7 @@ def _blocks(words, names, n_buckets):
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 yield packed(batch.slice(int(a), int(b - a)))
-                pa.default_memory_pool().release_unused()
+                released()
                 block += 1
 
     return words.mapInArrow(run, BLOCKS)
@@ -203,6 +203,8 @@ def _encode_words(rows, tokens):
                     counts.append(len(got))
                 out.append(n.to_bytes(4, "little") + pack(np.array(counts + ids, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
+        del memo, ranks
+        released()
 
     return rows.mapInArrow(run, "block long, bucket int, ids binary")
 
@@ -265,6 +267,7 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
                     some = rest.slice(row, end - row)
                     yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), lists], [*rest.schema.names, "ids"])
                     a, row = b, end
+                released()
 
     return whole.select("codes", "counts", "n_words", "rows", "ids").mapInArrow(run, out_schema)
 

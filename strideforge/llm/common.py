@@ -55,7 +55,20 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch, column, limit=4 << 20):
+def released():
+    """Give memory that a worker no longer uses back to the system: executors keep their workers from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def slices(batch, column, limit=2 << 20):
     """Cut an Arrow batch into runs of rows of about ``limit`` bytes by a column of texts or of sizes: bounds a task's memory."""
     import numpy as np
     import pyarrow as pa
@@ -71,7 +84,7 @@ def slices(batch, column, limit=4 << 20):
     cuts = np.flatnonzero(np.diff(piece)) + 1
     for a, b in zip([0, *cuts], [*cuts, n]):
         yield batch.slice(int(a), int(b - a))
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def ascii_words(texts):

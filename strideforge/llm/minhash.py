@@ -24,7 +24,7 @@ long as its component holds an id. Repeated rows are copies of each other. Extra
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import MAX_BROADCAST, NULL_ID, ascii_words, hashed, keyed, lower_ascii, materialize, mix64, slices, table
+from strideforge.llm.common import MAX_BROADCAST, NULL_ID, ascii_words, hashed, keyed, lower_ascii, materialize, mix64, released, slices, table
 from strideforge.llm.components import connected
 
 ROWS, BANDS = 5, 28
@@ -153,8 +153,9 @@ def compressed(docs):
 
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            blobs = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(blobs, pa.binary())], ["_id", "blob"])
+            for part in slices(batch, "text"):
+                blobs = [z.compress((t or "").encode()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(blobs, pa.binary())], ["_id", "blob"])
 
     return docs.mapInArrow(run, "_id long, blob binary")
 
@@ -185,10 +186,11 @@ def confirm(pairs, docs, percent):
         d, memo = zstandard.ZstdDecompressor(), {}
 
         def sets(ids, blobs):
-            """id -> set; the sets of the last batches are kept up to a bound of 20,000,000 hashes."""
+            """id -> set; the sets of the last batches are kept up to a bound of 4,000,000 hashes."""
             new = {i: b for i, b in zip(ids, blobs) if i not in memo}
-            if sum(len(s) for s in memo.values()) > 20_000_000:
+            if sum(len(s) for s in memo.values()) > 4_000_000:
                 memo.clear()
+                released()
                 new = dict(zip(ids, blobs))
             keys = list(new)
             for at in range(0, len(keys), 500):
@@ -197,14 +199,16 @@ def confirm(pairs, docs, percent):
                 memo.update({i: flat[offsets[j] : offsets[j + 1]] for j, i in enumerate(part)})
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 blobs_a, blobs_b = batch.column("blob_a").to_pylist(), batch.column("blob_b").to_pylist()
                 a = [(i, hash(x)) for i, x in zip(batch.column("a").to_pylist(), blobs_a)]
                 b = [(i, hash(x)) for i, x in zip(batch.column("b").to_pylist(), blobs_b)]
                 sets(a + b, blobs_a + blobs_b)
                 keep = [similar(memo[x], memo[y], percent) for x, y in zip(a, b)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        memo.clear()
+        released()
 
     texts = texts_of(docs, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
     left = texts.select(F.col("_id").alias("a"), F.col("blob").alias("blob_a"))
@@ -294,7 +298,9 @@ def apart_links(large, nodes, labels, docs, rows, bands, percent):
                     two = (la[p], lb[q])
                     if two not in found and similar(sx[p], sy[q], percent):
                         found[two] = (a[p], b[q])
+                del sx, sy
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["a", "b"])
+            released()
 
     return rest.join(every, ["key", "deal"]).select("band", "x", "y").mapInArrow(run, "a long, b long")
 
