@@ -250,6 +250,7 @@ def apart_links(large, nodes, labels, docs, rows, bands, percent):
     marked = large.distinct().join(known, "node")
     sizes = marked.groupBy("key", "label").count()
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"))
+    main = materialize(main, "bucket-mains")  # a plain exchange then, beside which Spark splits the tasks of a large bucket
     marked = materialize(marked.join(main, "key").filter("n_main < size"), "marked")
     texts = texts_of(docs, marked.select(F.col("node").alias("_id")).distinct()).withColumnRenamed("_id", "node")
     deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
