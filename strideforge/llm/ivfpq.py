@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strideforge.llm.common import least_hashes, materialize, table
 
-MAX_TRAIN, LEAST_TRAIN, PARTS, REACH, LEAST, BLOCK_ROWS, GROUP_ROWS = 65_536, 8_192, 16, 1.3, 16, 4096, 256
+MAX_TRAIN, LEAST_TRAIN, PARTS, REACH, LEAST, BLOCK_ROWS, GROUP_ROWS, LOT = 65_536, 8_192, 16, 1.3, 16, 4096, 256, 8
 
 
 def kmeans(x, k, rounds=12, seed=0):
@@ -201,7 +201,7 @@ def scanned(groups, blocks, model, k):
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    joined = blocks.join(groups, ["list", "deal"]).select("list", "rows", "queries")
+    joined = blocks.join(groups, ["list", "deal", "lot"]).select("list", "rows", "queries")
     return joined.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
@@ -218,10 +218,13 @@ def search(vectors, is_query, k=10, lists=None, parts=PARTS, reach=REACH, least=
     asked = vectors.filter(is_query).groupBy(F.col("vec_id")).agg(F.min("embedding").alias("embedding"))
     some = dealt(visits(asked, model, reach, least), GROUP_ROWS, F.xxhash64("query_id"))
     groups = some.groupBy("list", "deal").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))  # about GROUP_ROWS
-    # each group of queries goes to each block of its list
-    n_blocks = codes.select("list", "deals").distinct()
-    groups = groups.drop("deal").join(F.broadcast(n_blocks), "list").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
-    near = scanned(groups.select("list", "deal", "queries"), blocks, model, k)
+    # each group of queries goes to each block of its list; LOT groups and a block meet in one row, so neither a list of many
+    # rows nor one that many queries visit is the work of one task
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    n_blocks, n_groups = (rows.select("list", "deals").distinct() for rows in (codes, some))  # one row a list
+    groups = groups.withColumn("lot", F.floor(F.col("deal") / LOT)).drop("deal").join(F.broadcast(n_blocks), "list").withColumn("deal", upto(F.col("deals")))
+    blocks = blocks.join(F.broadcast(n_groups), "list").withColumn("lot", upto(F.ceil(F.col("deals") / LOT)))
+    near = scanned(groups.select("list", "deal", "lot", "queries"), blocks.select("list", "deal", "lot", "rows"), model, k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
