@@ -1,7 +1,8 @@
 """Removal of multi-line chunks that repeat across documents. DataFrame functions only.
 
-Lines are the pieces of a text after each line feed and, inside a line, after the end of a sentence (wrapped text), with
-their ends, so that the pieces joined give the text. A rolling hash over two line hashes marks a boundary after a line
+Lines are the pieces of a text after each line feed (``split=LINES``) and, inside a line, after the end of a sentence as well
+(``WRAPPED``, the default: texts of whole paragraphs on one line have no other lines), with their ends, so that the pieces
+joined give the text. A rolling hash over two line hashes marks a boundary after a line
 where it is a strict local minimum; boundaries thus depend on four lines only and survive insertions elsewhere. Chunks lie
 between boundaries. A chunk of at least ``min_lines`` lines and ``min_chars`` characters whose hash occurs again is
 fetched, compared by its bytes, and removed everywhere but at its first place (smallest doc_id, then line number).
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from strideforge.llm.common import NULL_ID, materialize, table
 
-SPLIT = r"(?<=\n)|(?<=[.!?] )"
+#: Where texts are cut into lines: after line feeds only, or after the ends of sentences as well (wrapped text).
+LINES, WRAPPED = r"(?<=\n)", r"(?<=\n)|(?<=[.!?] )"
 #: Factor and modulus of the rolling hash over two 32-bit line hashes (fixed values).
 FACTOR, MODULUS = 1000003, 2147483647
 MIN_LINES, MIN_CHARS = 2, 64
@@ -40,13 +42,13 @@ def _shift(values, first):
     return F.concat(F.array(first), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))))
 
 
-def _chunked(docs, keep):
+def _chunked(docs, keep, split):
     """docs(text) with chunks (texts, escaped) and lens (lines of each); keep: columns to carry along.
 
     The boundaries become a mark inside the joined lines, at which the text is split again, so all steps are linear in the
     text. A mark in the text itself is escaped. ``inline`` keeps the arrays from being computed again inside lambdas.
     """
-    lines = docs.withColumn("lines", F.split(F.replace("text", F.lit(MARK), F.lit(MARK + "e")), SPLIT, -1))
+    lines = docs.withColumn("lines", F.split(F.replace("text", F.lit(MARK), F.lit(MARK + "e")), split, -1))
     hashed = lines.withColumn("h", F.transform("lines", lambda u: F.conv(F.substring(F.md5(u), 1, 8), 16, 10).cast("long")))
     rolled = hashed.withColumn(
         "r", F.zip_with(_shift(F.col("h"), F.lit(0).cast("long")), "h", lambda a, b: F.pmod(a * FACTOR + b, F.lit(MODULUS)))
@@ -65,11 +67,11 @@ def _chunked(docs, keep):
     return both.select(*keep, F.inline(F.array(F.struct("chunks", lens.alias("lens")))))
 
 
-def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
+def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPED):
     """Chunks of docs(_id, _th, text) to remove: _id, _th, chunk (its number in the document), first places left out."""
     cells = F.zip_with("chunks", "lens", lambda c, n: F.struct(n.alias("len"), F.length(c).alias("chars"), F.xxhash64(c).alias("hash")))
     places = (
-        _chunked(docs, ["_id", "_th"])
+        _chunked(docs, ["_id", "_th"], split)
         .select("_id", "_th", F.posexplode(cells).alias("chunk", "c"))
         .select("_id", "_th", "chunk", "c.*")
         .filter((F.col("chars") >= min_chars) & (F.col("len") >= min_lines))
@@ -78,7 +80,7 @@ def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     places = materialize(places, "chunk-places")
     twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "chunks-twice")
     wanted = places.join(twice, "hash").groupBy("_id", "_th").agg(F.collect_set("chunk").alias("wanted"))
-    found = _chunked(docs.join(wanted, ["_id", "_th"]), ["_id", "_th", "wanted"]).select(
+    found = _chunked(docs.join(wanted, ["_id", "_th"]), ["_id", "_th", "wanted"], split).select(
         "_id", "_th", F.inline(F.transform("wanted", lambda i: F.struct(i.alias("chunk"), F.get("chunks", i).alias("bytes"))))
     )
     found = materialize(found, "chunk-bytes")
@@ -89,19 +91,19 @@ def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     return found.join(first, "bytes").filter(place != F.col("first")).select("_id", "_th", "chunk").distinct()
 
 
-def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
-    """docs with repeated chunks removed from text, and a column n_removed (lines)."""
+def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPED):
+    """docs with repeated chunks removed from text, and a column n_removed (lines). split: ``LINES`` or ``WRAPPED``."""
     clash = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
         *[F.col(f"`{c}`").alias(a) for c, a in clash.items()],
     )
-    gone = repeated_chunks(rows.select("_id", "_th", "text"), min_lines, min_chars)
+    gone = repeated_chunks(rows.select("_id", "_th", "text"), min_lines, min_chars, split)
     per_doc = gone.groupBy("_id", "_th").agg(F.collect_set("chunk").alias("gone"))
     joined = rows.join(per_doc, ["_id", "_th"], "left").withColumn("whole", F.when(F.col("gone").isNull(), F.col("text")))
     joined = joined.withColumn("text", F.when(F.col("gone").isNotNull(), F.col("text")).otherwise(F.lit("")))
-    parts = _chunked(joined, ["_id", "whole", "gone", *clash.values()])
+    parts = _chunked(joined, ["_id", "whole", "gone", *clash.values()], split)
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone"))
     text = F.replace(F.array_join(F.transform(stay, lambda i: F.get("chunks", i)), ""), F.lit(MARK + "e"), F.lit(MARK))
     out = parts.select(
@@ -114,9 +116,9 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
-def repeated_runs(docs, min_chars=MIN_CHARS, copies=None):
+def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
     """Runs of lines of docs(_id, _th, text) to remove: _id, _th, start, end (line numbers, both removed)."""
-    lines = F.transform(F.split("text", SPLIT, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
+    lines = F.transform(F.split("text", split, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
     lines = docs.select("_id", "_th", F.length("text").alias("size"), F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
     rest = F.greatest(F.size("n") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("n", F.lit(1), rest), F.slice("n", F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -165,7 +167,7 @@ def _copied(docs, pairs, similarity):
     return alike.union(pairs.filter("_th = th").select("_id", "_th", "id", "th"))
 
 
-def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed"):
+def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed", split=WRAPPED):
     """docs with every run of two or more lines that stand in an earlier place removed from text, and a column ``count`` (lines).
 
     copies: where two documents' five-word shingles have this similarity, the later one is a copy of the earlier one, not a
@@ -178,10 +180,10 @@ def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed"):
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
         *[F.col(f"`{c}`").alias(a) for c, a in other.items()],
     )
-    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies)
+    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies, split)
     per_doc = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
     joined = rows.join(per_doc, ["_id", "_th"], "left")
-    lines = F.when(F.col("gone").isNotNull(), F.split("text", SPLIT, -1))
+    lines = F.when(F.col("gone").isNotNull(), F.split("text", split, -1))
     parts = joined.select("_id", "text", "gone", *other.values(), F.inline(F.array(F.struct(lines.alias("lines")))))
     # what lies before, between and after the runs
     begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g.end + 1))

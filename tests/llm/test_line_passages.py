@@ -55,3 +55,15 @@ def test_whole_copies_can_be_left_to_the_search_for_near_duplicates(spark):
     assert got[4] == (texts[4][: -len(passage)], 7)
     torn = {r.doc_id: r.text for r in line_dedup.remove_passages(df).collect()}
     assert torn[1] == "" and len(torn[2]) < len(texts[2]) / 4 and torn[4] == got[4][0]
+
+
+def test_lines_can_be_those_of_line_feeds_only(spark):
+    two = "One sentence here. And another one, on the same line of some length.\nA second line, which is long enough too.\n"
+    inline = "One sentence here. And another one, on the same line of some length. "
+    rows = [(1, two + "own"), (2, "other\n" + two), (3, "x. " + inline * 2 + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_passages(df, split=line_dedup.LINES).collect()}
+    assert got == {1: rows[0][1], 2: "other\n", 3: rows[2][1]}
+    got = {r.doc_id: r.text for r in line_dedup.remove_passages(df).collect()}
+    assert got[2] == "other\n" and len(got[3]) < len(rows[2][1])
+    assert line_dedup.remove_repeats(df, split=line_dedup.LINES).count() == 3
