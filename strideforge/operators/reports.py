@@ -24,11 +24,9 @@ def timing_report(frames):
     )
 
 
-def coverage_report(stances, runs, frames):
-    """Per session: first onset, last end (s), largest gap between kept stances, frames kept and in runs."""
-    at = frames.select("session_id", "frame_idx", "ts_us")
-    ends = stances.join(at.withColumnsRenamed({"frame_idx": "start", "ts_us": "t0"}), ["session_id", "start"])
-    ends = ends.join(at.withColumnsRenamed({"frame_idx": "end", "ts_us": "t1"}), ["session_id", "end"])
+def coverage_report(stances, runs):
+    """Per session of merged timed stances: first onset, last end (s), largest gap between kept stances, frames kept and in runs."""
+    ends = stances
     gap = (F.col("t0") - F.lag("t1").over(window(["session_id"], "start"))) / 1e6
     kept = ends.withColumn("gap_s", gap).groupBy("session_id").agg(
         (F.min("t0") / 1e6).alias("first_onset_s"), (F.max("t1") / 1e6).alias("last_end_s"), F.max("gap_s").alias("largest_gap_s"), F.sum("n_frames").alias("frames_kept"),
@@ -87,11 +85,9 @@ def run_length_report(runs, stances, merged, min_duration, max_duration):
     return n
 
 
-def dt_drift(stances, frames, dt):
-    """Per session the stance whose length at a uniform step differs most from the clock: drift_s, and the longest stance."""
-    at = frames.select("session_id", "frame_idx", "ts_us")
-    e = stances.join(at.withColumnsRenamed({"frame_idx": "start", "ts_us": "t0"}), ["session_id", "start"])
-    e = e.join(at.withColumnsRenamed({"frame_idx": "end", "ts_us": "t1"}), ["session_id", "end"]).join(dt, "session_id")
+def dt_drift(stances, dt):
+    """Per session of merged timed stances the one whose length at a uniform step differs most from the clock: drift_s, and the longest."""
+    e = stances.join(dt, "session_id")
     d = e.withColumn("drift_s", (F.col("end") - F.col("start")) * F.col("dt_s") - (F.col("t1") - F.col("t0")) / 1e6)
     return d.groupBy("session_id").agg(F.max("n_frames").alias("longest"), F.max(F.abs("drift_s")).alias("worst_drift_s"))
 

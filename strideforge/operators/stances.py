@@ -41,9 +41,15 @@ def _marked(frames, value, t_on, t_off, by):
 
 def find_runs(frames, value="total", t_on=T_ON, t_off=T_OFF, by=("session_id",)):
     """All runs above the thresholds: keys, start, end, n_frames."""
+    return timed_runs(frames, value, t_on, t_off, by).drop("t0", "t1")
+
+
+def timed_runs(frames, value="total", t_on=T_ON, t_off=T_OFF, by=("session_id",)):
+    """find_runs with t0 and t1, the clock (ts_us) at start and end; null where the frames carry none."""
     on = _marked(frames, value, t_on, t_off, by).filter("on = 1")
-    runs = on.groupBy(*by, "run").agg(F.min("frame_idx").alias("start"), F.max("frame_idx").alias("end"))
-    return runs.withColumn("n_frames", F.col("end") - F.col("start") + 1).drop("run")
+    clock = F.col("ts_us") if "ts_us" in frames.columns else F.lit(None).cast("long")
+    aggs = [F.min("frame_idx").alias("start"), F.max("frame_idx").alias("end"), F.min_by(clock, "frame_idx").alias("t0"), F.max_by(clock, "frame_idx").alias("t1")]
+    return on.groupBy(*by, "run").agg(*aggs).withColumn("n_frames", F.col("end") - F.col("start") + 1).drop("run")
 
 
 def find_stances(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MIN_DURATION, max_duration=MAX_DURATION, by=("session_id",)):
@@ -52,11 +58,12 @@ def find_stances(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MIN
 
 
 def merge_close(stances, gap=GAP_MERGE, by=("session_id",)):
-    """Stances with fewer than gap frames between them joined, chains included: keys, stance (from 0), start, end, n_frames."""
+    """Stances with fewer than gap frames between them joined, chains included: keys, stance (from 0), start, end, n_frames; t0, t1 if given."""
     w = window(by, "start")
     opens = F.coalesce(F.col("start") - F.lag("end").over(w) - 1 >= gap, F.lit(True))
     islands = stances.withColumn("_opens", opens.cast("int")).withColumn("stance", F.sum("_opens").over(upto(w)) - 1)
-    merged = islands.groupBy(*by, "stance").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    clock = [F.min("t0").alias("t0"), F.max("t1").alias("t1")] if "t0" in stances.columns else []
+    merged = islands.groupBy(*by, "stance").agg(F.min("start").alias("start"), F.max("end").alias("end"), *clock)
     return merged.withColumn("stance", F.col("stance").cast("int")).withColumn("n_frames", F.col("end") - F.col("start") + 1)
 
 

@@ -8,7 +8,7 @@ from strideforge.operators import link, matching, reports
 from strideforge.operators import stances as st
 from strideforge.plans import adapter as ad
 from strideforge.plans.common import normal
-from strideforge.schemas import CENTRES_MM, LENGTH_MM
+from strideforge.schemas import CENTRES_MM, LENGTH_MM, MAX_DURATION, MIN_DURATION
 
 MODEL = {
     "kind": "qda", "classes": ["fast", "shuffle", "walk"], "means": [[1.2, 0.6], [0.9, 0.5], [1.4, 0.65]], "priors": [0.3, 0.4, 0.3],
@@ -196,6 +196,10 @@ def reassembled(spark, d):
     return lines.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
+def timed_stances(spark, d):
+    return st.merge_close(st.timed_runs(fr(spark, d)).filter(F.col("n_frames").between(MIN_DURATION, MAX_DURATION)))
+
+
 def gap_frames(spark, d):
     a = accounted(spark, d)
     return ft.gap_frames(st.frames_in_stances(a)).groupBy("session_id").agg(F.sum("gap_frames").alias("gap_frames"), F.count("*").alias("n"))
@@ -347,7 +351,7 @@ round(stddev_pop(step), 6) AS step_sd, round(quantile_cont(step, 0.75) - quantil
 add("w14_coverage_report", f"""WITH {F_}, {RUNS}, e AS (SELECT m.*, a.ts_us AS t0, b.ts_us AS t1 FROM merged m JOIN frames a ON a.session_id = m.session_id AND a.frame_idx = m.start JOIN frames b ON b.session_id = m.session_id AND b.frame_idx = m."end"),
 g AS (SELECT *, (t0 - lag(t1) OVER (PARTITION BY session_id ORDER BY start)) / 1e6 AS gap_s FROM e), r AS (SELECT session_id, CAST(sum(n_frames) AS BIGINT) AS frames_natural FROM runs GROUP BY session_id)
 SELECT session_id, round(min(t0) / 1e6, 6) AS first_onset_s, round(max(t1) / 1e6, 6) AS last_end_s, round(max(gap_s), 6) AS largest_gap_s, CAST(sum(n_frames) AS BIGINT) AS frames_kept, min(frames_natural) AS frames_natural FROM g JOIN r USING (session_id) GROUP BY session_id""")(
-    lambda s, d: reports.coverage_report(st.merge_close(st.find_stances(fr(s, d))), st.find_runs(fr(s, d)), fr(s, d))
+    lambda s, d: reports.coverage_report(timed_stances(s, d), st.find_runs(fr(s, d)))
 )
 _report_cols = "session_id, n_valid, n_malformed, n_empty, n_bad_checksum, n_status, lost, seq_breaks, timing_breaks, resets, round(device_s, 6) AS device_s, round(loss_pct, 6) AS loss_pct"
 add("a1_capture_report", f"WITH {REPORT} SELECT {_report_cols} FROM report")(lambda s, d: link.capture_report(lined(s, d)))
@@ -402,7 +406,7 @@ add("a15_run_length_report", f"""WITH {F_}, {RUNS} SELECT session_id, count(*) A
 )
 add("a16_dt_drift", f"""WITH {features_sql()} SELECT m.session_id, max(m.n_frames) AS longest, round(max(abs((m."end" - m.start) * d.dt_s - (b.ts_us - a.ts_us) / 1e6)), 6) AS worst_drift_s FROM merged m JOIN dts d USING (session_id)
 JOIN frames a ON a.session_id = m.session_id AND a.frame_idx = m.start JOIN frames b ON b.session_id = m.session_id AND b.frame_idx = m."end" GROUP BY m.session_id""")(
-    lambda s, d: reports.dt_drift(st.merge_close(st.find_stances(fr(s, d))), ad.frames(s, d), st.frame_dt(ad.frames(s, d)))
+    lambda s, d: reports.dt_drift(timed_stances(s, d), st.frame_dt(ad.frames(s, d)))
 )
 _spread = lambda tbl: f"""WITH {features_sql()}, per AS (SELECT label, session_id, stance, avg(cx) * 274.0 AS ml FROM {tbl} GROUP BY 1, 2, 3) SELECT label, round(stddev_samp(ml), 6) AS sd_mm, round(max(ml) - min(ml), 6) AS range_mm, count(ml) AS n FROM per GROUP BY label"""
 add("a21_ml_spread", _spread("loaded"))(lambda s, d: reports.ml_spread(inside(s, d)))
