@@ -434,8 +434,18 @@ fw AS (SELECT n.session_id, n.frame_idx, last_value(k.stance IGNORE NULLS) OVER
 SELECT session_id, CAST(stance AS BIGINT) AS stance, frame_idx, start, "end" FROM fw WHERE frame_idx BETWEEN start AND "end" """)(
     lambda s, d: st.frames_in_stances(fr(s, d)).select("session_id", "stance", "frame_idx", "start", "end")
 )
-add("j3_boundary_report")(lambda s, d: matching.boundary_report(st.merge_close(st.find_stances(fr(s, d))), truth(s, d)))
-add("j4_scorecard")(lambda s, d: matching.scorecard(st.merge_close(st.find_stances(fr(s, d))), truth(s, d)))
+# the greedy claims of a session's detections, one after the other, with the list of what is claimed
+MATCHES = f"""{F_}, {RUNS}, lasts AS (SELECT session_id, label, max(frame_idx) AS last, CASE label WHEN 'walk' THEN 100 WHEN 'fast' THEN 60 ELSE 50 END AS p FROM frames WHERE label <> 'stand' GROUP BY session_id, label),
+truth AS (SELECT session_id, i, i * p AS start, i * p + p * 6 // 10 AS "end" FROM (SELECT session_id, p, unnest(range(last // p + 1)) AS i FROM lasts)),
+det AS (SELECT session_id, start, "end", row_number() OVER (PARTITION BY session_id ORDER BY start) AS k FROM merged),
+both_ AS (SELECT d.session_id, d.k, t.i, t.start, least(d."end", t."end") - greatest(d.start, t.start) + 1 AS n, t."end" - t.start + 1 AS size FROM det d JOIN truth t ON t.session_id = d.session_id AND t.start <= d."end" AND d.start <= t."end"),
+cand AS (SELECT d.session_id, d.k, coalesce(c.c, []) AS c FROM det d LEFT JOIN (SELECT session_id, k, list(i ORDER BY n DESC, start) AS c FROM both_ WHERE n >= {{share}} * size GROUP BY session_id, k) c ON c.session_id = d.session_id AND c.k = d.k),
+claims AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS pick FROM det UNION ALL
+  SELECT session_id, k, CASE WHEN pick IS NULL THEN claimed ELSE list_append(claimed, pick) END, pick FROM (SELECT r.session_id, c.k, r.claimed, list_filter(c.c, lambda x: NOT list_contains(r.claimed, x))[1] AS pick FROM claims r JOIN cand c ON c.session_id = r.session_id AND c.k = r.k + 1)),
+matched AS (SELECT d.session_id, d.start, d."end", t.start AS t_start, t."end" AS t_end FROM claims c JOIN det d ON d.session_id = c.session_id AND d.k = c.k JOIN truth t ON t.session_id = c.session_id AND t.i = c.pick)"""
+add("j3_boundary_report", f"""WITH RECURSIVE {MATCHES.format(share=0)} SELECT session_id, count(*) AS n_matched, round(avg(start - t_start), 6) AS start_offset, round(avg("end" - t_end), 6) AS end_offset, round(avg(("end" - t_end) - (start - t_start)), 6) AS duration_error FROM matched GROUP BY session_id""")(lambda s, d: matching.boundary_report(st.merge_close(st.find_stances(fr(s, d))), truth(s, d)))
+add("j4_scorecard", f"""WITH RECURSIVE {MATCHES.format(share=0.5)}, n AS (SELECT session_id, sum(d) AS d, sum(t) AS t, sum(m) AS tp FROM (SELECT session_id, 1 AS d, 0 AS t, 0 AS m FROM det UNION ALL SELECT session_id, 0, 1, 0 FROM truth UNION ALL SELECT session_id, 0, 0, 1 FROM matched) GROUP BY session_id)
+SELECT session_id, CAST(tp AS BIGINT) AS tp, CAST(d - tp AS BIGINT) AS fp, CAST(t - tp AS BIGINT) AS fn, round(tp / nullif(d, 0), 6) AS precision, round(tp / nullif(t, 0), 6) AS recall, round(2 * tp / nullif(d + t, 0), 6) AS f1 FROM n""")(lambda s, d: matching.scorecard(st.merge_close(st.find_stances(fr(s, d))), truth(s, d)))
 _pins = "SELECT session_id, 7 + session_id % 3 AS pinned FROM (SELECT DISTINCT session_id FROM frames) WHERE session_id % 4 <> 1"
 add("j5_pinned_counts", f"WITH {F_}, {RUNS}, c AS (SELECT session_id, count(*) AS n_stances FROM merged GROUP BY session_id), p AS ({_pins}) SELECT session_id, n_stances, pinned, CASE WHEN pinned IS NULL THEN 'no_pin' ELSE 'mismatch' END AS state FROM c LEFT JOIN p USING (session_id) WHERE pinned IS NULL OR pinned <> n_stances")(
     lambda s, d: matching.pinned_counts(

@@ -217,7 +217,11 @@ add("a20_session_shift", f"""WITH {FE}, s AS (SELECT label, session, count(x0) A
 SELECT label, session, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round((mean - (ct - t) / nullif(cn - n, 0)) / csd, 6) AS shift FROM s JOIN c USING (label)""")(lambda s, d: reports.session_shift(fe(s, d), "x0"))
 add("a22_band_overlap", f"WITH {FE}, b AS (SELECT label AS b, quantile_cont(x0, 0.1) AS lo, quantile_cont(x0, 0.9) AS hi FROM feats GROUP BY 1) SELECT label AS a, b, round(avg(CASE WHEN x0 BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS share FROM feats JOIN b ON label <> b GROUP BY 1, 2")(lambda s, d: reports.band_overlap(fe(s, d), "x0"))
 add("a23_peak_trend", f"WITH {FE} SELECT label, session, round(regr_slope(x0, x1), 6) AS slope, round(regr_intercept(x0, x1), 6) AS intercept, round(corr(x0, x1), 6) AS r, CAST(regr_count(x0, x1) AS BIGINT) AS n FROM feats GROUP BY GROUPING SETS ((label), (label, session))")(lambda s, d: reports.peak_trend(fe(s, d), "x0", "x1").drop("p"))
-add("a23_peak_trend_p")(lambda s, d: reports.peak_trend(fe(s, d), "x0", "x1").select("label", "session", "p"))
+# the tail of Student's distribution at r and n: integrals of cos(t)**(n - 3) from asin(abs(r)) and from 0 to pi / 2, by Simpson's rule
+_simpson = lambda low: f"sum(w * power(greatest(cos({low} + i * ({PI} / 2 - {low}) / 400), 0.0), n - 3)) * ({PI} / 2 - {low})"
+add("a23_peak_trend_p", f"""WITH {FE}, t AS (SELECT label, session, corr(x0, x1) AS r, regr_count(x0, x1) AS n FROM feats GROUP BY GROUPING SETS ((label), (label, session))), w AS (SELECT i, CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(401)) AS i)),
+a AS (SELECT label, session, least(asin(abs(r)), {PI} / 2) AS lo, n FROM t WHERE n > 2)
+SELECT t.label, t.session, p FROM t LEFT JOIN (SELECT label, session, round(({_simpson('min(lo)')}) / ({_simpson('0')}), 6) AS p FROM a, w GROUP BY label, session) s ON s.label = t.label AND s.session IS NOT DISTINCT FROM t.session""".replace("min(lo)", "lo").replace("GROUP BY label, session) s", "GROUP BY label, session, lo) s"))(lambda s, d: reports.peak_trend(fe(s, d), "x0", "x1").select("label", "session", "p"))
 add("a28_majority_floor", f"WITH {FE}, n AS (SELECT label, count(*) AS n FROM feats GROUP BY label) SELECT max(n) AS n_top, round(max(n) / sum(n), 6) AS floor, CAST(sum(n) AS BIGINT) AS n FROM n")(lambda s, d: reports.majority(fe(s, d)))
 add("a28_split_floors", f"""WITH {FE}, {_PLACED}, c AS (SELECT *, CAST(round_even(n * 0.6, 0) AS BIGINT) AS t FROM pl), k AS (SELECT label, count(*) FILTER (WHERE place <= t - 1) AS a, count(*) FILTER (WHERE place > t) AS b FROM c WHERE place > t OR place <= t - 1 GROUP BY label)
 SELECT round(max(a + b) / sum(a + b), 6) AS floor_all, round(max(b) / sum(b), 6) AS floor_test, (SELECT label FROM k ORDER BY a DESC, label LIMIT 1) AS train_top, round((SELECT b FROM k ORDER BY a DESC, label LIMIT 1) / sum(b), 6) AS train_on_test, CAST(sum(b) AS BIGINT) AS n_test FROM k""")(
