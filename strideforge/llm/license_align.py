@@ -13,7 +13,8 @@ parameter; their number is checked, as they travel with the code.
 Short forms (``short_forms``: names of the Creative Commons licenses with and without versions, SPDX lines, and one-line
 notices that differ from each other in a word or two) must stand word for word, so that none stands for another.
 
-Words are runs of letters and digits in lower case. Null and empty texts hold no license. Overlapping finds of one document
+Words are runs of letters and digits in lower case. Null and empty texts hold no license, an empty table gives no finds, texts of
+any length are scanned whole. Overlapping finds of one document
 give the best: most aligned words, then coverage, then the template's name. Repeated rows are scanned alike; null ids stay
 null; other columns are ignored.
 """
