@@ -22,6 +22,10 @@ def upto(w):
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _whole(w):
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def one_shuffle(frames):
     """The one exchange of a job over frames."""
     return frames.repartition("session_id")
@@ -128,22 +132,25 @@ def stance_events(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MI
 
 
 def frames_in_stances(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MIN_DURATION, max_duration=MAX_DURATION, gap=GAP_MERGE, by=("session_id",)):
-    """The frames of merged stances with stance, start, end, by windows instead of a join; frames in merged gaps belong."""
+    """The frames of merged stances with stance, start, end, by windows instead of a join; frames in merged gaps belong.
+
+    Runs and what follows each of them come in the order of the frames, so windows over (run, off, frame_idx) go on with the sort
+    of the run's own window, and those of features over stances with that of the islands: three sorts in all.
+    """
     by = list(by)
-    w = window(by, "frame_idx")
-    rows = _marked(frames, value, t_on, t_off, by)
-    run = Window.partitionBy(*by, "run", "on")
+    rows = _marked(frames, value, t_on, t_off, by).withColumn("_off", 1 - F.col("on"))
+    run = _whole(window([*by, "run", "_off"], "frame_idx"))
+    w = window(by, "run", "_off", "frame_idx")
     length = F.when(F.col("on") == 1, F.count("*").over(run))
     rows = rows.withColumn("_kept", F.coalesce(length.between(min_duration, max_duration), F.lit(False)))
     rows = rows.withColumn("_at", F.when(F.col("_kept"), F.col("frame_idx")))
     since = F.col("frame_idx") - F.last("_at", ignorenulls=True).over(before(w)) - 1
     rows = rows.withColumn("_opens", F.col("_kept") & F.col("first") & F.coalesce(since >= gap, F.lit(True)))
-    rows = rows.withColumn("_island", F.sum(F.col("_opens").cast("int")).over(upto(w)))
-    island = Window.partitionBy(*by, "_island")
+    rows = rows.withColumn("stance", (F.sum(F.col("_opens").cast("int")).over(upto(w)) - 1).cast("int")).filter("stance >= 0")
+    island = _whole(window([*by, "stance"], "frame_idx"))
     rows = rows.withColumns({"start": F.min("_at").over(island), "end": F.max("_at").over(island)})
-    inside = rows.filter((F.col("_island") > 0) & F.col("frame_idx").between(F.col("start"), F.col("end")))
-    out = inside.withColumn("stance", (F.col("_island") - 1).cast("int"))
-    return out.drop("_signal", "on", "first", "run", "_kept", "_at", "_opens", "_island")
+    inside = rows.filter(F.col("frame_idx").between(F.col("start"), F.col("end")))
+    return inside.drop("_signal", "on", "first", "run", "_off", "_kept", "_at", "_opens")
 
 
 def frame_dt(frames, by=("session_id",)):
