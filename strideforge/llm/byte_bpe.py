@@ -230,7 +230,7 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     cut = F.regexp_extract_all(t, F.lit("(?U)" + pattern), F.lit(0))
     words = docs.select(*[F.col(f"`{c}`") for c in names], cut.alias("_words"), F.octet_length(t).alias("_bytes"))
-    blocks = materialize(_blocks(words, names, n_buckets), "bpe-blocks")
+    blocks = materialize(_blocks(words, names, n_buckets), "bpe-blocks", 10_000)  # larger blocks send fewer distinct words
     sent = blocks.filter("bucket >= 0").select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
     ids = _encode_words(sent, tokens).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("ids"))
     whole = blocks.filter("bucket = -1").select("block", "codes", "counts", "n_words", "rows").join(ids, "block", "left")

@@ -26,11 +26,24 @@ def shared_dir(spark):
     return found
 
 
-def materialize(df, name):
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch while a table is written: whole texts pass through Python, and a task holds a batch on both sides.
+BATCH_ROWS = 1000
+
+
+def materialize(df, name, batch_rows=BATCH_ROWS):
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The session's size of Arrow batches is lowered to batch_rows for this write and put back after it.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(before, batch_rows) if before > 0 else batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, str(before))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs, text="text"):

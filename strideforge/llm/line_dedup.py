@@ -24,7 +24,7 @@ An empty table gives no rows; of equal places the least document and line is the
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import NULL_ID, materialize, table
+from strideforge.llm.common import MAX_BROADCAST, NULL_ID, materialize, table
 
 #: Where texts are cut into lines: after line feeds only, or after the ends of sentences as well (wrapped text).
 LINES, WRAPPED = r"(?<=\n)", r"(?<=\n)|(?<=[.!?] )"
@@ -139,7 +139,8 @@ def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
         source = gone.filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th"))).groupBy("_id", "_th", "id", "th")
         source = source.agg(F.sum("chars").alias("chars"), F.max(F.greatest("size", "first.size")).alias("size"))
         source = source.filter(F.col("chars") >= LEAST_COMMON * F.col("size")).select("_id", "_th", "id", "th")
-        gone = gone.join(_copied(docs, materialize(source, "line-sources"), copies), ["_id", "_th", "id", "th"], "left_anti")
+        copied = materialize(_copied(docs, materialize(source, "line-sources"), copies), "line-copies")
+        gone = gone.join(_small(copied), ["_id", "_th", "id", "th"], "left_anti")
     gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
     order = Window.partitionBy("_id", "_th").orderBy("i")
     gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
@@ -150,13 +151,18 @@ def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
     return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
 
 
+def _small(keys):
+    """The written table of keys, to be broadcast up to a checked number of rows."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+
+
 def _copied(docs, pairs, similarity):
     """The pairs of documents (_id, _th, id, th) whose five-word shingles have the similarity; equal texts need no look."""
     a, z = (ord(c) for c in "AZ")
     capitals = "".join(map(chr, range(a, z + 1)))
     words = F.filter(F.split(F.translate("text", capitals, capitals.lower()), "[ \\t-\\r]+", -1), lambda w: w != "")
     near = pairs.filter("_th <> th")
-    wanted = near.select("_id", "_th").union(near.select("id", "th")).distinct()
+    wanted = _small(materialize(near.select("_id", "_th").union(near.select("id", "th")).distinct(), "line-sources-wanted"))
     cut = docs.join(wanted, ["_id", "_th"], "left_semi").select("_id", "_th", F.inline(F.array(F.struct(words.alias("w")))))
     several = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))
     sets = F.array_distinct(F.when(F.size("w") >= 5, several).otherwise(F.array(F.xxhash64("w"))))
