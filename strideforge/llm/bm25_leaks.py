@@ -217,7 +217,7 @@ def _pass(index, overlap):
         n_words = len(ix.words)
         indexed = [p.end > p.start for p in ix.sizes]
         for batch in batches:
-            for part in slices(batch, "_bytes", 4 << 20):
+            for part in slices(batch, "_bytes"):
                 out = []
                 lists = part.column("words")
                 offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()

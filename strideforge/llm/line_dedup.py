@@ -119,17 +119,18 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPED
 def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
     """Runs of lines of docs(_id, _th, text) to remove: _id, _th, start, end (line numbers, both removed)."""
     lines = F.transform(F.split("text", split, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
-    lines = docs.select("_id", "_th", F.length("text").alias("size"), F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
+    size = [] if copies is None else ["size"]  # of the document, needed to tell copies only
+    lines = docs.withColumn("size", F.length("text")).select("_id", "_th", *size, F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
     rest = F.greatest(F.size("n") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("n", F.lit(1), rest), F.slice("n", F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    places = lines.select("_id", "_th", "size", F.inline(pairs)).select(
-        "_id", "_th", "size", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.length("a.u").alias("chars"), F.length("b.u").alias("last"),
+    places = lines.select("_id", "_th", *size, F.inline(pairs)).select(
+        "_id", "_th", *size, F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.length("a.u").alias("chars"), F.length("b.u").alias("last"),
         F.xxhash64("a.u", "b.u").alias("hash"), F.substring(F.unhex(F.sha2(F.concat_ws("\n", "a.u", "b.u"), 256)), 1, 16).alias("bytes"),
     )
     places = materialize(places, "line-pairs")
     twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "line-pairs-twice")
     found = materialize(places.join(twice, "hash").drop("hash"), "line-pairs-found")
-    place = F.struct("_id", "_th", "i", "size")
+    place = F.struct("_id", "_th", "i", *size)
     first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last_place")).filter("first <> last_place")
     # written first: both sides of the join are then plain exchanges, of which Spark splits the tasks of a frequent pair
     first = materialize(first.select("bytes", "first"), "line-pair-firsts")
