@@ -14,6 +14,7 @@ MODULES = [
     "quality_ftrl",
     "ivfpq",
     "license_align",
+    "periodic_runs",
 ]
 
 
