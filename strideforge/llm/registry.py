@@ -15,6 +15,7 @@ MODULES = [
     "ivfpq",
     "license_align",
     "periodic_runs",
+    "conversation_repair",
 ]
 
 
