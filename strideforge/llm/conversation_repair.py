@@ -412,4 +412,59 @@ def op13_conversation_repair(spark, sf_dir, fragment_rows=FRAGMENT_ROWS):
 
 
 QUERIES = {"op13_conversation_repair": op13_conversation_repair}
-ORACLE_SQL = {}
+
+#: The damage (CRC-32 by its bits), the counts, and the repair as a walk over the rows that keeps the best way to each state of the
+#: automaton of legal roles: b begin, s, u, a by the last letter.
+TWIN = """
+with recursive keyed as (
+  select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+), sums as (
+  select k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda d, z: xor(d >> 1, (d & 1) * 3988292384)))) % 20 as h
+  from (select distinct k from keyed)
+), damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else coalesce(role, ' ') end as role,
+    case when h = 1 then '' when h = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text, h
+  from keyed join sums using (k)
+), after as (
+  select conv_id, turn, role, text from damaged, range(case when h = 3 then 2 else 1 end) where h <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, left(role, 1) as r from after
+), faulty as (
+  select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(r) over (partition by conv_id order by i) || r as pair
+  from placed
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from faulty group by conv_id
+), step(f, t) as (values ('b', 's'), ('b', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+inserts(f, t, c, a, o) as (values ('b', 'b', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''), ('b', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'u', 3, 'I', chr(10) || 'user:'),
+  ('a', 'u', 3, 'I', chr(10) || 'user:'), ('u', 'a', 3, 'I', chr(10) || 'assistant:'), ('b', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('a', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'u', 6, 'II', chr(10) || 'assistant:' || chr(10) || 'user:')),
+edits as (
+  select conv_id, i, f, f as t, 4 as c, 'D' as a, '' as o from faulty, (values ('b'), ('s'), ('u'), ('a')) s(f)
+  union all
+  select conv_id, i, f, t, case when fault = 'truncated' then 3 else 0 end, 'K', chr(10) || role || ':' || text from faulty join step on r = t where fault not in ('blank', 'duplicate')
+  union all
+  select conv_id, i, f, t, case when fault = 'truncated' then 6 else 3 end, 'R', chr(10) || case t when 'u' then 'user:' else 'assistant:' end || text from faulty, step where t in ('u', 'a') and fault not in ('blank', 'duplicate')
+), moves as (
+  select e.conv_id, e.i, n.f, e.t, min({'c': n.c + e.c, 'a': n.a || e.a, 'o': n.o || e.o}) as m
+  from edits e join inserts n on n.t = e.f group by all
+), walk(conv_id, i, t, c, a, o) as (
+  select distinct conv_id, 0::bigint, 'b', 0, '', '' from conversations
+  union all
+  select conv_id, i, t, b.c, b.a, b.o from (
+    select w.conv_id, m.i, m.t, min({'c': w.c + m.m.c, 'a': w.a || m.m.a, 'o': w.o || m.m.o}) as b
+    from walk w join moves m on m.conv_id is not distinct from w.conv_id and m.i = w.i + 1 and m.f = w.t group by all)
+), ends as (
+  select w.conv_id, min({'c': w.c + n.c, 'a': w.a || n.a, 'o': w.o || n.o}) as b
+  from walk w left join counts k on k.conv_id is not distinct from w.conv_id join inserts n on n.f = w.t
+  where w.i = coalesce(k.n, 0) and n.t in ('a', 'b') group by w.conv_id
+)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, b.c::bigint as cost, b.a as audit, sha256(substr(b.o, 2)) as repaired_sha256
+from ends e left join counts k on k.conv_id is not distinct from e.conv_id
+"""
+ORACLE_SQL = {"op13_conversation_repair": TWIN}

@@ -7,6 +7,8 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
+
 from strideforge.llm import conversation_repair as cr
 
 LEGAL = re.compile(r"(s?(ua)+)?")
@@ -157,6 +159,8 @@ def test_query_equals_plain_python(spark, tmp_path):
     rows += [(500, t, rng.choice(["user", "assistant"]), rng.choice(["Well.", "so", f"{t}.", f"{t % 50}!"])) for t in range(150)]
     spark.createDataFrame([(*r, 7, 1) for r in rows], DDL).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     want = plain(rows)
+    twin = duckdb.sql(cr.TWIN.replace("from conversations", f"from '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    assert {r[0]: r[1:] for r in twin} == want
     for size in (4096, 3, 1):
         got = cr.op13_conversation_repair(spark, str(tmp_path), fragment_rows=size)
         assert got.columns == ["conv_id", *NAMES] and {t for _, t in got.dtypes} == {"bigint", "string"}
