@@ -16,6 +16,7 @@ MODULES = [
     "license_align",
     "periodic_runs",
     "conversation_repair",
+    "pii_votes",
 ]
 
 
