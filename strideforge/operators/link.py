@@ -24,6 +24,16 @@ def link_lines(parsed, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
     rows = parsed.withColumn("_bad", F.sum((F.col("status") == "bad_checksum").cast("long")).over(upto))
     rows = rows.withColumn("_v", F.when(valid, F.struct("seq", "ts_us", "_bad")))
     rows = rows.withColumns({"_p": F.last("_v", ignorenulls=True).over(before), "_n": F.count("_v").over(upto)})
+    rows = breaks(rows, period, tolerance)
+    return rows.withColumn("epoch", F.sum(F.coalesce("reset", F.lit(False)).cast("int")).over(upto).cast("int")).drop("_bad", "_v", "_p", "_n")
+
+
+def breaks(rows, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
+    """Lines with what their predecessor tells: frame_idx, reset, last_gap, lost, seq_break, timing_break; null where not valid.
+
+    _p: the last valid line before (seq, ts_us, _bad); _bad, _n: lines with a wrong checksum and valid ones up to here.
+    """
+    valid = F.col("status") == "valid"
     reset = F.coalesce(F.col("ts_us") < F.col("_p.ts_us"), F.lit(False))
     delta = F.when(~F.col("reset"), F.pmod(F.col("seq") - F.col("_p.seq"), F.lit(WRAP)))
     missing = F.greatest(F.col("_delta") - 1, F.lit(0))
@@ -38,8 +48,7 @@ def link_lines(parsed, period=FRAME_PERIOD_US, tolerance=TIMING_TOLERANCE_US):
         .withColumn("lost", here(F.when(F.col("_delta").isNull(), 0).otherwise(gap).cast("long")))
         .withColumn("seq_break", here(F.coalesce((F.col("_delta") != 1) & ((F.col("lost") > 0) | (F.col("_delta") == 0)), no)))
         .withColumn("timing_break", here(F.coalesce((F.col("_delta") > 0) & (F.abs(F.col("ts_us") - F.col("_p.ts_us") - period * F.col("_delta")) > tolerance), no)))
-        .withColumn("epoch", F.sum(F.coalesce("reset", no).cast("int")).over(upto).cast("int"))
-        .drop("_bad", "_v", "_p", "_n", "_delta")
+        .drop("_delta")
     )
 
 
