@@ -4,22 +4,22 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.functions.frames import cop, frame_flags, total_force, transform
-from strideforge.operators.stances import before, frames_in_stances, window
+from strideforge.operators.stances import before, frames_in_intervals, frames_in_stances, window
 from strideforge.schemas import CHANNELS, COP_FEATURES, FORCE_FEATURES
 
 KEY = ["session_id", "stance"]
 
 
-def stance_frames(frames, rep="raw", gains=None, by=("session_id",), **detector):
+def stance_frames(frames, rep="raw", gains=None, by=("session_id",), stances=None, **detector):
     """Frames of merged stances with dt_s and the load of the representation: detection is on raw counts, the rest is not.
 
-    Adds total (raw), load and cop_x, cop_y of the representation; one exchange, on session_id.
+    With stances (keys, start, end, and stance or none) those are taken as they are, overlapping ones too, and nothing is detected. Adds total (raw), load and cop_x, cop_y of the representation; one exchange, on session_id.
     """
     by = list(by)
     step = F.col("ts_us") - F.lag("ts_us").over(window(by, "frame_idx"))
     rows = frames.withColumn("total", total_force()).withColumn("_step", step)
     rows = rows.withColumn("dt_s", F.median("_step").over(Window.partitionBy(*by)) / 1e6).drop("_step")
-    inside = frames_in_stances(rows, by=by, **detector)
+    inside = frames_in_stances(rows, by=by, **detector) if stances is None else frames_in_intervals(rows, stances, by)
     raw = {f"_raw_{c}": F.col(c) for c in CHANNELS}
     there = cop(transform(inside.withColumns(raw), rep, gains)).withColumn("load", total_force())
     return there.withColumns({c: F.col(f"_raw_{c}") for c in CHANNELS}).drop(*raw)
@@ -74,9 +74,9 @@ def cop_features(inside):
     return stance_features(inside).select(*KEY, "start", "end", *COP_FEATURES)
 
 
-def extract_features(frames, rep="raw", gains=None, by=("session_id",), **detector):
-    """The feature frame of a representation, from frames."""
-    return stance_features(stance_frames(frames, rep, gains, by, **detector), by)
+def extract_features(frames, rep="raw", gains=None, by=("session_id",), stances=None, **detector):
+    """The feature frame of a representation, from frames: of the stances given, or else of those detected."""
+    return stance_features(stance_frames(frames, rep, gains, by, stances, **detector), by)
 
 
 def gap_frames(inside, by=("session_id",)):

@@ -102,6 +102,21 @@ def stance_events(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MI
         .filter("epoch = 0 or low = 1")
         .withColumn("n", F.col("end") - F.col("start") + 1)
     )
+    runs = judged(runs, min_duration, max_duration)
+    # merging, and for each merged stance the latest run that starts at or before the frame it waits for: ordered passes only
+    w = window(by, "start")
+    is_stance = F.coalesce(F.col("kind") == "stance", F.lit(False))
+    since = F.col("start") - F.last(F.when(is_stance, F.col("end")), ignorenulls=True).over(before(w)) - 1
+    runs = runs.withColumn("opens", is_stance & F.coalesce(since >= gap, F.lit(True)))
+    runs = runs.withColumn("island", F.sum(F.col("opens").cast("int")).over(upto(w)))
+    island = Window.partitionBy(*by, "island")
+    runs = runs.withColumns({"i_start": F.min(F.when(is_stance, F.col("start"))).over(island), "i_end": F.max(F.when(is_stance, F.col("end"))).over(island)})
+    points = asked(runs, by, max_duration, gap)
+    return emitted(points.withColumn("live", F.last("live", ignorenulls=True).over(upto(window(by, "pos", "ask")))), by)
+
+
+def judged(runs, min_duration=MIN_DURATION, max_duration=MAX_DURATION):
+    """Runs (start, end, n, and last, the last frame of their epoch) with kind (null: still open, too short) and live_end."""
     is_open = F.col("end") == F.col("last")
     at_reset = is_open & (F.col("epoch") < F.col("last_epoch"))
     kind = (
@@ -111,21 +126,20 @@ def stance_events(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duration=MI
         .when(F.col("n") < min_duration, "rejected_min")
         .otherwise("stance")
     )
-    runs = runs.withColumn("kind", kind).withColumn("live_end", F.least("end", F.col("start") + max_duration - 1))
-    # merging, and for each merged stance the latest run that starts at or before the frame it waits for: ordered passes only
-    w = window(by, "start")
-    is_stance = F.coalesce(F.col("kind") == "stance", F.lit(False))
-    since = F.col("start") - F.last(F.when(is_stance, F.col("end")), ignorenulls=True).over(before(w)) - 1
-    runs = runs.withColumn("opens", is_stance & F.coalesce(since >= gap, F.lit(True)))
-    runs = runs.withColumn("island", F.sum(F.col("opens").cast("int")).over(upto(w)))
-    island = Window.partitionBy(*by, "island")
-    runs = runs.withColumns({"i_start": F.min(F.when(is_stance, F.col("start"))).over(island), "i_end": F.max(F.when(is_stance, F.col("end"))).over(island)})
+    return runs.withColumn("kind", kind).withColumn("live_end", F.least("end", F.col("start") + max_duration - 1))
+
+
+def asked(runs, by, max_duration=MAX_DURATION, gap=GAP_MERGE):
+    """Points in order: each run at its start (ask = 0), and each island (i_start, i_end) at the frame that it waits for (ask = 1)."""
     shown = F.when(F.col("kind") == "discarded_max", F.col("start") + max_duration).otherwise(F.col("end"))
     point = lambda pos, ask, kind, start, end, live: F.struct(pos.alias("pos"), F.lit(ask).alias("ask"), kind.alias("kind"), start.alias("start"), end.alias("end"), live.alias("live"))
     run = point(F.col("start"), 0, F.col("kind"), F.col("start"), shown, F.col("live_end"))
     ask = point(F.greatest(F.col("i_end") + gap, F.col("i_end") + 1), 1, F.lit("stance"), F.col("i_start"), F.col("i_end"), F.lit(None).cast("bigint"))
-    points = runs.select(*by, "last", F.explode(F.when(F.col("opens"), F.array(run, ask)).otherwise(F.array(run))).alias("p")).select(*by, "last", "p.*")
-    points = points.withColumn("live", F.last("live", ignorenulls=True).over(upto(window(by, "pos", "ask"))))
+    return runs.select(*by, "last", F.explode(F.when(F.col("opens"), F.array(run, ask)).otherwise(F.array(run))).alias("p")).select(*by, "last", "p.*")
+
+
+def emitted(points, by):
+    """The events of points whose live is the live end of the last run that starts at or before them."""
     emit = F.least(F.when(F.col("live") >= F.col("pos"), F.col("live") + 1).otherwise(F.col("pos")), "last")
     found = points.filter("ask = 1 or kind <> 'stance'")
     return found.select(*by, "kind", "start", "end", F.when(F.col("ask") == 1, emit).alias("emit_idx"))
@@ -153,6 +167,37 @@ def frames_in_stances(frames, value="total", t_on=T_ON, t_off=T_OFF, min_duratio
     return inside.drop("_signal", "on", "first", "run", "_off", "_kept", "_at", "_opens")
 
 
+#: Frames of a bucket in which given intervals meet their frames.
+BUCKET = 256
+
+
+def numbered(intervals, by=("session_id",)):
+    """Intervals (start, end) with stance, their number by start, then end, where they carry none; null and reversed ones go."""
+    kept = intervals.filter("start <= end")
+    if "stance" in kept.columns:
+        return kept
+    return kept.withColumn("stance", (F.row_number().over(window(by, "start", "end")) - 1).cast("int"))
+
+
+def frames_in_intervals(frames, intervals, by=("session_id",), bucket=BUCKET):
+    """The frames of given stances (start, end, inclusive; stance as in ``numbered``): a frame once for each interval that holds it.
+
+    Frames and intervals meet in buckets of the frame numbers, in one window over their union: an interval has a row for each bucket
+    that it reaches, and a bucket's frames see its intervals as one array. Overlapping, nested and equal intervals keep all their
+    frames; what lies outside the session has none, and an interval without frames gives no rows. No task holds a session.
+    """
+    by = list(by)
+    place = lambda c: F.floor(F.col(c) / bucket)
+    given = numbered(intervals, by)
+    spans = given.select(*by, F.struct("stance", "start", "end").alias("_span"), F.explode(F.sequence(place("start"), place("end"))).alias("_bucket"))
+    own = frames.drop("stance", "start", "end").filter(F.col("frame_idx").isNotNull())
+    rows = own.withColumn("_bucket", place("frame_idx")).unionByName(spans, allowMissingColumns=True)
+    here = F.collect_list("_span").over(Window.partitionBy(*by, "_bucket"))
+    rows = rows.withColumn("_spans", here).filter(F.col("frame_idx").isNotNull())
+    holds = F.filter("_spans", lambda s: F.col("frame_idx").between(s["start"], s["end"]))
+    return rows.withColumn("_s", F.explode(holds)).select(*own.columns, "_s.*")
+
+
 def frame_dt(frames, by=("session_id",)):
     """Median step of the device clock in seconds, per key."""
     step = F.col("ts_us") - F.lag("ts_us").over(window(by, "frame_idx"))

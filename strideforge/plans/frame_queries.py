@@ -67,9 +67,9 @@ def rep_sql(rep):
     return {"raw": lambda i: f"s{i}", "conductance": lambda i: x(f"s{i}"), "gain_matched": lambda i: f"({x(f's{i}')} * {ad.GAINS[i]!r})"}[rep]
 
 
-def features_sql(rep="raw", source=F_):
-    """The chain from frames to feats; source: the SQL that makes frames."""
-    return f"""{source}, {RUNS}, steps AS (
+def features_sql(rep="raw", source=F_, found=RUNS):
+    """The chain from frames to feats; source: the SQL that makes frames, found: that which makes the stances, merged."""
+    return f"""{source}, {found}, steps AS (
   SELECT session_id, ts_us - lag(ts_us) OVER (PARTITION BY session_id ORDER BY frame_idx) AS step FROM frames
 ), dts AS (SELECT session_id, median(step) / 1e6 AS dt_s FROM steps GROUP BY session_id),
 inside AS (

@@ -1,8 +1,8 @@
 """All queries of the sensor jobs, by name."""
 
-from strideforge.plans import frame_queries, model_queries
+from strideforge.plans import frame_queries, long_queries, model_queries
 
-MODULES = [frame_queries, model_queries]
+MODULES = [frame_queries, model_queries, long_queries]
 
 
 def flagship(spark, sf_dir):

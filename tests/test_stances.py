@@ -128,3 +128,26 @@ def test_tracker_equals_the_batch(spark):
     f = link_accounting(parse_frames(df)).withColumn("total", total_force())
     got = st.stance_events(f, min_duration=4, max_duration=30, gap=3).select("session_id", "kind", "epoch", "start", "end", "emit_idx")
     assert sorted(map(str, live)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_given_intervals_keep_all_their_frames(spark):
+    rnd = random.Random(11)
+    walks = {f"w{k}": [rnd.randrange(0, 3000) for _ in range(rnd.randrange(1, 900))] for k in range(6)}
+    f = frames_of(spark, walks)
+    spans = [(k, *sorted((rnd.randrange(-50, 1200), rnd.randrange(-50, 1200)))) for k in walks for _ in range(25)]
+    spans += [("w0", 5, 5), ("w0", 5, 5), ("w0", None, 9), ("w0", 9, 3), ("gone", 0, 9)]
+    given = spark.createDataFrame(spans, "session_id string, start long, end long")
+    for bucket in (1, 17, 256):
+        got = sorted((r.session_id, r.start, r.end, r.frame_idx) for r in st.frames_in_intervals(f, given, bucket=bucket).collect())
+        assert got == sorted((k, a, b, i) for k, a, b in spans if a is not None and k in walks for i in range(max(a, 0), min(b, len(walks[k]) - 1) + 1))
+
+
+def test_features_of_given_stances_equal_those_of_the_same_detected_ones(spark):
+    x = ([0] * 20 + [1300, 2500, 2400, 1800] * 6) * 5 + [0] * 20
+    f = frames_of(spark, {"a": x, "b": x[7:]})
+    detected = ft.extract_features(f)
+    given = detected.select("session_id", "stance", "start", "end")
+    assert sorted(map(str, ft.extract_features(f, stances=given).collect())) == sorted(map(str, detected.collect()))
+    edited = given.withColumn("end", given["end"] + 3)
+    assert {r.n_frames for r in ft.extract_features(f, stances=edited).collect()} == {27}
+    assert ft.extract_features(f, stances=given.limit(0)).count() == 0
