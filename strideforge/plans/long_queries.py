@@ -10,7 +10,9 @@ from strideforge.operators import segments
 from strideforge.operators import stances as st
 from strideforge.plans import adapter as ad
 from strideforge.plans import frame_queries as fq
+from strideforge.plans import model_queries as mq
 from strideforge.plans.common import normal
+from strideforge.streaming import live
 
 Q, SQL = {}, {}
 #: Frames of a segment here: short, so that every session is cut many times, through stances as well.
@@ -90,3 +92,49 @@ def given_frames(spark, d):
     frames = fq.fr(spark, d)
     rows = st.frames_in_intervals(frames, given(frames))
     return rows.groupBy("session_id", "stance").agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
+
+
+# Arrivals with silences: a line comes every 2.5 ms by its number; in the middle some sessions fall silent for 7 s, later some for 4 s.
+ARRIVED_US = "1704067200000000 + line_no * 2500 + CASE WHEN session_id % 3 = 0 AND line_no >= 1200 THEN 7000000 ELSE 0 END + CASE WHEN session_id % 5 = 0 AND line_no >= 2000 THEN 4000000 ELSE 0 END"
+#: Seconds at which a micro-batch of the arrivals ends.
+ENDS = (1.7, 4.0, 9.0)
+STALL_US, STATUS_US = 3_000_000, 1_000_000
+CAPTURES = f"""
+WITH {fq.PARSED}, came AS (SELECT session_id, line_no, status, {ARRIVED_US} AS us FROM parsed),
+gaps AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY line_no) AS before FROM came),
+numbered_captures AS (
+  SELECT *, sum(CASE WHEN us - before > {STALL_US} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no) AS capture FROM gaps
+), captures AS (SELECT session_id, capture, min(us) AS t0, max(us) AS t1, max(max(us)) OVER () AS mark, max(capture) OVER (PARTITION BY session_id) AS last FROM numbered_captures GROUP BY session_id, capture),
+closed AS (
+  SELECT *, capture < last OR -(-(t1 + {STALL_US}) // 1000) < mark // 1000 AS stalled FROM captures
+)"""
+
+
+def watched(spark, d, **settings):
+    """Events of the live job over the arrivals with silences, by the clock of the arrivals."""
+    lines = ad.lines(spark, d).withColumn("_us", F.expr(ARRIVED_US))
+    part = sum(((F.col("_us") > 1704067200000000 + int(e * 1e6)).cast("int") for e in ENDS), F.lit(0))
+    rows = lines.withColumn("arrival_ts", F.timestamp_micros("_us")).withColumn("_part", part).drop("_us")
+    base, stream = mq.arrived(spark, [rows.filter(F.col("_part") == k).drop("_part") for k in range(len(ENDS) + 1)])
+    stream = live.live_stances(stream, clock="arrival", stall_s=STALL_US / 1e6, **settings)
+    return live.run_now(stream, f"{base}/out", f"{base}/ck")
+
+
+@add("t7_stall_stream", f"""{CAPTURES}
+SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(t1 + {STALL_US} AS BIGINT) AS at_us FROM closed WHERE stalled""")
+def stall_stream(spark, d):
+    return watched(spark, d).filter("kind = 'stalled'").select("session_id", F.unix_micros("at").alias("at_us"))
+
+
+KINDS = ("valid", "malformed", "empty", "bad_checksum", "status")
+
+
+@add("t8_status_stream", f"""{CAPTURES}, due AS (
+  SELECT session_id, capture, t0 + {STATUS_US} * unnest(range(1, (t1 - t0 + {STALL_US}) // {STATUS_US} + 2)) AS at_us, t1, mark, stalled FROM closed
+)
+SELECT CAST(d.session_id AS VARCHAR) AS session_id, CAST(at_us AS BIGINT) AS at_us, {", ".join(f"count(*) FILTER (WHERE status = '{k}') AS {k}" for k in KINDS)}
+FROM due d JOIN numbered_captures n ON n.session_id = d.session_id AND n.capture = d.capture AND n.us <= d.at_us
+WHERE at_us < t1 + {STALL_US} AND (stalled OR at_us < t1 OR -(-at_us // 1000) < mark // 1000) GROUP BY d.session_id, d.capture, at_us""")
+def status_stream(spark, d):
+    rows = watched(spark, d, status_s=STATUS_US / 1e6).filter("kind = 'status'")
+    return rows.select("session_id", F.unix_micros("at").alias("at_us"), *[F.element_at("counters", F.lit(k)).alias(k) for k in KINDS])

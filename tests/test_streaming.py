@@ -88,8 +88,8 @@ def test_a_session_that_ended_leaves_no_state(spark, tmp_path):
     write(spark, f"{tmp_path}/in", [("a", 10, live.END, 0.0)])
     query = live.live_stances(line_stream(spark, f"{tmp_path}/in", 1), stall_s=0).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
-    assert rows[0] == 1 and rows[-1] == 0
+    rows = [total for total, _, _ in live.state_size(query)]
+    assert rows[0] == 3 and rows[-1] == 0  # the link, the counters, one step of the clock
 
 
 def test_a_stalled_session_is_closed(spark, tmp_path):
@@ -118,3 +118,43 @@ def test_representations_are_checked():
         live.live_stances(None, model, rep="raw", gains={0: 1.0})
     with pytest.raises(ValueError, match="no known"):
         live.live_stances(None, {**model, "meta": {"representation": "other"}})
+
+
+def watched(spark, tmp_path, parts, **settings):
+    """Events of a replay that goes by the arrival times of its lines."""
+    base = str(tmp_path / f"w{len(list(tmp_path.iterdir()))}")
+    for rows in parts:
+        write(spark, f"{base}/in", rows)
+    stream = live.live_stances(line_stream(spark, f"{base}/in", 1), clock="arrival", **settings)
+    return [(r.session_id, r.kind, round(r.at.timestamp() - 100, 3) if r.at else None, r.counters["valid"]) for r in live.run_now(stream, f"{base}/out", f"{base}/ck").collect()]
+
+
+def test_silence_and_status_by_the_clock_of_arrivals(spark, tmp_path):
+    at = lambda key, i, s: (key, i, line(i, i * 10000, [0] * 6), 100 + s)
+    quiet = [at("quiet", i, 0.1 * i) for i in range(10)]
+    back = [at("back", i, 0.1 * i + (5.0 if i >= 5 else 0.0)) for i in range(10)]
+    steady = [at("steady", i, 0.5 * i) for i in range(40)]
+    rows = sorted(quiet + back + steady, key=lambda r: r[3])
+    want = {("quiet", "stalled", 3.9, 10), ("back", "stalled", 3.4, 5), ("back", "stalled", 8.9, 5)}
+    for cuts in ([], [3.0], [0.45, 2.0, 6.0, 12.0]):
+        parts = [[r for r in rows if sum(r[3] > 100 + c for c in cuts) == k] for k in range(len(cuts) + 1)]
+        got = watched(spark, tmp_path, parts, stall_s=3.0)
+        assert len(got) == len(want) and set(got) == want
+        status = watched(spark, tmp_path, parts, stall_s=3.0, status_s=2.0)
+        of = lambda key: sorted(r[2:] for r in status if r[0] == key and r[1] == "status")
+        assert of("quiet") == [(2.0, 10)]
+        assert of("back") == [(2.0, 5), (7.5, 5)]
+        assert of("steady") == [(2.0 * k, 4 * k + 1) for k in range(1, 10)]
+    free = watched(spark, tmp_path, [rows], stall_s=None)
+    assert free == []  # a replay without a watch cannot stall
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    """The rows of state that a micro-batch writes do not grow with what the session has been through."""
+    no = 0
+    for _ in range(5):
+        write(spark, f"{tmp_path}/in", [("a", no + i, line((no + i) % 65536, (no + i) * 10000, [0] * 6), 0.0) for i in range(200)])
+        no += 200
+    query = live.live_stances(line_stream(spark, f"{tmp_path}/in", 1), stall_s=0).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(total, written) for total, written, _ in live.state_size(query)] == [(3, 3)] * 5
