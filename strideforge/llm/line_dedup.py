@@ -21,7 +21,6 @@ first whole line to its last. Each line that goes stays in an earlier place. Who
 An empty table gives no rows; of equal places the least document and line is the first.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.llm.common import MAX_BROADCAST, NULL_ID, materialize, table
@@ -117,7 +116,7 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPED
 
 
 def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
-    """Runs of lines of docs(_id, _th, text) to remove: _id, _th, start, end (line numbers, both removed)."""
+    """Runs of lines of docs(_id, _th, text) to remove: _id, _th, gone: array of (start, end), line numbers, both removed, in order."""
     lines = F.transform(F.split("text", split, -1), lambda u, i: F.struct(i.alias("i"), F.btrim(u, F.lit(" \t\r\n")).alias("u")))
     size = [] if copies is None else ["size"]  # of the document, needed to tell copies only
     lines = docs.withColumn("size", F.length("text")).select("_id", "_th", *size, F.inline(F.array(F.struct(F.filter(lines, lambda x: x.u != "").alias("n")))))
@@ -135,21 +134,31 @@ def repeated_runs(docs, min_chars=MIN_CHARS, copies=None, split=WRAPPED):
     # written first: both sides of the join are then plain exchanges, of which Spark splits the tasks of a frequent pair
     first = materialize(first.select("bytes", "first"), "line-pair-firsts")
     gone = found.join(first, "bytes").filter(place != F.col("first"))
-    if copies is not None:
+    pairs_of = F.collect_set(F.struct("i", "j", "chars", "last")).alias("p")
+    if copies is None:
+        each = gone.groupBy("_id", "_th").agg(pairs_of)
+    else:
+        # a row for each document and source, so what follows counts documents, not lines
         gone = gone.withColumns({"id": F.col("first._id"), "th": F.col("first._th")})
-        source = gone.filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th"))).groupBy("_id", "_th", "id", "th")
-        source = source.agg(F.sum("chars").alias("chars"), F.max(F.greatest("size", "first.size")).alias("size"))
-        source = source.filter(F.col("chars") >= LEAST_COMMON * F.col("size")).select("_id", "_th", "id", "th")
-        copied = materialize(_copied(docs, materialize(source, "line-sources"), copies), "line-copies")
-        gone = gone.join(_small(copied), ["_id", "_th", "id", "th"], "left_anti")
-    gone = gone.select("_id", "_th", "i", "j", "chars", "last").distinct()
-    order = Window.partitionBy("_id", "_th").orderBy("i")
-    gone = gone.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int"))
-    gone = gone.withColumn("run", F.sum("new").over(order))
-    runs = gone.groupBy("_id", "_th", "run").agg(
-        F.min("i").alias("start"), F.max("j").alias("end"), (F.sum("chars") + F.max_by("last", "j")).alias("chars")
-    )
-    return runs.filter(F.col("chars") >= min_chars).select("_id", "_th", "start", "end")
+        each = gone.groupBy("_id", "_th", "id", "th").agg(pairs_of, F.max(F.greatest("size", "first.size")).alias("size"))
+        each = materialize(each, "line-pairs-by-source")
+        shared = F.aggregate("p", F.lit(0), lambda s, x: s + x["chars"])
+        source = each.filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th"))).filter(shared >= LEAST_COMMON * F.col("size"))
+        source = materialize(source.select("_id", "_th", "id", "th"), "line-sources")
+        copied = materialize(_copied(docs, source, copies), "line-copies")
+        each = each.join(_small(copied), ["_id", "_th", "id", "th"], "left_anti")
+        each = each.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
+    # overlapping pairs form a run: it begins with a pair that no earlier one reaches
+    rows = each.select("_id", "_th", F.inline(F.array(F.struct(F.array_sort("p").alias("p")))))
+    heads = F.filter(F.transform("p", lambda x, k: F.when((k == 0) | (x["i"] > F.get("p", k - 1)["j"]), k)), lambda k: k.isNotNull())
+    rows = rows.select("_id", "_th", "p", F.inline(F.array(F.struct(heads.alias("heads")))))
+    ends = F.transform("heads", lambda a, k: F.struct(a.alias("a"), (F.coalesce(F.get("heads", k + 1), F.size("p")) - 1).alias("b")))
+    run = lambda r: F.struct(
+        F.get("p", r["a"])["i"].alias("start"), F.get("p", r["b"])["j"].alias("end"),
+        (F.aggregate(F.slice("p", r["a"] + 1, r["b"] - r["a"] + 1), F.lit(0), lambda s, x: s + x["chars"]) + F.get("p", r["b"])["last"]).alias("chars"),
+    )
+    kept = F.filter(F.transform(ends, run), lambda r: r["chars"] >= min_chars)
+    return rows.select("_id", "_th", F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("gone")).filter(F.size("gone") > 0)
 
 
 def _small(keys):
@@ -187,8 +196,7 @@ def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed", s
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
         *[F.col(f"`{c}`").alias(a) for c, a in other.items()],
     )
-    runs = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies, split)
-    per_doc = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    per_doc = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies, split)
     joined = rows.join(per_doc, ["_id", "_th"], "left")
     lines = F.when(F.col("gone").isNotNull(), F.split("text", split, -1))
     parts = joined.select("_id", "text", "gone", *other.values(), F.inline(F.array(F.struct(lines.alias("lines")))))
