@@ -12,6 +12,7 @@ from strideforge.plans import adapter as ad
 from strideforge.plans import frame_queries as fq
 from strideforge.plans import model_queries as mq
 from strideforge.plans.common import normal
+from strideforge.sources import streams
 from strideforge.streaming import live
 
 Q, SQL = {}, {}
@@ -138,3 +139,22 @@ WHERE at_us < t1 + {STALL_US} AND (stalled OR at_us < t1 OR -(-at_us // 1000) <
 def status_stream(spark, d):
     rows = watched(spark, d, status_s=STATUS_US / 1e6).filter("kind = 'status'")
     return rows.select("session_id", F.unix_micros("at").alias("at_us"), *[F.element_at("counters", F.lit(k)).alias(k) for k in KINDS])
+
+
+def logged(spark, d, model=None, names=()):
+    """Events of the live job from plain text logs, one a session: those of every other session come first, then the rest."""
+    lines = ad.lines(spark, d)
+    ends = lines.groupBy("session_id").agg((F.max("line_no") + 1).alias("line_no")).withColumn("value", F.lit(live.END))
+    rows = lines.unionByName(ends).withColumn("odd", F.col("session_id") % 2)
+    base = mq.shared(spark)
+    for odd in (0, 1):
+        one = rows.filter(F.col("odd") == odd).repartition("session_id").sortWithinPartitions("session_id", "line_no")
+        one.select("session_id", "value").write.mode("append").partitionBy("session_id").text(f"{base}/logs")
+        stream = streams.line_stream(spark, f"{base}/logs", "log", session="session_id=([^/]+)/")
+        found = live.run_now(live.live_stances(stream, model, names, stall_s=None), f"{base}/out", f"{base}/ck")
+    return found
+
+
+@add("t1_log_stream_events", fq.SQL.get("t2_t6_live_events") or mq.SQL["t2_t6_live_events"])
+def log_events(spark, d):
+    return logged(spark, d).filter("kind <> 'end'").select("session_id", "kind", "epoch", "start", "end", "emit_idx")

@@ -64,6 +64,7 @@ def reassemble_lines(chunks):
 
 
 def line_stream(spark, path, max_files=None):
-    """The streaming twin: rows of (session_id, line_no, value, arrival_ts) as JSON files arrive."""
-    reader = spark.readStream.schema("session_id string, line_no long, value string, arrival_ts timestamp")
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
+    """The streaming twin: rows of (session_id, line_no, value, arrival_ts) as JSON files arrive. Other sources: ``streams.line_stream``."""
+    from strideforge.sources import streams
+
+    return streams.line_stream(spark, path, **({"maxFilesPerTrigger": max_files} if max_files else {}))
