@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.operators import logistic, models, splits
+from strideforge.operators.leave_out import evaluate_held_out
+from strideforge.operators.store import written
 from strideforge.schemas import BLOCKS, REPEATS, WILSON_Z
 
 
@@ -63,18 +65,6 @@ def evaluate_folds(rows, assignment, features, kind="qda"):
     return out.select("fold", "row_id", "label", "session", "pred"), failed
 
 
-def evaluate_held_out(rows, features, kind="qda"):
-    """``evaluate_folds`` for rows with a column fold, the only one that tests them (null: none does); all others train on them.
-
-    One aggregate by fold and label; a fold's training rows are the whole less its own, so no row is repeated for a fold.
-    """
-    whole = models._complete(rows, features)
-    fitted, failed = models.fit_without(models.class_stats(whole, features, "label", ["fold"]).collect(), len(features), kind)  # folds x classes rows
-    test = whole.filter("fold is not null").withColumn("fold", F.col("fold").cast("int"))
-    out = models.predict_batches(test.select("fold", "row_id", "label", "session", *features), fitted, features, "fold")
-    return out.select("fold", "row_id", "label", "session", "pred"), failed
-
-
 def cross_validation(rows, features, kind="qda", k=BLOCKS, repeats=REPEATS):
     """Accuracy over k contiguous blocks (pooled; least and best block) and over repeated random splits (mean, least, best)."""
     spread = lambda p, name, mean: (
@@ -93,7 +83,7 @@ def grid(rows, sets, kinds=("lda", "qda", "logistic"), k=BLOCKS):
     (rep, fold, label) fits all discriminants, and each Newton step of all logistic regressions is one aggregate as well.
     """
     out = None
-    placed = splits.block_of(rows, k, ["rep"]).withColumn("fold", F.col("fold").cast("int"))
+    placed = written(splits.block_of(rows, k, ["rep"]).withColumn("fold", F.col("fold").cast("int")), "placed")
     for name, features in sets.items():
         whole = models._complete(placed, features)
         stats = {}

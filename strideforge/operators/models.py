@@ -77,16 +77,22 @@ def fit_without(stats, p, kind, label="label", fold="fold"):
                 for j in range(i, p):
                     scatter[i, j] = scatter[j, i] = r[f"c_{i}_{j}"] * (n - 1)
         parts.setdefault(r[label], []).append((r[fold], n, mean, scatter))
+    totals = {}
+    for c, some in parts.items():
+        n = sum(x[1] for x in some)
+        mean = sum(x[1] * x[2] for x in some) / n
+        totals[c] = n, mean, sum(x[3] + x[1] * np.outer(x[2] - mean, x[2] - mean) for x in some), {x[0]: x[1:] for x in some}
     fitted, failed = {}, {}
     for f in sorted({r[fold] for r in stats if r[fold] is not None}):
         rows = []
-        for c, some in parts.items():
-            rest = [x for x in some if x[0] != f]
-            n = sum(x[1] for x in rest)
-            if not n:
-                continue
-            mean = sum(x[1] * x[2] for x in rest) / n
-            scatter = sum(x[3] + x[1] * np.outer(x[2] - mean, x[2] - mean) for x in rest)
+        for c, (n, mean, scatter, own) in totals.items():
+            if f in own:
+                k, u, inner = own[f]
+                if k == n:
+                    continue
+                rest = (n * mean - k * u) / (n - k)
+                scatter = scatter - inner - (k * (n - k) / n) * np.outer(u - rest, u - rest)
+                n, mean = n - k, rest
             cov = {f"c_{i}_{j}": scatter[i, j] / (n - 1) if n > 1 else None for i in range(p) for j in range(i, p)}
             rows.append({label: c, "n": n, **{f"m_{i}": mean[i] for i in range(p)}, **cov})
         try:
