@@ -120,12 +120,29 @@ def binomial_two_sided(b, c):
 
 
 def holm(tests, p="p"):
-    """tests with p_holm: Holm-adjusted p-values over the whole (small) table; nulls stay null."""
+    """tests with p_holm: Holm-adjusted p-values over the whole table, of any size; nulls stay null.
+
+    Rows are dealt out by ranges of p. The driver sees the number of rows and the greatest raised value of each range, from which
+    a range's first rank and least value follow; ranks and running maxima are taken inside the ranges.
+    """
     known = tests.filter(F.col(p).isNotNull())
-    w = Window.orderBy(p, *[c for c in tests.columns if c != p])
-    ranked = known.withColumns({"_r": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy())})
-    raised = F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    done = ranked.withColumn("p_holm", F.least(raised, F.lit(1.0))).drop("_r", "_m")
+    order = [p, *[c for c in tests.columns if c != p]]
+    rows = written(known.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "by-p")
+    w = Window.partitionBy("_part").orderBy(*order)
+    counts = {r[0]: r[1] for r in rows.groupBy("_part").count().collect()}  # a row for each range
+    total, first, so_far = sum(counts.values()), {}, 0
+    for part in sorted(counts):
+        first[part] = so_far
+        so_far += counts[part]
+    of = lambda by_part, default: F.element_at(F.create_map(*[F.lit(x) for kv in by_part.items() for x in kv]), F.col("_part")) if by_part else F.lit(default)
+    ranked = rows.withColumn("_v", (F.lit(total) - of(first, 0) - F.row_number().over(w) + 1) * F.col(p))
+    ranked = written(ranked.withColumn("_raised", F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))), "ranked")
+    greatest = {r[0]: r[1] for r in ranked.groupBy("_part").agg(F.max("_v")).collect()}  # a row for each range
+    before, most = {}, 0.0
+    for part in sorted(greatest):
+        before[part] = most
+        most = max(most, greatest[part])
+    done = ranked.withColumn("p_holm", F.least(F.greatest("_raised", of(before, 0.0)), F.lit(1.0))).drop("_part", "_v", "_raised")
     return done.unionByName(tests.filter(F.col(p).isNull()), allowMissingColumns=True)
 
 

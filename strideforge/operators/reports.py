@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strideforge.functions.frames import cop, total_force, transform
 from strideforge.operators.features import unpivoted
+from strideforge.operators.quantiles import exact_percentiles
 from strideforge.operators.stances import window
 from strideforge.schemas import CALIBRATION_CEILING, CHANNELS, LENGTH_MM, T_ON
 
@@ -65,12 +66,22 @@ def zero_fraction(frames, by=("session_id",)):
     return frames.groupBy(*by).agg(*[F.avg((F.col(c) == 0).cast("double")).alias(f"zero_{c}") for c in CHANNELS])
 
 
-def force_distribution(frames, by=("session_id",), t_on=T_ON):
+def _with_refined(table, rows, by, value, shares):
+    """table with the exact percentiles of very large groups, by the same keys."""
+    found = exact_percentiles(rows, by, value, shares)
+    same = None
+    for c in by:
+        here = F.col(f"t.{c}").eqNullSafe(F.col(f"q.{c}"))
+        same = here if same is None else same & here
+    return table.alias("t").join(found.alias("q"), same, "left").select("t.*", *[f"q.{n}" for n in shares])
+
+
+def force_distribution(frames, by=("session_id",), t_on=T_ON, refined=False):
+    """Least, greatest and percentiles of the total force; refined: percentiles for keys whose counts are too many for one task."""
     t = frames.withColumn("_t", total_force())
-    return t.groupBy(*by).agg(
-        F.min("_t").alias("min"), _p("_t", 0.05).alias("p05"), F.median("_t").alias("median"), _p("_t", 0.95).alias("p95"), F.max("_t").alias("max"),
-        F.avg((F.col("_t") >= t_on).cast("double")).alias("on_frac"),
-    )
+    exact = [] if refined else [_p("_t", 0.05).alias("p05"), F.median("_t").alias("median"), _p("_t", 0.95).alias("p95")]
+    out = t.groupBy(*by).agg(F.min("_t").alias("min"), F.max("_t").alias("max"), F.avg((F.col("_t") >= t_on).cast("double")).alias("on_frac"), *exact)
+    return _with_refined(out, t, by, "_t", {"p05": 0.05, "median": 0.5, "p95": 0.95}) if refined else out
 
 
 def run_length_report(runs, stances, merged, min_duration, max_duration):
@@ -92,12 +103,14 @@ def dt_drift(stances, dt):
     return d.groupBy("session_id").agg(F.max("n_frames").alias("longest"), F.max(F.abs("drift_s")).alias("worst_drift_s"))
 
 
-def describe_features(rows, features, by="label"):
+def describe_features(rows, features, by="label", refined=False):
+    """n, mean, sd, min, median and max per class and feature; refined: medians for classes whose values are too many for one task."""
     long = rows.select(by, F.expr("stack(%d, %s) as (feature, value)" % (len(features), ", ".join(f"'{f}', cast({f} as double)" for f in features))))
-    return long.groupBy(by, "feature").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
-        F.median("value").alias("median"), F.max("value").alias("max"),
+    exact = [] if refined else [F.median("value").alias("median")]
+    out = long.groupBy(by, "feature").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), *exact,
     )
+    return _with_refined(out, long, [by, "feature"], "value", {"median": 0.5}) if refined else out
 
 
 def feature_histogram(rows, feature, bins=20, by="label"):
@@ -131,10 +144,13 @@ def ml_spread(inside, whole=True):
     return per.groupBy("label").agg(F.stddev_samp("ml").alias("sd_mm"), (F.max("ml") - F.min("ml")).alias("range_mm"), F.count("ml").alias("n"))
 
 
-def band_overlap(rows, feature, accuracy=None):
-    """Share of class a inside class b's 10 to 90 % band, for all a, b that differ; accuracy: of approximate percentiles."""
+def band_overlap(rows, feature, accuracy=None, refined=False):
+    """Share of class a inside class b's 10 to 90 % band, for all a, b that differ; accuracy: of approximate percentiles.
+
+    refined: exact percentiles of classes whose values are too many for one task.
+    """
     at = (lambda q: F.percentile_approx(feature, q, accuracy)) if accuracy else (lambda q: _p(feature, q))
-    band = rows.groupBy(F.col("label").alias("b")).agg(at(0.1).alias("_lo"), at(0.9).alias("_hi"))
+    band = rows.groupBy(F.col("label").alias("b")).agg(at(0.1).alias("_lo"), at(0.9).alias("_hi")) if not refined else exact_percentiles(rows.withColumn("b", F.col("label")), ["b"], feature, {"_lo": 0.1, "_hi": 0.9})
     j = rows.filter(F.col(feature).isNotNull()).join(F.broadcast(band), F.col("label") != F.col("b"))  # one row a class
     return j.groupBy(F.col("label").alias("a"), "b").agg(F.avg(F.col(feature).between(F.col("_lo"), F.col("_hi")).cast("double")).alias("share"))
 

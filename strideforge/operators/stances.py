@@ -4,6 +4,8 @@ Keys: every table carries session_id and, where clocks restart, epoch. Windows s
 plan from frames to stances and features has one exchange on it. Start and end are inclusive frame numbers.
 """
 
+import bisect
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -204,11 +206,62 @@ def frame_dt(frames, by=("session_id",)):
     return frames.withColumn("_step", step).groupBy(*by).agg((F.median("_step") / 1e6).alias("dt_s"))
 
 
+class RunningMedian:
+    """The median of growing values: distinct values in order with their counts, and a pointer that moves with each new one."""
+
+    def __init__(self):
+        self.values, self.counts, self.n = [], [], 0
+        self.at, self.below = 0, 0  # the value that holds the lower median, and the number of values before it
+
+    def add(self, v):
+        j = bisect.bisect_left(self.values, v)
+        if j < len(self.values) and self.values[j] == v:
+            self.counts[j] += 1
+        else:
+            self.values.insert(j, v)
+            self.counts.insert(j, 1)
+            if self.n and j <= self.at:
+                self.at += 1
+        if self.n and j < self.at:
+            self.below += 1
+        self.n += 1
+        rank = (self.n - 1) // 2
+        while self.below > rank:
+            self.at -= 1
+            self.below -= self.counts[self.at]
+        while self.below + self.counts[self.at] <= rank:
+            self.below += self.counts[self.at]
+            self.at += 1
+
+    def median(self):
+        low = self.values[self.at]
+        other = self.at + (self.below + self.counts[self.at] <= self.n // 2)
+        return (low + self.values[other]) / 2
+
+
 def running_dt(frames):
-    """Frames with dt_s: the median step of the epoch so far, in seconds; null on an epoch's first frame."""
-    w = window(["session_id", "epoch"], "frame_idx")
-    step = F.col("ts_us") - F.lag("ts_us").over(w)
-    return frames.withColumn("_step", step).withColumn("dt_s", F.percentile("_step", F.lit(0.5)).over(upto(w)) / 1e6).drop("_step")
+    """Frames with dt_s: the median step of the epoch so far, in seconds; null on an epoch's first frame.
+
+    One ordered pass over the frames of a session; what a task holds is the distinct steps of one epoch.
+    """
+    rows = frames.repartition("session_id").sortWithinPartitions("session_id", "epoch", "frame_idx")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, before, median = None, None, None
+        for batch in batches:
+            out = []
+            for s, e, ts in zip(*(batch.column(c).to_pylist() for c in ("session_id", "epoch", "ts_us"))):
+                if median is None or (s, e) != key:
+                    key, before, median = (s, e), None, RunningMedian()
+                if before is not None and ts is not None:
+                    median.add(ts - before)
+                before = ts
+                out.append(median.median() / 1e6 if median.n else None)
+            yield batch.append_column("dt_s", pa.array(out, pa.float64()))
+
+    return rows.mapInArrow(run, frames.withColumn("dt_s", F.lit(None).cast("double")).schema)
 
 
 def count_windows(frames, length, stride, value="total"):

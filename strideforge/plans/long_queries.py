@@ -5,8 +5,9 @@ Their twins are those of the plain forms where the results are the same.
 
 from pyspark.sql import functions as F
 
+from strideforge.operators import evaluate as ev
 from strideforge.operators import features as ft
-from strideforge.operators import segments
+from strideforge.operators import reports, segments
 from strideforge.operators import stances as st
 from strideforge.plans import adapter as ad
 from strideforge.plans import frame_queries as fq
@@ -158,3 +159,29 @@ def logged(spark, d, model=None, names=()):
 @add("t1_log_stream_events", fq.SQL.get("t2_t6_live_events") or mq.SQL["t2_t6_live_events"])
 def log_events(spark, d):
     return logged(spark, d).filter("kind <> 'end'").select("session_id", "kind", "epoch", "start", "end", "emit_idx")
+
+
+# ---- groups and families of any size -----------------------------------------------------------------------------------
+@add("a14_refined", fq.SQL["a14_force_distribution"])
+def force_refined(spark, d):
+    return reports.force_distribution(ad.frames(spark, d), refined=True)
+
+
+@add("a17_refined", mq.SQL["a17_describe_features"])
+def features_refined(spark, d):
+    return reports.describe_features(mq.fe(spark, d), mq.X, refined=True)
+
+
+@add("a22_refined", mq.SQL["a22_band_overlap"])
+def bands_refined(spark, d):
+    return reports.band_overlap(mq.fe(spark, d), "x0", refined=True)
+
+
+@add("e5_holm_rows", f"""
+WITH {mq.FE}, t AS (SELECT row_id, abs(x0) / 1000 AS p FROM feats),
+r AS (SELECT *, row_number() OVER (ORDER BY p, row_id) AS r, count(*) OVER () AS m FROM t)
+SELECT row_id, round(least(max((m - r + 1) * p) OVER (ORDER BY p, row_id ROWS UNBOUNDED PRECEDING), 1.0), 6) AS p_holm FROM r""")
+def holm_rows(spark, d):
+    """A test for each row: the family is the whole table."""
+    tests = mq.fe(spark, d).select("row_id", (F.abs("x0") / 1000).alias("p"))
+    return ev.holm(tests).select("row_id", "p_holm")

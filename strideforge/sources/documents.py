@@ -69,6 +69,37 @@ def next_trial(paths):
     return session_catalog(paths).filter("trial is not null").groupBy("sensor").agg((F.max("trial") + 1).alias("next_trial"))
 
 
-def fingerprint(spark, path):
-    """SHA-256 of each input file, by name."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+#: Files up to this size are read as one value by Spark; larger ones in pieces of PIECE bytes inside a task.
+WHOLE, PIECE = 64 << 20, 8 << 20
+
+
+def fingerprint(spark, path, whole=WHOLE, piece=PIECE):
+    """SHA-256 of each input file, of any size, by name.
+
+    A digest is one ordered pass, so a file is one task's; a task holds a value of ``whole`` bytes or one piece of a larger file.
+    Spark's file sources do not list empty files, so those have no row.
+    """
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+    files = lambda: spark.read.format("binaryFile").load(path)
+    small = files().filter(F.col("length") <= whole).select(name, F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        from strideforge.sources.streams import _store
+
+        for batch in batches:
+            out = []
+            for p in batch.column("path").to_pylist():
+                store, place = _store(p)
+                digest = hashlib.sha256()
+                with store.open_input_stream(place) as f:
+                    while data := f.read(piece):
+                        digest.update(data)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "sha256"])
+
+    paths = files().filter(F.col("length") > whole).select("path").repartition("path")  # names only: no content is read
+    return small.unionByName(paths.mapInArrow(run, "path string, sha256 string").select(name, "sha256"))
