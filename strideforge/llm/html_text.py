@@ -9,7 +9,11 @@ content paths. The text is made of the blocks on content paths, and of the lesse
 an element that holds content blocks itself or in an article or main element, and headings above them. Where article and
 main elements hold most of the weighted content, only what is inside them counts.
 
-Never content are scripts, styles, forms, navigation, asides, footers, hidden elements and the roles that name such parts. A
+Reader comments and the like are told by their structure, whatever their class: siblings of one kind, two or more, each of which holds
+the name of an author or a date (``FIELDS``, ``time``) and text with punctuation but no main heading, are a thread; so named parts
+and threads get the same low weight, so a page that is a thread keeps it.
+
+Never content are scripts, styles, forms (but for one around an article or main element or ``WIDE`` of the page's text), navigation, asides, footers, hidden elements and the roles that name such parts. A
 class or id counts only as a whole word (``comments``, ``cookie-notice``, ``related-posts``), as a weight: it can push a part
 under the threshold, but where all that a page holds is so named, it is still found.
 
@@ -29,11 +33,12 @@ from strideforge.llm.common import slices, table
 
 # Fixed sets of element names and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
 )
-CUT = frozenset("nav aside footer form button dialog menu head select fieldset".split())
+CUT = frozenset("nav aside footer button dialog menu head select fieldset".split())
 CUT_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog menu menubar".split())
 #: Elements that end an open paragraph, and what each closes of its own kind.
 CLOSES = {
@@ -53,8 +58,12 @@ OTHER_PARTS = frozenset(
 PLAIN = frozenset(
     "area bar block body bottom box btn button buttons container content footer form global header icon icons inner item items left link links list main message outer page panel post posts primary right section site text thread title top widget wrap wrapper".split()
 )
-#: The weight of an element that a class or id so names.
+#: Words of a class or id (and the element time) that name the author or the date of what they stand in.
+FIELDS = frozenset("author byline user username nickname avatar commenter date datetime posted published timestamp time ago".split())
+#: The weight of an element that a class or id so names, or that is one of a thread of entries with authors or dates.
 LOW = 0.002
+#: Share of a page's characters that makes a form the page itself.
+WIDE = 0.8
 PUNCTUATION = ".,;:!?"
 #: Share of the mean fused ratio that a content path needs, and of the content that makes article and main elements the page's text.
 SHARE, MOST = 0.3, 0.5
@@ -74,23 +83,35 @@ def named_otherwise(words):
     return False
 
 
+def is_hidden(own):
+    """Whether an element's attributes keep it from being shown."""
+    style = own.get("style", "").lower().replace(" ", "")
+    return "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def has_field(name, words):
+    return name == "time" or any(x in FIELDS for w in words for x in re.split(r"[-_]+", w))
+
+
 class Page:
     """Elements and blocks of a page, in page order."""
 
     def __init__(self):
         #: By element: name, number of the parent, path, whether it is cut, weight.
         self.name, self.parent, self.path, self.cut, self.weight = ["#"], [-1], [0], [False], [1.0]
+        #: The innermost element around it, itself included, that is no paragraph; the outermost form; its kind; fields inside.
+        self.holder, self.form, self.kind, self.fields = [0], [0], [""], [0]
         #: By block: element, texts, characters, characters in links.
         self.element, self.texts, self.chars, self.linked = [], [], [], []
         self.paths = {}
+        #: Forms that hold an article or main element.
+        self.wide = set()
 
     def open(self, parent, name, attributes, inside):
         own = {k.lower(): (a or b or c or "") for k, a, b, c in attributes}
         roles = own.get("role", "").lower().split()
         words = [w for key in ("class", "id") for w in own.get(key, "").lower().split()]
-        hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true"
-        style = own.get("style", "").lower().replace(" ", "")
-        hidden = hidden or "display:none" in style or "visibility:hidden" in style
+        hidden = is_hidden(own)
         top = not inside and (name == "header" or "banner" in roles)
         cut = self.cut[parent] or name in CUT or hidden or top or any(r in CUT_ROLES for r in roles)
         weight = self.weight[parent]
@@ -102,25 +123,33 @@ class Page:
         self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
         self.cut.append(cut)
         self.weight.append(weight)
-        return len(self.name) - 1
+        e = len(self.name) - 1
+        self.holder.append(self.holder[parent] if name in PARAGRAPHS else e)
+        self.form.append(self.form[parent] or (e if name == "form" else 0))
+        self.kind.append(label)
+        self.fields.append(int(has_field(name, words)))
+        return e
 
 
 def parse(html):
     """The page's elements and blocks."""
     page, stack, counts = Page(), [0], {}
     at, block, articles, link = 0, None, 0, 0  # link: the depth of the stack where the open link began, 0: none
+    muted = None  # the hidden inline element that is open: name, how often that name is open in it, depth of the stack
 
     def pop():
-        nonlocal articles, link
+        nonlocal articles, link, muted
         name = page.name[stack.pop()]
         counts[name] -= 1
         articles -= name in ("article", "main")
         if link > len(stack):
             link = 0
+        if muted and muted[2] > len(stack):
+            muted = None
 
     def text(s):
         nonlocal block
-        if not s:
+        if not s or muted:
             return
         if block is None:
             page.element.append(stack[-1])
@@ -174,6 +203,18 @@ def parse(html):
         if name in INLINE or name in VOID:
             if name == "hr":
                 block = None
+            if name in INLINE and muted and name == muted[0]:
+                muted[1] += -1 if close else not rest.endswith("/")
+                if not muted[1]:
+                    muted = None
+            elif name in INLINE and rest and not close:
+                own = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(rest)}
+                words = [w for key in ("class", "id") for w in own.get(key, "").lower().split()]
+                page.fields[stack[-1]] += has_field(name, words)
+                if not muted and not rest.endswith("/") and name not in VOID and is_hidden(own):
+                    muted = [name, 1, len(stack)]
+            elif name == "time" and not close:
+                page.fields[stack[-1]] += 1
             continue
         block = None
         if close:
@@ -189,7 +230,9 @@ def parse(html):
                 break
         stack.append(page.open(stack[-1], name, ATTRIBUTE.findall(rest), articles > 0))
         counts[name] = counts.get(name, 0) + 1
-        articles += name in ("article", "main")
+        if name in ("article", "main"):
+            articles += 1
+            page.wide.add(page.form[stack[-1]])
     return page
 
 
@@ -219,18 +262,46 @@ def fused_ratios(path, chars, marks, linked, weight):
     return per(fused)
 
 
+def threaded(page, usable):
+    """Weights of the elements, with that of what lies in threads of entries lowered."""
+    n = len(page.name)
+    fields, told, heads = list(page.fields), [0] * n, [name in ("h1", "h2") for name in page.name]
+    for b in usable:
+        told[page.element[b]] += page.chars[b] if any(c in PUNCTUATION for t in page.texts[b] for c in t) else 0
+    for e in range(n - 1, 0, -1):
+        up = page.parent[e]
+        fields[up] += fields[e]
+        told[up] += told[e]
+        heads[up] = heads[up] or heads[e]
+    groups = {}
+    for e in range(1, n):
+        groups.setdefault((page.parent[e], page.kind[e]), []).append(e)
+    entries = {e for some in groups.values() if len(some) > 1 and all(fields[e] and told[e] and not heads[e] for e in some) for e in some}
+    weights = list(page.weight)
+    for e in range(1, n):
+        if e in entries or (weights[page.parent[e]] == LOW and page.weight[page.parent[e]] != LOW):
+            weights[e] = min(weights[e], LOW)
+    return weights
+
+
 def content_blocks(page, share=SHARE, most=MOST):
     """Numbers of the blocks that make the text, in page order."""
     import numpy as np
 
     usable = [b for b, e in enumerate(page.element) if page.chars[b] and not page.cut[e]]
+    forms = {}
+    for b in usable:
+        forms[page.form[page.element[b]]] = forms.get(page.form[page.element[b]], 0) + page.chars[b]
+    shown = {0} | page.wide | {f for f, n in forms.items() if n >= WIDE * sum(forms.values())}
+    usable = [b for b in usable if page.form[page.element[b]] in shown]
     if not usable:
         return []
+    weights = threaded(page, usable)
     elements = [page.element[b] for b in usable]
     chars = np.array([page.chars[b] for b in usable], float)
     marks = np.array([sum(t.count(c) for t in page.texts[b] for c in PUNCTUATION) for b in usable], float)
     linked = np.array([page.linked[b] for b in usable], float)
-    weight = np.array([page.weight[e] for e in elements])
+    weight = np.array([weights[e] for e in elements])
     ratio = fused_ratios(np.array([page.path[e] for e in elements]), chars, marks, linked, weight)
     content = ratio >= share * (ratio @ chars) / chars.sum()
     # whether an element is inside an article or main element, and the innermost one
@@ -246,9 +317,7 @@ def content_blocks(page, share=SHARE, most=MOST):
     for n in np.flatnonzero(content).tolist():
         e = elements[n]
         last[e] = n
-        while page.name[e] in PARAGRAPHS:
-            e = page.parent[e]
-        holds[e] = True
+        holds[page.holder[e]] = True
     for e in range(len(page.name) - 1, 0, -1):
         last[page.parent[e]] = max(last[page.parent[e]], last[e])
     # the innermost element around each one, itself included, that has content
@@ -258,10 +327,8 @@ def content_blocks(page, share=SHARE, most=MOST):
     out = []
     for n, (b, e) in enumerate(zip(usable, elements)):
         near = around[e]
-        beside = near
-        while page.name[beside] in PARAGRAPHS:
-            beside = page.parent[beside]
-        own = page.weight[e] == page.weight[near]
+        beside = page.holder[near]
+        own = weights[e] == weights[near]
         if content[n]:
             out.append(b)
         elif own and article[near] and last[article[near]] >= 0:
