@@ -8,7 +8,7 @@ Spark's writer, at most ``records_per_file`` to a file, in the shared folder or
 a whole, not record by record.
 
 Reading: files of the names ``pattern`` (those of the writer and .warc files, zipped in one or in many members or not) are unzipped
-piece by piece, records are cut from them by their Content-Length; segmented ones are grouped by origin id (a group is one
+piece by piece (those of more than ``WHOLE`` bytes are read so, too), records are cut from them by their Content-Length; segmented ones are grouped by origin id (a group is one
 payload), ordered by segment number, and their total length is verified; then the chunked framing is decoded. A revisit
 takes its payload's size from the response that it refers to, by a join. Broken archives (a missing or repeated segment, a
 wrong length, bad framing) are errors, not rows.
@@ -22,7 +22,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import shared_dir, slices, table
+from strideforge.llm.common import materialize, shared_dir, slices, table
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32_768, 4_096, 4_000
 LAST = 2**63 - 1
@@ -66,15 +66,19 @@ def write_archive(pages, path, least_bytes=0, segment_bytes=SEGMENT_BYTES, chunk
     rows = pages.select(F.coalesce("page_id", F.lit(LAST)).alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     rows = rows.withColumn("serial", F.monotonically_increasing_id())
+    # what a page's record is follows from its digest and page: only these keys meet by digest, never the payloads
+    pages_of = rows.select("digest", "page_id", "serial", F.octet_length("payload").alias("n")).groupBy("digest", "page_id")
+    pages_of = materialize(pages_of.agg(F.count("*").alias("copies"), F.min("serial").alias("one"), F.max("n").alias("n")), "warc-pages")
+    shared = pages_of.groupBy("digest").agg(F.count("*").alias("pages"), F.max("n").alias("n"), F.min(F.struct("page_id", "one", "copies")).alias("least"))
+    shared = materialize(shared.filter((F.col("pages") > 1) & (F.col("n") >= least_bytes)).select("digest", "least"), "warc-shared")
+    later = pages_of.join(shared, "digest", "left").withColumn("refers", F.when(F.col("least.page_id") != F.col("page_id"), F.col("least.page_id")))
     # a record is named by its page and digest; where rows are repeated, by a serial number as well
-    named = rows.select("digest", "page_id", "serial", F.octet_length("payload").alias("n")).groupBy("digest", "page_id")
-    named = named.agg(F.count("*").alias("copies"), F.min("serial").alias("one"), F.max("n").alias("n"))
-    least = named.groupBy("digest").agg(F.min(F.struct("page_id", "one")).alias("least"), (F.max("copies") > 1).alias("repeated"), F.max("n").alias("n"))
-    rows = rows.join(least.filter((F.col("n") >= least_bytes) | F.col("repeated")), "digest", "left")
-    rows = rows.withColumn("refers", F.when((F.col("n") >= least_bytes) & (F.col("least.page_id") != F.col("page_id")), F.col("least.page_id")))
-    serial = lambda c: F.when(F.coalesce("repeated", F.lit(False)), F.concat(F.lit(":"), F.col(c).cast("string"))).otherwise("")
-    name = lambda page, one: F.concat(F.lit("urn:page:"), F.col(page).cast("string"), F.lit(":"), "digest", serial(one))
-    rows = rows.withColumns({"own": name("page_id", "serial"), "other": name("refers", "least.one")})
+    special = later.filter((F.col("copies") > 1) | F.col("refers").isNotNull())
+    special = materialize(special.select("digest", "page_id", (F.col("copies") > 1).alias("repeated"), "refers", "least"), "warc-special")
+    rows = rows.join(special, ["digest", "page_id"], "left")
+    name = lambda page, one, more: F.concat(F.lit("urn:page:"), F.col(page).cast("string"), F.lit(":"), "digest", F.when(more, F.concat(F.lit(":"), F.col(one).cast("string"))).otherwise(""))
+    other = F.when(F.col("refers").isNotNull(), name("refers", "least.one", F.col("least.copies") > 1))
+    rows = rows.withColumns({"own": name("page_id", "serial", F.coalesce("repeated", F.lit(False))), "other": other})
 
     def run(batches):
         import pyarrow as pa
@@ -126,21 +130,26 @@ def write_archive(pages, path, least_bytes=0, segment_bytes=SEGMENT_BYTES, chunk
 PIECE = 1 << 20
 
 
-def unzipped(data):
-    """The bytes of an archive in pieces: of all members of a zipped one, or as they are."""
+def unzipped(source):
+    """The bytes of an archive (bytes, or a file to read from) in pieces: of all members of a zipped one, or as they are."""
+    import io
     import zlib
 
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    data = source.read(PIECE)
     if data[:2] != b"\x1f\x8b":
-        yield data
+        while data:
+            yield data
+            data = source.read(PIECE)
         return
     while data:
         d = zlib.decompressobj(31)
-        yield d.decompress(data, PIECE)
         while not d.eof:
-            if not d.unconsumed_tail and not (last := d.flush()):
+            if not data and not (data := source.read(PIECE)):
                 raise ValueError("a zipped archive ends early")
-            yield d.decompress(d.unconsumed_tail, PIECE) if d.unconsumed_tail else last
-        data = d.unused_data
+            yield d.decompress(data, PIECE)
+            data = d.unconsumed_tail
+        data = d.unused_data or source.read(PIECE)
 
 
 def records(data):
@@ -178,11 +187,11 @@ def records(data):
         del held[:end]
 
 
-#: Names of the files that are read.
-PATTERN = "*{.txt,.warc}*"
+#: Names of the files that are read; files up to so many bytes are values, larger ones are read piece by piece inside a task.
+PATTERN, WHOLE = "*{.txt,.warc}*", 256 << 20
 
 
-def read_records(spark, path, pattern=PATTERN):
+def read_records(spark, path, pattern=PATTERN, whole=WHOLE):
     """All records of the archives under path: one row each, segments not yet joined."""
 
     def run(batches):
@@ -196,10 +205,15 @@ def read_records(spark, path, pattern=PATTERN):
 
         number = lambda h, k: int(h[k]) if h.get(k, "").isdecimal() else None
         page = lambda name: int(name.split(":")[2]) if name.startswith("<urn:page:") else None
+        from strideforge.sources.streams import _store
+
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, size = [], 0
-                for h, block in records(batch.column("content")[i].as_py()):
+                rows, size, source = [], 0, batch.column("content")[i].as_py()
+                if source is None:
+                    store, place = _store(batch.column("path")[i].as_py())
+                    source = store.open_input_file(place)
+                for h, block in records(source):
                     rows.append(
                         (
                             h["warc-record-id"], h["warc-type"], number(h, "x-page-id"), h.get("warc-target-uri"),
@@ -214,8 +228,10 @@ def read_records(spark, path, pattern=PATTERN):
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    small = files().filter(F.col("length") <= whole).select("path", "content").mapInArrow(run, RECORD)
+    large = files().filter(F.col("length") > whole).select("path").repartition("path")  # names only
+    return small.unionByName(large.withColumn("content", F.lit(None).cast("binary")).mapInArrow(run, RECORD))
 
 
 def reassembled(rows):
@@ -226,13 +242,23 @@ def reassembled(rows):
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["block"]))
-    in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    good = F.coalesce(in_order & (F.octet_length("block") == F.col("total")), F.lit(False))
-    joined = parts.withColumn("block", block).withColumn(
-        "block", F.when(good, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing or of wrong length: "), "id")))
-    )
-    return whole.unionByName(joined.select(*whole.columns))
+    names = whole.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                parts = one.column("parts").flatten()
+                numbers, blocks = parts.field("segment").to_pylist(), parts.field("block").to_pylist()
+                block = b"".join(blocks)
+                if numbers != list(range(1, len(numbers) + 1)) or len(block) != one.column("total")[0].as_py():
+                    raise ValueError(f"segments missing or of wrong length: {one.column('id')[0].as_py()}")
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names[:-1]), pa.array([block], pa.binary())], names)
+
+    joined = parts.select(*names[:-1], "total", "parts").mapInArrow(run, whole.schema)
+    return whole.unionByName(joined)
 
 
 def read_pages(spark, path):
