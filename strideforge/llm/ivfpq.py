@@ -5,8 +5,10 @@ the smallest hash of vec_id: 32 for each list, 8,192 at least, ``max_train`` at
 from its residuals, a codebook of 256 entries for each of ``parts`` slices, by k-means, in one task.
 Index: every row gets its list, its code and the length of what the code leaves out. Rows of a list are dealt at random into blocks of about
 ``block_rows`` rows, so a list that holds a third of all rows is many blocks and never one task.
-Search: each query visits the lists whose centroid is at most ``reach`` times as far as its nearest one, and the ``least``
-nearest lists in any case. So queries in clusters visit few lists, and those in high-dimensional noise, which has no near lists, most.
+Search: each query visits its ``probes`` nearest lists. Their number comes from the fit: the sample's own neighbours, searched in
+full for ``TRIED`` of its vectors, lie in lists of certain places in the order of distance from the query, and so many lists are
+visited as hold the share ``found`` of them, a list more than that where lists are few. The sample is sparser than the table, so its neighbours lie farther off and the number errs
+to the safe side. Queries in clusters visit few lists, those in high-dimensional noise, which has no near lists, many.
 Queries of a list go to each of its blocks. Distances to codes come from a table per query and list (asymmetric distances).
 The distance of a code and what the code leaves out bound a row's true distance from both sides; all rows whose lower bound
 does not exceed the k-th smallest upper bound are measured exactly, on the original vectors in double precision, there and
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from strideforge.llm.common import least_hashes, materialize, table
 
-MAX_TRAIN, LEAST_TRAIN, PARTS, REACH, LEAST, BLOCK_ROWS, GROUP_ROWS, LOT = 65_536, 8_192, 16, 1.3, 16, 4096, 256, 8
+MAX_TRAIN, LEAST_TRAIN, PARTS, BLOCK_ROWS, GROUP_ROWS, LOT = 65_536, 8_192, 16, 4096, 256, 8
+#: Share of the sample's neighbours that the visited lists hold, vectors tried for it, and their neighbours looked at.
+FOUND, TRIED, NEIGHBOURS = 0.98, 500, 10
 
 
 def kmeans(x, k, rounds=12, seed=0):
@@ -83,8 +87,29 @@ def usable(vectors, dim=None):
     return v.filter(F.size("embedding") == dim), dim
 
 
-def fit(vectors, lists=None, parts=PARTS, max_train=MAX_TRAIN):
-    """Coarse centroids and codebooks from a bounded sample, or None without vectors. lists: their number, about the root by default."""
+def probes_for(x, own, coarse, found=FOUND):
+    """The number of nearest lists that hold the share ``found`` of the neighbours of some rows of x among all of them."""
+    import numpy as np
+
+    tried = np.random.default_rng(7).permutation(len(x))[:TRIED]
+    norms, places = (x**2).sum(1), []
+    for i in range(0, len(tried), 50):
+        q = x[tried[i : i + 50]]
+        far = norms[None] - 2 * q @ x.T
+        far[np.arange(len(q)), tried[i : i + 50]] = np.inf
+        near = np.argpartition(far, min(NEIGHBOURS, len(x) - 1) - 1, axis=1)[:, :NEIGHBOURS] if len(x) > 1 else np.zeros((len(q), 0), int)
+        to = (coarse**2).sum(1)[None] - 2 * q @ coarse.T
+        rank = np.argsort(np.argsort(to, axis=1, kind="stable"), axis=1)
+        places.append(np.take_along_axis(rank, own[near], 1).ravel())
+    places = np.sort(np.concatenate(places))
+    return min(len(coarse), int(places[int(np.ceil(found * len(places))) - 1]) + 2) if len(places) else 1
+
+
+def fit(vectors, lists=None, parts=PARTS, max_train=MAX_TRAIN, found=FOUND):
+    """Coarse centroids, codebooks and the number of lists to visit from a bounded sample, or None without vectors.
+
+    lists: their number, about the root by default.
+    """
     total = vectors.count()
     lists = min(lists or max(1, int(total**0.5)), max_train // 16)
     sample = least_hashes(vectors.withColumn("_h", F.xxhash64("vec_id")), "_h", min(max_train, max(LEAST_TRAIN, 32 * lists)))
@@ -99,10 +124,11 @@ def fit(vectors, lists=None, parts=PARTS, max_train=MAX_TRAIN):
         x = np.concatenate(some)
         x = x[np.lexsort(x.T)]  # an order that does not depend on the tasks before
         coarse = kmeans(x, max(1, min(lists, len(x) // 8)))
-        residual = x - coarse[nearest(x, coarse)]
+        own = nearest(x, coarse)
+        residual = x - coarse[own]
         at = bounds(x.shape[1], parts)
         books = [kmeans(residual[:, a:b], 256, seed=i + 1) for i, (a, b) in enumerate(zip(at, at[1:]))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((coarse, books))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((coarse, books, probes_for(x, own, coarse, found)))], pa.binary())], ["model"])
 
     found = sample.select("embedding").repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(found["model"]) if found else None
@@ -122,7 +148,7 @@ def coded(vectors, model):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coarse, books = model.value
+        coarse, books, _ = model.value
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             if not batch.num_rows:
@@ -141,24 +167,23 @@ def coded(vectors, model):
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, list int, code binary, left double, lot int")
 
 
-def visits(queries, model, reach, least):
-    """query_id, embedding, list: a row for each list that a query visits."""
+def visits(queries, model, probes=None):
+    """query_id, embedding, list: a row for each list that a query visits. probes: their number instead of the fitted one."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        coarse, _ = model.value
-        n = min(max(1, least), len(coarse))
+        coarse, _, fitted = model.value
+        n = min(max(1, probes or fitted), len(coarse))
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 x = _matrix(batch.column("embedding"))
-                far = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (coarse**2).sum(1)[None] - 2 * x @ coarse.T))
-                bound = np.maximum(reach * far.min(1), np.partition(far, n - 1, axis=1)[:, n - 1])
-                row, near = np.nonzero(far <= bound[:, None])
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("embedding").take(rows), pa.array(near.astype(np.int32))], ["query_id", "embedding", "list"])
+                far = (coarse**2).sum(1)[None] - 2 * x @ coarse.T
+                near = np.argsort(far, axis=1, kind="stable")[:, :n]
+                rows = pa.array(np.repeat(np.arange(len(x)), n))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("embedding").take(rows), pa.array(near.ravel().astype(np.int32))], ["query_id", "embedding", "list"])
 
     return queries.mapInArrow(run, "query_id long, embedding array<double>, list int")
 
@@ -176,7 +201,7 @@ def scanned(groups, blocks, model, k):
         import numpy as np
         import pyarrow as pa
 
-        coarse, books = model.value
+        coarse, books, _ = model.value
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column("list")[i].as_py()
@@ -205,18 +230,18 @@ def scanned(groups, blocks, model, k):
     return joined.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def search(vectors, is_query, k=10, lists=None, parts=PARTS, reach=REACH, least=LEAST, max_train=MAX_TRAIN):
+def search(vectors, is_query, k=10, lists=None, parts=PARTS, probes=None, max_train=MAX_TRAIN, found=FOUND):
     """query_id, rank, vec_id, score: the k nearest found for the rows of vectors(vec_id, embedding) where is_query holds."""
     spark = vectors.sparkSession
     vectors, _ = usable(vectors)
-    fitted = fit(vectors, lists, parts, max_train)
+    fitted = fit(vectors, lists, parts, max_train, found)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(fitted)
     codes = dealt(materialize(coded(vectors, model), "ivf-codes"), BLOCK_ROWS, F.col("lot"))
     blocks = codes.groupBy("list", "deal").agg(F.collect_list(F.struct("vec_id", "code", "left", "embedding")).alias("rows"))  # about BLOCK_ROWS
     asked = vectors.filter(is_query).groupBy(F.col("vec_id")).agg(F.min("embedding").alias("embedding"))
-    some = dealt(visits(asked, model, reach, least), GROUP_ROWS, F.xxhash64("query_id"))
+    some = dealt(visits(asked, model, probes), GROUP_ROWS, F.xxhash64("query_id"))
     groups = some.groupBy("list", "deal").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))  # about GROUP_ROWS
     # each group of queries goes to each block of its list; LOT groups and a block meet in one row, so neither a list of many
     # rows nor one that many queries visit is the work of one task

@@ -121,6 +121,27 @@ def test_recall_beside_near_copies(spark):
     assert recall(spark, x, 50) >= 0.95
 
 
+def test_clustered_data_visits_few_lists(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(40, size=8000)] + rng.normal(size=(8000, 24)) * 0.25
+    assert recall(spark, x, 80) >= 0.95
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    model = ivfpq.fit(df)
+    assert model[2] <= 0.15 * len(model[0])
+    n = ivfpq.visits(df.filter("vec_id % 80 = 0"), spark.sparkContext.broadcast(model)).count()
+    assert n == 100 * model[2]
+
+
+def test_noise_visits_more_lists_than_clusters():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    coarse = ivfpq.kmeans(x, 50)
+    wide = ivfpq.probes_for(x, ivfpq.nearest(x, coarse), coarse)
+    assert 10 < wide <= 50
+    assert ivfpq.probes_for(x[:1], np.zeros(1, int), coarse[:1]) == 1
+
+
 GIVEN = "/root/testdata/sf0.01/embeddings.parquet"
 
 
