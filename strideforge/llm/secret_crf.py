@@ -192,12 +192,12 @@ def decode(e, offsets, t):
     labels = np.zeros(len(e), np.int8)
     if not len(open_):
         return labels
-    row = np.searchsorted(offsets, open_, "right")
+    row, starts = np.searchsorted(offsets, open_, "right"), set(offsets.tolist())
     cuts = np.flatnonzero((np.diff(open_) > 1) | (np.diff(row) > 0)) + 1
     for group in np.split(open_, cuts):
         a, b = group[0], group[-1] + 1
-        lo = a - 1 if a not in offsets else a  # the neighbours outside the stretch are OUT
-        hi = b + 1 if b not in offsets and b < len(e) else b
+        lo = a - 1 if int(a) not in starts else a  # the neighbours outside the stretch are OUT
+        hi = b + 1 if int(b) not in starts and b < len(e) else b
         x = e[lo:hi].copy()
         if lo < a:
             x[0, 1:] = -1e9
@@ -299,8 +299,11 @@ def examples(rng, plain):
     if rng.random() < 0.5:
         w, v, u = any_word(), any_word(), any_word()
         number = str(rng.randrange(10 ** rng.randrange(1, 12)))
+        marks = rng.choice("*%&$#!~^=_+|") * rng.randrange(1, 5)
+        own = rng.choice(plain).strip("*%&$#!~^=_+|") or "name"
         made = rng.choice([
-            f"https://{w}.example/{v}/{number}.html", f"http://www.{w}.org/{v}-{u}?id={number}", f"{w}.{v}@{u}.example", f"{w}@{v}.org,", f"20{run(DIGITS, 2)}-0{run('123456789', 1)}-1{run(DIGITS, 1)}T1{run(DIGITS, 1)}:2{run(DIGITS, 1)}:00Z",
+            f"{own}{marks}", f"{own}.{marks}", f"{w}.{marks}", f"{own},{marks}", f"{w}{v}.{marks}", f"{w.title()}{v}{u}{marks}", f"{marks}{own}{marks}", f"{own.upper()}{marks}", f"{number}{marks}",
+            f"https://{w}.example/{v}/{number}.html", f"https://{w}.{v}.example/{u}/{w.title()}-{v}/{u}_{w}?q={v}", f"https://{w}.example/{number}/{v}/{u}/{number}", f"http://www.{w}.org/{v}-{u}?id={number}", f"{w}.{v}@{u}.example", f"{w}@{v}.org,", f"20{run(DIGITS, 2)}-0{run('123456789', 1)}-1{run(DIGITS, 1)}T1{run(DIGITS, 1)}:2{run(DIGITS, 1)}:00Z",
             f"v{rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(30)}-{w}", f"/usr/{w}/{v}/{u}.txt", f"{w}_{v}_{u}", f"{w}-{v}-{u}-{w}", f"{w}{v.title()}{u.title()}", f"{w}={v}", f"{w}: {v}", f'"{w}": "{v}"', f"{w}: {number}", f"{w}={number}",
             f"{w.upper()}_{v.upper()}", f"+{run(DIGITS, 2)} {run(DIGITS, 3)} {run(DIGITS, 4)}", f"{run(DIGITS, 4)} {run(DIGITS, 4)} {run(DIGITS, 4)} {run(DIGITS, 4)}", f"{run(UPPER, 2)}-{run(DIGITS, 4)}", f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}:{number[:4]}",
             f"{run(LOWER + DIGITS, 7)}", f"{w}({v}, {u})", "-" * rng.randrange(3, 40), f"{(w + v + u) * 2}", f"{w}!!!{v}***{u}###", f"{rng.choice(CUES)} {w} {v}", f"the {rng.choice(CUES)} of {w}", f"{w}.{v}.{u}.{w}", f"postgres://{w}.{v}:5432/{u}",
@@ -309,12 +312,16 @@ def examples(rng, plain):
         return tokens, [OUT] * len(tokens)
     letters = rng.choice([LOWER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "_-", UPPER + DIGITS, "ABCDEF" + DIGITS])
     cue, way = rng.choice(CUES), rng.random()
-    prefix = run(LOWER, rng.randrange(2, 5)) + rng.choice("_-") if rng.random() < 0.3 else ""
-    value = prefix + run(letters, rng.randrange(20, 65)) + rng.choice(["", "", "", "="])
+    prefix = "".join(run(LOWER + DIGITS[1:4] * (k > 0), rng.randrange(2, 6)) + rng.choice("_-") for k in range(rng.choice([1, 1, 2]))) if rng.random() < 0.35 else ""
+    value = prefix + run(letters, rng.choice([rng.randrange(18, 30), rng.randrange(20, 70), rng.randrange(50, 95)])) + rng.choice(["", "", "", "=", "=="])
     if way < 0.2:
         before, made, after = [], value, []
     elif way < 0.35:
-        before, made, after = [], ".".join(run(LOWER + UPPER + DIGITS + "_-", rng.randrange(15, 60)) for _ in range(3)), []
+        parts = [run(LOWER + UPPER + DIGITS + "_-", rng.randrange(15, 70)) for _ in range(rng.choice([2, 3, 3]))]
+        before, made, after = [], ".".join([*([run(LOWER, rng.randrange(2, 4)) + run(DIGITS, 2)] if rng.random() < 0.3 else []), *parts[rng.random() < 0.3 :]]), []
+    elif way < 0.42:  # an address that is a secret by its last parts
+        parts = [run(rng.choice([UPPER + DIGITS, LOWER + UPPER + DIGITS]), rng.randrange(8, 44)) for _ in range(rng.randrange(1, 4))]
+        before, made, after = [], f"https://{any_word()}.{any_word()}.example/{any_word()}/{'/'.join([*parts[:-1], parts[-1] + run(LOWER + UPPER + DIGITS, 16)])}", []
     elif way < 0.55:
         secret = run(LOWER + UPPER + DIGITS + "!$%&*#", rng.randrange(6, 20))
         before, made, after = [], f"{rng.choice(['mysql', 'amqp', 'redis', 'ftp', 'https', 'mongodb'])}://{any_word()}:{secret}@{any_word()}.example:{rng.randrange(9999)}/{any_word()}", []
@@ -322,7 +329,7 @@ def examples(rng, plain):
         if rng.random() < 0.4:
             value = run(LOWER + UPPER + DIGITS + "!$%&*#", rng.randrange(8, 20))
         mark = rng.choice(["", "'", '"'])
-        value, name = f"{mark}{value}{mark}", rng.choice([cue, cue.upper(), f"{any_word()}_{cue}", f"{any_word()}-{cue}", f"{any_word().upper()}_{cue.upper()}"])
+        value, name = f"{mark}{value}{mark}", rng.choice([cue, cue.upper(), f"{any_word()}_{cue}", f"{any_word()}-{cue}", f"{any_word().upper()}_{cue.upper()}", f"{any_word().title()}{cue.title()}", f"{any_word().title()}{cue.title()}"])
         before, made, after = rng.choice([([name, "="], value, []), ([f"{name}:"], value, []), ([f'"{name}":'], value + ",", []), ([], f"{name}={value}", []), ([name, "is"], value, []), ([f"--{name}"], value, []), (["Authorization:", "Bearer"], value, []), ([name], value, [])])
     return [*before, made, *after], [OUT] * len(before) + [BEGIN] + [OUT] * len(after)
 

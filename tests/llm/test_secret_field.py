@@ -55,6 +55,41 @@ def test_the_field_adds_unseen_forms(spark, weights):
     assert all(not set(text[i][a] + text[i][b - 1]) & set("\"',") for i, a, b in added)
 
 
+GIVEN = "/root/testdata/sf0.01/documents.parquet"
+
+
+def public_formats(rnd):
+    """Published forms of keys and tokens, none of which the training examples are made of."""
+    r = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    up, low, num, hexa = secret_crf.UPPER, secret_crf.LOWER, secret_crf.DIGITS, "0123456789abcdef"
+    return [
+        f"sk_live_{r(B62, 24)}", f"AIza{r(B62 + '_-', 35)}", f"https://hooks.slack.com/services/T{r(up + num, 8)}/B{r(up + num, 8)}/{r(B62, 24)}", f"glpat-{r(B62 + '_-', 20)}", f"npm_{r(B62, 36)}",
+        f"SG.{r(B62 + '_-', 22)}.{r(B62 + '_-', 43)}", f"github_pat_{r(B62, 22)}_{r(B62, 59)}", f"AccountKey={r(B62 + '+/', 86)}==", f"ya29.{r(B62 + '_-', 60)}", f"dop_v1_{r(low + num, 64)}",
+        f"amqps://svc:{r(B62 + '$!', 16)}@mq.internal:5671/prod", f"hf_{r(B62, 34)}", f"xoxp-{r(num, 12)}-{r(num, 12)}-{r(hexa, 32)}", f"shpat_{r(hexa, 32)}", f"eyJ{r(B62, 33)}.eyJ{r(B62 + '_-', 90)}.{r(B62 + '_-', 86)}",
+    ]
+
+
+def test_whole_documents_of_the_given_table(spark):
+    """The table holds base kinds only: nothing is added to it. Public formats planted in its whole documents are found."""
+    docs = [r for r in spark.read.parquet(GIVEN).select("doc_id", "text").orderBy("doc_id").collect() if r.text]
+    weights = secret_crf.train(spark.read.parquet(GIVEN))
+    rnd, rows, where = random.Random(7), [], {}
+    for k, d in enumerate(docs):
+        words = d.text.split(" ")
+        if k % 4 == 0:
+            at = rnd.randrange(len(words) + 1)
+            forms = public_formats(rnd)
+            words.insert(at, forms[k // 4 % len(forms)])
+            start = len(" ".join([*words[:at], ""])) if at else 0
+            where[d.doc_id] = (start, start + len(words[at]))
+        rows.append((d.doc_id, " ".join(words)))
+    got = {r.doc_id: r.spans for r in secret_crf.scan(spark.createDataFrame(rows, "doc_id long, text string"), weights).collect()}
+    hit = sum(any(s["start"] < where[i][1] and where[i][0] < s["end"] for s in got[i]) for i in where)
+    false = [(i, s) for i, spans in got.items() for s in spans if s["kind"] == "crf" and not (i in where and s["start"] < where[i][1] and where[i][0] < s["end"])]
+    print("recall", hit, len(where), "false", [(dict(rows)[i][s["start"] : s["end"]]) for i, s in false])
+    assert hit >= 0.9 * len(where) and not false
+
+
 def test_base_spans_stay_and_edges(spark, weights):
     word = "abcdefghij" * 30_000
     rows = [(1, 'x secret="zzzzzzzz" y'), (2, None), (3, ""), (None, "token: abcdefgh"), (4, f"{word} {'0123456789abcdef' * 2} tail"), (1, 'x secret="zzzzzzzz" y')]
