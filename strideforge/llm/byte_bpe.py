@@ -17,7 +17,7 @@ import base64
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideforge.llm.common import materialize, released, table
+from strideforge.llm.common import fresh, materialize, released, table
 
 #: A table of token bytes larger than this is refused, as it is broadcast.
 MAX_TABLE_BYTES = 64 << 20
@@ -226,6 +226,10 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
     names = docs.columns if keep is None else keep
     if "ids" in names:
         raise ValueError("a column named ids is in the way")
+    inner = {c: fresh(docs, f"{c}_") for c in names if c in ("_words", "_bytes")}
+    if inner:  # names that are used inside
+        found = encode(docs.withColumnsRenamed(inner), path, pattern, inner.get(text, text), buckets, [inner.get(c, c) for c in names])
+        return found.withColumnsRenamed({v: k for k, v in inner.items()})
     out_schema = docs.select(names).schema.add("ids", T.ArrayType(T.IntegerType()))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     cut = F.regexp_extract_all(t, F.lit("(?U)" + pattern), F.lit(0))
@@ -283,12 +287,14 @@ def token_table(tokens):
 def decode(rows, path, digests=False, keep_ids=False):
     """rows(..., ids) with the decoded bytes for ids, or with n_tokens, ids_sha256 and decoded_sha256 where digests are asked for.
 
-    An unknown id is an error; null ids count as none. keep_ids: ids stay as a column.
+    An unknown id is an error; null ids count as none. keep_ids: ids stay as a column. A column of rows that has the name of a new
+    one gives way to it.
     """
     tokens = rows.sparkSession.sparkContext.broadcast(load_ranks(path))
-    names = [c for c in rows.columns if keep_ids or c != "ids"]
+    new = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string") if digests else ("decoded binary",)
+    names = [c for c in rows.columns if (keep_ids or c != "ids") and c not in {x.split()[0] for x in new}]
     schema = rows.select(names).schema
-    for c in ("n_tokens long", "ids_sha256 string", "decoded_sha256 string") if digests else ("decoded binary",):
+    for c in new:
         schema = schema.add(*c.split())
 
     def run(batches):
