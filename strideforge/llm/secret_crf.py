@@ -10,7 +10,8 @@ neighbours, the neighbouring words themselves, and features of the whole text (s
 exist, so the weights are trained here (gradient steps on the conditional likelihood, by forward and backward sums) on windows
 of at most ``max_docs`` documents of the corpus: windows around base matches; windows of plain text; and windows of plain text
 into which ``examples`` puts made-up secrets of many forms, most of which no base pattern finds, or harmless look-alikes. Spans
-that the decoded labels add, and that no base span overlaps, have the kind "crf"; quotes, brackets and commas around them are left out.
+that the decoded labels add, of six characters at least, and that no base span overlaps, have the kind "crf"; quotes, brackets and
+commas around them are left out.
 
 Every token of every text is scored. Viterbi runs where it can matter: a token whose outside score exceeds its other scores
 by more than the largest possible sum of transition differences is outside in every best path, so such tokens split a text
@@ -36,6 +37,8 @@ MAX_DOCS, EPOCHS, SIZE = 4000, 8, 1 << 15
 #: Training documents are picked from this many times their number, those with the smallest hashes of their text.
 LOOKED_AT = 8
 OUT, BEGIN, IN = 0, 1, 2
+#: Characters of a span that the field adds, at least: those of the base kinds.
+LEAST = 6
 
 
 def base_spans(text):
@@ -447,7 +450,7 @@ def scan(docs, weights=None):
                             else:
                                 spans.append([a, b, i, i])
                         trimmed = [trim(texts[r], s[0], s[1]) for s in spans]
-                        added[r] = [(a, 3, b) for a, b in trimmed if a < b and not any(x < b and a < y for x, _, y in found[r])]
+                        added[r] = [(a, 3, b) for a, b in trimmed if b - a >= LEAST and not any(x < b and a < y for x, _, y in found[r])]
                 names = (*KINDS, "crf")
                 out = [[{"kind": names[k], "start": a, "end": b} for a, k, b in sorted(f + g)] for f, g in zip(found, added)]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -73,6 +73,8 @@ def test_whole_documents_of_the_given_table(spark):
     """The table holds base kinds only: nothing is added to it. Public formats planted in its whole documents are found."""
     docs = [r for r in spark.read.parquet(GIVEN).select("doc_id", "text").orderBy("doc_id").collect() if r.text]
     weights = secret_crf.train(spark.read.parquet(GIVEN))
+    plain = secret_crf.scan(spark.read.parquet(GIVEN), weights).collect()
+    assert [(r.doc_id, s) for r in plain for s in r.spans if s["kind"] == "crf"] == []
     rnd, rows, where = random.Random(7), [], {}
     for k, d in enumerate(docs):
         words = d.text.split(" ")
