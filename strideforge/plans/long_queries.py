@@ -9,6 +9,7 @@ from strideforge.operators import evaluate as ev
 from strideforge.operators import features as ft
 from strideforge.operators import reports, segments
 from strideforge.operators import stances as st
+from strideforge.operators.store import written
 from strideforge.plans import adapter as ad
 from strideforge.plans import frame_queries as fq
 from strideforge.plans import model_queries as mq
@@ -114,12 +115,11 @@ closed AS (
 
 def watched(spark, d, **settings):
     """Events of the live job over the arrivals with silences, by the clock of the arrivals."""
-    lines = ad.lines(spark, d).withColumn("_us", F.expr(ARRIVED_US))
+    lines = written(ad.lines(spark, d), "lines").withColumn("_us", F.expr(ARRIVED_US))
     part = sum(((F.col("_us") > 1704067200000000 + int(e * 1e6)).cast("int") for e in ENDS), F.lit(0))
     rows = lines.withColumn("arrival_ts", F.timestamp_micros("_us")).withColumn("_part", part).drop("_us")
-    base, stream = mq.arrived(spark, [rows.filter(F.col("_part") == k).drop("_part") for k in range(len(ENDS) + 1)])
-    stream = live.live_stances(stream, clock="arrival", stall_s=STALL_US / 1e6, **settings)
-    return live.run_now(stream, f"{base}/out", f"{base}/ck")
+    parts = [rows.filter(F.col("_part") == k).drop("_part") for k in range(len(ENDS) + 1)]
+    return mq.arrived(spark, parts, lambda stream: live.live_stances(stream, clock="arrival", stall_s=STALL_US / 1e6, **settings))
 
 
 @add("t7_stall_stream", f"""{CAPTURES}
