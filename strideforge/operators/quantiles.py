@@ -26,14 +26,40 @@ def from_bits(bits):
     return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
-def exact_percentiles(rows, by, value, shares):
+#: Values of a group that a task may hold: the groups beyond it are refined.
+SMALL = 100_000
+
+
+def exact_percentiles(rows, by, value, shares, small=SMALL):
     """by and a column for each of shares (name -> 0..1): interpolated percentiles of the values that are not null, per group.
 
-    They equal ``percentile``; groups without values are left out.
+    They equal ``percentile``; groups without values are left out. Groups of at most small values are taken by ``percentile`` itself,
+    whose counts of them a task can hold; the passes are over the rows of larger groups alone, and none where there is no such group.
     """
     by = list(by)
-    keyed = rows.filter(F.col(value).isNotNull()).select(*by, ordered_bits(F.col(value).cast("double")).alias("_b"))
-    n = keyed.groupBy(*by).agg(F.count("*").alias("_n"))
+    told = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
+    n = written(told.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")
+    large = n.filter(F.col("_n") > small)
+    n_large = large.count()
+    name_of = {c: f"_k{i}" for i, c in enumerate(by)}
+    keys = lambda t: F.broadcast(t.select(*[F.col(c).alias(k) for c, k in name_of.items()]))  # noqa: E731, at most rows / small groups
+    among = None
+    for c, k in name_of.items():
+        here = F.col(c).eqNullSafe(F.col(k))
+        among = here if among is None else among & here
+    few = told if n_large == 0 or not by else told.join(keys(large), among, "left_anti")
+    at_once = few.groupBy(*by).agg(F.percentile("_value", F.array(*[F.lit(float(q)) for q in shares.values()])).alias("_q"))
+    plain = at_once.select(*by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(shares)])
+    if n_large == 0:
+        return plain
+    many = told if not by else told.join(keys(large), among, "left_semi")
+    refined = _refined(many.select(*by, ordered_bits(F.col("_value")).alias("_b")), large, by, shares)
+    return plain.unionByName(refined) if by else refined
+
+
+def _refined(keyed, n, by, shares):
+    """exact_percentiles of the bits of values (_b) of groups of any size, whose numbers of values are n (_n)."""
+    keyed = written(keyed, "bits")
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares.values()])))
     at = written(n.withColumn("_rank", F.explode(ranks)).withColumns({"_known": F.lit(0).cast("long"), "_left": F.col("_rank")}), "ranks")

@@ -7,6 +7,7 @@ arrival stream; embeddings gives labelled feature rows; part gives calibration t
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strideforge.operators.store import written
 from strideforge.schemas import FEATURES
 
 # Values of the made-up sessions: when each channel is loaded (per cent of a step), how much, and the loads of standing.
@@ -54,11 +55,29 @@ def duck_div(a, b):
     return f"(({a}) // {b})"
 
 
+#: Rows of sensor frames that a task orders. Beyond it tables are dealt to as many tasks as that asks for: left to itself adaptive
+#: execution joins partitions up to its advisory size, which is millions of frames.
+TASK_ROWS = 500_000
+
+
+def dealt(rows, key):
+    """rows dealt by key to tasks of about TASK_ROWS rows, so that what a task orders does not grow with the table."""
+    n = rows.count()
+    if n <= TASK_ROWS:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), key)
+
+
+def once(rows, name):
+    """rows by session, written once for what several parts of a query read."""
+    return dealt(written(rows, name), "session_id")
+
+
 def frames(spark, sf_dir):
     """Frames of the lineitem sessions, with label and the keys that plant faults; one exchange on the session."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_extendedprice")
     w = Window.partitionBy("l_suppkey").orderBy(*ORDER.split(", "))
-    rows = li.withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).selectExpr(*BASE).selectExpr("*", phase(spark_div))
+    rows = dealt(li, "l_suppkey").withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).selectExpr(*BASE).selectExpr("*", phase(spark_div))
     return rows.selectExpr(*frame_columns(spark_div))
 
 

@@ -171,7 +171,7 @@ def flagship(spark, d):
     """Lines to classified stances: parse, account, detect, features, predict."""
     from strideforge.operators.models import predict
 
-    f = st.one_shuffle(link.link_accounting(parsed(spark, d)))
+    f = link.link_accounting(parsed(spark, d))  # its exchange on session_id serves the windows by session and epoch as well
     rows = ft.extract_features(f, by=("session_id", "epoch"))
     return normal(predict(rows, MODEL, ["cop_path_len", "cop_displacement"]))
 
@@ -206,7 +206,7 @@ def gap_frames(spark, d):
 
 
 def dt_at_emit(spark, d):
-    a = accounted(spark, d)
+    a = ad.once(accounted(spark, d), "accounted")
     dt = st.running_dt(a).select("session_id", "epoch", F.col("frame_idx").alias("emit_idx"), "dt_s")
     return st.stance_events(a).filter("kind = 'stance'").join(dt, ["session_id", "epoch", "emit_idx"]).select("session_id", "start", "end", "dt_s")
 
@@ -297,7 +297,7 @@ SELECT session_id, 'valid' AS status, count(*) AS n, CAST(sum(s3) AS BIGINT) AS
 add("p3_parse_kv", f"WITH {F_}, {ad.LINES_SQL} SELECT session_id, count(*) AS n, max(CAST(regexp_extract(value, 'notif=([0-9]+)', 1) AS BIGINT)) AS notif FROM lines WHERE value LIKE '#%' GROUP BY session_id")(kv)
 add("io5_reassemble_lines", f"WITH {F_}, {ad.LINES_SQL} SELECT session_id, count(*) AS n, CAST(sum(length(trim(value))) AS BIGINT) AS chars FROM lines WHERE trim(value) <> '' GROUP BY session_id")(reassembled)
 add("p4_clean", f"WITH {F_} SELECT session_id, count(*) AS n, count(*) FILTER (WHERE greatest(s0, s1, s2, s3, s4, s5) > 3000) AS dropped FROM frames GROUP BY session_id")(
-    lambda s, d: per_session_counts(ad.frames(s, d)).join(per_session_counts(fx.clean(ad.frames(s, d), 3000)).withColumnRenamed("n", "kept"), "session_id", "left").select("session_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    lambda s, d: (lambda f: per_session_counts(f).join(per_session_counts(fx.clean(f, 3000)).withColumnRenamed("n", "kept"), "session_id", "left").select("session_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped")))(ad.once(ad.frames(s, d), "frames"))
 )
 add("p5_total_force", f"WITH {F_} SELECT session_id, CAST(sum(total) AS BIGINT) AS total, count(total) AS n_total FROM frames GROUP BY session_id")(lambda s, d: sums(fr(s, d), "total"))
 _all = lambda f: {f"c{i}": f(f"s{i}") for i in range(6)}
@@ -374,7 +374,7 @@ add("a3_predictions", f"""WITH {ACCOUNTED}, {_RUNS_E}, p AS (SELECT m.session_id
   FROM merged m JOIN accounted a ON a.session_id = m.session_id AND a.epoch = m.epoch AND a.frame_idx BETWEEN m.start AND m."end" GROUP BY 1, 2, 3),
 n AS (SELECT session_id, count(*) FILTER (WHERE gaps > 0) AS n_with_gaps, count(*) FILTER (WHERE points >= 2) AS n_predicted, count(*) FILTER (WHERE points < 2) AS n_no_prediction FROM p GROUP BY session_id)
 SELECT s.session_id, coalesce(n_with_gaps, 0) AS n_with_gaps, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_no_prediction, 0) AS n_no_prediction FROM (SELECT DISTINCT session_id FROM accounted) s LEFT JOIN n USING (session_id)""")(
-    lambda s, d: (lambda a: ft.detection_summary(a, st.stance_events(a), predictions(a)).select("session_id", "n_with_gaps", "n_predicted", "n_no_prediction"))(accounted(s, d))
+    lambda s, d: (lambda a: ft.detection_summary(a, st.stance_events(a), predictions(a)).select("session_id", "n_with_gaps", "n_predicted", "n_no_prediction"))(ad.once(accounted(s, d), "accounted"))
 )
 _force_cols = ", ".join(R(f) for f in FEATS[:5])
 add("a4_force_features", f'WITH {features_sql()} SELECT session_id, stance, start, "end", {_force_cols} FROM feats')(lambda s, d: ft.force_features(inside(s, d)))

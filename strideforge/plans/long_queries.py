@@ -164,7 +164,7 @@ def log_events(spark, d):
 # ---- groups and families of any size -----------------------------------------------------------------------------------
 @add("a14_refined", fq.SQL["a14_force_distribution"])
 def force_refined(spark, d):
-    return reports.force_distribution(ad.frames(spark, d), refined=True)
+    return reports.force_distribution(ad.once(ad.frames(spark, d), "frames"), refined=True)
 
 
 @add("a17_refined", mq.SQL["a17_describe_features"])
