@@ -218,8 +218,11 @@ def expand(values, starts, counts):
     return values[shift + np.arange(total, dtype=np.int64)]
 
 
-def encode(docs, path, pattern, text="text", buckets=None, keep=None):
-    """docs, or its columns ``keep``, with a column ids (array of int): the BPE ids of every whole text."""
+def encode(docs, path, pattern, text="text", buckets=None, keep=None, then=None):
+    """docs, or its columns ``keep``, with a column ids (array of int): the BPE ids of every whole text.
+
+    then: from the result's schema to a step over its Arrow batches and the step's schema; the same workers do it.
+    """
     spark = docs.sparkSession
     tokens = spark.sparkContext.broadcast(load_ranks(path))
     n_buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -228,6 +231,8 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
         raise ValueError("a column named ids is in the way")
     inner = {c: fresh(docs, f"{c}_") for c in names if c in ("_words", "_bytes")}
     if inner:  # names that are used inside
+        if then is not None:
+            raise ValueError("a column named _words or _bytes is in the way")
         found = encode(docs.withColumnsRenamed(inner), path, pattern, inner.get(text, text), buckets, [inner.get(c, c) for c in names])
         return found.withColumnsRenamed({v: k for k, v in inner.items()})
     out_schema = docs.select(names).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -255,7 +260,7 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
                     flat.append(x[n:].astype(np.int32))
                 counts, flat = np.concatenate(counts), np.concatenate(flat)
                 starts = np.cumsum(counts) - counts
-                order = by_frequency(unpack(batch.column("counts")[r].as_py()))
+                order = by_frequency(unpack(batch.column("counts")[r].as_py())).astype(np.int32)
                 codes = order[unpack(batch.column("codes")[r].as_py())]
                 n_words = np.asarray(batch.column("n_words")[r].values)
                 rest = pa.ipc.open_stream(d.decompress(batch.column("rows")[r].as_py())).read_all().combine_chunks()
@@ -271,9 +276,14 @@ def encode(docs, path, pattern, text="text", buckets=None, keep=None):
                     some = rest.slice(row, end - row)
                     yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), lists], [*rest.schema.names, "ids"])
                     a, row = b, end
+                del parts, counts, flat, starts, order, codes, rest
                 released()
 
-    return whole.select("codes", "counts", "n_words", "rows", "ids").mapInArrow(run, out_schema)
+    step, schema = run, out_schema
+    if then is not None:
+        after, schema = then(out_schema)
+        step = lambda batches: after(run(batches))
+    return whole.select("codes", "counts", "n_words", "rows", "ids").mapInArrow(step, schema)
 
 
 def token_table(tokens):
@@ -284,55 +294,68 @@ def token_table(tokens):
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def _decoding(spark, path, digests, keep_ids):
+    """From the schema of rows(..., ids) to the step over their Arrow batches that decodes, and its schema: see ``decode``."""
+    tokens = spark.sparkContext.broadcast(load_ranks(path))
+    new = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string") if digests else ("decoded binary",)
+
+    def of(given):
+        names = [c for c in given.fieldNames() if (keep_ids or c != "ids") and c not in {x.split()[0] for x in new}]
+        schema = T.StructType([given[c] for c in names])
+        for c in new:
+            schema = schema.add(*c.split())
+
+        def run(batches):
+            import hashlib
+
+            import numpy as np
+            import pyarrow as pa
+
+            data, starts, sizes = token_table(tokens.value)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 200):
+                    batch = whole.slice(at, 200)
+                    out = []
+                    for x in batch.column("ids"):
+                        ids = np.asarray(x.values).astype(np.int64) if x.is_valid else np.zeros(0, np.int64)
+                        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
+                            raise ValueError("an id is not in the token table")
+                        decoded = expand(data, starts[ids], sizes[ids]).tobytes()
+                        if digests:
+                            out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                        else:
+                            out.append((decoded,))
+                    types = (pa.int64(), pa.string(), pa.string()) if digests else (pa.binary(),)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(n) for n in names), *(pa.array(c, t) for c, t in zip(zip(*out), types))],
+                        [*names, *schema.names[len(names) :]],
+                    )
+
+        return run, schema
+
+    return of
+
+
 def decode(rows, path, digests=False, keep_ids=False):
     """rows(..., ids) with the decoded bytes for ids, or with n_tokens, ids_sha256 and decoded_sha256 where digests are asked for.
 
     An unknown id is an error; null ids count as none. keep_ids: ids stay as a column. A column of rows that has the name of a new
     one gives way to it.
     """
-    tokens = rows.sparkSession.sparkContext.broadcast(load_ranks(path))
-    new = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string") if digests else ("decoded binary",)
-    names = [c for c in rows.columns if (keep_ids or c != "ids") and c not in {x.split()[0] for x in new}]
-    schema = rows.select(names).schema
-    for c in new:
-        schema = schema.add(*c.split())
-
-    def run(batches):
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        data, starts, sizes = token_table(tokens.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                out = []
-                for x in batch.column("ids"):
-                    ids = np.asarray(x.values).astype(np.int64) if x.is_valid else np.zeros(0, np.int64)
-                    if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
-                        raise ValueError("an id is not in the token table")
-                    decoded = expand(data, starts[ids], sizes[ids]).tobytes()
-                    if digests:
-                        out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                    else:
-                        out.append((decoded,))
-                types = (pa.int64(), pa.string(), pa.string()) if digests else (pa.binary(),)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in names), *(pa.array(c, t) for c, t in zip(zip(*out), types))],
-                    [*names, *schema.names[len(names) :]],
-                )
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(*_decoding(rows.sparkSession, path, digests, keep_ids)(rows.schema))
 
 
 def round_trip(docs, path=None, pattern=None, keep_ids=False):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, where asked for) of docs(doc_id, text)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, where asked for) of docs(doc_id, text).
+
+    The worker that joins the ids of a block decodes them as well: a task of that stage has one worker and the ids pass through no
+    other batch.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern, keep=["doc_id"]), path, digests=True, keep_ids=keep_ids)
+    return encode(docs, path, pattern, keep=["doc_id"], then=_decoding(docs.sparkSession, path, True, keep_ids))
 
 
 def op3_byte_bpe(spark, sf_dir):
