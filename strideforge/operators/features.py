@@ -20,6 +20,11 @@ def stance_frames(frames, rep="raw", gains=None, by=("session_id",), stances=Non
     rows = frames.withColumn("total", total_force()).withColumn("_step", step)
     rows = rows.withColumn("dt_s", F.median("_step").over(Window.partitionBy(*by)) / 1e6).drop("_step")
     inside = frames_in_stances(rows, by=by, **detector) if stances is None else frames_in_intervals(rows, stances, by)
+    return represented(inside, rep, gains)
+
+
+def represented(inside, rep="raw", gains=None):
+    """Frames inside stances with load, cop_x and cop_y of a representation, whatever the one that they carry."""
     raw = {f"_raw_{c}": F.col(c) for c in CHANNELS}
     there = cop(transform(inside.withColumns(raw), rep, gains)).withColumn("load", total_force())
     return there.withColumns({c: F.col(f"_raw_{c}") for c in CHANNELS}).drop(*raw)

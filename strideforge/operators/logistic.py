@@ -7,6 +7,8 @@ squared weights without the intercepts, against the sum of the rows' losses.
 import numpy as np
 from pyspark.sql import functions as F
 
+from strideforge.operators.store import written
+
 STEPS, TOLERANCE = 25, 1e-9
 
 
@@ -39,6 +41,36 @@ def step_sums(x, y, w):
     return np.concatenate([gradient.ravel(), hessian.reshape(k * d, k * d).ravel()])
 
 
+def packed_sums(u, products, y, w, of):
+    """``step_sums`` of the rows where of is 1, without what repeats: the gradient, then the Hessian's blocks of class pairs a <= b,
+    each as its entries i <= j. products: u[:, i] * u[:, j] for all i <= j, so that a pair is a product of matrices.
+    """
+    p = softmax(u @ w.T) * of[:, None]
+    hot = np.zeros_like(p)
+    hot[np.arange(len(y)), y] = of
+    a, b = np.triu_indices(len(w))
+    weights = p[:, a] * ((a == b) - p[:, b])
+    return np.concatenate([((p - hot).T @ u).ravel(), (weights.T @ products).ravel()])
+
+
+def unpacked_sums(packed, k, d, turn):
+    """The form of ``step_sums`` of ``packed_sums`` for k classes, in the features turn @ u."""
+    (a, b), (i, j) = np.triu_indices(k), np.triu_indices(d)
+    hessian = np.zeros((k, d, k, d))
+    for x, y, row in zip(a, b, packed[k * d :].reshape(len(a), len(i))):
+        block = np.zeros((d, d))
+        block[i, j] = block[j, i] = row
+        hessian[x, :, y, :] = hessian[y, :, x, :] = turn @ block @ turn.T
+    return np.concatenate([(packed[: k * d].reshape(k, d) @ turn.T).ravel(), hessian.reshape(k * d, k * d).ravel()])
+
+
+def turned(mean, sd, scaled):
+    """The matrix that takes (1, features scaled by the other mean and deviation) to (1, features scaled by mean and sd)."""
+    out = np.diag(np.concatenate([[1.0], scaled[1] / sd]))
+    out[1:, 0] = (scaled[0] - mean) / sd
+    return out
+
+
 def newton(sums, w):
     """The weights after one step, and the largest change. The intercepts' common shift is held by a small ridge of its own."""
     k, d = w.shape
@@ -51,39 +83,64 @@ def newton(sums, w):
 
 
 def fit_without(rows, stats, features, steps=STEPS, tolerance=TOLERANCE):
-    """Models by (rep, fold), each on the rows of a representation outside a fold. rows: rep, fold, label, features; stats by rep."""
+    """Models by (rep, fold), each on the rows of a representation outside a fold. rows: rep, fold, label, features; stats by rep.
+
+    Rows are written once as numbers. A step adds up all cells over a task's rows, so a task gives cells x (p + 1)**2 numbers once,
+    and products of features are taken once for all folds: a representation's rows are scaled alike, a cell's own scale is a matrix.
+    """
     p = len(features)
-    cells = {}
+    cells, scale, reps = {}, {}, sorted(stats)
+    labels = sorted({r["label"] for some in stats.values() for r in some})
     for rep, some in stats.items():
+        scale[rep] = scales(some, p, object())[1:]
         for fold in sorted({r["fold"] for r in some}):
             classes, mean, sd = scales(some, p, fold)
             cells[rep, fold] = {"classes": classes, "mean": mean, "sd": sd, "w": np.zeros((len(classes), p + 1))}
+    place = lambda c, known: F.array_position(F.array(*[F.lit(x) for x in known]), F.col(c)).cast("int") - 1
+    xs = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    coded = written(rows.select(place("rep", reps).alias("rep"), F.col("fold").cast("int").alias("fold"), place("label", labels).alias("y"), *xs), "newton")
+    upper = np.triu_indices(p + 1)
     todo = dict(cells)
     for _ in range(steps):
         if not todo:
             break
-        now = {key: (c["classes"], c["mean"], c["sd"], c["w"]) for key, c in todo.items()}
-
-        def run(batches, now=now):
-            import pandas as pd
-
-            for pdf in batches:
-                out = []
-                for (rep, fold), (classes, mean, sd, w) in now.items():
-                    some = pdf[(pdf.rep == rep) & (pdf.fold != fold)]
-                    if len(some):
-                        x = np.column_stack([np.ones(len(some)), (some[features].to_numpy(float) - mean) / sd])
-                        v = step_sums(x, np.searchsorted(classes, some.label.to_numpy(str)), w)
-                        out.append(pd.DataFrame({"rep": rep, "fold": fold, "i": np.arange(len(v)), "v": v}))
-                yield pd.concat(out) if out else pd.DataFrame({"rep": [], "fold": [], "i": [], "v": []})
+        now = []
+        for at, (rep, fold) in enumerate(todo):
+            c = todo[rep, fold]
+            c["turn"] = turned(c["mean"], c["sd"], scale[rep])
+            now.append((at, reps.index(rep), fold, np.searchsorted(c["classes"], labels), c["w"] @ c["turn"]))
+        scaled = [scale[rep] for rep in reps]
+
+        def run(batches, now=now, scaled=scaled):
+            import pyarrow as pa
+
+            sums = {}
+            for batch in batches:
+                rep, fold, y = (np.asarray(batch.column(c)) for c in ("rep", "fold", "y"))
+                x = np.column_stack([np.asarray(batch.column(f"x{i}")) for i in range(p)])
+                for r, (mean, sd) in enumerate(scaled):
+                    mine = np.flatnonzero(rep == r)
+                    if not len(mine):
+                        continue
+                    u = np.column_stack([np.ones(len(mine)), (x[mine] - mean) / sd])
+                    products = u[:, upper[0]] * u[:, upper[1]]
+                    for at, of, out, class_of, w in now:
+                        if of == r:
+                            held = fold[mine] != out
+                            known = np.where(held, class_of[y[mine]], 0)
+                            sums[at] = sums.get(at, 0.0) + packed_sums(u, products, known, w, held.astype(float))
+            for at, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), at, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["cell", "i", "v"])
 
         # cells x (p + 1)**2 numbers: a bounded result
-        got = rows.select("rep", "fold", "label", *features).mapInPandas(run, "rep string, fold int, i int, v double").groupBy("rep", "fold", "i").agg(F.sum("v").alias("v")).toPandas()
-        for (rep, fold), some in got.groupby(["rep", "fold"]):
-            cell = todo[rep, fold]
-            cell["w"], change = newton(some.sort_values("i").v.to_numpy(), cell["w"])
+        got = coded.mapInArrow(run, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v")).toPandas()
+        keys = list(todo)
+        for at, some in got.groupby("cell"):
+            cell = todo[keys[at]]
+            sums = unpacked_sums(some.sort_values("i").v.to_numpy(), len(cell["classes"]), p + 1, cell.pop("turn"))
+            cell["w"], change = newton(sums, cell["w"])
             if change < tolerance:
-                del todo[rep, fold]
+                del todo[keys[at]]
     return cells
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideforge.operators.store import written
-from strideforge.schemas import FEATURES
+from strideforge.schemas import CHANNELS, FEATURES
 
 # Values of the made-up sessions: when each channel is loaded (per cent of a step), how much, and the loads of standing.
 WINDOWS = [(0, 28), (12, 44), (28, 52), (30, 56), (36, 60), (46, 64)]
@@ -128,12 +128,14 @@ def features_sql(p=2):
 
 def stances(spark, sf_dir):
     """Features of the moving sessions' stances under every representation: rep, row_id, label, session, start, features."""
-    from strideforge.operators.features import extract_features
+    from strideforge.operators.features import represented, stance_features, stance_frames
 
     out = None
-    f = frames(spark, sf_dir).filter("label <> 'stand'")
+    f = stance_frames(frames(spark, sf_dir).filter("label <> 'stand'"))
+    # detection is on raw counts, so it is the same for all: its frames are written once
+    inside = once(f.select("session_id", "stance", "start", "end", "frame_idx", "ts_us", "dt_s", *CHANNELS), "inside")
     for rep in REPRESENTATIONS:
-        part = extract_features(f, rep, GAINS).selectExpr(
+        part = stance_features(represented(inside, rep, GAINS)).selectExpr(
             f"'{rep}' AS rep", "session_id * 100000 + stance AS row_id", f"{LABEL.replace('kind', f'({KIND})')} AS label", "CAST(session_id AS STRING) AS session", "start", "s4_zero_frac", *FEATURES
         )
         out = part if out is None else out.unionByName(part)
