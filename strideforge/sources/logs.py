@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strideforge.schemas import CAPTURE_CSV, CHANNELS
 
@@ -41,6 +42,24 @@ def write_capture(frames, path, format="csv"):
     out.drop("frame_idx").write.mode("overwrite").partitionBy("session_id").option("header", True).format(format).save(path)
 
 
+def write_captures(frames, path):
+    """Many captures as CSV: a file for each task, its sessions one after another, told by the column session_id; frames in order.
+
+    A folder for each session, as ``write_capture`` makes, costs several calls to the file system a session when written, when listed
+    and when read; here the number of files follows the number of tasks that the frames are dealt to.
+    """
+    out = frames.select("session_id", "frame_idx", "seq", "ts_us", *CHANNELS).sortWithinPartitions("session_id", "frame_idx")
+    out.drop("frame_idx").write.mode("overwrite").option("header", True).csv(path)
+
+
+def load_captures(spark, path):
+    """The frames of ``write_captures``: session_id (text), frame_idx by the order of the session's rows, and the fields of a capture."""
+    schema = StructType([StructField("session_id", StringType()), *CAPTURE_CSV.fields])
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
+    rows = raw.select(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), *schema.names)
+    return rows.withColumn("frame_idx", _in_file_order(rows).cast("long")).drop("_block", "_at")
+
+
 def write_predictions(rows, path, format="csv"):
     rows.write.mode("overwrite").option("header", True).format(format).save(path)
 
