@@ -104,14 +104,20 @@ def unpivoted(rows, keep):
 
 
 def activation_timing(inside, share=0.2):
-    """Per sensor: mean, population sd and count of onset (first frame at the share of its stance peak) and of peak time (s)."""
-    rows = unpivoted(inside.filter("frame_idx < end"), [*KEY, "start", "frame_idx", "dt_s"])
-    peak = F.max("value").over(Window.partitionBy(*KEY, "sensor"))
-    rows = rows.withColumn("peak", peak).filter("peak > 0")
-    times = rows.groupBy(*KEY, "sensor").agg(
-        F.min(F.when(F.col("value") >= share * F.col("peak"), (F.col("frame_idx") - F.col("start")) * F.col("dt_s"))).alias("onset_s"),
-        F.min(F.when(F.col("value") == F.col("peak"), (F.col("frame_idx") - F.col("start")) * F.col("dt_s"))).alias("peak_s"),
-    )
+    """Per sensor: mean, population sd and count of onset (first frame at the share of its stance peak) and of peak time (s).
+
+    Frames stay one row for all sensors, in the order of their stance; what is turned to a row a sensor are the stances.
+    """
+    at = (F.col("frame_idx") - F.col("start")) * F.col("dt_s")
+    peak = {f"_peak_{c}": F.max(c).over(Window.partitionBy(*KEY)) for c in CHANNELS}
+    found = inside.filter("frame_idx < end").withColumns(peak).groupBy(*KEY).agg(*[
+        F.struct(
+            F.first(f"_peak_{c}").alias("peak"),
+            F.min(F.when(F.col(c) >= share * F.col(f"_peak_{c}"), at)).alias("onset_s"),
+            F.min(F.when(F.col(c) == F.col(f"_peak_{c}"), at)).alias("peak_s"),
+        ).alias(c) for c in CHANNELS
+    ])
+    times = unpivoted(found, KEY).filter("value.peak > 0").select("sensor", "value.onset_s", "value.peak_s")
     return times.groupBy("sensor").agg(
         F.avg("onset_s").alias("onset_mean_s"), F.stddev_pop("onset_s").alias("onset_sd_s"),
         F.avg("peak_s").alias("peak_mean_s"), F.stddev_pop("peak_s").alias("peak_sd_s"), F.count("*").alias("n"),

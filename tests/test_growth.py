@@ -3,9 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strideforge.operators import features as ft
 from strideforge.operators import segments
 from strideforge.operators.quantiles import exact_percentiles
 from strideforge.plans import adapter as ad
+from strideforge.schemas import CHANNELS
 
 
 def test_tables_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
@@ -43,3 +45,36 @@ def test_events_of_segments_read_their_frames_twice(spark):
     frames = rows.mapInArrow(counted, rows.schema)
     assert segments.stance_events(frames, size=97).count() > 0
     assert passes.value <= 2 * 600
+
+
+def test_activation_timing_turns_stances_to_rows_of_sensors_not_frames(spark, monkeypatch):
+    turned = spark.sparkContext.accumulator(0)
+    plain = ft.unpivoted
+
+    def counted(rows, keep):
+        def run(batches):
+            for batch in batches:
+                turned.add(batch.num_rows)
+                yield batch
+
+        return plain(rows.mapInArrow(run, rows.schema), keep)
+
+    rnd = np.random.default_rng(7)
+    n, stances, every = 2000, 40, 50
+    values = rnd.integers(-3, 9, (n, len(CHANNELS)))
+    values[:, 5] = 0
+    rows = [(1, k // every, k // every * every, (k // every + 1) * every - 1, k, 0.01, *[None if v < -2 else int(v) for v in values[k]]) for k in range(n)]
+    inside = spark.createDataFrame(rows, "session_id long, stance int, start long, end long, frame_idx long, dt_s double, " + ", ".join(f"{c} int" for c in CHANNELS))
+    monkeypatch.setattr(ft, "unpivoted", counted)
+    got = {r.sensor: r for r in ft.activation_timing(inside).collect()}
+    assert turned.value == stances
+    assert got.keys() == {0, 1, 2, 3, 4}
+    for i in got:
+        onsets, peaks = [], []
+        for s in range(stances):
+            v = [r[6 + i] for r in rows[s * every : (s + 1) * every - 1]]
+            top = max(x for x in v if x is not None)
+            onsets.append(next(k for k, x in enumerate(v) if x is not None and x >= 0.2 * top) * 0.01)
+            peaks.append(v.index(top) * 0.01)
+        want = [np.mean(onsets), np.std(onsets), np.mean(peaks), np.std(peaks), stances]
+        assert np.allclose([got[i][c] for c in ("onset_mean_s", "onset_sd_s", "peak_mean_s", "peak_sd_s", "n")], want, atol=1e-12)
