@@ -34,8 +34,12 @@ def _first_peak(value="load"):
     return F.max(F.struct(F.col(value).alias("v"), (-F.col("frame_idx")).alias("i")))
 
 
-def stance_features(inside, by=("session_id",)):
-    """Seven features and context per stance of stance_frames: features leave the last frame out, s4_zero_frac does not."""
+def stance_features(inside, by=("session_id",), also=()):
+    """Seven features and context per stance of stance_frames: features leave the last frame out, s4_zero_frac does not.
+
+    also: further aggregates over all frames of a stance, by name; they follow as columns.
+    """
+    also = dict(also)
     key = [*by, "stance"]
     open_ = F.col("frame_idx") < F.col("end")
     point = F.when(open_ & F.col("cop_x").isNotNull(), F.struct("cop_x", "cop_y"))
@@ -56,6 +60,7 @@ def stance_features(inside, by=("session_id",)):
         F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("frame_idx"))).alias("_b"),
         (F.min("ts_us") / 1e6).alias("onset_s"),
         F.avg((F.col("s4") == 0).cast("double")).alias("s4_zero_frac"),
+        *[c.alias(name) for name, c in also.items()],
     )
     ttp = (-F.col("_peak.i") - F.col("start")) * F.col("dt_s")
     two = F.col("_n") >= 2
@@ -68,6 +73,7 @@ def stance_features(inside, by=("session_id",)):
         (F.col("_sum") * F.col("dt_s")).alias("impulse_counts_s"),
         F.when(two, F.col("_path")).alias("cop_path_len"),
         F.when(two, F.hypot(F.col("_b.cop_x") - F.col("_a.cop_x"), F.col("_b.cop_y") - F.col("_a.cop_y"))).alias("cop_displacement"),
+        *also,
     )
 
 
@@ -84,9 +90,14 @@ def extract_features(frames, rep="raw", gains=None, by=("session_id",), stances=
     return stance_features(stance_frames(frames, rep, gains, by, stances, **detector), by)
 
 
+def missing():
+    """The aggregate of gap_frames, over the frames of a stance."""
+    return F.sum(F.when(F.col("frame_idx") > F.col("start"), F.col("last_gap")).otherwise(0))
+
+
 def gap_frames(inside, by=("session_id",)):
     """Frames missing strictly inside each stance: the sum of last_gap after its first frame."""
-    return inside.groupBy(*by, "stance").agg(F.sum(F.when(F.col("frame_idx") > F.col("start"), F.col("last_gap")).otherwise(0)).alias("gap_frames"))
+    return inside.groupBy(*by, "stance").agg(missing().alias("gap_frames"))
 
 
 def stance_metrics(inside):

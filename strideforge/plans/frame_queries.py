@@ -221,8 +221,7 @@ def predictions(a):
     from strideforge.operators.models import predict
 
     by = ["session_id", "epoch"]
-    inside = ft.stance_frames(a, by=by)
-    rows = ft.stance_features(inside, by).join(ft.gap_frames(inside, by), [*by, "stance"])
+    rows = ft.stance_features(ft.stance_frames(a, by=by), by, {"gap_frames": ft.missing()}).dropna(subset=by)
     return predict(rows, MODEL, ["cop_path_len", "cop_displacement"])
 
 

@@ -3,10 +3,12 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strideforge.functions import frames as fx
 from strideforge.operators import features as ft
 from strideforge.operators import segments
 from strideforge.operators.quantiles import exact_percentiles
 from strideforge.plans import adapter as ad
+from strideforge.plans import frame_queries as fq
 from strideforge.schemas import CHANNELS
 
 
@@ -61,6 +63,26 @@ def test_events_of_segments_read_their_frames_twice(spark):
     assert passes.value <= 2 * 600
 
 
+def test_predictions_order_their_frames_once(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    i = F.col("id")
+    load = F.when(i % 100 < 50, 400 + (i * 7) % 11).otherwise(0).cast("int")
+    session = F.when(i < 600, 1).cast("long")  # the rest has none, and no row in the result
+    gap = F.when(i % 100 == 0, 5).when(i % 100 == 20, 3).otherwise(0).cast("long")
+    rows = spark.range(900).select(session.alias("session_id"), F.lit(0).alias("epoch"), i.alias("frame_idx"), (i * 10_000).alias("ts_us"), gap.alias("last_gap"), *[load.alias(c) for c in CHANNELS])
+    rows = rows.withColumn("total", fx.total_force())
+    found = fq.predictions(rows.mapInArrow(counted, rows.schema)).collect()
+    assert passes.value == 900
+    assert [(r.session_id, r.start, r.end, r.gap_frames) for r in sorted(found, key=lambda r: r.start)] == [(1, 100 * k, 100 * k + 49, 3) for k in range(6)]
+    assert found[0].asDict().keys() >= {"cop_path_len", "impulse_counts_s", "pred"}
+
+
 def test_activation_timing_turns_stances_to_rows_of_sensors_not_frames(spark, monkeypatch):
     turned = spark.sparkContext.accumulator(0)
     plain = ft.unpivoted
