@@ -30,19 +30,26 @@ def shared_dir(spark):
 BATCH_ROWS = 1000
 
 
-def materialize(df, name, batch_rows=BATCH_ROWS):
+#: Spark's setting that removes the shuffle files of an execution at its end; else they stay until the driver collects its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df, name, batch_rows=BATCH_ROWS, release=False):
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The session's size of Arrow batches is lowered to batch_rows for this write and put back after it.
+    The session's size of Arrow batches is lowered to batch_rows for this write and put back after it. release: the shuffle
+    files of this write are removed as soon as it has ended, as nothing reads them any more.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = int(spark.conf.get(key))
+    before, kept = int(spark.conf.get(key)), spark.conf.get(RELEASE, "false")
     spark.conf.set(key, str(min(before, batch_rows) if before > 0 else batch_rows))
+    spark.conf.set(RELEASE, "true" if release else kept)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, str(before))
+        spark.conf.set(RELEASE, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -158,6 +165,28 @@ def least_hashes(rows, h, n):
     return rows.orderBy(h, *[c for c in rows.columns if c != h]).limit(n)
 
 
+#: Bits for each key, and the most of them all (32 MB), of the broadcast that tells rows which cannot meet a key.
+KEY_BITS, MOST_BITS, BUCKET_BITS = 16, 1 << 28, 1 << 15
+
+
+def parted(rows, keys):
+    """rows(_id, _th, ...) in two: those whose key may be in keys(_id, _th), and those whose key is not.
+
+    Only the first need a shuffle to meet keys, a written table of distinct keys: all rows that have a match, and about one in
+    KEY_BITS of the others. Bits at the keys' hashes are broadcast in buckets of 4 KB. Beyond MOST_BITS more of the others
+    are among the first; the second never hold a match.
+    """
+    n = min(MOST_BITS, max(1, -(-keys.count() * KEY_BITS // BUCKET_BITS)) * BUCKET_BITS)
+    at = F.pmod(F.xxhash64("_id", "_th"), F.lit(n)) + 1
+    bucket, bit, bits = (fresh(rows, c) for c in ("_bucket", "_bit", "_bits"))
+    there = keys.select(F.bitmap_bucket_number(at).alias(bucket), F.bitmap_bit_position(at).alias(bit)).repartition(bucket)
+    there = there.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias(bits))
+    marked = rows.withColumns({bucket: F.bitmap_bucket_number(at), bit: F.bitmap_bit_position(at)}).join(F.broadcast(there), bucket, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+    return marked.filter(may).select(*rows.columns), marked.filter(~may).select(*rows.columns)
+
+
 #: Ids up to this number (8 bytes each) are broadcast to pick rows; beyond it the rows are joined by a shuffle.
 MAX_BROADCAST = 200_000
 

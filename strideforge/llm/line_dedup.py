@@ -8,7 +8,9 @@ between boundaries. A chunk of at least ``min_lines`` lines and ``min_chars`` ch
 fetched, compared by its bytes, and removed everywhere but at its first place (smallest doc_id, then line number).
 
 Counting is by partial aggregates, so a chunk that a third of all documents share costs one row per task. Texts are read
-again only for documents with repeated hashes. Null text counts as empty; an empty text stays. A null doc_id is an id of
+again only for documents with repeated hashes, and only texts that may hold something to fetch or to remove (``parted``)
+go through a shuffle; it is a sort-merge join at every size, as the files of lists of numbers say little about their
+size in memory. Null text counts as empty; an empty text stays. A null doc_id is an id of
 its own, before all others. Rows with equal doc_id and text are one document: all of them get the same text. Other columns
 pass through.
 
@@ -23,7 +25,8 @@ An empty table gives no rows; of equal places the least document and line is the
 
 from pyspark.sql import functions as F
 
-from strideforge.llm.common import MAX_BROADCAST, NULL_ID, materialize, table
+from strideforge.llm.common import MAX_BROADCAST, NULL_ID, parted, table
+from strideforge.llm.common import materialize as written
 
 #: Where texts are cut into lines: after line feeds only, or after the ends of sentences as well (wrapped text).
 LINES, WRAPPED = r"(?<=\n)", r"(?<=\n)|(?<=[.!?] )"
@@ -36,6 +39,11 @@ COPY, LEAST_COMMON = 0.8, 0.1
 MARK = "\x01"
 
 
+def materialize(df, name):
+    """df, written; its shuffles go as soon as it is, so the disk holds those of one step at a time."""
+    return written(df, name, release=True)
+
+
 def _shift(values, first):
     """The array moved right by one, with ``first`` in front."""
     return F.concat(F.array(first), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))))
@@ -79,7 +87,8 @@ def repeated_chunks(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPE
     places = materialize(places, "chunk-places")
     twice = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "chunks-twice")
     wanted = places.join(twice, "hash").groupBy("_id", "_th").agg(F.collect_set("chunk").alias("wanted"))
-    found = _chunked(docs.join(wanted, ["_id", "_th"]), ["_id", "_th", "wanted"], split).select(
+    wanted = materialize(wanted, "chunks-wanted")
+    found = _chunked(parted(docs, wanted)[0].join(wanted.hint("merge"), ["_id", "_th"]), ["_id", "_th", "wanted"], split).select(
         "_id", "_th", F.inline(F.transform("wanted", lambda i: F.struct(i.alias("chunk"), F.get("chunks", i).alias("bytes"))))
     )
     found = materialize(found, "chunk-bytes")
@@ -99,18 +108,21 @@ def remove_repeats(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS, split=WRAPPED
         *[F.col(f"`{c}`").alias(a) for c, a in clash.items()],
     )
     gone = repeated_chunks(rows.select("_id", "_th", "text"), min_lines, min_chars, split)
-    per_doc = gone.groupBy("_id", "_th").agg(F.collect_set("chunk").alias("gone"))
-    joined = rows.join(per_doc, ["_id", "_th"], "left").withColumn("whole", F.when(F.col("gone").isNull(), F.col("text")))
+    per_doc = materialize(gone.groupBy("_id", "_th").agg(F.collect_set("chunk").alias("gone")), "chunks-gone")
+    some, none = parted(rows, per_doc)
+    joined = some.join(per_doc.hint("merge"), ["_id", "_th"], "left").withColumn("whole", F.when(F.col("gone").isNull(), F.col("text")))
     joined = joined.withColumn("text", F.when(F.col("gone").isNotNull(), F.col("text")).otherwise(F.lit("")))
     parts = _chunked(joined, ["_id", "whole", "gone", *clash.values()], split)
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone"))
     text = F.replace(F.array_join(F.transform(stay, lambda i: F.get("chunks", i)), ""), F.lit(MARK + "e"), F.lit(MARK))
+    doc_id = F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
     out = parts.select(
-        F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"),
+        doc_id,
         F.coalesce("whole", text).alias("text"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate(F.transform("gone", lambda i: F.get("lens", i)), F.lit(0), lambda s, x: s + x)).alias("n_removed"),
         *clash.values(),
     )
+    out = out.union(none.select(doc_id, "text", F.lit(0).alias("n_removed"), *clash.values()))
     back = {c: F.col(a).alias(c) for c, a in clash.items() if c != "n_removed"}
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != "n_removed"], "n_removed")
 
@@ -196,8 +208,9 @@ def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed", s
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("text"),
         *[F.col(f"`{c}`").alias(a) for c, a in other.items()],
     )
-    per_doc = repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies, split)
-    joined = rows.join(per_doc, ["_id", "_th"], "left")
+    per_doc = materialize(repeated_runs(rows.select("_id", "_th", "text"), min_chars, copies, split), "line-runs-gone")
+    some, none = parted(rows, per_doc)
+    joined = some.join(per_doc.hint("merge"), ["_id", "_th"], "left")
     lines = F.when(F.col("gone").isNotNull(), F.split("text", split, -1))
     parts = joined.select("_id", "text", "gone", *other.values(), F.inline(F.array(F.struct(lines.alias("lines")))))
     # what lies before, between and after the runs
@@ -206,12 +219,14 @@ def remove_passages(docs, min_chars=MIN_CHARS, copies=None, count="n_removed", s
     stay = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s.a < s.b)
     stay = F.flatten(F.transform(stay, lambda s: F.sequence(s.a, s.b - 1)))
     left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "")
+    doc_id = F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
     out = parts.select(
-        F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"),
+        doc_id,
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate("gone", F.lit(0), lambda s, g: s + g.end - g.start + 1)).alias(count),
         *other.values(),
     )
+    out = out.union(none.select(doc_id, "text", F.lit(0).alias(count), *other.values()))
     back = {c: F.col(a).alias(c) for c, a in other.items() if c != count}
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns if c != count], count)
 
