@@ -9,8 +9,8 @@ fetched, compared by its bytes, and removed everywhere but at its first place (s
 
 Counting is by partial aggregates, so a chunk that a third of all documents share costs one row per task. Texts are read
 again only for documents with repeated hashes, and only texts that may hold something to fetch or to remove (``parted``)
-go through a shuffle; it is a sort-merge join at every size, as the files of lists of numbers say little about their
-size in memory. Null text counts as empty; an empty text stays. A null doc_id is an id of
+go through a shuffle; it is a sort-merge join at every size, so that figures of small tables tell those of large ones, where
+the list of chunks is too large to broadcast. Null text counts as empty; an empty text stays. A null doc_id is an id of
 its own, before all others. Rows with equal doc_id and text are one document: all of them get the same text. Other columns
 pass through.
 
